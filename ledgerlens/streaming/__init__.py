@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reference pipeline is batch only: it has no stream source, watermark,
+window, session or state.  Nothing is built here on purpose (see README).
+"""
