@@ -98,3 +98,24 @@ def with_ctes(body: str, **ctes: str) -> str:
         return body
     parts = ",\n".join(f"{k} AS ({v})" for k, v in ctes.items())
     return f"WITH {parts}\n{body}"
+
+
+def lines_nulls(spark: SparkSession, d: str) -> DataFrame:
+    """Balance lines with manufactured missing values (the test tables have
+    none): zero discount/tax, quantity outside returned lines, ship offset of
+    the first three lines."""
+    li = scan_table(spark, d, "lineitem")
+    return li.select(
+        "l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_linestatus",
+        F.nullif("l_discount", F.lit(0.0)).alias("DISC"),
+        F.nullif("l_tax", F.lit(0.0)).alias("TAX"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_quantity")).alias("Q_R"),
+        F.when(F.col("l_linenumber") > 3, F.datediff(F.to_date("l_shipdate"),
+                                                     F.lit(ANCHOR_DATE).cast("date"))).alias("LATE"))
+
+
+SQL_LINES_NULLS = f"""SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_linestatus,
+  NULLIF(l_discount, 0.0) AS DISC, NULLIF(l_tax, 0.0) AS TAX,
+  CASE WHEN l_returnflag = 'R' THEN l_quantity END AS Q_R,
+  CASE WHEN l_linenumber > 3 THEN CAST(CAST(l_shipdate AS DATE) - DATE '{ANCHOR_DATE}' AS INTEGER) END AS LATE
+  FROM lineitem"""
