@@ -119,3 +119,51 @@ SQL_LINES_NULLS = f"""SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag,
   CASE WHEN l_returnflag = 'R' THEN l_quantity END AS Q_R,
   CASE WHEN l_linenumber > 3 THEN CAST(CAST(l_shipdate AS DATE) - DATE '{ANCHOR_DATE}' AS INTEGER) END AS LATE
   FROM lineitem"""
+
+
+# Deterministic per-applicant model scores (the "submission files" of the
+# blending/ranking operators), derived from the customer table.
+SCORE_NAMES = ["LGB", "XGB", "CGB", "ET", "RF"]
+
+
+def model_scores(spark: SparkSession, d: str) -> DataFrame:
+    a = applicants(spark, d)
+    k, nk, bal = F.col("c_custkey"), F.col("c_nationkey"), F.col("c_acctbal")
+    seg = (F.col("c_mktsegment") == POSITIVE_SEGMENT).cast("double")
+    s1 = F.pmod(k * 7919, F.lit(1000)).cast("double") / 1000.0
+    s2 = (bal + 1000.0) / 11000.0
+    s3 = F.pmod(k * 104729 + nk, F.lit(997)).cast("double") / 997.0
+    s4 = seg * 0.3 + s1 * 0.7
+    s5 = seg * 0.5 + s3 * 0.5
+    return a.select("c_custkey", "TARGET", s1.alias("LGB"), s2.alias("XGB"), s3.alias("CGB"),
+                    s4.alias("ET"), s5.alias("RF"))
+
+
+SQL_SCORES = f"""SELECT c_custkey, TARGET,
+  CAST((c_custkey * 7919) % 1000 AS DOUBLE) / 1000.0::DOUBLE AS LGB,
+  (c_acctbal + 1000.0::DOUBLE) / 11000.0::DOUBLE AS XGB,
+  CAST((c_custkey * 104729 + c_nationkey) % 997 AS DOUBLE) / 997.0::DOUBLE AS CGB,
+  CAST(c_mktsegment = '{POSITIVE_SEGMENT}' AS DOUBLE) * 0.3::DOUBLE + CAST((c_custkey * 7919) % 1000 AS DOUBLE) / 1000.0::DOUBLE * 0.7::DOUBLE AS ET,
+  CAST(c_mktsegment = '{POSITIVE_SEGMENT}' AS DOUBLE) * 0.5::DOUBLE + CAST((c_custkey * 104729 + c_nationkey) % 997 AS DOUBLE) / 997.0::DOUBLE * 0.5::DOUBLE AS RF
+  FROM ({SQL_APPLICANTS})"""
+
+
+def order_wide(spark: SparkSession, d: str, n: int = 7) -> DataFrame:
+    """One row per order with its line quantities ``Q1..Qn`` and returned
+    flags ``R1..Rn`` by line number (missing lines are missing values)."""
+    li = scan_table(spark, d, "lineitem")
+    exprs = []
+    for i in range(1, n + 1):
+        hit = F.col("l_linenumber") == i
+        exprs.append(F.max(F.when(hit, F.col("l_quantity"))).alias(f"Q{i}"))
+    for i in range(1, n + 1):
+        hit = F.col("l_linenumber") == i
+        exprs.append(F.max(F.when(hit, (F.col("l_returnflag") == "R").cast("int"))).alias(f"R{i}"))
+    return li.groupBy("l_orderkey").agg(*exprs)
+
+
+def sql_order_wide(n: int = 7) -> str:
+    q = ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN l_quantity END) AS Q{i}" for i in range(1, n + 1))
+    r = ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN CAST(l_returnflag = 'R' AS INTEGER) END) AS R{i}"
+                  for i in range(1, n + 1))
+    return f"SELECT l_orderkey, {q}, {r} FROM lineitem GROUP BY l_orderkey"
