@@ -70,7 +70,7 @@ def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[
         run = [0] * len(weights)
         tot = [sum((r[w] or 0) for r in rs) for w in weights]
         for r in rs:
-            rows.append((*key, r["__b"], *run, *tot))
+            rows.append((*key, r["__b"], *[float(x) for x in run], *[float(x) for x in tot]))
             run = [a + (r[w] or 0) for a, w in zip(run, weights)]
     schema_parts = [counts.schema[p].simpleString().split(":", 1)[1] for p in parts]
     ddl = ", ".join([f"`{p}` {t}" for p, t in zip(parts, schema_parts)] + ["__b int"]
