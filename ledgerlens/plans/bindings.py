@@ -167,3 +167,27 @@ def sql_order_wide(n: int = 7) -> str:
     r = ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN CAST(l_returnflag = 'R' AS INTEGER) END) AS R{i}"
                   for i in range(1, n + 1))
     return f"SELECT l_orderkey, {q}, {r} FROM lineitem GROUP BY l_orderkey"
+
+
+IMPORTANCE_FEATURES = ["l_quantity", "DISC", "TAX", "Q_R", "LATE", "NONE_F"]
+
+
+def importance_long(spark: SparkSession, d: str, k: int = 5) -> DataFrame:
+    """``(feature, fold, importance)``: a per-fold importance table derived
+    from the balance lines (importance = distinct values of the feature in
+    the fold; ``NONE_F`` is never present, so its importance is 0)."""
+    from ..operators.folds import kfold_assign
+    x = lines_nulls(spark, d).withColumn(
+        "NONE_F", F.when(F.col("l_quantity") > 100, F.col("l_quantity")))
+    x = kfold_assign(x, "l_orderkey", k)
+    long = x.select("fold", *[F.col(c).cast("double").alias(c) for c in IMPORTANCE_FEATURES]) \
+        .unpivot(["fold"], IMPORTANCE_FEATURES, "feature", "value")
+    return long.groupBy("feature", "fold").agg(F.countDistinct("value").cast("double").alias("importance"))
+
+
+def sql_importance_long(k: int = 5) -> str:
+    cols = ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in IMPORTANCE_FEATURES)
+    return (f"SELECT feature, CAST(fold AS INTEGER) AS fold, CAST(count(DISTINCT value) AS DOUBLE) AS importance FROM "
+            f"(UNPIVOT (SELECT ('0x' || substr(md5(CAST(l_orderkey AS VARCHAR)), 1, 8))::BIGINT % {k} AS fold, {cols} "
+            f"FROM (SELECT *, CASE WHEN l_quantity > 100 THEN l_quantity END AS NONE_F FROM ({SQL_LINES_NULLS}))) "
+            f"ON {', '.join(IMPORTANCE_FEATURES)} INTO NAME feature VALUE value) GROUP BY feature, fold")

@@ -84,17 +84,20 @@ def write_submission(df: DataFrame, path: str) -> str:
     return path
 
 
-def parse_vector_line(lines: DataFrame, value_col: str = "value", sep: str = ",") -> DataFrame:
-    """A comma-joined line of floats -> ``(position, weight)`` rows."""
-    exploded = lines.select(F.posexplode(F.split(F.col(value_col), sep)).alias("position", "token"))
-    return exploded.select(F.col("position").cast("int"),
+def parse_vector_line(lines: DataFrame, value_col: str = "value", sep: str = ",",
+                      key_cols: Sequence[str] = ()) -> DataFrame:
+    """A comma-joined line of floats -> ``(key..., position, weight)`` rows
+    (position = 0-based index in the line)."""
+    exploded = lines.select(*key_cols, F.posexplode(F.split(F.col(value_col), sep)).alias("position", "token"))
+    return exploded.select(*key_cols, F.col("position").cast("int"),
                            F.trim("token").cast("double").alias("weight"))
 
 
-def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0) -> DataFrame:
-    """Deterministic sample of ``n`` rows: smallest hash of (key, seed)."""
-    h = F.xxhash64(F.col(key), F.lit(seed))
-    return df.withColumn("__h", h).orderBy("__h", key).limit(n).drop("__h")
+def sample_rows(df: DataFrame, n: int, key: str, salt: str = "") -> DataFrame:
+    """Deterministic sample of ``n`` rows: the smallest stable hashes of the
+    key (a distributed top-k, not a scan of everything on one task)."""
+    from ..operators.folds import stable_hash
+    return df.withColumn("__h", stable_hash(key, salt)).orderBy("__h", key).limit(n).drop("__h")
 
 
 def table_profile(tables: dict[str, DataFrame]) -> DataFrame:
