@@ -28,12 +28,12 @@ def query(name: str, sql: str | None = None):
 
 def rnd(c: Column | str, places: int = 6) -> Column:
     """Round a noisy double for the oracle comparison."""
-    return F.round((F.col(c) if isinstance(c, str) else c).cast("double"), places)
+    return F.round((F.col(f"`{c}`") if isinstance(c, str) else c).cast("double"), places)
 
 
 def round_columns(df: DataFrame, cols, places: int = 6) -> DataFrame:
     cols = set(cols)
-    return df.select(*[rnd(c, places).alias(c) if c in cols else F.col(c) for c in df.columns])
+    return df.select(*[rnd(c, places).alias(c) if c in cols else F.col(f"`{c}`") for c in df.columns])
 
 
 def sql_rnd(expr: str, alias: str, places: int = 6) -> str:
