@@ -119,11 +119,34 @@ def agg_exprs(spec: Spec, prefix: str = "", cond: Column | None = None, *,
     return out
 
 
+QUANTILES = {"median": 0.5, "first_quartile": 0.25, "third_quartile": 0.75}
+
+
 def agg_by(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "",
            exact: bool = True, extra: Sequence[Column] = (), keep_decimal: bool = False) -> DataFrame:
+    """One ``groupBy`` for the algebraic functions.  Exact quantiles and the
+    mode are holistic (they need every value of a group), so they come from
+    distributed side plans — value counts per (key, value) and prefix sums —
+    joined back on the key; no group is ever gathered in one task."""
+    from .rank import distributed_mode, exact_quantiles
     keys = [keys] if isinstance(keys, str) else list(keys)
-    return df.groupBy(*keys).agg(
-        *agg_exprs(spec, prefix, df=df, exact=exact, keep_decimal=keep_decimal), *extra)
+    items = spec_items(spec)
+    names = [f"{prefix}{c}_{f.upper()}" for c, fs in items for f in fs]
+    holistic = {"mode"} | (set(QUANTILES) if exact else set())
+    simple = [(c, [f for f in fs if f not in holistic]) for c, fs in items]
+    simple = [(c, fs) for c, fs in simple if fs]
+    exprs = [*agg_exprs(simple, prefix, df=df, exact=exact, keep_decimal=keep_decimal), *extra]
+    out = df.groupBy(*keys).agg(*(exprs or [F.count(F.lit(1)).alias("__rows")]))
+    for c, fs in items:
+        qs = [f for f in fs if f in QUANTILES and exact]
+        if qs:
+            q = exact_quantiles(df, c, [QUANTILES[f] for f in qs], keys,
+                                names=[f"{prefix}{c}_{f.upper()}" for f in qs])
+            out = out.join(q, keys, "left")
+        if "mode" in fs:
+            out = out.join(distributed_mode(df, keys, c, f"{prefix}{c}_MODE"), keys, "left")
+    extra_names = [c for c in out.columns if c not in keys and c not in names and c != "__rows"]
+    return out.select(*keys, *[F.col(f"`{n}`") for n in names], *extra_names)
 
 
 def agg_all_columns(df: DataFrame, keys: str | Sequence[str], funcs: Sequence[str],

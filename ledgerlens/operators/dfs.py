@@ -88,7 +88,9 @@ def _numeric(x: Column, prim: str, decimal: bool) -> Column:
 
 def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[str],
                      numeric_prims: Sequence[str], cat_prims: Sequence[str]) -> DataFrame:
+    from .rank import distributed_mode
     exprs = [F.count(F.lit(1)).alias(f"COUNT({child})")]
+    modes = []
     for f in child_df.schema.fields:
         if f.name in skip:
             continue
@@ -99,9 +101,23 @@ def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[
                 exprs.append(_numeric(c, p, dec).alias(f"{p}({child}.{f.name})"))
         elif isinstance(f.dataType, StringType):
             for p in cat_prims:
-                e = F.countDistinct(c) if p == "NUM_UNIQUE" else F.mode(c, deterministic=True)
-                exprs.append(e.alias(f"{p}({child}.{f.name})"))
-    return child_df.groupBy(F.col(child_key).alias("__fk")).agg(*exprs)
+                if p == "NUM_UNIQUE":
+                    exprs.append(F.countDistinct(c).alias(f"{p}({child}.{f.name})"))
+                else:
+                    modes.append(f.name)
+    out = child_df.groupBy(F.col(child_key).alias("__fk")).agg(*exprs)
+    names = [n for n in out.columns]
+    for m in modes:
+        src = child_df.select(F.col(child_key).alias("__fk"), F.col(f"`{m}`").alias("__m"))
+        out = out.join(distributed_mode(src, ["__fk"], "__m", f"MODE({child}.{m})"), "__fk", "left")
+    # primitive order per column as declared (NUM_UNIQUE before MODE)
+    ordered = ["__fk", f"COUNT({child})"]
+    for f in child_df.schema.fields:
+        for p in (*numeric_prims, *cat_prims):
+            n = f"{p}({child}.{f.name})"
+            if n in out.columns and n not in ordered:
+                ordered.append(n)
+    return out.select(*[F.col(f"`{n}`") for n in ordered + [c for c in names if c not in ordered]])
 
 
 def synthesize(es: EntitySet, target: str, max_depth: int = 2,

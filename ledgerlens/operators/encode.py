@@ -157,11 +157,15 @@ def category_stat_encode(df: DataFrame, category: str, value: str, out: str,
                          stat: str = "median", fit_on: DataFrame | None = None) -> DataFrame:
     """Per-category statistic of ``value`` mapped back onto every row
     (groupBy with map-side combine + a bounded broadcast join)."""
-    src = fit_on if fit_on is not None else df
+    src = (fit_on if fit_on is not None else df).where(F.col(category).isNotNull())
     v = F.col(value).cast("double")
-    e = {"median": F.percentile(v, F.lit(0.5)), "mean": F.avg(v), "max": F.max(v),
-         "min": F.min(v)}[stat]
-    table = src.where(F.col(category).isNotNull()).groupBy(category).agg(e.alias(out))
+    if stat == "median":
+        # exact and distributed: a category holding most rows is not one task
+        from .rank import exact_quantiles
+        table = exact_quantiles(src, value, [0.5], [category], names=[out])
+    else:
+        e = {"mean": F.avg(v), "max": F.max(v), "min": F.min(v)}[stat]
+        table = src.groupBy(category).agg(e.alias(out))
     return _lookup_join(df, table, category)
 
 

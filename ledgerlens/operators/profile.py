@@ -79,15 +79,15 @@ class RobustScale:
 def fit_robust_scale(df: DataFrame, columns: Sequence[str], exact: bool = True) -> RobustScale:
     """(x - median) / (q75 - q25); exact percentiles by default, approximate
     (``percentile_approx``) at scale."""
-    exprs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        if exact:
-            q = F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-        else:
-            q = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000))
-        exprs.append(q.alias(c))
-    v = _fit_scalars(df, exprs)
+    if exact:
+        from .rank import exact_quantiles
+        v = {}
+        for c in columns:
+            r = exact_quantiles(df, c, [0.25, 0.5, 0.75]).first()
+            v[c] = None if r is None or r[0] is None else [r[0], r[1], r[2]]
+    else:
+        v = _fit_scalars(df, [F.percentile_approx(F.col(c).cast("double"), F.array(
+            F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000)).alias(c) for c in columns])
     stats = {}
     for c in columns:
         q = v[c]
@@ -172,10 +172,18 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str], lower: float = 0.001,
     exprs = []
     for c in columns:
         x = F.col(c).cast("double")
-        q = (F.percentile(x, F.array(F.lit(lower), F.lit(upper))) if exact else
-             F.percentile_approx(x, F.array(F.lit(lower), F.lit(upper)), F.lit(10000)))
-        exprs += [q.alias(f"{c}__q"), F.countDistinct(x).alias(f"{c}__nd"), F.count(x).alias(f"{c}__n")]
+        if not exact:
+            exprs.append(F.percentile_approx(x, F.array(F.lit(lower), F.lit(upper)), F.lit(10000)).alias(f"{c}__q"))
+        exprs += [F.countDistinct(x).alias(f"{c}__nd"), F.count(x).alias(f"{c}__n")]
     v = _fit_scalars(df, exprs)
+    if exact:
+        from .rank import exact_quantiles
+        for c in columns:
+            if v[f"{c}__nd"] >= min_distinct and v[f"{c}__nd"] != v[f"{c}__n"]:
+                r = exact_quantiles(df, c, [lower, upper]).first()
+                v[f"{c}__q"] = [r[0], r[1]]
+            else:
+                v[f"{c}__q"] = None
     out = {}
     for c in columns:
         nd, n, q = v[f"{c}__nd"], v[f"{c}__n"], v[f"{c}__q"]

@@ -43,11 +43,15 @@ def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[
     """For each row add ``{w}_before`` (sum of ``w`` over rows of the same
     ``parts`` that sort strictly before it by ``order_cols``) and
     ``{w}_total`` (sum over the part).  Rows must be unique per
-    (parts, order_cols); the first order column must be numeric."""
-    spark = counts.sparkSession
+    (parts, order_cols); the first order column must be numeric.
+
+    Only the bucket split points reach the driver.  Bucket offsets are a
+    window over the per-(part, bucket) totals (at most ``max_buckets`` rows
+    per part), so any number of parts works and a hot part is spread over
+    all buckets."""
     parts, order_cols, weights = list(parts), list(order_cols), list(weights)
     first = order_cols[0]
-    # the collapsed table is read four times: materialise it once in the
+    # the collapsed table is read several times: materialise it once in the
     # shared checkpoint folder (reliable, cuts the lineage)
     counts = counts.checkpoint(eager=True)
     n = counts.count()
@@ -59,32 +63,65 @@ def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[
     else:
         bucket = F.lit(0)
     b = counts.withColumn("__b", bucket.cast("int"))
-    totals = b.groupBy(*parts, "__b").agg(*[F.sum(w).alias(w) for w in weights]).collect()
-    # driver side: cumulative offsets of the (few) buckets of every part
-    by_part: dict[tuple, list] = {}
-    for r in totals:
-        by_part.setdefault(tuple(r[p] for p in parts), []).append(r)
-    rows = []
-    for key, rs in by_part.items():
-        rs.sort(key=lambda r: r["__b"])
-        run = [0] * len(weights)
-        tot = [sum((r[w] or 0) for r in rs) for w in weights]
-        for r in rs:
-            rows.append((*key, r["__b"], *[float(x) for x in run], *[float(x) for x in tot]))
-            run = [a + (r[w] or 0) for a, w in zip(run, weights)]
-    schema_parts = [counts.schema[p].simpleString().split(":", 1)[1] for p in parts]
-    ddl = ", ".join([f"`{p}` {t}" for p, t in zip(parts, schema_parts)] + ["__b int"]
-                    + [f"`__off_{w}` double" for w in weights] + [f"`{w}_total` double" for w in weights])
-    offsets = spark.createDataFrame(rows, ddl)
+    totals = b.groupBy(*parts, "__b").agg(*[F.sum(w).alias(w) for w in weights])
+    before_b = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*parts)
+    offsets = totals.select(
+        *parts, "__b",
+        *[F.coalesce(F.sum(w).over(before_b), F.lit(0)).cast("double").alias(f"__off_{w}") for w in weights],
+        *[F.sum(w).over(whole).cast("double").alias(f"{w}_total") for w in weights])
+    if not parts:
+        offsets = F.broadcast(offsets)  # at most max_buckets rows
     win = (Window.partitionBy(*parts, "__b").orderBy(*order_cols)
            .rowsBetween(Window.unboundedPreceding, -1))
-    joined = b.join(F.broadcast(offsets), [*parts, "__b"])
-    out = joined.select(
+    joined = b.join(offsets, [*parts, "__b"])
+    return joined.select(
         *[F.col(c) for c in b.columns if c != "__b"],
         *[(F.col(f"__off_{w}") + F.coalesce(F.sum(w).over(win), F.lit(0))).alias(f"{w}_before")
           for w in weights],
         *[F.col(f"{w}_total") for w in weights])
-    return out
+
+
+def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
+                    groups: Sequence[str] = (), names: Sequence[str] | None = None, **kw) -> DataFrame:
+    """Exact percentiles with linear interpolation (the rule of Spark's
+    ``percentile``) per group, without holding a group's values in one
+    task: values are collapsed to (group, value, count), positioned with
+    distributed prefix sums, and only the rows at the wanted positions are
+    aggregated."""
+    groups = list(groups)
+    names = list(names) if names is not None else [f"q{i}" for i in range(len(probs))]
+    v = (F.col(value) if isinstance(value, str) else value).cast("double")
+    counts = (df.where(v.isNotNull()).groupBy(*groups, v.alias("__v"))
+              .agg(F.count(F.lit(1)).alias("__cnt")))
+    ps = prefix_sums(counts, ["__v"], ["__cnt"], groups, **kw)
+    before, cnt, total = F.col("__cnt_before"), F.col("__cnt"), F.col("__cnt_total")
+
+    def holds(i: Column) -> Column:
+        return (before <= i) & (i < before + cnt)
+
+    exprs, finals = [], []
+    for j, p in enumerate(probs):
+        pos = (total - 1) * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        exprs += [F.max(F.when(holds(lo), F.col("__v"))).alias(f"__lo{j}"),
+                  F.max(F.when(holds(hi), F.col("__v"))).alias(f"__hi{j}"),
+                  F.max(pos).alias(f"__pos{j}")]
+        lv, hv, ps_ = F.col(f"__lo{j}"), F.col(f"__hi{j}"), F.col(f"__pos{j}")
+        finals.append(F.when((F.floor(ps_) == F.ceil(ps_)) | (lv == hv), lv)
+                      .otherwise((F.ceil(ps_) - ps_) * lv + (ps_ - F.floor(ps_)) * hv).alias(names[j]))
+    agg = ps.groupBy(*groups).agg(*exprs) if groups else ps.agg(*exprs)
+    return agg.select(*groups, *finals)
+
+
+def distributed_mode(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
+    """Most frequent non-null value per key, ties to the smallest value:
+    (key, value) counts, then ``min_by`` per key — both with partial
+    aggregation, so a hot key never gathers its values in one task."""
+    keys = list(keys)
+    c = (df.where(F.col(value).isNotNull()).groupBy(*keys, value)
+         .agg(F.count(F.lit(1)).alias("__n")))
+    return c.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col("__n"), F.col(value))).alias(out))
 
 
 def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], n_rows: int) -> DataFrame:

@@ -122,6 +122,16 @@ def _noisy(name):
     return bool(m) and m.group(2) == "MEAN"
 
 
+def _places(name):
+    """Rounding of noisy outputs by magnitude: money-sized values keep 4
+    places, skewness (small, and exactly k/2**m for some integer samples) 9."""
+    if "AMT_" in name:
+        return 4
+    if name.startswith("SKEW(") or "SKEW(" in name:
+        return 9
+    return 6
+
+
 def dfs_sql(depth):
     ctes = {"a": B.SQL_APPLICANTS, "l": B.SQL_LOANS, "x": B.SQL_LINES, "v": B.SQL_ACTIVITY}
     top, cols = _sql_build("customers", depth, ctes, [0])
@@ -131,7 +141,7 @@ def dfs_sql(depth):
         if kind == "dec":
             sel.append(f"CAST({q} AS DOUBLE) AS {q}")
         elif _noisy(n):
-            sel.append(f"round(CAST({q} AS DOUBLE), 6) AS {q}")
+            sel.append(f"round(CAST({q} AS DOUBLE), {_places(n)}) AS {q}")
         else:
             sel.append(q)
     return B.with_ctes(f"SELECT {', '.join(sel)} FROM {top}", **ctes)
@@ -140,7 +150,9 @@ def dfs_sql(depth):
 def _dfs(spark, d, depth):
     out = synthesize(entity_set(spark, d), "customers", max_depth=depth,
                      numeric_prims=NUMERIC_PRIMITIVES, cat_prims=CATEGORICAL_PRIMITIVES)
-    return round_columns(out, [c for c in out.columns if _noisy(c)], 6)
+    for places in (4, 6, 9):
+        out = round_columns(out, [c for c in out.columns if _noisy(c) and _places(c) == places], places)
+    return out
 
 
 @query("dfs_depth1", dfs_sql(1))
