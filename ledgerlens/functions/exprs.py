@@ -88,7 +88,7 @@ def fixed_width_bucket(x: ColumnOrName, start: float, width: float, k: int,
     missing value maps to (the income variant maps it to ``str(k)``)."""
     c = col(x).cast("double")
     idx = F.floor((c - F.lit(float(start))) / F.lit(float(width))) + F.lit(1)
-    idx = F.least(F.greatest(idx, F.lit(0)), F.lit(k))
+    idx = F.when(c.isNotNull(), F.least(F.greatest(idx, F.lit(0)), F.lit(k)))  # least/greatest skip NULL
     label = idx.cast("bigint").cast("string")
     if null_label is None:
         return label

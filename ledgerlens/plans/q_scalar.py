@@ -79,7 +79,8 @@ def clip_column(spark, d):
 
 
 def _fwb_sql(x, s, w, k, null_label=None):
-    e = f"CAST(CAST(least(greatest(floor((CAST({x} AS DOUBLE) - {s}) / {w}) + 1, 0), {k}) AS BIGINT) AS VARCHAR)"
+    e = (f"CASE WHEN {x} IS NOT NULL THEN CAST(CAST(least(greatest(floor((CAST({x} AS DOUBLE) - {s}) / {w}) + 1, 0), {k}) "
+         f"AS BIGINT) AS VARCHAR) END")
     return f"coalesce({e}, '{null_label}')" if null_label is not None else e
 
 
