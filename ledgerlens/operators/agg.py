@@ -173,21 +173,31 @@ def conditional_agg(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix
 def two_level_weighted_agg(df: DataFrame, root_key: str, mid_key: str, spec: Spec,
                            funcs2: Sequence[str], prefix: str,
                            count_name: str | None = None, exact: bool = True,
-                           drop: Sequence[str] = ()) -> DataFrame:
-    """Aggregate detail rows per (mid, root), then per root with every mid
+                           drop: Sequence[str] = (), mid_parent: DataFrame | None = None) -> DataFrame:
+    """Aggregate detail rows per mid key, then per root with every mid
     weighted by its number of detail rows.
 
     This equals merging the mid-level aggregate back onto every detail row
     and aggregating that per root, without materialising the fan-out:
     mean = sum(n*v)/sum(n over non-null v); max/min ignore the weight;
-    sum = sum(n*v); size = sum(n)."""
-    lvl1 = agg_by(df, [mid_key, root_key], spec, prefix, exact=exact,
-                  extra=[F.count(F.lit(1)).alias("__n")], keep_decimal=True)
+    sum = sum(n*v); size = sum(n).
+
+    When the detail rows do not carry the root key, ``mid_parent`` (a
+    ``(mid_key, root_key)`` table) is joined *after* the first level, so the
+    join sees one partially aggregated row per mid key instead of every
+    detail row."""
+    if mid_parent is None:
+        lvl1 = agg_by(df, [mid_key, root_key], spec, prefix, exact=exact,
+                      extra=[F.count(F.lit(1)).alias("__n")], keep_decimal=True)
+    else:
+        lvl1 = agg_by(df, [mid_key], spec, prefix, exact=exact,
+                      extra=[F.count(F.lit(1)).alias("__n")], keep_decimal=True)
+        lvl1 = lvl1.join(mid_parent.select(mid_key, root_key), mid_key)
     feats = [c for c in lvl1.columns if c not in (mid_key, root_key, "__n") and c not in drop]
     n = F.col("__n")
     exprs = []
     for c in feats:
-        v = F.col(c)
+        v = F.col(f"`{c}`")
         if not isinstance(lvl1.schema[c].dataType, DecimalType):
             v = v.cast("double")
         for f in funcs2:

@@ -88,7 +88,6 @@ def _numeric(x: Column, prim: str, decimal: bool) -> Column:
 
 def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[str],
                      numeric_prims: Sequence[str], cat_prims: Sequence[str]) -> DataFrame:
-    from .rank import distributed_mode
     exprs = [F.count(F.lit(1)).alias(f"COUNT({child})")]
     modes = []
     for f in child_df.schema.fields:
@@ -100,16 +99,25 @@ def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[
             for p in numeric_prims:
                 exprs.append(_numeric(c, p, dec).alias(f"{p}({child}.{f.name})"))
         elif isinstance(f.dataType, StringType):
-            for p in cat_prims:
-                if p == "NUM_UNIQUE":
-                    exprs.append(F.countDistinct(c).alias(f"{p}({child}.{f.name})"))
-                else:
-                    modes.append(f.name)
+            if cat_prims:
+                modes.append(f.name)
     out = child_df.groupBy(F.col(child_key).alias("__fk")).agg(*exprs)
     names = [n for n in out.columns]
     for m in modes:
-        src = child_df.select(F.col(child_key).alias("__fk"), F.col(f"`{m}`").alias("__m"))
-        out = out.join(distributed_mode(src, ["__fk"], "__m", f"MODE({child}.{m})"), "__fk", "left")
+        # NUM_UNIQUE and MODE from one (key, value, count) side plan: no
+        # Expand of the wide aggregate, no group gathered in one task
+        counts = (child_df.where(F.col(f"`{m}`").isNotNull())
+                  .groupBy(F.col(child_key).alias("__fk"), F.col(f"`{m}`").alias("__m"))
+                  .agg(F.count(F.lit(1)).alias("__n")))
+        side = []
+        if "NUM_UNIQUE" in cat_prims:
+            side.append(F.count(F.lit(1)).alias(f"NUM_UNIQUE({child}.{m})"))
+        if "MODE" in cat_prims:
+            side.append(F.min_by(F.col("__m"), F.struct(-F.col("__n"), F.col("__m"))).alias(f"MODE({child}.{m})"))
+        out = out.join(counts.groupBy("__fk").agg(*side), "__fk", "left")
+        if "NUM_UNIQUE" in cat_prims:
+            out = out.withColumn(f"NUM_UNIQUE({child}.{m})",
+                                 F.coalesce(F.col(f"`NUM_UNIQUE({child}.{m})`"), F.lit(0)))
     # primitive order per column as declared (NUM_UNIQUE before MODE)
     ordered = ["__fk", f"COUNT({child})"]
     for f in child_df.schema.fields:

@@ -63,11 +63,11 @@ SQL_LOANS = f"""SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
   FROM orders"""
 
 
-def lines(spark: SparkSession, d: str) -> DataFrame:
+def balance_lines(spark: SparkSession, d: str) -> DataFrame:
+    """Balance lines keyed by their loan only (no root key)."""
     li = scan_table(spark, d, "lineitem")
-    o = scan_table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    return li.join(o, li.l_orderkey == o.o_orderkey).select(
-        "l_orderkey", "o_custkey", "l_linenumber",
+    return li.select(
+        "l_orderkey", "l_linenumber",
         (-F.col("l_linenumber")).alias("MONTHS_BALANCE"),
         "l_quantity",
         F.col("l_extendedprice").cast("decimal(18,2)").alias("AMT_EXT"),
@@ -75,6 +75,18 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
         F.datediff(F.to_date("l_shipdate"), F.lit(ANCHOR_DATE).cast("date")).alias("DAYS_SHIP"))
 
 
+def loan_owner(spark: SparkSession, d: str) -> DataFrame:
+    """``(l_orderkey, o_custkey)``: which applicant a loan belongs to."""
+    return scan_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+
+
+def lines(spark: SparkSession, d: str) -> DataFrame:
+    """Balance lines with the root key attached (join on the loan key)."""
+    bl = balance_lines(spark, d)
+    return bl.join(loan_owner(spark, d), "l_orderkey").select(
+        "l_orderkey", "o_custkey", *[c for c in bl.columns if c != "l_orderkey"])
+
+
 SQL_LINES = f"""SELECT l_orderkey, o_custkey, l_linenumber, -l_linenumber AS MONTHS_BALANCE,
   l_quantity, CAST(l_extendedprice AS DECIMAL(18,2)) AS AMT_EXT, l_discount, l_tax,
   l_returnflag, l_linestatus,

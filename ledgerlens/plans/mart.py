@@ -68,14 +68,13 @@ def loan_features(loans: DataFrame, vocab: OneHotModel) -> DataFrame:
     return src.groupBy(F.col("o_custkey").alias(KEY)).agg(*exprs)
 
 
-def line_features(lines: DataFrame, vocab: OneHotModel) -> DataFrame:
-    # dummy columns are level-1 means; the rest follow LINE_SPEC
-    dummies = lines.select("l_orderkey", "o_custkey", *[c for c, _ in LINE_SPEC],
-                           *[e.cast("decimal(10,0)").alias(n) for e, n in
-                             zip(vocab.dummy_exprs(), vocab.names)])
+def line_features(lines: DataFrame, vocab: OneHotModel, owner: DataFrame) -> DataFrame:
+    """Per loan, then per applicant (row-weighted).  The lines carry only the
+    loan key; the applicant key is joined onto the per-loan rows."""
+    dummies = lines.select("l_orderkey", *[c for c, _ in LINE_SPEC], *vocab.dummy_exprs())
     spec = LINE_SPEC + [(n, ["sum"]) for n in vocab.names]
     out = A.two_level_weighted_agg(dummies, "o_custkey", "l_orderkey", spec, ["mean", "max"],
-                                   "POS_", count_name="POS_COUNT")
+                                   "POS_", count_name="POS_COUNT", mid_parent=owner)
     return out.withColumnRenamed("o_custkey", KEY)
 
 
@@ -97,10 +96,10 @@ def root_features(applicants: DataFrame) -> DataFrame:
 
 def build(spark: SparkSession, d: str, model: MartModel | None = None) -> DataFrame:
     app = B.applicants(spark, d)
-    loans, lines, activity = B.loans(spark, d), B.lines(spark, d), B.activity(spark, d)
+    loans, lines, activity = B.loans(spark, d), B.balance_lines(spark, d), B.activity(spark, d)
     model = model or fit(loans, lines, activity)
     mart = (root_features(app)
             .join(loan_features(loans, model.loan_vocab), KEY, "left")
-            .join(line_features(lines, model.line_vocab), KEY, "left")
+            .join(line_features(lines, model.line_vocab, B.loan_owner(spark, d)), KEY, "left")
             .join(activity_features(activity, model.activity_vocab), KEY, "left"))
     return mart.withColumn("HAS_NO_ACTIVITY", F.col("EVT_COUNT").isNull().cast("int"))

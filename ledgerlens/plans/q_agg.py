@@ -111,7 +111,7 @@ def _pos_dummy_sql():
 @query("agg_spec_pos", W(f"SELECT l_orderkey, {sql_spec(POS_SPEC, 'POS_')}, {_pos_dummy_sql()} FROM x GROUP BY l_orderkey",
                          x=B.SQL_LINES))
 def agg_spec_pos(spark, d):
-    li = B.lines(spark, d)
+    li = B.balance_lines(spark, d)
     vocab = fit_one_hot(li, ["l_returnflag"], nan_column=True)
     return li.groupBy("l_orderkey").agg(*A.agg_exprs(POS_SPEC, "POS_", df=li),
                                         *vocab.agg_exprs(["max", "mean", "sum"], "POS_"))
@@ -140,7 +140,7 @@ CC_ROUND = {f"CC_{c}_{f}": 6 for c in ("l_discount", "l_tax") for f in ("MEAN",
 @query("agg_all_columns", W(f"SELECT l_orderkey, {sql_spec(A.spec_for(CC_COLS, CC_FUNCS), 'CC_', ['AMT_EXT'], rounding=CC_ROUND)} "
                             "FROM x GROUP BY l_orderkey", x=B.SQL_LINES))
 def agg_all_columns(spark, d):
-    li = B.lines(spark, d).select("l_orderkey", *CC_COLS)
+    li = B.balance_lines(spark, d).select("l_orderkey", *CC_COLS)
     return _round_spark(A.agg_all_columns(li, "l_orderkey", CC_FUNCS, "CC_"), CC_ROUND)
 
 
@@ -201,8 +201,9 @@ FROM x JOIN lvl1 USING (l_orderkey, o_custkey) GROUP BY o_custkey""", x=B.SQL_LI
 
 @query("two_level_weighted_agg", _tl_sql())
 def two_level_weighted_agg(spark, d):
-    out = A.two_level_weighted_agg(B.lines(spark, d), "o_custkey", "l_orderkey", TL_SPEC,
-                                   ["mean", "max", "min"], "POS_", count_name="POS_COUNT")
+    out = A.two_level_weighted_agg(B.balance_lines(spark, d), "o_custkey", "l_orderkey", TL_SPEC,
+                                   ["mean", "max", "min"], "POS_", count_name="POS_COUNT",
+                                   mid_parent=B.loan_owner(spark, d))
     return round_columns(out, [f"POS_{n}_MEAN" for n in TL_FEATS if n != "POS_AMT_EXT_SUM"], 6)
 
 
@@ -226,7 +227,7 @@ FROM l LEFT JOIN lvl1 ON o_orderkey = l_orderkey GROUP BY o_custkey""", x=B.SQL_
 
 @query("two_level_agg", _two_level_sql())
 def two_level_agg(spark, d):
-    lines = B.lines(spark, d).withColumn("RETURNED", (F.col("l_returnflag") == "R").cast("double"))
+    lines = B.balance_lines(spark, d).withColumn("RETURNED", (F.col("l_returnflag") == "R").cast("double"))
     loans = B.loans(spark, d).withColumnRenamed("o_orderkey", "l_orderkey")
     out = A.two_level_agg(loans, lines, "l_orderkey", "o_custkey", BB_SPEC,
                           lambda feats: [(f, ["mean", "max"]) for f in feats] + [("AMT_PRICE", ["sum"])],
