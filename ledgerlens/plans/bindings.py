@@ -4,8 +4,8 @@
 role               test binding
 =================  ==========================================================
 applicant (root)   ``customer`` joined to ``nation``; ``TARGET`` is NULL for
-                   the "unlabelled" rows ``c_custkey % 5 = 4``, else
-                   ``c_mktsegment = 'BUILDING'``
+                   the "unlabelled" applicants (negative balance: no outcome
+                   yet), else ``c_mktsegment = 'BUILDING'``
 loan (child, PK)   ``orders``: status F/O/P gives the approved/refused/
                    active subsets, ``DAYS_DECISION`` a negative day offset
 balance line       ``lineitem`` with the root key attached from ``orders``;
@@ -28,15 +28,14 @@ from ..sources.io import bounded_broadcast, scan_table
 
 # Fixed values of the bindings (must be equal on the Spark and SQL side).
 ANCHOR_DATE = "2001-08-02"
-UNLABELLED_MOD = 5
-UNLABELLED_REM = 4
+UNLABELLED_BALANCE_BELOW = 0
 POSITIVE_SEGMENT = "BUILDING"
 
 
 def applicants(spark: SparkSession, d: str) -> DataFrame:
     c = scan_table(spark, d, "customer")
     n = scan_table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
-    target = (F.when(F.col("c_custkey") % UNLABELLED_MOD == UNLABELLED_REM, F.lit(None))
+    target = (F.when(F.col("c_acctbal") < UNLABELLED_BALANCE_BELOW, F.lit(None))
               .otherwise((F.col("c_mktsegment") == POSITIVE_SEGMENT).cast("int")))
     return (c.join(bounded_broadcast(n, 10_000), c.c_nationkey == n.n_nationkey)
             .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "n_name",
@@ -44,7 +43,7 @@ def applicants(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL_APPLICANTS = f"""SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, n_name, n_regionkey,
-  CASE WHEN c_custkey % {UNLABELLED_MOD} = {UNLABELLED_REM} THEN NULL
+  CASE WHEN c_acctbal < {UNLABELLED_BALANCE_BELOW} THEN NULL
        ELSE CAST(c_mktsegment = '{POSITIVE_SEGMENT}' AS INTEGER) END AS TARGET
   FROM customer JOIN nation ON c_nationkey = n_nationkey"""
 
@@ -171,6 +170,7 @@ def order_wide(spark: SparkSession, d: str, n: int = 7) -> DataFrame:
     for i in range(1, n + 1):
         hit = F.col("l_linenumber") == i
         exprs.append(F.max(F.when(hit, (F.col("l_returnflag") == "R").cast("int"))).alias(f"R{i}"))
+    exprs.append(F.min(F.year("l_shipdate")).alias("SHIP_YEAR"))
     return li.groupBy("l_orderkey").agg(*exprs)
 
 
@@ -178,7 +178,7 @@ def sql_order_wide(n: int = 7) -> str:
     q = ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN l_quantity END) AS Q{i}" for i in range(1, n + 1))
     r = ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN CAST(l_returnflag = 'R' AS INTEGER) END) AS R{i}"
                   for i in range(1, n + 1))
-    return f"SELECT l_orderkey, {q}, {r} FROM lineitem GROUP BY l_orderkey"
+    return f"SELECT l_orderkey, {q}, {r}, min(year(l_shipdate)) AS SHIP_YEAR FROM lineitem GROUP BY l_orderkey"
 
 
 IMPORTANCE_FEATURES = ["l_quantity", "DISC", "TAX", "Q_R", "LATE", "NONE_F"]

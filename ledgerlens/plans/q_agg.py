@@ -270,18 +270,21 @@ def agg_mode(spark, d):
 
 QS = [f"Q{i}" for i in range(1, 8)]
 OW = {"w": B.sql_order_wide()}
-TRAIN = "l_orderkey % 5 <> 4"
+# temporal split: statistics are fitted on loans first shipped before the
+# cut-off year and applied to every loan
+TRAIN_BEFORE_YEAR = 1999
+TRAIN = f"SHIP_YEAR < {TRAIN_BEFORE_YEAR}"
 
 
 def _train(df):
-    return df.where(F.col("l_orderkey") % 5 != 4)
+    return df.where(F.col("SHIP_YEAR") < TRAIN_BEFORE_YEAR)
 
 
 @query("impute_mean", W("SELECT l_orderkey, " + ", ".join(
     f"coalesce({q}, (SELECT avg({q}) FROM w WHERE {TRAIN})) AS {q}" for q in QS) + " FROM w", **OW))
 def impute_mean(spark, d):
-    w = B.order_wide(spark, d).select("l_orderkey", *QS)
-    return P.fit_mean_imputer(_train(w), QS).transform(w)
+    w = B.order_wide(spark, d).select("l_orderkey", "SHIP_YEAR", *QS)
+    return P.fit_mean_imputer(_train(w), QS).transform(w).drop("SHIP_YEAR")
 
 
 ZQ = ["Q1", "Q2", "Q3"]
@@ -291,16 +294,16 @@ ZQ = ["Q1", "Q2", "Q3"]
     f"round(({q} - (SELECT avg({q}) FROM w WHERE {TRAIN})) / NULLIF((SELECT stddev_pop({q}) FROM w WHERE {TRAIN}), 0), 8) AS {q}"
     for q in ZQ) + " FROM w", **OW))
 def zscore_train_apply(spark, d):
-    w = B.order_wide(spark, d).select("l_orderkey", *ZQ)
-    return round_columns(P.fit_zscore(_train(w), ZQ).transform(w), ZQ, 8)
+    w = B.order_wide(spark, d).select("l_orderkey", "SHIP_YEAR", *ZQ)
+    return round_columns(P.fit_zscore(_train(w), ZQ).transform(w).drop("SHIP_YEAR"), ZQ, 8)
 
 
 @query("robust_scale", W("SELECT l_orderkey, " + ", ".join(
     f"round(({q} - (SELECT quantile_cont({q}, 0.5) FROM w WHERE {TRAIN})) / NULLIF((SELECT quantile_cont({q}, 0.75) - quantile_cont({q}, 0.25) FROM w WHERE {TRAIN}), 0), 8) AS {q}"
     for q in ZQ) + " FROM w", **OW))
 def robust_scale(spark, d):
-    w = B.order_wide(spark, d).select("l_orderkey", *ZQ)
-    return round_columns(P.fit_robust_scale(_train(w), ZQ).transform(w), ZQ, 8)
+    w = B.order_wide(spark, d).select("l_orderkey", "SHIP_YEAR", *ZQ)
+    return round_columns(P.fit_robust_scale(_train(w), ZQ).transform(w).drop("SHIP_YEAR"), ZQ, 8)
 
 
 def _rank_corr_sql():

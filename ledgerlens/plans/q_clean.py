@@ -63,8 +63,8 @@ def drop_sparse_columns(spark, d):
 
 
 _NC = {
-    "X_TEST_ONLY": "CASE WHEN TARGET IS NULL AND c_acctbal < 0 THEN NULL ELSE c_acctbal END",
-    "X_BOTH": "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_nationkey END",
+    "X_TEST_ONLY": "CASE WHEN TARGET IS NULL AND c_acctbal < -500 THEN NULL ELSE c_acctbal END",
+    "X_BOTH": "CASE WHEN c_acctbal < 500 THEN NULL ELSE c_nationkey END",
     "c_acctbal": "c_acctbal",
 }
 
@@ -77,9 +77,9 @@ _NC = {
     a=B.SQL_APPLICANTS, x="SELECT TARGET, " + ", ".join(f"{v} AS {k}" for k, v in _NC.items()) + " FROM a"))
 def null_compat_columns(spark, d):
     a = B.applicants(spark, d)
-    x = a.select("TARGET", F.when(F.col("TARGET").isNull() & (F.col("c_acctbal") < 0), None)
+    x = a.select("TARGET", F.when(F.col("TARGET").isNull() & (F.col("c_acctbal") < -500), None)
                  .otherwise(F.col("c_acctbal")).alias("X_TEST_ONLY"),
-                 F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_nationkey")).alias("X_BOTH"),
+                 F.when(F.col("c_acctbal") < 500, None).otherwise(F.col("c_nationkey")).alias("X_BOTH"),
                  "c_acctbal")
     train, test = C.split_labelled(x)
     return C.null_compat_profile(train, test, columns=list(_NC))

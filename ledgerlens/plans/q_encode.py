@@ -115,7 +115,7 @@ def crosstab_pivot(spark, d):
 
 
 _EVT_SUM = "(SELECT c_custkey, sum(value) AS EVT_SUM FROM (SELECT user_id AS c_custkey, value FROM events) GROUP BY 1)"
-_LIFT_COLS = {"EVT_SUM": "EVT_SUM", "BAL_POS": "CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END",
+_LIFT_COLS = {"EVT_SUM": "EVT_SUM", "BAL_POS": "CASE WHEN c_acctbal < 2000 THEN NULL ELSE c_acctbal END",
               "c_acctbal": "c_acctbal"}
 
 
@@ -138,7 +138,7 @@ def missing_target_lift(spark, d):
     ev = scan_table(spark, d, "events").groupBy(F.col("user_id").alias("c_custkey")).agg(
         F.sum("value").alias("EVT_SUM"))
     x = a.join(ev, "c_custkey", "left").select(
-        "TARGET", "EVT_SUM", F.when(F.col("c_acctbal") < 0, None).otherwise(F.col("c_acctbal")).alias("BAL_POS"),
+        "TARGET", "EVT_SUM", F.when(F.col("c_acctbal") < 2000, None).otherwise(F.col("c_acctbal")).alias("BAL_POS"),
         "c_acctbal")
     return P.missing_target_lift(x, list(_LIFT_COLS))
 
