@@ -137,12 +137,18 @@ def agg_by(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "
     simple = [(c, fs) for c, fs in simple if fs]
     exprs = [*agg_exprs(simple, prefix, df=df, exact=exact, keep_decimal=keep_decimal), *extra]
     out = df.groupBy(*keys).agg(*(exprs or [F.count(F.lit(1)).alias("__rows")]))
+    wanted = [(c, f) for c, fs in items for f in fs if f in QUANTILES and exact]
+    if wanted:
+        # every exact quantile of the spec in one pass, pivoted back per key
+        from .rank import multi_quantiles
+        probs = sorted({QUANTILES[f] for _, f in wanted})
+        cols = list(dict.fromkeys(c for c, _ in wanted))
+        q = multi_quantiles(df, cols, probs, keys)
+        back = q.groupBy(*keys).agg(*[
+            F.max(F.when(F.col("column_name") == c, F.col(f"q{probs.index(QUANTILES[f])}")))
+            .alias(f"{prefix}{c}_{f.upper()}") for c, f in wanted])
+        out = out.join(back, keys, "left")
     for c, fs in items:
-        qs = [f for f in fs if f in QUANTILES and exact]
-        if qs:
-            q = exact_quantiles(df, c, [QUANTILES[f] for f in qs], keys,
-                                names=[f"{prefix}{c}_{f.upper()}" for f in qs])
-            out = out.join(q, keys, "left")
         if "mode" in fs:
             out = out.join(distributed_mode(df, keys, c, f"{prefix}{c}_MODE"), keys, "left")
     extra_names = [c for c in out.columns if c not in keys and c not in names and c != "__rows"]

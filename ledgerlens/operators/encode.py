@@ -125,8 +125,13 @@ def align_columns(df: DataFrame, reference_columns: Sequence[str], fill=0) -> Da
     return df.select(*[F.col(c) if c in have else F.lit(fill).alias(c) for c in reference_columns])
 
 
-def _lookup_join(df: DataFrame, table: DataFrame, key: str, max_rows: int = MAX_LEVELS) -> DataFrame:
-    return df.join(bounded_broadcast(table, max_rows), key, "left")
+def _lookup_join(df: DataFrame, table: DataFrame, key: str, max_rows: int = MAX_LEVELS,
+                 check: bool = False) -> DataFrame:
+    """Left join of a per-level lookup table.  With ``check`` the table is
+    counted and broadcast when it has at most ``max_rows`` rows; otherwise
+    the join is planned as a shuffle join that AQE turns into a broadcast
+    only after measuring the table at run time."""
+    return df.join(bounded_broadcast(table, max_rows) if check else table, key, "left")
 
 
 def factorize(df: DataFrame, column: str, order_col: str, out: str | None = None) -> DataFrame:

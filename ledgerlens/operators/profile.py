@@ -80,11 +80,10 @@ def fit_robust_scale(df: DataFrame, columns: Sequence[str], exact: bool = True)
     """(x - median) / (q75 - q25); exact percentiles by default, approximate
     (``percentile_approx``) at scale."""
     if exact:
-        from .rank import exact_quantiles
-        v = {}
-        for c in columns:
-            r = exact_quantiles(df, c, [0.25, 0.5, 0.75]).first()
-            v[c] = None if r is None or r[0] is None else [r[0], r[1], r[2]]
+        from .rank import multi_quantiles
+        v = {c: None for c in columns}
+        for r in multi_quantiles(df, columns, [0.25, 0.5, 0.75]).collect():  # one row per column
+            v[r["column_name"]] = None if r["q0"] is None else [r["q0"], r["q1"], r["q2"]]
     else:
         v = _fit_scalars(df, [F.percentile_approx(F.col(c).cast("double"), F.array(
             F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000)).alias(c) for c in columns])
@@ -177,13 +176,13 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str], lower: float = 0.001,
         exprs += [F.countDistinct(x).alias(f"{c}__nd"), F.count(x).alias(f"{c}__n")]
     v = _fit_scalars(df, exprs)
     if exact:
-        from .rank import exact_quantiles
+        from .rank import multi_quantiles
+        eligible = [c for c in columns if v[f"{c}__nd"] >= min_distinct and v[f"{c}__nd"] != v[f"{c}__n"]]
         for c in columns:
-            if v[f"{c}__nd"] >= min_distinct and v[f"{c}__nd"] != v[f"{c}__n"]:
-                r = exact_quantiles(df, c, [lower, upper]).first()
-                v[f"{c}__q"] = [r[0], r[1]]
-            else:
-                v[f"{c}__q"] = None
+            v[f"{c}__q"] = None
+        if eligible:
+            for r in multi_quantiles(df, eligible, [lower, upper]).collect():  # one row per column
+                v[f"{r['column_name']}__q"] = [r["q0"], r["q1"]]
     out = {}
     for c in columns:
         nd, n, q = v[f"{c}__nd"], v[f"{c}__n"], v[f"{c}__q"]

@@ -49,10 +49,12 @@ def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[
     window over the per-(part, bucket) totals (at most ``max_buckets`` rows
     per part), so any number of parts works and a hot part is spread over
     all buckets."""
+    from ..session import shared_dir
     parts, order_cols, weights = list(parts), list(order_cols), list(weights)
     first = order_cols[0]
     # the collapsed table is read several times: materialise it once in the
     # shared checkpoint folder (reliable, cuts the lineage)
+    shared_dir(counts.sparkSession)
     counts = counts.checkpoint(eager=True)
     n = counts.count()
     n_buckets = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
@@ -114,6 +116,18 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
     return agg.select(*groups, *finals)
 
 
+def multi_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
+                    groups: Sequence[str] = (), **kw) -> DataFrame:
+    """Exact quantiles of several columns in one distributed pass: the
+    columns are unpivoted to ``(groups, column_name, value)`` and the column
+    name becomes part of the group.  Returns ``(groups, column_name, q0..)``."""
+    groups = list(groups)
+    long = df.select(*groups, F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").cast("double").alias("__x"))
+        for c in columns])).alias("__s")).select(*groups, "__s.column_name", "__s.__x")
+    return exact_quantiles(long, "__x", probs, [*groups, "column_name"], **kw)
+
+
 def distributed_mode(df: DataFrame, keys: Sequence[str], value: str, out: str) -> DataFrame:
     """Most frequent non-null value per key, ties to the smallest value:
     (key, value) counts, then ``min_by`` per key — both with partial

@@ -20,6 +20,8 @@ def _training_table(spark, d):
     """The applicant mart, materialised once in the shared checkpoint folder
     (every fold, trial and fit step then reads it instead of re-planning the
     joins)."""
+    from ..session import shared_dir
+    shared_dir(spark)
     return M.build(spark, d).checkpoint(eager=True)
 
 
