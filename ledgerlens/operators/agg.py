@@ -102,6 +102,8 @@ def agg_exprs(spec: Spec, prefix: str = "", cond: Column | None = None, *,
     name = name or (lambda p, c, f: f"{p}{c}_{f.upper()}")
     out = []
     present = F.count_if(cond) if cond is not None else None
+    decimals = ({f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)}
+                if df is not None else set())  # one schema resolution for the whole spec
     for c, funcs in spec_items(spec):
         base = F.col(c)
         x = F.when(cond, base) if cond is not None else base
@@ -109,7 +111,7 @@ def agg_exprs(spec: Spec, prefix: str = "", cond: Column | None = None, *,
             if f == "size":
                 e = present if cond is not None else F.count(F.lit(1))
             else:
-                dec = _is_decimal(df, c)
+                dec = c in decimals
                 e = agg_column(f, x, decimal=dec, exact=exact)
                 if dec and f in ("sum", "min", "max") and not keep_decimal:
                     e = e.cast("double")
@@ -143,7 +145,7 @@ def agg_by(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "
         from .rank import multi_quantiles
         probs = sorted({QUANTILES[f] for _, f in wanted})
         cols = list(dict.fromkeys(c for c, _ in wanted))
-        q = multi_quantiles(df, cols, probs, keys)
+        q = multi_quantiles(df, cols, probs, keys).drop("n_distinct", "n")
         back = q.groupBy(*keys).agg(*[
             F.max(F.when(F.col("column_name") == c, F.col(f"q{probs.index(QUANTILES[f])}")))
             .alias(f"{prefix}{c}_{f.upper()}") for c, f in wanted])
@@ -199,12 +201,13 @@ def two_level_weighted_agg(df: DataFrame, root_key: str, mid_key: str, spec: Spe
         lvl1 = agg_by(df, [mid_key], spec, prefix, exact=exact,
                       extra=[F.count(F.lit(1)).alias("__n")], keep_decimal=True)
         lvl1 = lvl1.join(mid_parent.select(mid_key, root_key), mid_key)
-    feats = [c for c in lvl1.columns if c not in (mid_key, root_key, "__n") and c not in drop]
+    types = {f.name: f.dataType for f in lvl1.schema.fields}  # resolved once
+    feats = [c for c in types if c not in (mid_key, root_key, "__n") and c not in drop]
     n = F.col("__n")
     exprs = []
     for c in feats:
         v = F.col(f"`{c}`")
-        if not isinstance(lvl1.schema[c].dataType, DecimalType):
+        if not isinstance(types[c], DecimalType):
             v = v.cast("double")
         for f in funcs2:
             if f == "mean":

@@ -90,7 +90,8 @@ def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[
                      numeric_prims: Sequence[str], cat_prims: Sequence[str]) -> DataFrame:
     exprs = [F.count(F.lit(1)).alias(f"COUNT({child})")]
     modes = []
-    for f in child_df.schema.fields:
+    fields = child_df.schema.fields
+    for f in fields:
         if f.name in skip:
             continue
         c = F.col(f"`{f.name}`")
@@ -102,7 +103,7 @@ def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[
             if cat_prims:
                 modes.append(f.name)
     out = child_df.groupBy(F.col(child_key).alias("__fk")).agg(*exprs)
-    names = [n for n in out.columns]
+    filled = {}
     for m in modes:
         # NUM_UNIQUE and MODE from one (key, value, count) side plan: no
         # Expand of the wide aggregate, no group gathered in one task
@@ -112,20 +113,22 @@ def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[
         side = []
         if "NUM_UNIQUE" in cat_prims:
             side.append(F.count(F.lit(1)).alias(f"NUM_UNIQUE({child}.{m})"))
+            filled[f"NUM_UNIQUE({child}.{m})"] = 0
         if "MODE" in cat_prims:
             side.append(F.min_by(F.col("__m"), F.struct(-F.col("__n"), F.col("__m"))).alias(f"MODE({child}.{m})"))
         out = out.join(counts.groupBy("__fk").agg(*side), "__fk", "left")
-        if "NUM_UNIQUE" in cat_prims:
-            out = out.withColumn(f"NUM_UNIQUE({child}.{m})",
-                                 F.coalesce(F.col(f"`NUM_UNIQUE({child}.{m})`"), F.lit(0)))
-    # primitive order per column as declared (NUM_UNIQUE before MODE)
+    # one final projection: declared primitive order, zero-filled distinct counts
+    have = out.columns  # one schema resolution, not one per name
+    have_set = set(have)
     ordered = ["__fk", f"COUNT({child})"]
-    for f in child_df.schema.fields:
+    for f in fields:
         for p in (*numeric_prims, *cat_prims):
             n = f"{p}({child}.{f.name})"
-            if n in out.columns and n not in ordered:
+            if n in have_set and n not in ordered:
                 ordered.append(n)
-    return out.select(*[F.col(f"`{n}`") for n in ordered + [c for c in names if c not in ordered]])
+    ordered += [c for c in have if c not in ordered]
+    return out.select(*[F.coalesce(F.col(f"`{n}`"), F.lit(filled[n])).alias(n) if n in filled
+                        else F.col(f"`{n}`") for n in ordered])
 
 
 def synthesize(es: EntitySet, target: str, max_depth: int = 2,

@@ -167,7 +167,7 @@ def category_stat_encode(df: DataFrame, category: str, value: str, out: str,
     if stat == "median":
         # exact and distributed: a category holding most rows is not one task
         from .rank import exact_quantiles
-        table = exact_quantiles(src, value, [0.5], [category], names=[out])
+        table = exact_quantiles(src, value, [0.5], [category], names=[out]).drop("n_distinct", "n")
     else:
         e = {"mean": F.avg(v), "max": F.max(v), "min": F.min(v)}[stat]
         table = src.groupBy(category).agg(e.alias(out))

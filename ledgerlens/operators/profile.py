@@ -167,23 +167,23 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def winsor_bounds(df: DataFrame, columns: Sequence[str], lower: float = 0.001,
                   upper: float = 0.999, min_distinct: int = 30, exact: bool = True) -> dict:
     """Percentile bounds per column, or None for columns with fewer than
-    ``min_distinct`` distinct values or all values distinct (ids)."""
+    ``min_distinct`` distinct values or all values distinct (ids).
+
+    Exact mode is one distributed pass: the (column, value, count) table
+    behind the quantiles also gives each column's distinct and row counts."""
+    out = {}
+    if exact:
+        from .rank import multi_quantiles
+        for r in multi_quantiles(df, columns, [lower, upper]).collect():  # one row per column
+            nd, n = r["n_distinct"], r["n"]
+            out[r["column_name"]] = None if (nd < min_distinct or nd == n) else (r["q0"], r["q1"])
+        return {c: out.get(c) for c in columns}
     exprs = []
     for c in columns:
         x = F.col(c).cast("double")
-        if not exact:
-            exprs.append(F.percentile_approx(x, F.array(F.lit(lower), F.lit(upper)), F.lit(10000)).alias(f"{c}__q"))
-        exprs += [F.countDistinct(x).alias(f"{c}__nd"), F.count(x).alias(f"{c}__n")]
+        exprs += [F.percentile_approx(x, F.array(F.lit(lower), F.lit(upper)), F.lit(10000)).alias(f"{c}__q"),
+                  F.approx_count_distinct(x).alias(f"{c}__nd"), F.count(x).alias(f"{c}__n")]
     v = _fit_scalars(df, exprs)
-    if exact:
-        from .rank import multi_quantiles
-        eligible = [c for c in columns if v[f"{c}__nd"] >= min_distinct and v[f"{c}__nd"] != v[f"{c}__n"]]
-        for c in columns:
-            v[f"{c}__q"] = None
-        if eligible:
-            for r in multi_quantiles(df, eligible, [lower, upper]).collect():  # one row per column
-                v[f"{r['column_name']}__q"] = [r["q0"], r["q1"]]
-    out = {}
     for c in columns:
         nd, n, q = v[f"{c}__nd"], v[f"{c}__n"], v[f"{c}__q"]
         out[c] = None if (nd < min_distinct or nd == n or q is None) else (q[0], q[1])

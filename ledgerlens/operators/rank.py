@@ -112,8 +112,10 @@ def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
         lv, hv, ps_ = F.col(f"__lo{j}"), F.col(f"__hi{j}"), F.col(f"__pos{j}")
         finals.append(F.when((F.floor(ps_) == F.ceil(ps_)) | (lv == hv), lv)
                       .otherwise((F.ceil(ps_) - ps_) * lv + (ps_ - F.floor(ps_)) * hv).alias(names[j]))
+    # the collapsed rows also give the distinct and total counts for free
+    exprs += [F.count(F.lit(1)).alias("n_distinct"), F.max(total).cast("long").alias("n")]
     agg = ps.groupBy(*groups).agg(*exprs) if groups else ps.agg(*exprs)
-    return agg.select(*groups, *finals)
+    return agg.select(*groups, *finals, "n_distinct", "n")
 
 
 def multi_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],

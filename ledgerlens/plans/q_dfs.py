@@ -6,7 +6,7 @@ import re
 
 from ..operators.dfs import CATEGORICAL_PRIMITIVES, NUMERIC_PRIMITIVES, EntitySet, synthesize
 from . import bindings as B
-from .registry import query, round_columns
+from .registry import query, round_map
 
 
 def entity_set(spark, d) -> EntitySet:
@@ -157,9 +157,7 @@ def dfs_sql(depth):
 def _dfs(spark, d, depth):
     out = synthesize(entity_set(spark, d), "customers", max_depth=depth,
                      numeric_prims=NUMERIC_PRIMITIVES, cat_prims=CATEGORICAL_PRIMITIVES)
-    for places in (4, 6, 7, 9):
-        out = round_columns(out, [c for c in out.columns if _noisy(c) and _places(c) == places], places)
-    return out
+    return round_map(out, {c: _places(c) for c in out.columns if _noisy(c)})
 
 
 @query("dfs_depth1", dfs_sql(1))

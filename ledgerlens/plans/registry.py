@@ -38,3 +38,8 @@ def round_columns(df: DataFrame, cols, places: int = 6) -> DataFrame:
 
 def sql_rnd(expr: str, alias: str, places: int = 6) -> str:
     return f'round(CAST({expr} AS DOUBLE), {places}) AS "{alias}"'
+
+
+def round_map(df: DataFrame, places: dict) -> DataFrame:
+    """One select rounding each listed column to its own number of places."""
+    return df.select(*[rnd(c, places[c]).alias(c) if c in places else F.col(f"`{c}`") for c in df.columns])
