@@ -79,14 +79,14 @@ def agg_column(func: str, x: Column, *, decimal: bool = False, exact: bool = Tru
         return F.stddev_samp(x.cast("double"))
     if func in ("median", "first_quartile", "third_quartile"):
         p = {"median": 0.5, "first_quartile": 0.25, "third_quartile": 0.75}[func]
-        if exact:
+        if exact:  # single-buffer form, only for callers that bound the group
             return F.percentile(x.cast("double"), F.lit(p))
         return F.percentile_approx(x.cast("double"), F.lit(p), F.lit(accuracy)).cast("double")
     if func == "count":
         return F.count(x)
     if func == "nunique":
         return F.countDistinct(x) if exact else F.approx_count_distinct(x)
-    if func == "mode":
+    if func == "mode":  # single-buffer form, only for callers that bound the group
         return F.mode(x, deterministic=True)
     raise ValueError(f"unsupported aggregate {func!r}")
 
@@ -110,6 +110,9 @@ def agg_exprs(spec: Spec, prefix: str = "", cond: Column | None = None, *,
         for f in funcs:
             if f == "size":
                 e = present if cond is not None else F.count(F.lit(1))
+            elif f == "mode" or (exact and f in QUANTILES):
+                raise ValueError(f"{f!r} is holistic: use agg_by/conditional_agg, which compute it "
+                                 "without gathering a group in one task")
             else:
                 dec = c in decimals
                 e = agg_column(f, x, decimal=dec, exact=exact)
@@ -171,11 +174,28 @@ def conditional_agg(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix
     """All-rows aggregate plus the same (or ``subset_spec``) aggregate per
     subset, in one pass: replaces filter + aggregate + left join per subset."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    exprs = agg_exprs(spec, prefix, df=df, exact=exact)
-    for sub_prefix, cond in subsets.items():
-        exprs += agg_exprs(subset_spec if subset_spec is not None else spec, sub_prefix,
-                           cond, df=df, exact=exact)
-    return df.groupBy(*keys).agg(*exprs)
+    holistic = {"mode"} | (set(QUANTILES) if exact else set())
+
+    def split(sp):
+        items = spec_items(sp)
+        simple = [(c, [f for f in fs if f not in holistic]) for c, fs in items]
+        hol = [(c, [f for f in fs if f in holistic]) for c, fs in items]
+        return [(c, fs) for c, fs in simple if fs], [(c, fs) for c, fs in hol if fs]
+
+    names = []
+    parts = [(prefix, None, spec)] + [(p, c, subset_spec if subset_spec is not None else spec)
+                                      for p, c in subsets.items()]
+    exprs, side = [], []
+    for p, cond, sp in parts:
+        names += [f"{p}{c}_{f.upper()}" for c, fs in spec_items(sp) for f in fs]
+        simple, hol = split(sp)
+        exprs += agg_exprs(simple, p, cond, df=df, exact=exact)
+        if hol:  # exact quantiles / mode of the (sub)set from distributed side plans
+            side.append(agg_by(df if cond is None else df.where(cond), keys, hol, p, exact=exact))
+    out = df.groupBy(*keys).agg(*exprs)
+    for t in side:
+        out = out.join(t, keys, "left")
+    return out.select(*keys, *[F.col(f"`{n}`") for n in names]) if side else out
 
 
 def two_level_weighted_agg(df: DataFrame, root_key: str, mid_key: str, spec: Spec,

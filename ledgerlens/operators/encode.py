@@ -80,7 +80,7 @@ class OneHotModel:
                         e = F.stddev_samp(x)
                     elif f == "var":
                         e = F.var_samp(x)
-                    elif f == "median":
+                    elif f == "median":  # a 0/1 column: the buffer holds two values
                         e = F.percentile(x, F.lit(0.5))
                     else:
                         raise ValueError(f)

@@ -164,7 +164,7 @@ def agg_nunique(spark, d):
     return A.agg_by(x, "o_custkey", NUNIQUE_SPEC, "INS_")
 
 
-COND_SPEC = [("AMT_PRICE", ["mean", "sum", "max"]), ("DAYS_DECISION", ["max", "size"])]
+COND_SPEC = [("AMT_PRICE", ["mean", "sum", "max"]), ("DAYS_DECISION", ["max", "size", "median"])]
 
 
 @query("conditional_agg", W(f"""SELECT o_custkey, {sql_spec(COND_SPEC, 'PREV_', ['AMT_PRICE'])},

@@ -40,17 +40,20 @@ def submission_frame(spark, d):
     return IO.submission_frame(s, "c_custkey", "ET", 8, id_name="SK_ID_CURR", score_name="TARGET")
 
 
-@query("parse_vector_line", """SELECT l_orderkey, CAST(position AS INTEGER) AS position, CAST(trim(tok) AS DOUBLE) AS weight FROM (
-  SELECT l_orderkey, unnest(range(len(arr))) AS position, unnest(arr) AS tok FROM (
-    SELECT l_orderkey, string_split(string_agg(CAST(l_quantity AS VARCHAR), ',' ORDER BY l_linenumber, l_quantity), ',') AS arr
-    FROM lineitem GROUP BY l_orderkey))""")
+VEC_COLS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+@query("parse_vector_line", f"""SELECT l_orderkey, l_linenumber, CAST(position AS INTEGER) AS position,
+CAST(trim(tok) AS DOUBLE) AS weight FROM (
+  SELECT l_orderkey, l_linenumber, unnest(range(len(arr))) AS position, unnest(arr) AS tok FROM (
+    SELECT l_orderkey, l_linenumber, string_split(concat_ws(',', {', '.join(f'CAST({c} AS VARCHAR)' for c in VEC_COLS)}), ',') AS arr
+    FROM lineitem))""")
 def parse_vector_line(spark, d):
     li = IO.scan_table(spark, d, "lineitem")
-    # one comma-joined line of weights per order (bounded: the lines of one order)
-    line = li.groupBy("l_orderkey").agg(F.concat_ws(",", F.transform(
-        F.array_sort(F.collect_list(F.struct("l_linenumber", "l_quantity"))),
-        lambda s: s["l_quantity"].cast("string"))).alias("value"))
-    return IO.parse_vector_line(line, "value", key_cols=["l_orderkey"])
+    # one comma-joined line of weights per balance line (no grouping needed)
+    line = li.select("l_orderkey", "l_linenumber",
+                     F.concat_ws(",", *[F.col(c).cast("string") for c in VEC_COLS]).alias("value"))
+    return IO.parse_vector_line(line, "value", key_cols=["l_orderkey", "l_linenumber"])
 
 
 @query("sample_rows", f"SELECT * FROM customer ORDER BY {H}, c_custkey LIMIT 50")

@@ -89,3 +89,15 @@ def test_median_in_spec_and_mode_ties(spark):
     assert out[2]["c_MODE"] is None and out[2]["x_MEDIAN"] == 7.0
     m = _by_key(distributed_mode(df, ["k"], "c", "m"))
     assert m[1]["m"] == "a" and 2 not in m
+
+
+def test_conditional_holistic_and_guard(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "A", 1.0), (1, "A", 4.0), (1, "B", 9.0), (2, "B", 3.0)],
+                               "k int, s string, x double")
+    out = _by_key(A.conditional_agg(df, "k", [("x", ["median", "max"])], "ALL_",
+                                    {"A_": F.col("s") == "A"}))
+    assert out[1]["ALL_x_MEDIAN"] == 4.0 and out[1]["A_x_MEDIAN"] == 2.5
+    assert out[2]["A_x_MEDIAN"] is None and out[2]["ALL_x_MAX"] == 3.0
+    with pytest.raises(ValueError):
+        A.agg_exprs([("x", ["median"])], "", df=df)
