@@ -57,9 +57,41 @@ def _is_decimal(df: DataFrame | None, name: str) -> bool:
     return isinstance(df.schema[name].dataType, DecimalType)
 
 
+SCALE_KEY = "unscaled_scale"  # column metadata: value = long * 10**-scale
+
+
+def fast_decimal_scale(dt) -> int | None:
+    """Scale of a decimal that fits in a long with room for sums (the exact
+    fast path), else None (Spark's wide-decimal path)."""
+    if isinstance(dt, DecimalType) and dt.precision <= 18 and dt.scale <= 6:
+        return dt.scale
+    return None
+
+
+def unscaled(x: Column, scale: int) -> Column:
+    """Exact integer units of a long-sized decimal (e.g. cents): Spark sums
+    longs far faster than the 28-digit decimals of a decimal ``sum``."""
+    return F.round(x.cast("double") * F.lit(float(10 ** scale))).cast("long")
+
+
+def _from_units(total: Column, scale: int) -> Column:
+    return total.cast("double") / F.lit(float(10 ** scale))
+
+
 def agg_column(func: str, x: Column, *, decimal: bool = False, exact: bool = True,
-               accuracy: int = 10000) -> Column:
-    """One aggregate over an (already conditioned) input column."""
+               accuracy: int = 10000, scale: int | None = None, keep_units: bool = False) -> Column:
+    """One aggregate over an (already conditioned) input column.
+
+    ``scale`` selects the exact fast path for long-sized decimals: sums run
+    over integer units and are converted once; ``keep_units`` returns the
+    unit sum itself (tagged in the column metadata) for a second level."""
+    if scale is not None and func in ("sum", "mean"):
+        units = F.sum(unscaled(x, scale))
+        if func == "mean":
+            return F.try_divide(_from_units(units, scale), F.count(x).cast("double"))
+        if keep_units:
+            return F.coalesce(units, F.lit(0).cast("long"))
+        return F.coalesce(_from_units(units, scale), F.lit(0.0))
     if func == "min":
         return F.min(x)
     if func == "max":
@@ -102,8 +134,9 @@ def agg_exprs(spec: Spec, prefix: str = "", cond: Column | None = None, *,
     name = name or (lambda p, c, f: f"{p}{c}_{f.upper()}")
     out = []
     present = F.count_if(cond) if cond is not None else None
-    decimals = ({f.name for f in df.schema.fields if isinstance(f.dataType, DecimalType)}
-                if df is not None else set())  # one schema resolution for the whole spec
+    fields = {f.name: f.dataType for f in df.schema.fields} if df is not None else {}
+    decimals = {n for n, t in fields.items() if isinstance(t, DecimalType)}  # one schema resolution
+    scales = {n: fast_decimal_scale(t) for n, t in fields.items()}
     for c, funcs in spec_items(spec):
         base = F.col(c)
         x = F.when(cond, base) if cond is not None else base
@@ -115,12 +148,17 @@ def agg_exprs(spec: Spec, prefix: str = "", cond: Column | None = None, *,
                                  "without gathering a group in one task")
             else:
                 dec = c in decimals
-                e = agg_column(f, x, decimal=dec, exact=exact)
+                sc = scales.get(c)
+                e = agg_column(f, x, decimal=dec, exact=exact, scale=sc,
+                               keep_units=keep_decimal and f == "sum")
                 if dec and f in ("sum", "min", "max") and not keep_decimal:
                     e = e.cast("double")
             if cond is not None:
                 e = F.when(present > 0, e)
-            out.append(e.alias(name(prefix, c, f)))
+            if keep_decimal and f == "sum" and scales.get(c) is not None:
+                out.append(e.alias(name(prefix, c, f), metadata={SCALE_KEY: scales[c]}))
+            else:
+                out.append(e.alias(name(prefix, c, f)))
     return out
 
 
@@ -221,24 +259,31 @@ def two_level_weighted_agg(df: DataFrame, root_key: str, mid_key: str, spec: Spe
         lvl1 = agg_by(df, [mid_key], spec, prefix, exact=exact,
                       extra=[F.count(F.lit(1)).alias("__n")], keep_decimal=True)
         lvl1 = lvl1.join(mid_parent.select(mid_key, root_key), mid_key)
-    types = {f.name: f.dataType for f in lvl1.schema.fields}  # resolved once
-    feats = [c for c in types if c not in (mid_key, root_key, "__n") and c not in drop]
+    fields = {f.name: f for f in lvl1.schema.fields}  # resolved once
+    feats = [c for c in fields if c not in (mid_key, root_key, "__n") and c not in drop]
     n = F.col("__n")
     exprs = []
     for c in feats:
         v = F.col(f"`{c}`")
-        if not isinstance(types[c], DecimalType):
+        sc = (fields[c].metadata or {}).get(SCALE_KEY)
+        if sc is None and isinstance(fields[c].dataType, DecimalType):
+            sc = fast_decimal_scale(fields[c].dataType)
+            if sc is not None:
+                v = unscaled(v, sc)
+        elif sc is None:
             v = v.cast("double")
+
+        def back(t):  # a weighted unit sum back to a double value
+            return _from_units(t, sc) if sc is not None else t.cast("double")
         for f in funcs2:
             if f == "mean":
-                e = F.try_divide(F.sum(v * n).cast("double"),
-                                 F.sum(F.when(v.isNotNull(), n)).cast("double"))
+                e = F.try_divide(back(F.sum(v * n)), F.sum(F.when(v.isNotNull(), n)).cast("double"))
             elif f == "max":
-                e = F.max(v).cast("double")
+                e = back(F.max(v))
             elif f == "min":
-                e = F.min(v).cast("double")
+                e = back(F.min(v))
             elif f == "sum":
-                e = F.coalesce(F.sum(v * n).cast("double"), F.lit(0.0))
+                e = F.coalesce(back(F.sum(v * n)), F.lit(0.0))
             else:
                 raise ValueError(f"weighted second level supports mean/max/min/sum, not {f}")
             exprs.append(e.alias(f"{prefix}{c}_{f.upper()}"))
