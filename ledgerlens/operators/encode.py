@@ -112,6 +112,35 @@ def fit_one_hot(df: DataFrame, columns: Sequence[str] | None = None, nan_column:
     return OneHotModel(levels, nan_column)
 
 
+def fit_one_hot_many(requests: Sequence[tuple[DataFrame, Sequence[str], bool]],
+                     max_levels: int = MAX_LEVELS) -> list[OneHotModel]:
+    """Fit several vocabularies (possibly over different tables) in one
+    distributed distinct job: ``[(df, columns, nan_column), ...]``."""
+    from functools import reduce
+    parts = []
+    for i, (df, cols, _) in enumerate(requests):
+        pairs = F.explode(F.array(*[F.struct(F.lit(f"{i}:{c}").alias("c"), F.col(c).cast("string").alias("v"))
+                                    for c in cols]))
+        parts.append(df.select(pairs.alias("p")).select("p.c", "p.v"))
+    n_cols = sum(len(cols) for _, cols, _ in requests)
+    cap = max_levels * n_cols
+    rows = (reduce(DataFrame.unionByName, parts).where(F.col("v").isNotNull())
+            .distinct().limit(cap + 1).collect())
+    if len(rows) > cap:
+        raise ValueError("too many categorical levels for one-hot encoding")
+    found: dict[str, list[str]] = {}
+    for r in rows:
+        found.setdefault(r["c"], []).append(r["v"])
+    models = []
+    for i, (_, cols, nan) in enumerate(requests):
+        levels = {c: sorted(found.get(f"{i}:{c}", [])) for c in cols}
+        for c, vals in levels.items():
+            if len(vals) > max_levels:
+                raise ValueError(f"column {c} has more than {max_levels} levels")
+        models.append(OneHotModel(levels, nan))
+    return models
+
+
 def one_hot(df: DataFrame, columns: Sequence[str] | None = None, nan_column: bool = False):
     """``(encoded frame, new column names)``."""
     model = fit_one_hot(df, columns, nan_column)

@@ -76,18 +76,27 @@ class OOFResult:
 
 def oof_predict(data: DataFrame, id_col: str, factory: Factory, k: int = 5,
                 label: str = "TARGET", features: Sequence[str] | None = None,
-                with_importance: bool = False) -> OOFResult:
+                with_importance: bool = False, positive_weight: float | None = None) -> OOFResult:
     """K-fold out-of-fold prediction: per fold train on the other folds,
-    score the held-out fold and the unlabelled rows."""
+    score the held-out fold and the unlabelled rows.  ``positive_weight``
+    re-weights the positive class (``weightCol``, the scale_pos_weight
+    setting of the boosted models)."""
     spark = data.sparkSession
     feats = list(features) if features is not None else numeric_features(data, [id_col, label])
-    prepared = kfold_assign(prepare(data, feats, label), id_col, k) \
-        .select(id_col, label, "fold", "features").persist(StorageLevel.MEMORY_AND_DISK)
+    prepared = kfold_assign(prepare(data, feats, label), id_col, k)
+    extra = []
+    if positive_weight is not None:
+        from .folds import class_weight_column
+        extra = [class_weight_column(label, positive_weight, "weight")]
+    prepared = prepared.select(id_col, label, "fold", "features", *extra) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     labelled = prepared.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
     unlabelled = prepared.where(F.col(label).isNull())
     oofs, tests, aucs, imps = [], [], [], []
     for i in range(k):
         est = factory().setLabelCol(label).setFeaturesCol("features")
+        if positive_weight is not None and est.hasParam("weightCol"):
+            est = est.setWeightCol("weight")
         model = est.fit(labelled.where(F.col("fold") != i))
         held = model.transform(labelled.where(F.col("fold") == i))
         aucs.append(auc(held, label))

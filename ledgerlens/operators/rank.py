@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 
 ROWS_PER_BUCKET = 1_000_000
 MAX_BUCKETS = 4096
-BROADCAST_ROWS = 200_000
 
 
 def _bucket_expr(c: Column, splits: list[float]) -> Column:
@@ -140,11 +139,6 @@ def distributed_mode(df: DataFrame, keys: Sequence[str], value: str, out: str) -
     return c.groupBy(*keys).agg(F.min_by(F.col(value), F.struct(-F.col("__n"), F.col(value))).alias(out))
 
 
-def _attach(df: DataFrame, table: DataFrame, keys: Sequence[str], n_rows: int) -> DataFrame:
-    t = F.broadcast(table) if n_rows <= BROADCAST_ROWS else table
-    return df.join(t, list(keys), "left")
-
-
 def rank(df: DataFrame, column: str, out: str, method: str = "min", ascending: bool = True,
          parts: Sequence[str] = (), **kw) -> DataFrame:
     """pandas-style rank of ``column`` (1-based; NULL for missing values).
@@ -166,8 +160,9 @@ def rank(df: DataFrame, column: str, out: str, method: str = "min", ascending: b
     else:
         raise ValueError(method)
     table = ps.select(*parts, F.col("__v"), r.cast("double").alias(out))
-    src = df.withColumn("__v", v)
-    return _attach(src, table, [*parts, "__v"], BROADCAST_ROWS + 1).drop("__v")
+    # one row per distinct value: a shuffle join (AQE broadcasts it when it
+    # measures small, and splits the partition of a hot value)
+    return df.withColumn("__v", v).join(table, [*parts, "__v"], "left").drop("__v")
 
 
 def row_number(df: DataFrame, order_cols: Sequence[str], out: str, parts: Sequence[str] = (),

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import agg as A
-from ..operators.encode import OneHotModel, category_stat_encode, fit_one_hot
+from ..operators.encode import OneHotModel, category_stat_encode, fit_one_hot, fit_one_hot_many
 from . import bindings as B
 
 KEY = "c_custkey"
@@ -51,11 +51,12 @@ class MartModel:
 
 
 def fit(loans: DataFrame, lines: DataFrame, activity: DataFrame) -> MartModel:
-    return MartModel(
-        fit_one_hot(loans, ["o_orderpriority", "o_orderstatus"], nan_column=True),
-        fit_one_hot(lines, ["l_returnflag", "l_linestatus"], nan_column=True),
-        fit_one_hot(activity, ["event_type"], nan_column=False),
-    )
+    """All vocabularies of the mart in one distributed distinct job."""
+    return MartModel(*fit_one_hot_many([
+        (loans, ["o_orderpriority", "o_orderstatus"], True),
+        (lines, ["l_returnflag", "l_linestatus"], True),
+        (activity, ["event_type"], False),
+    ]))
 
 
 def loan_features(loans: DataFrame, vocab: OneHotModel) -> DataFrame:

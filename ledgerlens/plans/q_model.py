@@ -27,7 +27,7 @@ def _training_table(spark, d):
 
 @query("oof_predict")
 def oof_predict(spark, d):
-    r = ML.oof_predict(_training_table(spark, d), KEY, ML.ESTIMATORS["gbt"], k=5)
+    r = ML.oof_predict(_training_table(spark, d), KEY, ML.ESTIMATORS["gbt"], k=5, positive_weight=5.0)
     return (r.oof.select(KEY, "score", F.lit("oof").alias("kind"))
             .unionByName(r.test.select(KEY, "score", F.lit("test").alias("kind"))))
 

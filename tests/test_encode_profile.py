@@ -62,3 +62,11 @@ def test_union_train_test_missing_label(spark):
     rows = {r["id"]: r for r in u.collect()}
     assert rows[2]["TARGET"] is None and rows[2]["miss"] == 1 and rows[1]["miss"] == 0
     assert row_missing_count(["x"]) is not None
+
+
+def test_fit_one_hot_many_matches_single_fits(spark):
+    a = spark.createDataFrame([("x", "p"), ("y", None)], "c string, d string")
+    b = spark.createDataFrame([("z",), ("x",)], "c string")
+    m1, m2 = E.fit_one_hot_many([(a, ["c", "d"], True), (b, ["c"], False)])
+    assert m1.levels == E.fit_one_hot(a, ["c", "d"], True).levels
+    assert m2.levels == {"c": ["x", "z"]} and m1.names == ["c_x", "c_y", "c_nan", "d_p", "d_nan"]
