@@ -200,7 +200,9 @@ def category_stat_encode(df: DataFrame, category: str, value: str, out: str,
     else:
         e = {"mean": F.avg(v), "max": F.max(v), "min": F.min(v)}[stat]
         table = src.groupBy(category).agg(e.alias(out))
-    return _lookup_join(df, table, category)
+    # one row per category: counted, then broadcast when small, so the
+    # (large) row side keeps its partitioning
+    return _lookup_join(df, table, category, check=True)
 
 
 def target_rate_by_category(df: DataFrame, category: str, target: str = "TARGET") -> DataFrame:

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.io import scan_table
+from ..sources.io import bounded_broadcast, scan_table
 
 # Fixed values of the bindings (must be equal on the Spark and SQL side).
 ANCHOR_DATE = "2001-08-02"
@@ -37,8 +37,9 @@ def applicants(spark: SparkSession, d: str) -> DataFrame:
     n = scan_table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey")
     target = (F.when(F.col("c_acctbal") < UNLABELLED_BALANCE_BELOW, F.lit(None))
               .otherwise((F.col("c_mktsegment") == POSITIVE_SEGMENT).cast("int")))
-    # nation is a dimension table: AQE broadcasts it once measured
-    return (c.join(n, c.c_nationkey == n.n_nationkey)
+    # nation is a dimension table: broadcast after a row-count check, so
+    # the applicant table is not shuffled for this join
+    return (c.join(bounded_broadcast(n, 10_000), c.c_nationkey == n.n_nationkey)
             .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "n_name",
                     "n_regionkey", target.cast("int").alias("TARGET")))
 
