@@ -48,7 +48,10 @@ def shared_dir(spark: SparkSession) -> str:
     session without one is an error, since a machine-local folder would not
     be visible to the executors.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the server owns the setting
+        return (spark.conf.get("spark.checkpoint.dir", None) or "").rstrip("/")
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
