@@ -223,19 +223,48 @@ def conditional_agg(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix
     names = []
     parts = [(prefix, None, spec)] + [(p, c, subset_spec if subset_spec is not None else spec)
                                       for p, c in subsets.items()]
-    exprs, side = [], []
+    exprs, side, quantile_requests = [], [], []
     for p, cond, sp in parts:
         names += [f"{p}{c}_{f.upper()}" for c, fs in spec_items(sp) for f in fs]
         simple, hol = split(sp)
         exprs += agg_exprs(simple, p, cond, df=df, exact=exact)
-        if hol:  # exact quantiles / mode of the (sub)set from distributed side plans
-            side.append(agg_by(df if cond is None else df.where(cond), keys, hol, p, exact=exact))
+        for c, fs in hol:
+            quantile_requests += [(p, cond, c, f) for f in fs if f in QUANTILES]
+            if "mode" in fs:  # (key, value) counts of the (sub)set + min_by
+                from .rank import distributed_mode
+                src = df if cond is None else df.where(cond)
+                side.append(distributed_mode(src, keys, c, f"{p}{c}_MODE"))
     out = df.groupBy(*keys).agg(*exprs)
+    if quantile_requests:
+        side.append(_subset_quantiles(df, keys, quantile_requests))
     for t in side:
         out = out.join(t, keys, "left")
     return out.select(*keys, *[F.col(f"`{n}`") for n in names]) if side else out
 
 
+def _subset_quantiles(df: DataFrame, keys: list[str], requests) -> DataFrame:
+    """Every exact quantile of every (subset, column) in one distributed
+    pass: rows are unpivoted to (key, subset, column, value) — a row lands
+    in each subset whose condition it meets — and (subset, column) joins the
+    group of the prefix-sum positioning."""
+    from .rank import exact_quantiles
+    probs = sorted({QUANTILES[f] for *_, f in requests})
+    pairs = list(dict.fromkeys((p, c) for p, _, c, _ in requests))
+    conds = {p: cond for p, cond, _, _ in requests}
+    items = []
+    for p, c in pairs:
+        v = F.col(f"`{c}`").cast("double")
+        if conds[p] is not None:
+            v = F.when(conds[p], v)
+        items.append(F.struct(F.lit(p).alias("__subset"), F.lit(c).alias("column_name"), v.alias("__x")))
+    long = df.select(*keys, F.explode(F.array(*items)).alias("__s")) \
+        .select(*keys, "__s.__subset", "__s.column_name", "__s.__x")
+    q = exact_quantiles(long, "__x", probs, [*keys, "__subset", "column_name"])
+    return q.groupBy(*keys).agg(*[
+        F.max(F.when((F.col("__subset") == p) & (F.col("column_name") == c), F.col(f"q{probs.index(QUANTILES[f])}")))
+        .alias(f"{p}{c}_{f.upper()}") for p, _, c, f in requests])
+
+
 def two_level_weighted_agg(df: DataFrame, root_key: str, mid_key: str, spec: Spec,
                            funcs2: Sequence[str], prefix: str,
                            count_name: str | None = None, exact: bool = True,
