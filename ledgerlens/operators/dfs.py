@@ -143,6 +143,13 @@ def synthesize(es: EntitySet, target: str, max_depth: int = 2,
             return out
         for rel in es.children(name):
             child = build(rel.child, depth - 1)
+            if depth - 1 >= 1 and es.children(rel.child):
+                # a derived feature table read by the main aggregate and by
+                # the categorical side plans: materialise it once (reliable
+                # checkpoint) instead of re-aggregating its children per reader
+                from ..session import shared_dir
+                shared_dir(child.sparkSession)
+                child = child.checkpoint(eager=True)
             skip = {es.entities[rel.child].key, rel.child_key} | es.foreign_keys(rel.child)
             skip.discard(None)
             agg = _aggregate_child(child, rel.child, rel.child_key, skip, numeric_prims, cat_prims)
