@@ -176,6 +176,11 @@ def agg_by(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "
     items = spec_items(spec)
     names = [f"{prefix}{c}_{f.upper()}" for c, fs in items for f in fs]
     holistic = {"mode"} | (set(QUANTILES) if exact else set())
+    distinct_cols = [c for c, fs in items if "nunique" in fs] if exact else []
+    if len(distinct_cols) >= 2:
+        # several exact distinct counts: one unpivoted (key, column, value)
+        # pass instead of Spark's Expand, which copies every row per column
+        holistic.add("nunique")
     simple = [(c, [f for f in fs if f not in holistic]) for c, fs in items]
     simple = [(c, fs) for c, fs in simple if fs]
     exprs = [*agg_exprs(simple, prefix, df=df, exact=exact, keep_decimal=keep_decimal), *extra]
@@ -191,11 +196,28 @@ def agg_by(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "
             F.max(F.when(F.col("column_name") == c, F.col(f"q{probs.index(QUANTILES[f])}")))
             .alias(f"{prefix}{c}_{f.upper()}") for c, f in wanted])
         out = out.join(back, keys, "left")
+    if "nunique" in holistic:
+        out = out.join(_multi_nunique(df, keys, distinct_cols, prefix), keys, "left")
     for c, fs in items:
         if "mode" in fs:
             out = out.join(distributed_mode(df, keys, c, f"{prefix}{c}_MODE"), keys, "left")
     extra_names = [c for c in out.columns if c not in keys and c not in names and c != "__rows"]
-    return out.select(*keys, *[F.col(f"`{n}`") for n in names], *extra_names)
+    zero = {f"{prefix}{c}_NUNIQUE" for c in distinct_cols} if "nunique" in holistic else set()
+    return out.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) if n in zero
+                               else F.col(f"`{n}`") for n in names], *extra_names)
+
+
+def _multi_nunique(df: DataFrame, keys: list[str], cols: Sequence[str], prefix: str) -> DataFrame:
+    """Exact distinct counts of several columns per key in one pass:
+    distinct (key, column, value) rows, counted per (key, column), pivoted
+    back with one aggregate.  A key with no value in a column gets 0."""
+    long = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(i).alias("__c"), F.col(f"`{c}`").cast("string").alias("__v"))
+        for i, c in enumerate(cols)])).alias("__s")).select(*keys, "__s.__c", "__s.__v")
+    per = (long.where(F.col("__v").isNotNull()).select(*keys, "__c", "__v").distinct()
+           .groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__nd")))
+    return per.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("__c") == i, F.col("__nd"))), F.lit(0))
+                                   .alias(f"{prefix}{c}_NUNIQUE") for i, c in enumerate(cols)])
 
 
 def agg_all_columns(df: DataFrame, keys: str | Sequence[str], funcs: Sequence[str],

@@ -101,3 +101,11 @@ def test_conditional_holistic_and_guard(spark):
     assert out[2]["A_x_MEDIAN"] is None and out[2]["ALL_x_MAX"] == 3.0
     with pytest.raises(ValueError):
         A.agg_exprs([("x", ["median"])], "", df=df)
+
+
+def test_multi_nunique_side_plan(spark):
+    df = spark.createDataFrame([(1, "a", 1.0), (1, "a", 2.0), (1, "b", None), (2, None, None)],
+                               "k int, s string, x double")
+    out = _by_key(A.agg_by(df, "k", [("s", ["nunique"]), ("x", ["nunique", "max"])]))
+    assert (out[1]["s_NUNIQUE"], out[1]["x_NUNIQUE"], out[1]["x_MAX"]) == (2, 2, 2.0)
+    assert (out[2]["s_NUNIQUE"], out[2]["x_NUNIQUE"]) == (0, 0)
