@@ -51,12 +51,6 @@ def merge_specs(*specs: Spec) -> list[tuple[str, list[str]]]:
     return list(merged.items())
 
 
-def _is_decimal(df: DataFrame | None, name: str) -> bool:
-    if df is None or name not in df.columns:
-        return False
-    return isinstance(df.schema[name].dataType, DecimalType)
-
-
 SCALE_KEY = "unscaled_scale"  # column metadata: value = long * 10**-scale
 
 

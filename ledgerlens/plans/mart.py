@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..functions import exprs as X
 from ..operators import agg as A
-from ..operators.encode import OneHotModel, category_stat_encode, fit_one_hot, fit_one_hot_many
+from ..operators.encode import OneHotModel, category_stat_encode, fit_one_hot_many
 from . import bindings as B
 
 KEY = "c_custkey"
