@@ -362,3 +362,44 @@ def weighted_average(x: str | Column, w: str | Column) -> Column:
     xv, wv = col(x).cast("double"), col(w).cast("double")
     both = xv.isNotNull() & wv.isNotNull()
     return F.try_divide(F.sum(F.when(both, xv * wv)), F.sum(F.when(both, wv)))
+
+
+def agg_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root_key: str,
+                       aggs: Mapping[str, tuple]) -> DataFrame:
+    """Per-root aggregates of detail rows that carry only a mid-level key
+    (e.g. loan lines -> applicant): algebraic partial aggregates per mid key
+    first, then the ``(mid_key, root_key)`` parent join on those few rows,
+    then the combine — the detail rows are never joined or shuffled whole.
+
+    ``aggs``: name -> (func, expr[, expr2]) with func in sum | count | min |
+    max | mean | ratio (``sum(expr) / sum(expr2)``)."""
+    partial = []
+    for name, (func, *es) in aggs.items():
+        e = es[0]
+        if func in ("sum", "mean"):
+            partial.append(F.sum(e.cast("double")).alias(f"{name}__s"))
+        if func in ("count", "mean"):
+            partial.append(F.count(e).alias(f"{name}__c"))
+        if func in ("min", "max"):
+            partial.append((F.min(e) if func == "min" else F.max(e)).alias(f"{name}__m"))
+        if func == "ratio":
+            partial += [F.sum(e.cast("double")).alias(f"{name}__s"), F.sum(es[1].cast("double")).alias(f"{name}__d")]
+    lvl1 = df.groupBy(mid_key).agg(*partial).join(parent.select(mid_key, root_key), mid_key)
+    final = []
+    for name, (func, *_) in aggs.items():
+        s, c = F.sum(f"`{name}__s`"), F.sum(f"`{name}__c`")
+        if func == "sum":
+            final.append(F.coalesce(s, F.lit(0.0)).alias(name))
+        elif func == "count":
+            final.append(c.alias(name))
+        elif func == "mean":
+            final.append(F.try_divide(s, c.cast("double")).alias(name))
+        elif func == "min":
+            final.append(F.min(f"`{name}__m`").alias(name))
+        elif func == "max":
+            final.append(F.max(f"`{name}__m`").alias(name))
+        elif func == "ratio":
+            final.append(F.try_divide(s, F.sum(f"`{name}__d`")).alias(name))
+        else:
+            raise ValueError(func)
+    return lvl1.groupBy(root_key).agg(*final)

@@ -240,18 +240,25 @@ round(avg(l_quantity * CASE WHEN MONTHS_BALANCE < 0 THEN sqrt(-1.0 / MONTHS_BALA
 round(avg(l_quantity * CASE WHEN MONTHS_BALANCE < 0 THEN -1.0 / MONTHS_BALANCE END), 8) AS QTY_RECENCY_LIN
 FROM x GROUP BY o_custkey""", x=B.SQL_LINES))
 def recency_weighted_mean(spark, d):
-    li = B.lines(spark, d)
-    return li.groupBy("o_custkey").agg(
-        F.round(A.recency_weighted_mean("l_quantity", "MONTHS_BALANCE", 0.5), 8).alias("QTY_RECENCY_SQRT"),
-        F.round(A.recency_weighted_mean("l_quantity", "MONTHS_BALANCE", 1), 8).alias("QTY_RECENCY_LIN"))
+    from ..functions.exprs import recency_weight
+    q = F.col("l_quantity").cast("double")
+    out = A.agg_through_parent(
+        B.balance_lines(spark, d), "l_orderkey", B.loan_owner(spark, d), "o_custkey",
+        {"QTY_RECENCY_SQRT": ("mean", q * recency_weight("MONTHS_BALANCE", 0.5)),
+         "QTY_RECENCY_LIN": ("mean", q * recency_weight("MONTHS_BALANCE", 1))})
+    return round_columns(out, ["QTY_RECENCY_SQRT", "QTY_RECENCY_LIN"], 8)
 
 
 @query("weighted_average", W("""SELECT o_custkey,
 round(sum(l_quantity * (-1.0 / MONTHS_BALANCE)) / sum(-1.0 / MONTHS_BALANCE), 8) AS QTY_WAVG
 FROM x GROUP BY o_custkey""", x=B.SQL_LINES))
 def weighted_average(spark, d):
-    li = B.lines(spark, d).withColumn("W", X.safe_ratio(F.lit(-1.0), "MONTHS_BALANCE"))
-    return li.groupBy("o_custkey").agg(F.round(A.weighted_average("l_quantity", "W"), 8).alias("QTY_WAVG"))
+    w = X.safe_ratio(F.lit(-1.0), "MONTHS_BALANCE")
+    q = F.col("l_quantity").cast("double")
+    both = q.isNotNull() & w.isNotNull()
+    out = A.agg_through_parent(B.balance_lines(spark, d), "l_orderkey", B.loan_owner(spark, d), "o_custkey",
+                               {"QTY_WAVG": ("ratio", F.when(both, q * w), F.when(both, w))})
+    return round_columns(out, ["QTY_WAVG"], 8)
 
 
 @query("agg_mode", W("""SELECT q.o_custkey, q.v AS QTY_MODE, f.v AS FLAG_MODE FROM

@@ -109,3 +109,15 @@ def test_multi_nunique_side_plan(spark):
     out = _by_key(A.agg_by(df, "k", [("s", ["nunique"]), ("x", ["nunique", "max"])]))
     assert (out[1]["s_NUNIQUE"], out[1]["x_NUNIQUE"], out[1]["x_MAX"]) == (2, 2, 2.0)
     assert (out[2]["s_NUNIQUE"], out[2]["x_NUNIQUE"]) == (0, 0)
+
+
+def test_agg_through_parent_equals_join_then_aggregate(spark):
+    lines = spark.createDataFrame([(10, 1.0, 2.0), (10, None, 1.0), (11, 3.0, 4.0), (12, 5.0, None)],
+                                  "o int, x double, w double")
+    owner = spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "o int, c int")
+    out = _by_key(A.agg_through_parent(lines, "o", owner, "c", {
+        "m": ("mean", F.col("x")), "s": ("sum", F.col("x")), "n": ("count", F.col("x")),
+        "hi": ("max", F.col("x")), "r": ("ratio", F.col("x") * F.col("w"), F.when(F.col("x").isNotNull(), F.col("w")))}), "c")
+    assert out[1]["m"] == 2.0 and out[1]["s"] == 4.0 and out[1]["n"] == 2 and out[1]["hi"] == 3.0
+    assert out[1]["r"] == (1.0 * 2.0 + 3.0 * 4.0) / (2.0 + 4.0)
+    assert out[2]["m"] == 5.0 and out[2]["r"] is None
