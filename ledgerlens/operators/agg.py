@@ -403,3 +403,52 @@ def agg_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root_key:
         else:
             raise ValueError(func)
     return lvl1.groupBy(root_key).agg(*final)
+
+
+DECOMPOSABLE = {"min", "max", "sum", "mean", "count", "size", "var", "std"}
+
+
+def agg_spec_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root_key: str,
+                            spec: Spec, prefix: str = "") -> DataFrame:
+    """``agg_by(detail ⋈ parent, root_key, spec)`` for algebraic specs,
+    computed as partial aggregates per mid key joined to the parent: count,
+    sum (exact integer units for long-sized decimals), sum of squares and
+    extremes per mid key, combined per root.  Holistic functions (median,
+    mode, nunique) need the detail rows: use ``agg_by`` after the join."""
+    items = spec_items(spec)
+    bad = {f for _, fs in items for f in fs} - DECOMPOSABLE
+    if bad:
+        raise ValueError(f"not decomposable through the parent: {sorted(bad)}")
+    types = {f.name: f.dataType for f in df.schema.fields}
+    partial, final = [F.count(F.lit(1)).alias("__rows")], []
+    for i, (c, fs) in enumerate(items):
+        x, sc = F.col(f"`{c}`"), fast_decimal_scale(types[c])
+        d = x.cast("double")
+        partial += [F.count(x).alias(f"__n{i}"),
+                    F.sum(unscaled(x, sc) if sc is not None else d).alias(f"__s{i}"),
+                    F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+        if {"var", "std"} & set(fs):
+            partial += [F.sum(d).alias(f"__sd{i}"), F.sum(d * d).alias(f"__q{i}")]
+        n = F.sum(f"__n{i}").cast("double")
+        total = F.sum(f"__s{i}")
+        total = _from_units(total, sc) if sc is not None else total.cast("double")
+        for f in fs:
+            if f == "sum":
+                e = F.coalesce(total, F.lit(0.0))
+            elif f == "mean":
+                e = F.try_divide(total, n)
+            elif f in ("min", "max"):
+                e = (F.min if f == "min" else F.max)(f"__lo{i}" if f == "min" else f"__hi{i}")
+                if isinstance(types[c], DecimalType):
+                    e = e.cast("double")
+            elif f == "count":
+                e = F.sum(f"__n{i}")
+            elif f == "size":
+                e = F.sum("__rows")
+            else:
+                sd, q = F.sum(f"__sd{i}"), F.sum(f"__q{i}")
+                var = F.when(n > 1, (q - sd * sd / n) / (n - 1))
+                e = var if f == "var" else F.sqrt(var)
+            final.append(e.alias(f"{prefix}{c}_{f.upper()}"))
+    lvl1 = df.groupBy(mid_key).agg(*partial).join(parent.select(mid_key, root_key), mid_key)
+    return lvl1.groupBy(root_key).agg(*final)

@@ -128,8 +128,10 @@ INS_ROUND = {"INSTAL_PAYMENT_PERC_MEAN": 5, "INSTAL_PAYMENT_PERC_SUM": 5, "INSTA
                          "FROM (SELECT *, CAST(AMT_EXT AS DOUBLE) / NULLIF(l_quantity, 0) AS PAYMENT_PERC FROM x) "
                          "GROUP BY o_custkey", x=B.SQL_LINES))
 def agg_spec_ins(spark, d):
-    li = B.lines(spark, d).withColumn("PAYMENT_PERC", X.safe_ratio("AMT_EXT", "l_quantity"))
-    return _round_spark(A.agg_by(li, "o_custkey", INS_SPEC, "INSTAL_"), INS_ROUND)
+    # algebraic spec: partial aggregates per loan, then the applicant key
+    li = B.balance_lines(spark, d).withColumn("PAYMENT_PERC", X.safe_ratio("AMT_EXT", "l_quantity"))
+    out = A.agg_spec_through_parent(li, "l_orderkey", B.loan_owner(spark, d), "o_custkey", INS_SPEC, "INSTAL_")
+    return _round_spark(out, INS_ROUND)
 
 
 CC_COLS = ["l_quantity", "AMT_EXT", "l_discount", "l_tax", "MONTHS_BALANCE", "DAYS_SHIP"]

@@ -121,3 +121,16 @@ def test_agg_through_parent_equals_join_then_aggregate(spark):
     assert out[1]["m"] == 2.0 and out[1]["s"] == 4.0 and out[1]["n"] == 2 and out[1]["hi"] == 3.0
     assert out[1]["r"] == (1.0 * 2.0 + 3.0 * 4.0) / (2.0 + 4.0)
     assert out[2]["m"] == 5.0 and out[2]["r"] is None
+
+
+def test_spec_through_parent_equals_join_then_agg_by(spark):
+    lines = spark.createDataFrame([(10, "1.50", 2), (10, "2.25", None), (11, "3.00", 5), (12, None, 7), (12, "4.10", 1)],
+                                  "o int, a string, k int").select("o", F.col("a").cast("decimal(18,2)").alias("a"), "k")
+    owner = spark.createDataFrame([(10, 1), (11, 1), (12, 2)], "o int, c int")
+    spec = [("a", ["sum", "mean", "min", "max", "count"]), ("k", ["var", "std", "size", "mean"])]
+    via = _by_key(A.agg_spec_through_parent(lines, "o", owner, "c", spec, "P_"), "c")
+    direct = _by_key(A.agg_by(lines.join(owner, "o"), "c", spec, "P_"), "c")
+    for c in (1, 2):
+        for k, v in direct[c].items():
+            w = via[c][k]
+            assert (v is None and w is None) or abs(v - w) < 1e-9, (c, k, v, w)
