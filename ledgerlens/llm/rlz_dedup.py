@@ -28,7 +28,6 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -161,9 +160,9 @@ def _cut(src: DataFrame, covered: DataFrame, touched: np.ndarray, window: int) -
         for c in W.chunks(texts):
             k = len(c.offsets) - 1
             key = _text_key(c)
-            hit = pa.array(W.in_bitmap(touched, key))
+            hit = W.in_bitmap(touched, key)
             yield {"doc_id": ids.slice(c.rows.start, k),
-                   "text": pc.if_else(hit, texts.slice(c.rows.start, k), pa.scalar(None, texts.type)),
+                   "text": texts.take(pa.array(np.arange(c.rows.start, c.rows.stop), mask=~hit)),
                    "tkey": W.as_long(key), "n_words": np.diff(c.first),
                    "sha": [hashlib.sha256(_joined(c, i)).hexdigest() for i in range(k)]}
 
