@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import rlz_dedup  # noqa: F401
+from . import ngram_join, rlz_dedup  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
