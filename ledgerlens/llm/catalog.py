@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scan, ngram_join, rlz_dedup  # noqa: F401
+from . import decontaminate, license_scan, ngram_join, rlz_dedup  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
