@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, license_scan, mixing, ngram_join, rlz_dedup, secret_scan, sharding  # noqa: F401
+from . import decontaminate, license_scan, mixing, ngram_join, rlz_dedup, secret_scan, sharding, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
