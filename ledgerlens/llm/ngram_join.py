@@ -1,25 +1,28 @@
 """N-gram Jaccard join as a T-occurrence search (DivideSkip).
 
 Two documents with sets a and b have Jaccard >= t iff they share at least
-T = t / (1 + t) * (|a| + |b|) shingles.  The inverted lists are divided into
-short and long ones: in one global order (frequent shingles last) a document's
-first |a| - ceil(t |a|) + 1 shingles are its short lists.  A partner must occur
-in one of them at least, so merging the short lists (a shuffle by shingle and a
-count of occurrences) yields every candidate; the long lists are never merged:
-a candidate's sorted set is probed for them by binary search, and the probing
-stops once T can't be reached.
+T = t / (1 + t) * (|a| + |b|) shingles, hence t |a| and t |b| at least.  The
+inverted lists are divided into short and long ones: in one global order
+(frequent shingles last) a document's first |a| - ceil(t |a|) + l shingles are
+its short lists, and the first |a| - ceil(t |a|) + 1 of them its leads.  Partners
+meet in a lead, so leads yield every candidate; they meet in l short lists, and
+more precisely in T less the long lists of either one.  So the short lists of a
+candidate pair are merged and the occurrences counted; the long lists are never
+merged.  For pairs that pass, the smaller set is probed in the larger one by
+binary search, and the probing stops once T can't be reached.
 
 The order only decides the cost: shingles found in several documents of a
-1/64 hash sample of all documents count as frequent.  Any order gives the same
+1/16 hash sample of all documents count as frequent.  Any order gives the same
 links.
 
-Scale: equal sets are one class from the start.  Only shingles present in two
-short lists or more matter (bounded bitmap), so most documents drop out before
-any set moves.  No list emits all its pairs: each list's members are compared
-with its smallest member first, and afterwards only pairs from *different*
-components of the same list are left, which are enumerated component against
-component.  Hot lists are met by partial aggregation and by plain equi-joins
-that AQE can split.
+Scale: equal sets are one class from the start.  A shingle matters only if two
+short lists or more have it (bounded bitmap), and a document only if enough of
+its short lists matter; the others drop out before any set moves.  No list
+emits all its pairs: each list's members are compared with its smallest member
+first, and afterwards only pairs from *different* components of the same list
+are left, which are enumerated component against component.  Pairs are
+counted on their short lists before whole sets move.  Hot lists are met by
+partial aggregation and by plain equi-joins that AQE can split.
 """
 
 from __future__ import annotations
@@ -35,7 +38,8 @@ from .registry import map_batches, query, stored, table
 
 SHINGLE = 5
 PERCENT = 80
-SAMPLE = 64          # one document in SAMPLE informs the order of the shingles
+LEAST = 20           # l: this part of a set (per cent, plus one) must meet in short lists
+SAMPLE = 16          # one document in SAMPLE informs the order of the shingles
 FREQUENT = 3         # ... in which a frequent shingle occurs this often
 BITS = 26            # 8 MB bitmaps
 
@@ -60,49 +64,54 @@ def _key(s: np.ndarray) -> int:
         return int(W.splitmix(np.array([W.splitmix(s).sum() + np.uint64(len(s))], dtype=W.U)).view(np.int64)[0])
 
 
+def _met(n, least: int = LEAST):
+    """Short lists in which partners of sets of n shingles must meet."""
+    return 1 + n * least // 100
+
+
+def _size(n, percent: int, least: int = LEAST):
+    """Number of short lists of a set of n shingles."""
+    return min(n, n - -(-percent * n // 100) + _met(n, least))
+
+
 def _short(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
-    """The short lists of a set: its first |s| - ceil(t |s|) + 1 shingles in the global order."""
-    m = len(s) - -(-percent * len(s) // 100) + 1
+    """The short lists of a set: its first |s| - ceil(t |s|) + l shingles in the global order."""
+    m = _size(len(s), percent)
     hot = W.in_bitmap(frequent, s)
     cool = s[~hot]
     return cool[:m] if len(cool) >= m else np.concatenate([cool, s[hot][:m - len(cool)]])
 
 
-def _verify(percent: int):
-    """Candidates that reach the required overlap, by probing the partner's sorted set."""
+def _common(p: np.ndarray, q: np.ndarray, need: int) -> bool:
+    """Whether two sorted sets share ``need`` elements: the smaller is probed in the larger by binary search,
+    and the search ends as soon as the answer is known."""
+    if len(p) > len(q):
+        p, q = q, p
+    got, at = 0, 0
+    while at < len(p) and got + len(p) - at >= need > got:
+        part = p[at:at + 512]
+        pos = np.searchsorted(q, part)
+        pos[pos == len(q)] = len(q) - 1
+        got += int((q[pos] == part).sum())
+        at += 512
+    return got >= need
+
+
+def _pairs(need):
+    """Batch function: the pairs whose two arrays share ``need(|a|, |b|)`` elements."""
     def run(b: pa.RecordBatch):
-        flat = [b.column(b.schema.names.index(x)) for x in ("seta", "setb")]
-        off = [x.offsets.to_numpy(zero_copy_only=False) for x in flat]
-        val = [x.values.to_numpy(zero_copy_only=False) for x in flat]
-        keep = np.zeros(b.num_rows, bool)
-        for i in range(b.num_rows):
-            p, q = (val[j][off[j][i]:off[j][i + 1]] for j in (0, 1))
-            if len(p) > len(q):
-                p, q = q, p
-            need = -(-percent * (len(p) + len(q)) // (100 + percent))
-            got, at = 0, 0
-            while at < len(p) and got + len(p) - at >= need > got:
-                part = p[at:at + 512]
-                pos = np.searchsorted(q, part)
-                pos[pos == len(q)] = len(q) - 1
-                got += int((q[pos] == part).sum())
-                at += 512
-            keep[i] = got >= need
-        if keep.any():
-            yield {"u": b.column(b.schema.names.index("a")).filter(pa.array(keep)),
-                   "v": b.column(b.schema.names.index("b")).filter(pa.array(keep))}
+        a, b_, an, bn, x, y = (b.column(i) for i in range(6))
+        off = [z.offsets.to_numpy(zero_copy_only=False) for z in (x, y)]
+        val = [z.values.to_numpy(zero_copy_only=False) for z in (x, y)]
+        an_, bn_ = an.to_pylist(), bn.to_pylist()
+        keep = pa.array([_common(val[0][off[0][i]:off[0][i + 1]], val[1][off[1][i]:off[1][i + 1]], need(an_[i], bn_[i]))
+                         for i in range(b.num_rows)])
+        yield {"a": a.filter(keep), "b": b_.filter(keep), "an": an.filter(keep), "bn": bn.filter(keep)}
     return run
 
 
-def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
-         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_size``.
-
-    Null, empty and blank texts have an empty set, link with nothing and keep
-    their own id as component.  Rows with a null id are rows like others and
-    stand behind every known id (component null only if all members are null).
-    Other columns of ``docs`` are ignored; class_size counts rows with the same set.
-    """
+def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, n, k`` and classes ``k, size, component_id, winner`` (the class of the component's first row)."""
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = src.select("text")
 
@@ -133,28 +142,30 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
 
     def candidates(b: pa.RecordBatch):
         for c in W.chunks(b.column(0), fold=W.LOWER):
-            k, n, whole, hits = [], [], [], []
+            k, n, whole, hits, leads = [], [], [], [], []
             for s in _sets(c, size):
                 if len(s):
                     p = _short(s, percent, frequent)
-                    p = p[W.in_bitmap(shared, p)]
-                    if len(p):
+                    lead = p[:_size(len(s), percent, 0)]
+                    p, lead = p[W.in_bitmap(shared, p)], lead[W.in_bitmap(shared, lead)]
+                    if len(lead) and len(p) >= _met(-(-percent * len(s) // 100)):
                         k.append(_key(s))
                         n.append(len(s))
-                        whole.append(W.as_long(np.sort(W.as_long(s))))
-                        hits.append(W.as_long(p))
+                        whole.append(np.sort(W.as_long(s)))
+                        hits.append(np.sort(W.as_long(p)))
+                        leads.append(W.as_long(lead))
             if k:
-                yield {"k": k, "n": n, "elements": whole, "hits": hits}
+                yield {"k": k, "n": n, "elements": whole, "hits": hits, "leads": leads}
 
-    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, hits array<long>")
-                   .dropDuplicates(["k", "n"]), "join-sets")
-    posting = found.select("k", "n", F.explode("hits").alias("h"))
+    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, hits array<long>, leads array<long>")
+                   .dropDuplicates(["k"]), "join-sets")
+    posting = found.select("k", "n", F.explode("leads").alias("h"))
     centre = stored(posting.groupBy("h").agg(F.min(F.struct("k", "n")).alias("c"), F.max("k").alias("hi"))
                     .where("c.k < hi").select("h", F.col("c.k").alias("ck"), F.col("c.n").alias("cn")), "join-centres")
     fits = f"100 * least(an, bn) >= {percent} * greatest(an, bn)"
     first = stored(posting.join(centre, "h").where("k != ck")
                    .select(F.col("k").alias("a"), F.col("ck").alias("b"), F.col("n").alias("an"), F.col("cn").alias("bn"))
-                   .where(fits).groupBy("a", "b").agg(F.count(F.lit(1)).alias("merged")), "join-pairs")
+                   .where(fits).distinct(), "join-pairs")
     links = stored(_linked(first, found, percent), "join-links")
     comp = stored(components(links), "join-comp")
 
@@ -172,39 +183,100 @@ def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
                    .select(F.col("p.h").alias("h"), F.col("p.comp").alias("ca"), F.col("q.comp").alias("cb")), "join-sides")
     pairs = (sides.join(rest.select("h", F.col("comp").alias("ca"), F.col("k").alias("a"), F.col("n").alias("an")), ["h", "ca"])
              .join(rest.select("h", F.col("comp").alias("cb"), F.col("k").alias("b"), F.col("n").alias("bn")), ["h", "cb"])
-             .where(fits).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+             .where(fits).selectExpr("greatest(a, b) a", "least(a, b) b", "if(a > b, an, bn) an", "if(a > b, bn, an) bn").distinct())
     second = stored(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
     more = stored(_linked(second, found, percent), "join-links")
     comp = stored(components(links.unionAll(more)), "join-comp")
 
-    classes = members.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("size"))
-    placed = stored(classes.join(comp, F.col("k") == F.col("node"), "left")
+    sized = members.where("k is not null").groupBy("k").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("lo"), F.count(F.lit(1)).alias("size"))
+    placed = stored(sized.join(comp, F.col("k") == F.col("node"), "left")
                     .select("k", "lo", "size", F.coalesce("comp", "k").alias("comp")), "join-classes")
-    named = stored(placed.join(placed.groupBy("comp").agg(F.min("lo").alias("component_id")), "comp")
-                   .select("k", "size", "component_id"), "join-named")
+    named = stored(placed.join(placed.groupBy("comp").agg(F.min("lo").alias("w")), "comp")
+                   .select("k", "size", F.col("w.doc_id").alias("component_id"), F.col("w.k").alias("winner")), "join-named")
+    return members, named
+
+
+def join(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
+         id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_shingles, component_id, class_size``.
+
+    Null, empty and blank texts have an empty set, link with nothing and keep
+    their own id as component.  Rows with a null id are rows like others and
+    stand behind every known id (component null only if all members are null).
+    Other columns of ``docs`` are ignored; class_size counts rows with the same set.
+    """
+    members, named = classes(docs, percent, size, id_col, text_col)
     return (members.select("doc_id", "n", "k").join(named, "k", "left")
-            .select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"),
+            .select("doc_id", F.col("n").alias("n_shingles"),
+                    F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
                     F.coalesce("size", F.lit(1).cast("long")).alias("class_size")))
 
 
-def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Links among candidate pairs (a, b): both sets meet by two joins, the smaller side is probed in the larger.
+def representatives(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE,
+                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (all columns) without near duplicates: the first row of each component stays.
 
-    Sets without a pair are kept out of the shuffle by a bounded bitmap.
+    Rows without words stay.  Texts are shuffled only for rows that aren't
+    alone in their component (and the few that a bounded bitmap can't tell from
+    them); the others are passed on where they are read.
     """
-    import pyarrow.compute as pc
+    members, named = classes(docs, percent, size, id_col, text_col)
+    alone = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("k") == F.col("winner"))
+    risky = stored(members.select("doc_id", "k").join(named, "k").where(~alone | (F.col("size") > 1))
+                   .select("doc_id", "k", alone.alias("first")).distinct(), "join-risky")
+    marks = W.bitmap(risky.select(F.xxhash64("doc_id").alias("h")), "h", BITS)
+    names = docs.columns
+    taken = set(names)
+    key = next(x for x in ("k" + "_" * i for i in range(len(names) + 1)) if x not in taken)
+    hashed = docs.select("*", F.xxhash64(F.col(id_col).cast("long")).alias(key))
+
+    def passed(batches):
+        for b in batches:
+            hit = W.in_bitmap(marks, b.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], names=names).filter(pa.array(~hit))
+
+    def held(batches):
+        for b in batches:
+            b = b.filter(pa.array(W.in_bitmap(marks, b.column(len(names)).to_numpy(zero_copy_only=False).astype(np.int64))))
+            keys = [_key(s) if len(s) else None for c in W.chunks(b.column(names.index(text_col)), fold=W.LOWER)
+                    for s in _sets(c, size)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.int64())], names=[*names, key])
+
+    clear = hashed.mapInArrow(passed, docs.schema)
+    rest = hashed.mapInArrow(held, hashed.schema).alias("d").join(
+        risky.alias("r"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.doc_id")) & (F.col(f"d.`{key}`") == F.col("r.k")), "left")
+    whole = [F.col(f"d.`{n}`").alias(n) for n in names]
+    unknown = rest.where("r.k is null").select(*whole)
+    first = rest.where("r.first").select(F.struct(*whole).alias("row"), F.col("r.doc_id"), F.col("r.k")).dropDuplicates(["doc_id", "k"])
+    return clear.unionAll(unknown).unionAll(first.select(*[F.col(f"row.`{n}`").alias(n) for n in names]))
+
+
+def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """Links among candidate pairs (a, b, an, bn): first the short lists of both are counted, then whole sets probed."""
+    def whole(m, n):
+        return -(-percent * (m + n) // (100 + percent))
+
+    def short(m, n):
+        return max(1, whole(m, n) - max(m - _size(m, percent), n - _size(n, percent)))
+
+    near = stored(_meet(pairs, found, "hits", short), "join-near")
+    return _meet(near, found, "elements", whole).selectExpr("a u", "b v")
+
 
-    used = W.bitmap(pairs.select(F.col("a").alias("k")).unionAll(pairs.select("b")), "k", BITS - 3)
+def _meet(pairs: DataFrame, found: DataFrame, column: str, need) -> DataFrame:
+    """Pairs whose arrays share enough elements; arrays without a pair are kept out of the shuffle by a bounded bitmap."""
+    used = W.bitmap(pairs.selectExpr("a k").unionAll(pairs.select("b")), "k", BITS - 3)
 
     def wanted(b: pa.RecordBatch):
         hit = W.in_bitmap(used, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
         if hit.any():
-            yield {"k": pc.filter(b.column(0), pa.array(hit)), "elements": pc.filter(b.column(1), pa.array(hit))}
+            yield {"k": b.column(0).filter(pa.array(hit)), "x": b.column(1).filter(pa.array(hit))}
 
-    some = map_batches(found.select("k", "elements"), wanted, "k long, elements array<long>")
-    both = (pairs.select("a", "b").join(some.select(F.col("k").alias("a"), F.col("elements").alias("seta")), "a")
-            .join(some.select(F.col("k").alias("b"), F.col("elements").alias("setb")), "b"))
-    return map_batches(both, _verify(percent), "u long, v long")
+    some = map_batches(found.select("k", column), wanted, "k long, x array<long>")
+    both = (pairs.join(some.selectExpr("k a", "x"), "a").join(some.selectExpr("k b", "x y"), "b")
+            .select("a", "b", "an", "bn", "x", "y"))
+    return map_batches(both, _pairs(need), "a long, b long, an long, bn long")
 
 
 SQL = r"""
