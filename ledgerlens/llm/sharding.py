@@ -2,14 +2,16 @@
 
 Equal texts are one node (weight: rows).  Nodes are linked through lines of at
 least ``LINE`` bytes that they share; a shared line is a hub, so a line of k
-documents is k links, never k^2 pairs.  Each node starts in the shard of its
-rarest shared line.  Then, for some rounds, a line takes the shard that most of
-its documents are in, and a document wants the shard that most of its lines are
-in (a line counts 1 / its documents).  Moves from shard a to b are granted up
-to a quota: what wants to go the other way plus a share of b's free capacity.
-Who moves within a quota is drawn by hash, so no round needs an order.
-
-At last the rows are laid out by (shard, rarest line, text) and cut into equal
+documents is k links, never k^2 pairs.  One round of propagation: a line takes
+the label that most of its documents have, and a document wants the label that
+most of its lines have (a line counts 1 / its documents).  First clusters form:
+each node is labelled with its rarest shared line and follows its neighbours
+freely.  Clusters are then dealt to the shards, and nodes move towards their
+neighbours' shards.  Moves from shard a to b are granted up to a quota: what
+wants to go the other way plus a share of b's free capacity.  Who moves within
+a quota is drawn by hash per cluster, so no round needs an order.
+
+At last the rows are laid out by (shard, cluster, text) and cut into equal
 parts: the law ``rows`` holds exactly (counts at most one apart), and linked
 documents stand next to one another, also where the cut had to move a border.
 
@@ -28,7 +30,7 @@ from .registry import query, stored, table
 
 SHARDS = 24
 LINE = 40
-ROUNDS = 3
+CLUSTER_ROUNDS, ROUNDS = 3, 3
 SLACK = 0.05         # capacity above an equal share while labels move
 ROWS, PARTS = 200, 8000
 
@@ -52,19 +54,27 @@ def links(docs: DataFrame, text_col: str) -> DataFrame:
     return stored(every.join(shared, "line"), "shard-links")
 
 
+def wishes(state: DataFrame, edges: DataFrame, label: str) -> DataFrame:
+    """``node, want``: the label that a node's lines have most of (a line counts 1 / deg); ties go to the smaller."""
+    votes = (edges.join(state, "node").groupBy("line", label).agg(F.sum("w").alias("n"))
+             .groupBy("line").agg(F.min(F.struct((-F.col("n")).alias("n"), label)).alias("m")))
+    votes = stored(votes.select("line", F.col(f"m.{label}").alias("vote")), "shard-votes")
+    return (edges.join(votes, "line").groupBy("node", "vote").agg(F.round(F.sum(-1 / F.col("deg")), 9).alias("s"))
+            .groupBy("node").agg(F.min(F.struct("s", "vote")).alias("m")).select("node", F.col("m.vote").alias("want")))
+
+
 def propagate(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int, total: int) -> DataFrame:
-    """``node, w, key, label`` after some rounds of balanced label propagation."""
+    """``node, w, key, label``: clusters by free, then shards by balanced label propagation."""
     start = edges.groupBy("node").agg(F.min(F.struct("deg", "line")).alias("r"))
-    state = stored(nodes.join(start, "node", "left").withColumn("key", F.coalesce(F.col("r.line"), F.col("node")))
-                   .select("node", "w", "key", _hash("key", mod=shards).cast("int").alias("label")), "shard-labels")
+    state = stored(nodes.join(start, "node", "left").select("node", "w", F.coalesce(F.col("r.line"), F.col("node")).alias("key")),
+                   "shard-keys")
+    for _ in range(CLUSTER_ROUNDS):
+        state = stored(state.join(wishes(state, edges, "key"), "node", "left")
+                       .select("node", "w", F.coalesce("want", "key").alias("key")), "shard-keys")
+    state = state.withColumn("label", _hash("key", mod=shards).cast("int"))
     cap = total / shards * (1 + SLACK)
     for r in range(rounds):
-        votes = (edges.join(state, "node").groupBy("line", "label").agg(F.sum("w").alias("n"))
-                 .groupBy("line").agg(F.max(F.struct("n", -F.col("label"))).alias("m")))
-        votes = stored(votes.select("line", (-F.col("m.col2")).alias("vote")), "shard-votes")
-        want = (edges.join(votes, "line").groupBy("node", "vote").agg(F.sum(1 / F.col("deg")).alias("s"))
-                .groupBy("node").agg(F.max(F.struct(F.round("s", 9), -F.col("vote"))).alias("m"))
-                .select("node", (-F.col("m.col2")).alias("want")))
+        want = wishes(state, edges, "label")
         asked = stored(state.join(want, "node", "left").withColumn("want", F.coalesce("want", "label")), "shard-asks")
         flow = asked.where("want != label").groupBy(F.col("label").alias("a"), F.col("want").alias("b")).agg(F.sum("w").alias("m"))
         back = flow.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("m").alias("reverse"))
@@ -103,7 +113,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     # positions: (label, part, salt) buckets of about `size` rows each, laid end to end
     size = max(ROWS, -(-total // PARTS))
     parts = max(1, total // shards // size)
-    spot = state.select("node", "label", _hash("key", mod=parts).alias("part"), F.xxhash64("key").alias("near"),
+    spot = state.select("node", "label", _hash("key", F.lit(7), mod=parts).alias("part"), F.xxhash64("key").alias("near"),
                         F.ceil(F.col("w") / size).alias("salts"))
     placed = stored(rows.join(spot, "node")
                     .withColumn("salt", _hash("doc_id", mod=F.col("salts"))).drop("salts"), "shard-places")
