@@ -1,4 +1,4 @@
-"""Connected components by alternating large-star and small-star steps."""
+"""Connected components by minimum labels and pointer jumping."""
 
 from __future__ import annotations
 
@@ -8,42 +8,24 @@ from pyspark.sql import functions as F
 from .registry import stored
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """Hang the larger (or smaller) neighbours of every node on its smallest one.
-
-    The minimum per node is a partial aggregation, and it is stored so that the
-    join back is a plain equi-join that AQE can split at a hot node.
-    """
-    if large:
-        near = edges.select("u", "v").unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    else:
-        near = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    low = stored(near.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("m")), "cc-min")
-    joined = near.join(low, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(
-            low.select("u", F.col("m").alias("v")))
-    return stored(out.where("u != v").distinct(), "cc-edges")
-
-
 def components(edges: DataFrame) -> DataFrame:
     """``node, comp`` for every node of ``edges(u, v)`` (longs): comp is the smallest node reachable.
 
-    Ends when a round changes nothing; rounds grow with the logarithm of the
-    longest path, not with the number of nodes.
+    A round gives each node the smallest label among its neighbours and itself,
+    then the label of that label (a label is a node of the same component, so
+    chains halve).  It ends when a round changes nothing.  A node's minimum is
+    a partial aggregation, and labels are stored, so a hot node is met by plain
+    equi-joins that AQE can split.
     """
-    e = stored(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(),
-               "cc-edges")
-    mark = None
-    while True:
-        r = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if mark == tuple(r):
-            break
-        mark = tuple(r)
-        if not r[0]:
-            break
-        e = _star(_star(e, True), False)
-    return e.select(F.col("u").alias("node"), F.col("v").alias("comp")).unionAll(
-        e.select(F.col("v").alias("node"), F.col("v").alias("comp"))).distinct()
+    both = edges.where("u != v")
+    both = stored(both.select("u", "v").unionAll(both.select("v", "u")).distinct(), "cc-edges")
+    state = stored(both.groupBy("u").agg(F.least(F.min("v"), F.min("u")).alias("comp"))
+                   .selectExpr("u node", "comp", "true moved"), "cc-labels")
+    while state.where("moved").limit(1).count():
+        label = state.select("node", "comp")
+        near = (both.join(label.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("comp").alias("near")))
+        low = (state.join(near, F.col("node") == F.col("u")).select("node", F.col("comp").alias("old"), F.least("comp", "near").alias("low")))
+        jump = label.select(F.col("node").alias("low"), F.col("comp").alias("next"))
+        state = stored(low.join(jump, "low").select("node", F.least("low", "next").alias("comp"), "old")
+                       .selectExpr("node", "comp", "comp < old moved"), "cc-labels")
+    return state.select("node", "comp")

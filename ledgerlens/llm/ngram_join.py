@@ -166,32 +166,32 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
     first = stored(posting.join(centre, "h").where("k != ck")
                    .select(F.col("k").alias("a"), F.col("ck").alias("b"), F.col("n").alias("an"), F.col("cn").alias("bn"))
                    .where(fits).distinct(), "join-pairs")
-    links = stored(_linked(first, found, percent), "join-links")
-    comp = stored(components(links), "join-comp")
+    comp = components(_linked(first, found, percent))
 
     # what is left: pairs of different components within one list
-    owner = (posting.join(comp, posting["k"] == comp["node"], "left")
-             .select("h", "k", "n", F.coalesce("comp", "k").alias("comp")))
-    per_list = owner.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    mixed = per_list.groupBy("h").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("h")
-    mixed = stored(mixed, "join-mixed")
-    parts = stored(per_list.join(mixed, "h"), "join-parts")
-    rest = stored(owner.join(mixed, "h"), "join-rest")
+    owner = stored(posting.join(comp, posting["k"] == comp["node"], "left")
+                   .select("h", "k", "n", F.coalesce("comp", "k").alias("comp")), "join-owners")
+    parts = owner.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     p, q = parts.alias("p"), parts.alias("q")
-    sides = stored(p.join(q, F.col("p.h") == F.col("q.h"))
-                   .where(f"p.comp < q.comp and 100 * p.hi >= {percent} * q.lo and 100 * q.hi >= {percent} * p.lo")
-                   .select(F.col("p.h").alias("h"), F.col("p.comp").alias("ca"), F.col("q.comp").alias("cb")), "join-sides")
-    pairs = (sides.join(rest.select("h", F.col("comp").alias("ca"), F.col("k").alias("a"), F.col("n").alias("an")), ["h", "ca"])
-             .join(rest.select("h", F.col("comp").alias("cb"), F.col("k").alias("b"), F.col("n").alias("bn")), ["h", "cb"])
+    sides = (p.join(q, F.col("p.h") == F.col("q.h"))
+             .where(f"p.comp < q.comp and 100 * p.hi >= {percent} * q.lo and 100 * q.hi >= {percent} * p.lo")
+             .select(F.col("p.h").alias("h"), F.col("p.comp").alias("ca"), F.col("q.comp").alias("cb")))
+    pairs = (sides.join(owner.selectExpr("h", "comp ca", "k a", "n an"), ["h", "ca"])
+             .join(owner.selectExpr("h", "comp cb", "k b", "n bn"), ["h", "cb"])
              .where(fits).selectExpr("greatest(a, b) a", "least(a, b) b", "if(a > b, an, bn) an", "if(a > b, bn, an) bn").distinct())
     second = stored(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
-    more = stored(_linked(second, found, percent), "join-links")
-    comp = stored(components(links.unionAll(more)), "join-comp")
+    more = _linked(second, found, percent)
+    # links between components; what a component holds already is one node
+    of = comp.selectExpr("node", "comp")
+    merged = (more.join(of.selectExpr("node u", "comp cu"), "u", "left").join(of.selectExpr("node v", "comp cv"), "v", "left")
+              .selectExpr("coalesce(cu, u) u", "coalesce(cv, v) v"))
+    joined = components(merged)
+    comp = (comp.join(joined.selectExpr("node comp", "comp top"), "comp", "left").selectExpr("node", "coalesce(top, comp) comp")
+            .unionAll(joined.selectExpr("node", "comp").join(comp.select("node"), "node", "left_anti")))
 
     sized = members.where("k is not null").groupBy("k").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "k")).alias("lo"), F.count(F.lit(1)).alias("size"))
-    placed = stored(sized.join(comp, F.col("k") == F.col("node"), "left")
-                    .select("k", "lo", "size", F.coalesce("comp", "k").alias("comp")), "join-classes")
+    placed = sized.join(comp, F.col("k") == F.col("node"), "left").select("k", "lo", "size", F.coalesce("comp", "k").alias("comp"))
     named = stored(placed.join(placed.groupBy("comp").agg(F.min("lo").alias("w")), "comp")
                    .select("k", "size", F.col("w.doc_id").alias("component_id"), F.col("w.k").alias("winner")), "join-named")
     return members, named
@@ -261,19 +261,21 @@ def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
         return max(1, whole(m, n) - max(m - _size(m, percent), n - _size(n, percent)))
 
     near = stored(_meet(pairs, found, "hits", short), "join-near")
-    return _meet(near, found, "elements", whole).selectExpr("a u", "b v")
+    return _meet(near, found, "elements", whole, bounded=True).selectExpr("a u", "b v")
 
 
-def _meet(pairs: DataFrame, found: DataFrame, column: str, need) -> DataFrame:
-    """Pairs whose arrays share enough elements; arrays without a pair are kept out of the shuffle by a bounded bitmap."""
-    used = W.bitmap(pairs.selectExpr("a k").unionAll(pairs.select("b")), "k", BITS - 3)
+def _meet(pairs: DataFrame, found: DataFrame, column: str, need, bounded: bool = False) -> DataFrame:
+    """Pairs whose arrays share enough elements; with ``bounded`` a bitmap keeps arrays without a pair out of the shuffle."""
+    some = found.select("k", F.col(column).alias("x"))
+    if bounded:
+        used = W.bitmap(pairs.selectExpr("a k").unionAll(pairs.select("b")), "k", BITS - 3)
 
-    def wanted(b: pa.RecordBatch):
-        hit = W.in_bitmap(used, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        if hit.any():
-            yield {"k": b.column(0).filter(pa.array(hit)), "x": b.column(1).filter(pa.array(hit))}
+        def wanted(b: pa.RecordBatch):
+            hit = W.in_bitmap(used, b.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            if hit.any():
+                yield {"k": b.column(0).filter(pa.array(hit)), "x": b.column(1).filter(pa.array(hit))}
 
-    some = map_batches(found.select("k", column), wanted, "k long, x array<long>")
+        some = map_batches(some, wanted, "k long, x array<long>")
     both = (pairs.join(some.selectExpr("k a", "x"), "a").join(some.selectExpr("k b", "x y"), "b")
             .select("a", "b", "an", "bn", "x", "y"))
     return map_batches(both, _pairs(need), "a long, b long, an long, bn long")

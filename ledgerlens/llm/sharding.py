@@ -30,7 +30,7 @@ from .registry import query, stored, table
 
 SHARDS = 24
 LINE = 40
-CLUSTER_ROUNDS, ROUNDS = 3, 3
+CLUSTER_ROUNDS, ROUNDS = 2, 2
 SLACK = 0.05         # capacity above an equal share while labels move
 ROWS, PARTS = 200, 8000
 
@@ -85,9 +85,8 @@ def propagate(nodes: DataFrame, edges: DataFrame, shards: int, rounds: int, tota
                          ((F.least("m", F.coalesce("reverse", F.lit(0)))
                            + F.greatest(F.lit(cap) - F.coalesce("load", F.lit(0)), F.lit(0.0)) * F.col("m") / F.col("asked"))
                           / F.col("m")).alias("part")))
-        quota = stored(quota, "shard-quota")          # at most shards^2 rows
         drawn = _hash("key", F.lit(r), mod=1 << 30) / float(1 << 30)
-        state = stored(asked.join(quota, ["label", "want"], "left")
+        state = stored(asked.join(F.broadcast(quota), ["label", "want"], "left")      # at most shards^2 rows
                        .select("node", "w", "key", F.when(drawn < F.coalesce("part", F.lit(0.0)), F.col("want"))
                                .otherwise(F.col("label")).alias("label")), "shard-labels")
     return state
