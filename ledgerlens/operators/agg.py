@@ -24,7 +24,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
 
-from ..functions.exprs import col
 
 Spec = Union[Sequence[tuple[str, Sequence[str]]], Mapping[str, Sequence[str]]]
 
@@ -51,13 +50,14 @@ def merge_specs(*specs: Spec) -> list[tuple[str, list[str]]]:
     return list(merged.items())
 
 
+FAST_PRECISION = 12
 SCALE_KEY = "unscaled_scale"  # column metadata: value = long * 10**-scale
 
 
 def fast_decimal_scale(dt) -> int | None:
-    """Scale of a decimal that fits in a long with room for sums (the exact
-    fast path), else None (Spark's wide-decimal path)."""
-    if isinstance(dt, DecimalType) and dt.precision <= 18 and dt.scale <= 6:
+    """Scale of a decimal whose integer units leave a long a million-fold room
+    for sums (the exact fast path), else None (Spark's wide-decimal path)."""
+    if isinstance(dt, DecimalType) and dt.precision <= FAST_PRECISION and dt.scale <= 6:
         return dt.scale
     return None
 
@@ -65,7 +65,7 @@ def fast_decimal_scale(dt) -> int | None:
 def unscaled(x: Column, scale: int) -> Column:
     """Exact integer units of a long-sized decimal (e.g. cents): Spark sums
     longs far faster than the 28-digit decimals of a decimal ``sum``."""
-    return F.round(x.cast("double") * F.lit(float(10 ** scale))).cast("long")
+    return (x * F.lit(10 ** scale)).cast("long")  # decimal arithmetic throughout
 
 
 def _from_units(total: Column, scale: int) -> Column:
@@ -170,11 +170,6 @@ def agg_by(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "
     items = spec_items(spec)
     names = [f"{prefix}{c}_{f.upper()}" for c, fs in items for f in fs]
     holistic = {"mode"} | (set(QUANTILES) if exact else set())
-    distinct_cols = [c for c, fs in items if "nunique" in fs] if exact else []
-    if len(distinct_cols) >= 2:
-        # several exact distinct counts: one unpivoted (key, column, value)
-        # pass instead of Spark's Expand, which copies every row per column
-        holistic.add("nunique")
     simple = [(c, [f for f in fs if f not in holistic]) for c, fs in items]
     simple = [(c, fs) for c, fs in simple if fs]
     exprs = [*agg_exprs(simple, prefix, df=df, exact=exact, keep_decimal=keep_decimal), *extra]
@@ -190,28 +185,11 @@ def agg_by(df: DataFrame, keys: str | Sequence[str], spec: Spec, prefix: str = "
             F.max(F.when(F.col("column_name") == c, F.col(f"q{probs.index(QUANTILES[f])}")))
             .alias(f"{prefix}{c}_{f.upper()}") for c, f in wanted])
         out = out.join(back, keys, "left")
-    if "nunique" in holistic:
-        out = out.join(_multi_nunique(df, keys, distinct_cols, prefix), keys, "left")
     for c, fs in items:
         if "mode" in fs:
             out = out.join(distributed_mode(df, keys, c, f"{prefix}{c}_MODE"), keys, "left")
     extra_names = [c for c in out.columns if c not in keys and c not in names and c != "__rows"]
-    zero = {f"{prefix}{c}_NUNIQUE" for c in distinct_cols} if "nunique" in holistic else set()
-    return out.select(*keys, *[F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias(n) if n in zero
-                               else F.col(f"`{n}`") for n in names], *extra_names)
-
-
-def _multi_nunique(df: DataFrame, keys: list[str], cols: Sequence[str], prefix: str) -> DataFrame:
-    """Exact distinct counts of several columns per key in one pass:
-    distinct (key, column, value) rows, counted per (key, column), pivoted
-    back with one aggregate.  A key with no value in a column gets 0."""
-    long = df.select(*keys, F.explode(F.array(*[
-        F.struct(F.lit(i).alias("__c"), F.col(f"`{c}`").cast("string").alias("__v"))
-        for i, c in enumerate(cols)])).alias("__s")).select(*keys, "__s.__c", "__s.__v")
-    per = (long.where(F.col("__v").isNotNull()).select(*keys, "__c", "__v").distinct()
-           .groupBy(*keys, "__c").agg(F.count(F.lit(1)).alias("__nd")))
-    return per.groupBy(*keys).agg(*[F.coalesce(F.max(F.when(F.col("__c") == i, F.col("__nd"))), F.lit(0))
-                                   .alias(f"{prefix}{c}_NUNIQUE") for i, c in enumerate(cols)])
+    return out.select(*keys, *[F.col(f"`{n}`") for n in names], *extra_names)
 
 
 def agg_all_columns(df: DataFrame, keys: str | Sequence[str], funcs: Sequence[str],
@@ -281,6 +259,35 @@ def _subset_quantiles(df: DataFrame, keys: list[str], requests) -> DataFrame:
         .alias(f"{p}{c}_{f.upper()}") for p, _, c, f in requests])
 
 
+def _second_level_value(v: Column, field):
+    """A level-1 value as it enters level 2 (integer units where it has them),
+    and the way back to a double."""
+    sc = (field.metadata or {}).get(SCALE_KEY)
+    if sc is None and isinstance(field.dataType, DecimalType):
+        sc = fast_decimal_scale(field.dataType)
+        if sc is not None:
+            v = unscaled(v, sc)
+    elif sc is None:
+        v = v.cast("double")
+
+    def back(t: Column) -> Column:
+        return _from_units(t, sc) if sc is not None else t.cast("double")
+    return v, back
+
+
+def _weighted(func: str, v: Column, n: Column, back) -> Column:
+    """Level-2 aggregate of ``v`` where every mid row stands for ``n`` detail rows."""
+    if func == "mean":
+        return F.try_divide(back(F.sum(v * n)), F.sum(F.when(v.isNotNull(), n)).cast("double"))
+    if func == "max":
+        return back(F.max(v))
+    if func == "min":
+        return back(F.min(v))
+    if func == "sum":
+        return F.coalesce(back(F.sum(v * n)), F.lit(0.0))
+    raise ValueError(f"weighted second level supports mean/max/min/sum, not {func}")
+
+
 def two_level_weighted_agg(df: DataFrame, root_key: str, mid_key: str, spec: Spec,
                            funcs2: Sequence[str], prefix: str,
                            count_name: str | None = None, exact: bool = True,
@@ -309,29 +316,8 @@ def two_level_weighted_agg(df: DataFrame, root_key: str, mid_key: str, spec: Spe
     n = F.col("__n")
     exprs = []
     for c in feats:
-        v = F.col(f"`{c}`")
-        sc = (fields[c].metadata or {}).get(SCALE_KEY)
-        if sc is None and isinstance(fields[c].dataType, DecimalType):
-            sc = fast_decimal_scale(fields[c].dataType)
-            if sc is not None:
-                v = unscaled(v, sc)
-        elif sc is None:
-            v = v.cast("double")
-
-        def back(t):  # a weighted unit sum back to a double value
-            return _from_units(t, sc) if sc is not None else t.cast("double")
-        for f in funcs2:
-            if f == "mean":
-                e = F.try_divide(back(F.sum(v * n)), F.sum(F.when(v.isNotNull(), n)).cast("double"))
-            elif f == "max":
-                e = back(F.max(v))
-            elif f == "min":
-                e = back(F.min(v))
-            elif f == "sum":
-                e = F.coalesce(back(F.sum(v * n)), F.lit(0.0))
-            else:
-                raise ValueError(f"weighted second level supports mean/max/min/sum, not {f}")
-            exprs.append(e.alias(f"{prefix}{c}_{f.upper()}"))
+        v, back = _second_level_value(F.col(f"`{c}`"), fields[c])
+        exprs += [_weighted(f, v, n, back).alias(f"{prefix}{c}_{f.upper()}") for f in funcs2]
     if count_name:
         exprs.append(F.sum(n).alias(count_name))
     return lvl1.groupBy(root_key).agg(*exprs)
@@ -351,19 +337,6 @@ def two_level_agg(child: DataFrame, grandchild: DataFrame, child_key: str, root_
     return agg_by(joined, root_key, spec2_of(lvl1_feats), prefix2, exact=exact)
 
 
-def recency_weighted_mean(x: str | Column, months: str | Column, power: float = 0.5) -> Column:
-    """mean(x * (-1/m) ** power) over rows (not normalised by the weights)."""
-    from ..functions.exprs import recency_weight
-    return F.avg(col(x).cast("double") * recency_weight(months, power))
-
-
-def weighted_average(x: str | Column, w: str | Column) -> Column:
-    """sum(x*w) / sum(w) over rows where both are present."""
-    xv, wv = col(x).cast("double"), col(w).cast("double")
-    both = xv.isNotNull() & wv.isNotNull()
-    return F.try_divide(F.sum(F.when(both, xv * wv)), F.sum(F.when(both, wv)))
-
-
 def agg_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root_key: str,
                        aggs: Mapping[str, tuple]) -> DataFrame:
     """Per-root aggregates of detail rows that carry only a mid-level key
@@ -408,47 +381,100 @@ def agg_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root_key:
 DECOMPOSABLE = {"min", "max", "sum", "mean", "count", "size", "var", "std"}
 
 
+class MidPass:
+    """Several feature blocks over the same detail rows in one pass: algebraic
+    partial aggregates per mid key (one shuffle of the detail table), joined
+    to the ``(mid_key, root_key, ...)`` parent and combined per root.
+
+    ``direct`` blocks equal an aggregate over the detail rows, ``weighted``
+    blocks equal a mid-level aggregate merged back onto every detail row (see
+    ``two_level_weighted_agg``), and parent columns can be aggregated beside
+    them, each parent row counting once."""
+
+    def __init__(self, df: DataFrame, mid_key: str):
+        self.df, self.mid_key = df, mid_key
+        self.types = {f.name: f.dataType for f in df.schema.fields}
+        self.partial: list[Column] = [F.count(F.lit(1)).alias("__rows")]
+        self.final: list[tuple[str, Column]] = []
+        self.means: list[Column] = []
+        self.names: list[str] = []
+        self._i = 0
+
+    def direct(self, spec: Spec, prefix: str = "") -> MidPass:
+        items = spec_items(spec)
+        bad = {f for _, fs in items for f in fs} - DECOMPOSABLE
+        if bad:
+            raise ValueError(f"not decomposable through the parent: {sorted(bad)}")
+        for c, fs in items:
+            i, self._i = self._i, self._i + 1
+            x, sc = F.col(f"`{c}`"), fast_decimal_scale(self.types[c])
+            d = x.cast("double")
+            self.partial += [F.count(x).alias(f"__n{i}"),
+                             F.sum(unscaled(x, sc) if sc is not None else d).alias(f"__s{i}"),
+                             F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
+            n = F.sum(f"__n{i}").cast("double")
+            total = F.sum(f"__s{i}")
+            total = _from_units(total, sc) if sc is not None else total.cast("double")
+            if {"var", "std"} & set(fs):
+                # squares are taken about the mean at both levels: within each
+                # mid key here, between mid keys about the root's mean later
+                self.partial += [F.avg(d).alias(f"__mu{i}"), (F.var_pop(d) * F.count(x)).alias(f"__m2{i}")]
+                self.means.append(F.try_divide(total, n).alias(f"__mean{i}"))
+            for f in fs:
+                if f == "sum":
+                    e = F.coalesce(total, F.lit(0.0))
+                elif f == "mean":
+                    e = F.try_divide(total, n)
+                elif f in ("min", "max"):
+                    e = F.min(f"__lo{i}") if f == "min" else F.max(f"__hi{i}")
+                    if isinstance(self.types[c], DecimalType):
+                        e = e.cast("double")
+                elif f == "count":
+                    e = F.sum(f"__n{i}")
+                elif f == "size":
+                    e = F.sum("__rows")
+                else:
+                    gap = F.col(f"__mu{i}") - F.col(f"__mean{i}")
+                    m2 = F.sum(F.col(f"__m2{i}") + F.col(f"__n{i}") * gap * gap)
+                    var = F.when(n > 1, m2 / (n - 1))
+                    e = var if f == "var" else F.sqrt(var)
+                self.final.append((f"{prefix}{c}_{f.upper()}", e))
+        return self
+
+    def weighted(self, spec: Spec, funcs2: Sequence[str], prefix: str, count_name: str | None = None) -> MidPass:
+        first = agg_exprs(spec, prefix, df=self.df, keep_decimal=True)
+        self.partial += first
+        schema = self.df.groupBy(self.mid_key).agg(*first).schema.fields
+        for field in schema[1:]:
+            v = F.col(f"`{field.name}`")
+            v, back = _second_level_value(v, field)
+            for f in funcs2:
+                self.final.append((f"{prefix}{field.name}_{f.upper()}", _weighted(f, v, F.col("__rows"), back)))
+        if count_name:
+            self.final.append((count_name, F.sum("__rows")))
+        return self
+
+    def per_mid(self) -> DataFrame:
+        """One row per mid key with every block's partial aggregates."""
+        return self.df.groupBy(self.mid_key).agg(*self.partial)
+
+    def run(self, parent: DataFrame, root_key: str, extra: Sequence[Column] = (), how: str = "inner") -> DataFrame:
+        """Per root: every block, then ``extra`` aggregates over parent rows.
+        With ``how="left"`` parent rows without detail rows count for ``extra``
+        and a root without any detail row has NULL in the blocks."""
+        rows = parent.join(self.per_mid(), self.mid_key, how)
+        if self.means:  # a second aggregate over the same few rows, with the root's means at hand
+            rows = rows.join(rows.groupBy(root_key).agg(*self.means), root_key)
+        some = F.sum("__rows").isNotNull()
+        final = [(e if how == "inner" else F.when(some, e)).alias(n) for n, e in self.final]
+        return rows.groupBy(root_key).agg(*final, *extra)
+
+
 def agg_spec_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root_key: str,
                             spec: Spec, prefix: str = "") -> DataFrame:
     """``agg_by(detail ⋈ parent, root_key, spec)`` for algebraic specs,
     computed as partial aggregates per mid key joined to the parent: count,
-    sum (exact integer units for long-sized decimals), sum of squares and
+    sum (exact integer units for long-sized decimals), centred squares and
     extremes per mid key, combined per root.  Holistic functions (median,
     mode, nunique) need the detail rows: use ``agg_by`` after the join."""
-    items = spec_items(spec)
-    bad = {f for _, fs in items for f in fs} - DECOMPOSABLE
-    if bad:
-        raise ValueError(f"not decomposable through the parent: {sorted(bad)}")
-    types = {f.name: f.dataType for f in df.schema.fields}
-    partial, final = [F.count(F.lit(1)).alias("__rows")], []
-    for i, (c, fs) in enumerate(items):
-        x, sc = F.col(f"`{c}`"), fast_decimal_scale(types[c])
-        d = x.cast("double")
-        partial += [F.count(x).alias(f"__n{i}"),
-                    F.sum(unscaled(x, sc) if sc is not None else d).alias(f"__s{i}"),
-                    F.min(x).alias(f"__lo{i}"), F.max(x).alias(f"__hi{i}")]
-        if {"var", "std"} & set(fs):
-            partial += [F.sum(d).alias(f"__sd{i}"), F.sum(d * d).alias(f"__q{i}")]
-        n = F.sum(f"__n{i}").cast("double")
-        total = F.sum(f"__s{i}")
-        total = _from_units(total, sc) if sc is not None else total.cast("double")
-        for f in fs:
-            if f == "sum":
-                e = F.coalesce(total, F.lit(0.0))
-            elif f == "mean":
-                e = F.try_divide(total, n)
-            elif f in ("min", "max"):
-                e = (F.min if f == "min" else F.max)(f"__lo{i}" if f == "min" else f"__hi{i}")
-                if isinstance(types[c], DecimalType):
-                    e = e.cast("double")
-            elif f == "count":
-                e = F.sum(f"__n{i}")
-            elif f == "size":
-                e = F.sum("__rows")
-            else:
-                sd, q = F.sum(f"__sd{i}"), F.sum(f"__q{i}")
-                var = F.when(n > 1, (q - sd * sd / n) / (n - 1))
-                e = var if f == "var" else F.sqrt(var)
-            final.append(e.alias(f"{prefix}{c}_{f.upper()}"))
-    lvl1 = df.groupBy(mid_key).agg(*partial).join(parent.select(mid_key, root_key), mid_key)
-    return lvl1.groupBy(root_key).agg(*final)
+    return MidPass(df, mid_key).direct(spec, prefix).run(parent.select(mid_key, root_key), root_key)

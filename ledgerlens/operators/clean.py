@@ -37,10 +37,6 @@ def select_by_pattern(df: DataFrame, include: Sequence[str] = (), exclude: Seque
     return df.select(*cols)
 
 
-def feature_columns(df: DataFrame, exclude: Sequence[str]) -> list[str]:
-    return [c for c in df.columns if c not in exclude]
-
-
 def _long(one_row: DataFrame, names: Sequence[str], value_cols: Sequence[str]) -> DataFrame:
     """Unpivot a one-row frame with columns ``{name}__{value}``."""
     structs = [F.struct(F.lit(n).alias("column_name"),
@@ -119,8 +115,3 @@ def infinite_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> Dat
     targets = set(columns) if columns is not None else {
         f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")}
     return df.select(*[_inf_to_null(c).alias(c) if c in targets else F.col(c) for c in df.columns])
-
-
-def replace_values(df: DataFrame, mapping: Mapping[str, Column]) -> DataFrame:
-    """Replace the listed columns in place (one ``select``)."""
-    return df.select(*[mapping[c].alias(c) if c in mapping else F.col(c) for c in df.columns])

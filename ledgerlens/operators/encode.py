@@ -13,7 +13,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.io import bounded_broadcast
@@ -91,7 +91,9 @@ class OneHotModel:
 def fit_one_hot(df: DataFrame, columns: Sequence[str] | None = None, nan_column: bool = False,
                 max_levels: int = MAX_LEVELS) -> OneHotModel:
     """Learn sorted levels of each categorical column in one distributed
-    distinct; refuses columns with more than ``max_levels`` levels."""
+    distinct.  ``max_levels`` is the caller's bound on the output's width: a
+    column beyond it raises (use ``frequency_encode`` or ``factorize``, which
+    have no limit)."""
     columns = list(columns) if columns is not None else categorical_columns(df)
     if not columns:
         return OneHotModel({}, nan_column)
@@ -164,12 +166,13 @@ def _lookup_join(df: DataFrame, table: DataFrame, key: str, max_rows: int = MAX_
 
 
 def factorize(df: DataFrame, column: str, order_col: str, out: str | None = None) -> DataFrame:
-    """Integer codes in order of first appearance (smallest ``order_col``);
-    missing -> -1.  The code table has one row per level (capped)."""
+    """Integer codes in order of first appearance (smallest ``order_col``, ties
+    by value); missing -> -1.  Codes are distributed row numbers, so the
+    number of levels is not limited."""
+    from .rank import row_number
     out = out or f"{column}_code"
     firsts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order_col).alias("__first"))
-    codes = firsts.select(column, (F.dense_rank().over(Window.orderBy("__first", column)) - 1)
-                          .cast("int").alias(out))
+    codes = row_number(firsts, ["__first", column], "__code").select(column, (F.col("__code") - 1).cast("int").alias(out))
     joined = _lookup_join(df, codes, column)
     return joined.withColumn(out, F.coalesce(F.col(out), F.lit(-1)))
 
@@ -177,13 +180,16 @@ def factorize(df: DataFrame, column: str, order_col: str, out: str | None = None
 def frequency_encode(df: DataFrame, column: str, out: str | None = None,
                      cap: int | None = None) -> DataFrame:
     """Position in the value counts (0 = most frequent; ties by value);
-    optionally capped at ``cap``.  Missing stays missing."""
+    positions beyond ``cap``, when given, are ``cap``.  Missing stays missing.
+    Positions are distributed row numbers over one row per level."""
+    from .rank import row_number
     out = out or f"{column}_freq"
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count(F.lit(1)).alias("__n"))
-    code = F.row_number().over(Window.orderBy(F.desc("__n"), column)) - 1
+    counts = (df.where(F.col(column).isNotNull()).groupBy(column)
+              .agg((-F.count(F.lit(1))).alias("__order")))
+    code = F.col("__code") - 1
     if cap is not None:
         code = F.least(code, F.lit(cap))
-    table = counts.select(column, code.cast("int").alias(out))
+    table = row_number(counts, ["__order", column], "__code").select(column, code.cast("int").alias(out))
     return _lookup_join(df, table, column)
 
 

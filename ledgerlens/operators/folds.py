@@ -61,7 +61,3 @@ def downsample_majority(df: DataFrame, id_col: str, label: str, keep_pct: int,
 
 def class_weight_column(label: str, positive_weight: float, out: str = "weight") -> Column:
     return F.when(F.col(label) == 1, F.lit(float(positive_weight))).otherwise(F.lit(1.0)).alias(out)
-
-
-def fold_sizes(df: DataFrame, fold_col: str = "fold", by: Sequence[str] = ()) -> DataFrame:
-    return df.groupBy(*by, fold_col).agg(F.count(F.lit(1)).alias("n_rows"))

@@ -111,6 +111,13 @@ def oof_predict(data: DataFrame, id_col: str, factory: Factory, k: int = 5,
                      reduce(DataFrame.unionByName, imps) if imps else None)
 
 
+def overall_auc(result: OOFResult, data: DataFrame, id_col: str, label: str = "TARGET") -> float:
+    """One AUC over all out-of-fold rows (not the mean of the folds' AUCs)."""
+    from .rank import auc_exact
+    scored = result.oof.join(data.select(id_col, label), id_col)
+    return auc_exact(scored, "score", label).first()["auc"]
+
+
 def stack(data: DataFrame, id_col: str, base: dict[str, Factory], k: int = 5,
           label: str = "TARGET") -> DataFrame:
     """Level-1 OOF scores of each base model joined on id, then a logistic
@@ -165,7 +172,7 @@ def random_search(data: DataFrame, id_col: str, space: dict[str, tuple[float, fl
 
     def run(params):
         r = oof_predict(data, id_col, lambda: make(params), k, label)
-        return params, sum(r.fold_auc) / len(r.fold_auc)
+        return params, overall_auc(r, data, id_col, label)
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         return list(pool.map(run, trials))

@@ -4,66 +4,44 @@ A global ``Window.orderBy`` moves every row to one task.  Instead:
 
 1. collapse to one row per distinct ordering value (``groupBy``, with
    map-side combine, so a hot value costs one row);
-2. cut the value range into buckets at approximate quantiles (the split
-   points are a few numbers on the driver);
-3. per-bucket totals (one row per bucket) give each bucket's offset by a
-   cumulative sum on the driver; the offsets go back as a small broadcast;
+2. range-partition the collapsed rows by (part, ordering value): a partition
+   is a bucket, and there are as many as the session's shuffle partitions;
+3. per-bucket totals (one row per bucket and part) give each bucket's offset
+   by a window over those few rows;
 4. inside each bucket a partitioned window adds the running count.
 
 ``rank = offset + running count before + 1`` is exact; the same prefix sums
-give average ranks (ties), the Mann-Whitney AUC and the ROC points.
+give average ranks (ties), the Mann-Whitney AUC and the ROC points.  There is
+no other path for small inputs.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ROWS_PER_BUCKET = 1_000_000
-MAX_BUCKETS = 4096
-
-
-def _bucket_expr(c: Column, splits: list[float]) -> Column:
-    """Number of split points <= c, as a balanced CASE tree (log2 depth)."""
-    def build(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(c < F.lit(splits[mid]), build(lo, mid)).otherwise(build(mid + 1, hi))
-    return build(0, len(splits))
-
 
 def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[str],
-                parts: Sequence[str] = (), rows_per_bucket: int = ROWS_PER_BUCKET,
-                max_buckets: int = MAX_BUCKETS) -> DataFrame:
+                parts: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
     """For each row add ``{w}_before`` (sum of ``w`` over rows of the same
     ``parts`` that sort strictly before it by ``order_cols``) and
     ``{w}_total`` (sum over the part).  Rows must be unique per
-    (parts, order_cols); the first order column must be numeric.
+    (parts, order_cols).
 
-    Only the bucket split points reach the driver.  Bucket offsets are a
-    window over the per-(part, bucket) totals (at most ``max_buckets`` rows
-    per part), so any number of parts works and a hot part is spread over
-    all buckets."""
+    ``buckets`` defaults to the session's shuffle partitions.  A hot part is
+    spread over the buckets its values fall into; offsets are a window over
+    per-(part, bucket) totals."""
     from ..session import shared_dir
     parts, order_cols, weights = list(parts), list(order_cols), list(weights)
-    first = order_cols[0]
-    # the collapsed table is read several times: materialise it once in the
-    # shared checkpoint folder (reliable, cuts the lineage)
-    shared_dir(counts.sparkSession)
-    counts = counts.checkpoint(eager=True)
-    n = counts.count()
-    n_buckets = min(max_buckets, max(1, math.ceil(n / rows_per_bucket)))
-    if n_buckets > 1:
-        probs = [i / n_buckets for i in range(1, n_buckets)]
-        splits = sorted(set(counts.approxQuantile(first, probs, 1.0 / (4 * n_buckets))))
-        bucket = _bucket_expr(F.col(first), splits)
-    else:
-        bucket = F.lit(0)
-    b = counts.withColumn("__b", bucket.cast("int"))
+    spark = counts.sparkSession
+    n_buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # the collapsed table is read twice and its bucket numbers must not
+    # change: materialise it once in the shared checkpoint folder
+    shared_dir(spark)
+    b = (counts.repartitionByRange(n_buckets, *[F.col(f"`{c}`") for c in (*parts, *order_cols)])
+         .withColumn("__b", F.spark_partition_id()).checkpoint(eager=True))
     totals = b.groupBy(*parts, "__b").agg(*[F.sum(w).alias(w) for w in weights])
     before_b = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
@@ -72,7 +50,7 @@ def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[
         *[F.coalesce(F.sum(w).over(before_b), F.lit(0)).cast("double").alias(f"__off_{w}") for w in weights],
         *[F.sum(w).over(whole).cast("double").alias(f"{w}_total") for w in weights])
     if not parts:
-        offsets = F.broadcast(offsets)  # at most max_buckets rows
+        offsets = F.broadcast(offsets)  # one row per bucket
     win = (Window.partitionBy(*parts, "__b").orderBy(*order_cols)
            .rowsBetween(Window.unboundedPreceding, -1))
     joined = b.join(offsets, [*parts, "__b"])
@@ -161,14 +139,27 @@ def rank(df: DataFrame, column: str, out: str, method: str = "min", ascending: b
         raise ValueError(method)
     table = ps.select(*parts, F.col("__v"), r.cast("double").alias(out))
     # one row per distinct value: a shuffle join (AQE broadcasts it when it
-    # measures small, and splits the partition of a hot value)
-    return df.withColumn("__v", v).join(table, [*parts, "__v"], "left").drop("__v")
+    # measures small, and splits the partition of a hot value); missing
+    # scores have no rank and never meet in a join partition
+    known = df.where(F.col(column).isNotNull()).withColumn("__v", v).join(table, [*parts, "__v"], "left").drop("__v")
+    missing = df.where(F.col(column).isNull()).withColumn(out, F.lit(None).cast("double"))
+    return known.unionByName(missing)
+
+
+def rank_columns(df: DataFrame, key: str, columns: Sequence[str], method: str = "min", **kw) -> DataFrame:
+    """``key`` and the rank of every column, in one pass: one unpivot to
+    (key, column, value), one ranking with the column as the part, one pivot
+    back per key (``key`` must be unique)."""
+    cols = list(columns)
+    long = df.select(key, *[F.col(c).cast("double").alias(c) for c in cols]).unpivot([key], cols, "__column", "__value")
+    ranked = rank(long, "__value", "__rank", method=method, parts=["__column"], **kw)
+    return ranked.groupBy(key).agg(*[F.max(F.when(F.col("__column") == c, F.col("__rank"))).alias(c) for c in cols])
 
 
 def row_number(df: DataFrame, order_cols: Sequence[str], out: str, parts: Sequence[str] = (),
                **kw) -> DataFrame:
     """1-based position in a total order (``order_cols`` must be unique per
-    part; the first one numeric).  Distributed; no single-task window."""
+    part).  Distributed; no single-task window."""
     src = df.withColumn("__one", F.lit(1))
     ps = prefix_sums(src, order_cols, ["__one"], parts, **kw)
     return ps.withColumn(out, (F.col("__one_before") + 1).cast("long")) \

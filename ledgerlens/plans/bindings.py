@@ -14,7 +14,7 @@ sparse child       ``events`` (``user_id`` -> ``c_custkey``; most applicants
                    have none)
 =================  ==========================================================
 
-Money columns are read as ``DECIMAL(18,2)`` so sums and means are exact and
+Money columns are read as ``DECIMAL(12,2)`` so sums and means are exact and
 independent of partitioning.  Each Spark builder has a DuckDB twin
 (``SQL_*``, a CTE body) used by the oracle queries.
 """
@@ -28,6 +28,7 @@ from ..sources.io import bounded_broadcast, scan_table
 
 # Fixed values of the bindings (must be equal on the Spark and SQL side).
 ANCHOR_DATE = "2001-08-02"
+MONEY = "decimal(12,2)"  # up to 10^10 with cents: sums run over exact long units
 UNLABELLED_BALANCE_BELOW = 0
 POSITIVE_SEGMENT = "BUILDING"
 
@@ -38,8 +39,9 @@ def applicants(spark: SparkSession, d: str) -> DataFrame:
     target = (F.when(F.col("c_acctbal") < UNLABELLED_BALANCE_BELOW, F.lit(None))
               .otherwise((F.col("c_mktsegment") == POSITIVE_SEGMENT).cast("int")))
     # nation is a dimension table: broadcast after a row-count check, so
-    # the applicant table is not shuffled for this join
-    return (c.join(bounded_broadcast(n, 10_000), c.c_nationkey == n.n_nationkey)
+    # the applicant table is not shuffled for this join; a left join, since
+    # the root keeps applicants of unknown nations
+    return (c.join(bounded_broadcast(n, 10_000), c.c_nationkey == n.n_nationkey, "left")
             .select("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment", "n_name",
                     "n_regionkey", target.cast("int").alias("TARGET")))
 
@@ -47,14 +49,14 @@ def applicants(spark: SparkSession, d: str) -> DataFrame:
 SQL_APPLICANTS = f"""SELECT c_custkey, c_nationkey, c_acctbal, c_mktsegment, n_name, n_regionkey,
   CASE WHEN c_acctbal < {UNLABELLED_BALANCE_BELOW} THEN NULL
        ELSE CAST(c_mktsegment = '{POSITIVE_SEGMENT}' AS INTEGER) END AS TARGET
-  FROM customer JOIN nation ON c_nationkey = n_nationkey"""
+  FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey"""
 
 
 def loans(spark: SparkSession, d: str) -> DataFrame:
     o = scan_table(spark, d, "orders")
     return o.select(
         "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
-        F.col("o_totalprice").cast("decimal(18,2)").alias("AMT_PRICE"),
+        F.col("o_totalprice").cast(MONEY).alias("AMT_PRICE"),
         F.datediff(F.to_date("o_orderdate"), F.lit(ANCHOR_DATE).cast("date")).alias("DAYS_DECISION"))
 
 
@@ -71,7 +73,7 @@ def balance_lines(spark: SparkSession, d: str) -> DataFrame:
         "l_orderkey", "l_linenumber",
         (-F.col("l_linenumber")).alias("MONTHS_BALANCE"),
         "l_quantity",
-        F.col("l_extendedprice").cast("decimal(18,2)").alias("AMT_EXT"),
+        F.col("l_extendedprice").cast(MONEY).alias("AMT_EXT"),
         "l_discount", "l_tax", "l_returnflag", "l_linestatus",
         F.datediff(F.to_date("l_shipdate"), F.lit(ANCHOR_DATE).cast("date")).alias("DAYS_SHIP"))
 
@@ -98,7 +100,7 @@ SQL_LINES = f"""SELECT l_orderkey, o_custkey, l_linenumber, -l_linenumber AS MON
 def activity(spark: SparkSession, d: str) -> DataFrame:
     e = scan_table(spark, d, "events")
     return e.select(F.col("user_id").alias("c_custkey"), "event_id", "event_type",
-                    F.col("value").cast("decimal(18,2)").alias("AMT_VALUE"))
+                    F.col("value").cast(MONEY).alias("AMT_VALUE"))
 
 
 SQL_ACTIVITY = """SELECT user_id AS c_custkey, event_id, event_type,
@@ -161,26 +163,41 @@ SQL_SCORES = f"""SELECT c_custkey, TARGET,
   FROM ({SQL_APPLICANTS})"""
 
 
-def order_wide(spark: SparkSession, d: str, n: int = 7) -> DataFrame:
-    """One row per order with its line quantities ``Q1..Qn`` and returned
-    flags ``R1..Rn`` by line number (missing lines are missing values)."""
+# Row-wise features of one balance line: integral values and 0/1 flags, with
+# the missing values of ``lines_nulls``.  No pivot: every line is one row.
+LINE_VALUES = ["V1", "V2", "V3", "V4", "V5", "V6"]
+LINE_FLAGS = ["F1", "F2", "F3", "F4", "F5"]
+
+
+def line_wide(spark: SparkSession, d: str) -> DataFrame:
     li = scan_table(spark, d, "lineitem")
-    exprs = []
-    for i in range(1, n + 1):
-        hit = F.col("l_linenumber") == i
-        exprs.append(F.max(F.when(hit, F.col("l_quantity"))).alias(f"Q{i}"))
-    for i in range(1, n + 1):
-        hit = F.col("l_linenumber") == i
-        exprs.append(F.max(F.when(hit, (F.col("l_returnflag") == "R").cast("int"))).alias(f"R{i}"))
-    exprs.append(F.min(F.year("l_shipdate")).alias("SHIP_YEAR"))
-    return li.groupBy("l_orderkey").agg(*exprs)
-
-
-def sql_order_wide(n: int = 7) -> str:
-    q = ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN l_quantity END) AS Q{i}" for i in range(1, n + 1))
-    r = ", ".join(f"max(CASE WHEN l_linenumber = {i} THEN CAST(l_returnflag = 'R' AS INTEGER) END) AS R{i}"
-                  for i in range(1, n + 1))
-    return f"SELECT l_orderkey, {q}, {r}, min(year(l_shipdate)) AS SHIP_YEAR FROM lineitem GROUP BY l_orderkey"
+    late = F.datediff(F.to_date("l_shipdate"), F.lit(ANCHOR_DATE).cast("date"))
+
+    def flag(c):
+        return c.cast("int")
+
+    return li.select(
+        "l_orderkey", "l_linenumber", F.year("l_shipdate").alias("SHIP_YEAR"),
+        F.col("l_quantity").cast("double").alias("V1"),
+        F.nullif(F.round(F.col("l_discount") * 100), F.lit(0.0)).alias("V2"),
+        F.nullif(F.round(F.col("l_tax") * 100), F.lit(0.0)).alias("V3"),
+        F.when(F.col("l_returnflag") == "R", F.col("l_quantity").cast("double")).alias("V4"),
+        F.when(F.col("l_linenumber") > 3, late.cast("double")).alias("V5"),
+        F.floor("l_extendedprice").cast("double").alias("V6"),
+        flag(F.col("l_returnflag") == "R").alias("F1"), flag(F.col("l_linestatus") == "O").alias("F2"),
+        flag(F.col("l_quantity") > 25).alias("F3"),
+        F.when(F.col("l_linenumber") > 3, flag(F.col("l_discount") > 0.05)).alias("F4"),
+        flag(F.col("l_tax") > 0.04).alias("F5"))
+
+
+SQL_LINE_WIDE = f"""SELECT l_orderkey, l_linenumber, year(CAST(l_shipdate AS DATE)) AS SHIP_YEAR,
+  CAST(l_quantity AS DOUBLE) AS V1, NULLIF(round(l_discount * 100), 0.0) AS V2, NULLIF(round(l_tax * 100), 0.0) AS V3,
+  CASE WHEN l_returnflag = 'R' THEN CAST(l_quantity AS DOUBLE) END AS V4,
+  CASE WHEN l_linenumber > 3 THEN CAST(CAST(l_shipdate AS DATE) - DATE '{ANCHOR_DATE}' AS DOUBLE) END AS V5,
+  CAST(floor(l_extendedprice) AS DOUBLE) AS V6,
+  CAST(l_returnflag = 'R' AS INTEGER) AS F1, CAST(l_linestatus = 'O' AS INTEGER) AS F2,
+  CAST(l_quantity > 25 AS INTEGER) AS F3, CASE WHEN l_linenumber > 3 THEN CAST(l_discount > 0.05 AS INTEGER) END AS F4,
+  CAST(l_tax > 0.04 AS INTEGER) AS F5 FROM lineitem"""
 
 
 IMPORTANCE_FEATURES = ["l_quantity", "DISC", "TAX", "Q_R", "LATE", "NONE_F"]

@@ -1,16 +1,21 @@
-"""The flagship plan: one wide row per applicant.
-
-root (applicants)                       1 row / key
-  ⟕ loans      conditional aggregate      all + approved + refused, one pass
-  ⟕ lines      two-level weighted agg     per loan, then per applicant
-  ⟕ activity   sparse child aggregate     + no-child flag
-
-Every child is aggregated to the root key before the join, so each join
-side has at most one row per key; the child aggregates come out of their
-``groupBy`` hash-partitioned by that key, and the chain of left joins reuses
-that partitioning (one exchange for the root, none for the children).
+"""The flagship plan: one wide row per applicant, with five child blocks.
+
+root (applicants)                        1 row / key
+  ⟕ previous loans   conditional aggregate: all + approved + refused
+  ⟕ bureau           balance lines -> loan -> applicant: all + active + closed
+  ⟕ POS              two-level, row-weighted, with dummies
+  ⟕ installments     algebraic aggregate of derived payment columns
+  ⟕ credit card      every numeric column x the same functions
+  ⟕ activity         sparse child aggregate + no-child flag
+
+The balance lines are shuffled once, by loan: one aggregate per loan holds the
+partial sums of all four blocks that read them (``agg.MidPass``).  Joined to
+the loans, one more aggregate per applicant yields the five blocks together,
+so lines and loans are each read once for features.  The root and the sparse
+child join on keys that their aggregates are already partitioned by.
 Vocabularies for the dummy aggregates are fitted first (bounded, cached in
-the model object), so the plan itself is static.
+the model object; pass a stored model to skip that scan), so the plan itself
+is static.
 """
 
 from __future__ import annotations
@@ -39,6 +44,22 @@ LINE_SPEC = [
     ("AMT_EXT", ["sum", "max", "min"]),
     ("DAYS_SHIP", ["min", "max"]),
 ]
+# per loan, from its balance lines; then per applicant
+BALANCE_SPEC = [("MONTHS_BALANCE", ["min", "max", "size"])]
+BUREAU_SPEC = [
+    ("BAL_MONTHS_BALANCE_MIN", ["min"]), ("BAL_MONTHS_BALANCE_MAX", ["max"]), ("BAL_MONTHS_BALANCE_SIZE", ["mean", "sum"]),
+    ("DAYS_DECISION", ["min", "max", "mean"]), ("AMT_PRICE", ["max", "mean", "sum"]),
+]
+INSTAL_SPEC = [
+    ("l_linenumber", ["max", "mean", "sum"]), ("DPD", ["max", "mean", "sum"]), ("DBD", ["max", "mean", "sum"]),
+    ("PAYMENT_PERC", ["max", "mean", "sum"]), ("PAYMENT_DIFF", ["max", "mean", "sum"]),
+    ("AMT_EXT", ["max", "mean", "sum", "min"]), ("DAYS_SHIP", ["max", "mean", "sum"]),
+]
+CARD_SPEC = A.spec_for(["l_quantity", "AMT_EXT", "l_discount", "l_tax", "MONTHS_BALANCE", "DAYS_SHIP"],
+                       ["max", "mean", "min", "sum"])
+BUREAU_SUBSETS = {"ACTIVE_": ("o_orderstatus", "O"), "CLOSED_": ("o_orderstatus", "F")}
+PRICE_PER_UNIT = 1000    # the prescribed instalment of the derived payment columns, per unit
+DAYS_PER_INSTALMENT = 300
 ACTIVITY_SPEC = [("AMT_VALUE", ["sum", "mean", "max"])]
 LOAN_SUBSETS = {"APPROVED_": ("o_orderstatus", "F"), "REFUSED_": ("o_orderstatus", "O")}
 
@@ -59,24 +80,34 @@ def fit(loans: DataFrame, lines: DataFrame, activity: DataFrame) -> MartModel:
     ]))
 
 
-def loan_features(loans: DataFrame, vocab: OneHotModel) -> DataFrame:
-    src = loans.withColumn("PRICE_PER_DAY", X.safe_ratio("AMT_PRICE", -F.col("DAYS_DECISION")))
+def payment_columns(lines: DataFrame) -> DataFrame:
+    """Instalment columns: paid share and difference, days past and before due (clamped at 0)."""
+    due = -(F.col("l_linenumber") * DAYS_PER_INSTALMENT)
+    return lines.select(
+        "*", X.safe_ratio("AMT_EXT", "l_quantity").alias("PAYMENT_PERC"),
+        (F.col("AMT_EXT") - (F.col("l_quantity") * PRICE_PER_UNIT).cast(B.MONEY)).cast(B.MONEY).alias("PAYMENT_DIFF"),
+        X.clamp_zero(F.col("DAYS_SHIP") - due).alias("DPD"), X.clamp_zero(due - F.col("DAYS_SHIP")).alias("DBD"))
+
+
+def loan_and_line_features(loans: DataFrame, lines: DataFrame, model: MartModel) -> DataFrame:
+    """The five blocks that come from loans and their lines, per applicant."""
+    detail = payment_columns(lines).select("*", *model.line_vocab.dummy_exprs())
+    lines_pass = (A.MidPass(detail, "l_orderkey")
+                  .weighted(LINE_SPEC + [(n, ["sum"]) for n in model.line_vocab.names], ["mean", "max"], "POS_", "POS_COUNT")
+                  .direct(INSTAL_SPEC, "INSTAL_").direct(CARD_SPEC, "CC_"))
+    lines_pass.partial += A.agg_exprs(BALANCE_SPEC, "BAL_", df=detail)
+    # the loan row with its balance features, as the parent of the second level
+    src = loans.withColumnRenamed("o_orderkey", "l_orderkey").withColumnRenamed("o_custkey", KEY).withColumn(
+        "PRICE_PER_DAY", X.safe_ratio("AMT_PRICE", -F.col("DAYS_DECISION")))
     exprs = A.agg_exprs(LOAN_SPEC, "PREV_", df=src)
     for prefix, (c, v) in LOAN_SUBSETS.items():
         exprs += A.agg_exprs(LOAN_SPEC, prefix, F.col(c) == v, df=src)
-    exprs += vocab.agg_exprs(["mean"], "PREV_")
+    exprs += model.loan_vocab.agg_exprs(["mean"], "PREV_")
     exprs.append(F.count(F.lit(1)).alias("PREV_COUNT"))
-    return src.groupBy(F.col("o_custkey").alias(KEY)).agg(*exprs)
-
-
-def line_features(lines: DataFrame, vocab: OneHotModel, owner: DataFrame) -> DataFrame:
-    """Per loan, then per applicant (row-weighted).  The lines carry only the
-    loan key; the applicant key is joined onto the per-loan rows."""
-    dummies = lines.select("l_orderkey", *[c for c, _ in LINE_SPEC], *vocab.dummy_exprs())
-    spec = LINE_SPEC + [(n, ["sum"]) for n in vocab.names]
-    out = A.two_level_weighted_agg(dummies, "o_custkey", "l_orderkey", spec, ["mean", "max"],
-                                   "POS_", count_name="POS_COUNT", mid_parent=owner)
-    return out.withColumnRenamed("o_custkey", KEY)
+    exprs += A.agg_exprs(BUREAU_SPEC, "BURO_", df=src)
+    for prefix, (c, v) in BUREAU_SUBSETS.items():
+        exprs += A.agg_exprs(BUREAU_SPEC, prefix, F.col(c) == v, df=src)
+    return lines_pass.run(src, KEY, extra=exprs, how="left")
 
 
 def activity_features(activity: DataFrame, vocab: OneHotModel) -> DataFrame:
@@ -100,7 +131,6 @@ def build(spark: SparkSession, d: str, model: MartModel | None = None) -> DataFr
     loans, lines, activity = B.loans(spark, d), B.balance_lines(spark, d), B.activity(spark, d)
     model = model or fit(loans, lines, activity)
     mart = (root_features(app)
-            .join(loan_features(loans, model.loan_vocab), KEY, "left")
-            .join(line_features(lines, model.line_vocab, B.loan_owner(spark, d)), KEY, "left")
+            .join(loan_and_line_features(loans, lines, model), KEY, "left")
             .join(activity_features(activity, model.activity_vocab), KEY, "left"))
     return mart.withColumn("HAS_NO_ACTIVITY", F.col("EVT_COUNT").isNull().cast("int"))

@@ -277,10 +277,10 @@ def agg_mode(spark, d):
 
 # -------------------------------------------------- imputation / scaling ---
 
-QS = [f"Q{i}" for i in range(1, 8)]
-OW = {"w": B.sql_order_wide()}
-# temporal split: statistics are fitted on loans first shipped before the
-# cut-off year and applied to every loan
+QS = B.LINE_VALUES
+OW = {"w": B.SQL_LINE_WIDE}
+# temporal split: statistics are fitted on lines shipped before the cut-off
+# year and applied to every line
 TRAIN_BEFORE_YEAR = 1999
 TRAIN = f"SHIP_YEAR < {TRAIN_BEFORE_YEAR}"
 
@@ -289,29 +289,29 @@ def _train(df):
     return df.where(F.col("SHIP_YEAR") < TRAIN_BEFORE_YEAR)
 
 
-@query("impute_mean", W("SELECT l_orderkey, " + ", ".join(
+@query("impute_mean", W("SELECT l_orderkey, l_linenumber, " + ", ".join(
     f"coalesce({q}, (SELECT avg({q}) FROM w WHERE {TRAIN})) AS {q}" for q in QS) + " FROM w", **OW))
 def impute_mean(spark, d):
-    w = B.order_wide(spark, d).select("l_orderkey", "SHIP_YEAR", *QS)
+    w = B.line_wide(spark, d).select("l_orderkey", "l_linenumber", "SHIP_YEAR", *QS)
     return P.fit_mean_imputer(_train(w), QS).transform(w).drop("SHIP_YEAR")
 
 
-ZQ = ["Q1", "Q2", "Q3"]
+ZQ = ["V1", "V2", "V6"]
 
 
-@query("zscore_train_apply", W("SELECT l_orderkey, " + ", ".join(
+@query("zscore_train_apply", W("SELECT l_orderkey, l_linenumber, " + ", ".join(
     f"round(({q} - (SELECT avg({q}) FROM w WHERE {TRAIN})) / NULLIF((SELECT stddev_pop({q}) FROM w WHERE {TRAIN}), 0), 8) AS {q}"
     for q in ZQ) + " FROM w", **OW))
 def zscore_train_apply(spark, d):
-    w = B.order_wide(spark, d).select("l_orderkey", "SHIP_YEAR", *ZQ)
+    w = B.line_wide(spark, d).select("l_orderkey", "l_linenumber", "SHIP_YEAR", *ZQ)
     return round_columns(P.fit_zscore(_train(w), ZQ).transform(w).drop("SHIP_YEAR"), ZQ, 8)
 
 
-@query("robust_scale", W("SELECT l_orderkey, " + ", ".join(
+@query("robust_scale", W("SELECT l_orderkey, l_linenumber, " + ", ".join(
     f"round(({q} - (SELECT quantile_cont({q}, 0.5) FROM w WHERE {TRAIN})) / NULLIF((SELECT quantile_cont({q}, 0.75) - quantile_cont({q}, 0.25) FROM w WHERE {TRAIN}), 0), 8) AS {q}"
     for q in ZQ) + " FROM w", **OW))
 def robust_scale(spark, d):
-    w = B.order_wide(spark, d).select("l_orderkey", "SHIP_YEAR", *ZQ)
+    w = B.line_wide(spark, d).select("l_orderkey", "l_linenumber", "SHIP_YEAR", *ZQ)
     return round_columns(P.fit_robust_scale(_train(w), ZQ).transform(w).drop("SHIP_YEAR"), ZQ, 8)
 
 
@@ -325,9 +325,7 @@ def _rank_corr_sql():
 
 @query("rank_corr", _rank_corr_sql())
 def rank_corr(spark, d):
-    s = B.model_scores(spark, d)
-    for c in B.SCORE_NAMES:
-        s = RK.rank(s, c, f"{c}_r", method="min").drop(c).withColumnRenamed(f"{c}_r", c)
+    s = RK.rank_columns(B.model_scores(spark, d), "c_custkey", B.SCORE_NAMES)
     out = P.correlation_matrix(s, B.SCORE_NAMES)
     return out.select("a", "b", F.round("corr", 8).alias("corr"))
 

@@ -81,6 +81,23 @@ def factorize(spark, d):
     return E.factorize(a, "seg", "c_custkey", "SEG_CODE").select("c_custkey", "SEG_CODE")
 
 
+# high-cardinality columns: one code per part, distributed row numbers
+@query("factorize_high", """SELECT l_orderkey, l_linenumber, code AS PART_CODE FROM lineitem JOIN (
+  SELECT l_partkey AS p, CAST(row_number() OVER (ORDER BY f, l_partkey) - 1 AS INTEGER) AS code
+  FROM (SELECT l_partkey, min(l_orderkey) AS f FROM lineitem GROUP BY 1)) ON l_partkey = p""")
+def factorize_high(spark, d):
+    li = scan_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return E.factorize(li, "l_partkey", "l_orderkey", "PART_CODE").select("l_orderkey", "l_linenumber", "PART_CODE")
+
+
+@query("frequency_encode_high", """SELECT l_orderkey, l_linenumber, code AS PART_FREQ FROM lineitem JOIN (
+  SELECT l_partkey AS p, CAST(row_number() OVER (ORDER BY n DESC, l_partkey) - 1 AS INTEGER) AS code
+  FROM (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1)) ON l_partkey = p""")
+def frequency_encode_high(spark, d):
+    li = scan_table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
+    return E.frequency_encode(li, "l_partkey", "PART_FREQ").select("l_orderkey", "l_linenumber", "PART_FREQ")
+
+
 @query("frequency_encode", """SELECT o_orderkey, m.code AS PRIO_FREQ FROM orders LEFT JOIN (
   SELECT o_orderpriority AS v, CAST(least(row_number() OVER (ORDER BY n DESC, o_orderpriority) - 1, 3) AS INTEGER) AS code
   FROM (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY 1)) m ON o_orderpriority = m.v""")

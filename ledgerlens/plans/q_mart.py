@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from . import bindings as B
 from . import mart as M
-from .registry import query, round_columns
+from .q_agg import sql_spec
+from .registry import query, round_map
 
 # Levels of the test tables' categorical columns, for the oracle side only.
 ORACLE_LEVELS = {
@@ -15,6 +16,9 @@ ORACLE_LEVELS = {
     "event_type": ["click", "error", "purchase", "signup", "view"],
 }
 
+# places of the order-dependent sums, rounded on both sides
+MART_PLACES = {f"INSTAL_PAYMENT_PERC_{f}": 4 for f in ("MAX", "MEAN", "SUM")} | {
+    f"CC_{c}_{f}": 6 for c in ("l_discount", "l_tax") for f in ("MEAN", "SUM")}
 MART_NOISY = [f"{p}{c}" for p in ("PREV_", "APPROVED_", "REFUSED_")
               for c in ("PRICE_PER_DAY_MEAN", "DAYS_DECISION_VAR")]
 
@@ -93,6 +97,19 @@ def mart_sql() -> str:
     pos = (f"SELECT o_custkey AS c_custkey, {', '.join(l2)}, sum(n) AS POS_COUNT "
            f"FROM ({lvl1}) GROUP BY o_custkey")
 
+    detail = (f"SELECT *, CAST(AMT_EXT AS DOUBLE) / NULLIF(l_quantity, 0) AS PAYMENT_PERC, "
+              f"AMT_EXT - CAST(l_quantity * {M.PRICE_PER_UNIT} AS DECIMAL(18,2)) AS PAYMENT_DIFF, "
+              f"greatest(DAYS_SHIP + l_linenumber * {M.DAYS_PER_INSTALMENT}, 0) AS DPD, "
+              f"greatest(-l_linenumber * {M.DAYS_PER_INSTALMENT} - DAYS_SHIP, 0) AS DBD FROM lines_b")
+    ins = (f"SELECT o_custkey AS c_custkey, {sql_spec(M.INSTAL_SPEC, 'INSTAL_', ['AMT_EXT', 'PAYMENT_DIFF'], rounding=MART_PLACES)}, "
+           f"{sql_spec(M.CARD_SPEC, 'CC_', ['AMT_EXT'], rounding=MART_PLACES)} FROM ({detail}) GROUP BY o_custkey")
+    buro_aggs = [sql_spec(M.BUREAU_SPEC, "BURO_", ["AMT_PRICE"])]
+    for prefix, (c, v) in M.BUREAU_SUBSETS.items():
+        buro_aggs.append(sql_spec(M.BUREAU_SPEC, prefix, ["AMT_PRICE"], cond=f"{c} = '{v}'"))
+    buro = (f"SELECT o_custkey AS c_custkey, {', '.join(buro_aggs)} FROM loans_b LEFT JOIN (SELECT l_orderkey, "
+            f"min(MONTHS_BALANCE) AS BAL_MONTHS_BALANCE_MIN, max(MONTHS_BALANCE) AS BAL_MONTHS_BALANCE_MAX, "
+            f"count(*) AS BAL_MONTHS_BALANCE_SIZE FROM lines_b GROUP BY l_orderkey) ON l_orderkey = o_orderkey GROUP BY o_custkey")
+
     ev = ["coalesce(CAST(sum(AMT_VALUE) AS DOUBLE), 0.0) AS EVT_AMT_VALUE_SUM",
           "CAST(sum(AMT_VALUE) AS DOUBLE) / count(AMT_VALUE) AS EVT_AMT_VALUE_MEAN",
           "CAST(max(AMT_VALUE) AS DOUBLE) AS EVT_AMT_VALUE_MAX"]
@@ -106,14 +123,16 @@ def mart_sql() -> str:
             "c_acctbal / NULLIF(m.med, 0) AS ACCTBAL_TO_NATION_MEDIAN, m.med AS ACCTBAL_BY_NATION "
             "FROM applicants_b a LEFT JOIN (SELECT n_name, median(c_acctbal) AS med FROM applicants_b "
             "WHERE n_name IS NOT NULL GROUP BY n_name) m USING (n_name)")
-    body = (f"SELECT r.*, p.* EXCLUDE (c_custkey), s.* EXCLUDE (c_custkey), e.* EXCLUDE (c_custkey), "
+    body = (f"SELECT r.*, p.* EXCLUDE (c_custkey), s.* EXCLUDE (c_custkey), i.* EXCLUDE (c_custkey), "
+            f"b.* EXCLUDE (c_custkey), e.* EXCLUDE (c_custkey), "
             f"CAST(e.EVT_COUNT IS NULL AS INTEGER) AS HAS_NO_ACTIVITY "
             f"FROM ({root}) r LEFT JOIN ({loans}) p USING (c_custkey) "
-            f"LEFT JOIN ({pos}) s USING (c_custkey) LEFT JOIN ({evt}) e USING (c_custkey)")
+            f"LEFT JOIN ({pos}) s USING (c_custkey) LEFT JOIN ({ins}) i USING (c_custkey) "
+            f"LEFT JOIN ({buro}) b USING (c_custkey) LEFT JOIN ({evt}) e USING (c_custkey)")
     return B.with_ctes(body, applicants_b=B.SQL_APPLICANTS, loans_b=B.SQL_LOANS,
                        lines_b=B.SQL_LINES, activity_b=B.SQL_ACTIVITY)
 
 
 @query("feature_mart", mart_sql())
 def feature_mart(spark, d):
-    return round_columns(M.build(spark, d), MART_NOISY)
+    return round_map(M.build(spark, d), MART_PLACES | dict.fromkeys(MART_NOISY, 6))

@@ -33,10 +33,7 @@ def _ranks_sql():
 
 
 def _all_ranks(spark, d):
-    s = B.model_scores(spark, d)
-    for c in B.SCORE_NAMES:
-        s = RK.rank(s, c, f"{c}_r", method="min").drop(c).withColumnRenamed(f"{c}_r", c)
-    return s
+    return RK.rank_columns(B.model_scores(spark, d), "c_custkey", B.SCORE_NAMES)
 
 
 @query("rank_average_scaled", W("""SELECT c_custkey,
@@ -56,10 +53,8 @@ BLEND_WEIGHTS = {"LGB": 0.61, "XGB": 0.39}
 @query("blend_weighted_rank", W("""SELECT c_custkey, round((LGB * 0.61 + XGB * 0.39) / count(*) OVER (), 10) AS BLEND
 FROM r""", s=B.SQL_SCORES, r=_ranks_sql()))
 def blend_weighted_rank(spark, d):
-    s = B.model_scores(spark, d).select("c_custkey", "LGB", "XGB")
-    for c in BLEND_WEIGHTS:
-        s = RK.rank(s, c, f"{c}_r", method="min").drop(c).withColumnRenamed(f"{c}_r", c)
-    n = s.count()
+    scores = B.model_scores(spark, d)
+    s, n = RK.rank_columns(scores, "c_custkey", list(BLEND_WEIGHTS)), scores.count()
     score = R.row_weighted_sum(list(BLEND_WEIGHTS), list(BLEND_WEIGHTS.values())) / F.lit(float(n))
     return s.select("c_custkey", F.round(score, 10).alias("BLEND"))
 

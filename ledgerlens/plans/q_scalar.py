@@ -193,46 +193,45 @@ def blend_elementwise(spark, d):
 
 # ------------------------------------------------------------- row-wise ---
 
-QS = [f"Q{i}" for i in range(1, 8)]
-RS = [f"R{i}" for i in range(1, 8)]
-OW = {"w": B.sql_order_wide()}
+QS, RS = B.LINE_VALUES, B.LINE_FLAGS
+OW = {"w": B.SQL_LINE_WIDE}
 
 
 def _lst(cols):
     return "[" + ", ".join(cols) + "]"
 
 
-@query("row_sum", W(f"SELECT l_orderkey, " + " + ".join(f"coalesce({q}, 0)" for q in QS)
-                    + " AS QTY_SUM, " + " + ".join(f"coalesce(CAST({r} AS DOUBLE), 0)" for r in RS)
-                    + " AS RETURNED_SUM FROM w", **OW))
+@query("row_sum", W(f"SELECT l_orderkey, l_linenumber, " + " + ".join(f"coalesce({q}, 0)" for q in QS)
+                    + " AS LINE_SUM, " + " + ".join(f"coalesce(CAST({r} AS DOUBLE), 0)" for r in RS)
+                    + " AS FLAG_SUM FROM w", **OW))
 def row_sum(spark, d):
-    w = B.order_wide(spark, d)
-    return w.select("l_orderkey", R.row_sum(QS).alias("QTY_SUM"), R.row_sum(RS).alias("RETURNED_SUM"))
+    w = B.line_wide(spark, d)
+    return w.select("l_orderkey", "l_linenumber", R.row_sum(QS).alias("LINE_SUM"), R.row_sum(RS).alias("FLAG_SUM"))
 
 
-@query("row_mean_std", W(f"""SELECT l_orderkey,
-list_sum(list_filter({_lst(QS)}, lambda x: x IS NOT NULL)) / NULLIF(len(list_filter({_lst(QS)}, lambda x: x IS NOT NULL)), 0) AS QTY_MEAN,
-round(list_aggregate({_lst(QS)}, 'stddev_samp'), 8) AS QTY_STD FROM w""", **OW))
+@query("row_mean_std", W(f"""SELECT l_orderkey, l_linenumber,
+list_sum(list_filter({_lst(QS)}, lambda x: x IS NOT NULL)) / NULLIF(len(list_filter({_lst(QS)}, lambda x: x IS NOT NULL)), 0) AS LINE_MEAN,
+round(list_aggregate({_lst(QS)}, 'stddev_samp'), 4) AS LINE_STD FROM w""", **OW))
 def row_mean_std(spark, d):
-    w = B.order_wide(spark, d)
-    return w.select("l_orderkey", R.row_mean(QS).alias("QTY_MEAN"), rnd(R.row_std(QS), 8).alias("QTY_STD"))
+    w = B.line_wide(spark, d)
+    return w.select("l_orderkey", "l_linenumber", R.row_mean(QS).alias("LINE_MEAN"), rnd(R.row_std(QS), 4).alias("LINE_STD"))
 
 
-@query("row_kurtosis", W(f"""SELECT l_orderkey,
+@query("row_kurtosis", W(f"""SELECT l_orderkey, l_linenumber,
 round(CASE WHEN len(list_filter({_lst(RS)}, lambda x: x IS NOT NULL)) < 4 THEN NULL
      WHEN list_aggregate({_lst(RS)}, 'var_pop') = 0 THEN 0.0
-     ELSE list_aggregate({_lst(RS)}, 'kurtosis') END, 8) AS RETURNED_KURT FROM w""", **OW))
+     ELSE list_aggregate({_lst(RS)}, 'kurtosis') END, 8) AS FLAG_KURT FROM w""", **OW))
 def row_kurtosis(spark, d):
-    w = B.order_wide(spark, d)
-    return w.select("l_orderkey", rnd(R.row_kurtosis(RS), 8).alias("RETURNED_KURT"))
+    w = B.line_wide(spark, d)
+    return w.select("l_orderkey", "l_linenumber", rnd(R.row_kurtosis(RS), 8).alias("FLAG_KURT"))
 
 
-@query("row_median_min_sum", W(f"""SELECT l_orderkey, list_aggregate({_lst(QS)}, 'median') AS QTY_MEDIAN,
-list_aggregate({_lst(QS)}, 'min') AS QTY_MIN, coalesce(list_sum({_lst(QS)}), 0.0) AS QTY_NANSUM FROM w""", **OW))
+@query("row_median_min_sum", W(f"""SELECT l_orderkey, l_linenumber, list_aggregate({_lst(QS)}, 'median') AS LINE_MEDIAN,
+list_aggregate({_lst(QS)}, 'min') AS LINE_MIN, coalesce(list_sum({_lst(QS)}), 0.0) AS LINE_NANSUM FROM w""", **OW))
 def row_median_min_sum(spark, d):
-    w = B.order_wide(spark, d)
-    return w.select("l_orderkey", R.row_median(QS).alias("QTY_MEDIAN"), R.row_min(QS).alias("QTY_MIN"),
-                    R.row_sum(QS).alias("QTY_NANSUM"))
+    w = B.line_wide(spark, d)
+    return w.select("l_orderkey", "l_linenumber", R.row_median(QS).alias("LINE_MEDIAN"), R.row_min(QS).alias("LINE_MIN"),
+                    R.row_sum(QS).alias("LINE_NANSUM"))
 
 
 # fixed blend weights of the stack-level features

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import functions as F
 
 from ..operators import agg as A
+from ..session import scratch_path
 from ..sources import io as IO
 from . import bindings as B
 from .q_agg import PREV_SPEC, sql_spec
@@ -79,3 +80,53 @@ def multi_file_scan(spark, d):
     return df.groupBy("file_name").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.round(F.sum(F.coalesce("c_acctbal", "s_acctbal")), 2).alias("total_balance"))
+
+
+# --------------------------------------------------------------- CSV files ---
+# written to the shared folder from a given table, then scanned as a file
+
+CSV_COLS = ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"]
+CSV_SCHEMA = "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"
+CSV_SQL = """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, c_name, CAST(c_nationkey AS INTEGER) AS c_nationkey, c_acctbal, c_mktsegment
+FROM customer"""
+
+
+@query("csv_keyed_scan", CSV_SQL)
+def csv_keyed_scan(spark, d):
+    path = IO.write_csv(IO.scan_table(spark, d, "customer").select(*CSV_COLS), scratch_path(spark, "customer.csv"))
+    return IO.csv_scan(spark, path, CSV_SCHEMA)
+
+
+@query("csv_headerless_scan", CSV_SQL)
+def csv_headerless_scan(spark, d):
+    path = IO.write_csv(IO.scan_table(spark, d, "customer").select(*CSV_COLS), scratch_path(spark, "customer.csv"), header=False)
+    return IO.csv_scan(spark, path, CSV_SCHEMA, header=False)
+
+
+@query("csv_glob_scan", W(" UNION ALL ".join(
+    f"SELECT '{n}.csv' AS file_name, CAST(c_custkey AS BIGINT) AS c_custkey, {n} AS score FROM s" for n in B.SCORE_NAMES),
+    s=B.SQL_SCORES))
+def csv_glob_scan(spark, d):
+    """The score files of all models, one file name per model, in one scan."""
+    scores, base = B.model_scores(spark, d), scratch_path(spark, "scores")
+    for n in B.SCORE_NAMES:
+        IO.write_csv(scores.select("c_custkey", F.col(n).alias("score")), f"{base}/{n}.csv")
+    return IO.csv_glob(spark, f"{base}/*.csv", "c_custkey bigint, score double")
+
+
+@query("submission_csv", W("""SELECT CAST(c_custkey AS BIGINT) AS SK_ID_CURR, round(ET, 8) AS TARGET
+FROM s WHERE TARGET IS NULL""", s=B.SQL_SCORES))
+def submission_csv(spark, d):
+    s = B.model_scores(spark, d).where("TARGET IS NULL")
+    frame = IO.submission_frame(s, "c_custkey", "ET", 8, id_name="SK_ID_CURR", score_name="TARGET")
+    return IO.csv_scan(spark, IO.write_submission(frame, scratch_path(spark, "submission.csv")), "SK_ID_CURR bigint, TARGET double")
+
+
+@query("stored_importance_scan", f"""SELECT feature, round(avg(importance), 8) AS mean_importance, count(*) AS n_folds
+FROM ({B.sql_importance_long()}) GROUP BY feature""")
+def stored_importance_scan(spark, d):
+    """A per-fold importance table, stored as CSV and scanned back (features of no importance left out)."""
+    path = IO.write_csv(B.importance_long(spark, d), scratch_path(spark, "importances.csv"))
+    stored = IO.csv_scan(spark, path, "feature string, fold int, importance double")
+    return stored.where("importance > 0").groupBy("feature").agg(F.round(F.avg("importance"), 8).alias("mean_importance"),
+                                         F.count(F.lit(1)).alias("n_folds"))

@@ -43,6 +43,26 @@ def multi_file_scan(spark: SparkSession, paths: Sequence[str], value_cols: Seque
     return df.select(F.col("_metadata.file_name").alias("file_name"), *value_cols)
 
 
+def csv_scan(spark: SparkSession, paths: str | Sequence[str], schema: StructType | str, header: bool = True) -> DataFrame:
+    """Scan of CSV files, folders or globs with a declared schema; without a
+    header the schema's order names the columns.  Wrong rows fail the scan."""
+    return (spark.read.schema(schema).option("header", header).option("mode", "FAILFAST")
+            .csv(paths if isinstance(paths, str) else list(paths)))
+
+
+def csv_glob(spark: SparkSession, pattern: str, schema: StructType | str, header: bool = True) -> DataFrame:
+    """Every file or folder matching ``*.csv`` in one scan, each row keyed by
+    the name of its file (``file_name``; of a folder's parts, the folder's)."""
+    df = csv_scan(spark, pattern, schema, header)
+    path = F.col("_metadata.file_path")
+    return df.select(F.regexp_extract(path, r"([^/]+\.csv)(?:/[^/]*)?$", 1).alias("file_name"), "*")
+
+
+def write_csv(df: DataFrame, path: str, header: bool = True) -> str:
+    df.write.mode("overwrite").option("header", header).csv(path)
+    return path
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """Broadcast hint only after checking that ``df`` has at most
     ``max_rows`` rows; a bigger side is returned as is (shuffle join)."""
@@ -80,8 +100,8 @@ def submission_frame(df: DataFrame, id_col: str, score_col: str, places: int | N
 
 
 def write_submission(df: DataFrame, path: str) -> str:
-    df.write.mode("overwrite").option("header", True).csv(path)
-    return path
+    """CSV sink of a ``submission_frame`` (with header)."""
+    return write_csv(df, path)
 
 
 def parse_vector_line(lines: DataFrame, value_col: str = "value", sep: str = ",",

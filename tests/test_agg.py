@@ -1,11 +1,15 @@
 """Aggregation NULL rules, subsets, two-level weighting, holistic aggregates."""
 
+from decimal import Decimal
+
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import agg as A
 from ledgerlens.operators.rank import distributed_mode, exact_quantiles
+from ledgerlens.plans import bindings as B
 
 
 def _by_key(df, key="k"):
@@ -68,7 +72,7 @@ def test_exact_quantiles_distributed_match_numpy(spark):
     cold = rng.normal(size=40)
     rows = [(0, float(v)) for v in hot] + [(1, float(v)) for v in cold] + [(2, None)]
     df = spark.createDataFrame(rows, "g int, x double")
-    q = _by_key(exact_quantiles(df, "x", [0.001, 0.25, 0.5, 0.999], ["g"], rows_per_bucket=100), "g")
+    q = _by_key(exact_quantiles(df, "x", [0.001, 0.25, 0.5, 0.999], ["g"], buckets=7), "g")
     for g, vals in ((0, hot), (1, cold)):
         expect = np.percentile(vals, [0.1, 25, 50, 99.9])
         got = [q[g][f"q{i}"] for i in range(4)]
@@ -134,3 +138,40 @@ def test_spec_through_parent_equals_join_then_agg_by(spark):
         for k, v in direct[c].items():
             w = via[c][k]
             assert (v is None and w is None) or abs(v - w) < 1e-9, (c, k, v, w)
+
+
+def test_variance_through_parent_keeps_its_digits(spark):
+    rows = [(i % 5, i, 1e9 + 0.001 * (i % 2)) for i in range(30)]
+    df = spark.createDataFrame(rows, "mid int, id int, x double")
+    parent = spark.createDataFrame([(m, 0) for m in range(5)], "mid int, root int")
+    got = A.agg_spec_through_parent(df, "mid", parent, "root", [("x", ["var", "std", "mean", "count"])]).first()
+    want = df.selectExpr("var_samp(x) v").first().v
+    assert got.x_VAR == pytest.approx(want, rel=1e-4) and got.x_STD == pytest.approx(want ** 0.5, rel=1e-4)
+    assert got.x_COUNT == 30
+
+
+def test_distinct_count_does_not_depend_on_other_columns(spark):
+    df = spark.createDataFrame([(1, 0.0, "a"), (1, -0.0, "b"), (1, None, "a")], "k int, x double, y string")
+    one = A.agg_by(df, "k", [("x", ["nunique"])]).first()
+    two = A.agg_by(df, "k", [("x", ["nunique"]), ("y", ["nunique"])]).first()
+    assert one.x_NUNIQUE == two.x_NUNIQUE == 1 and two.y_NUNIQUE == 2
+
+
+def test_wide_decimals_are_exact_and_do_not_overflow(spark):
+    rows = [(1, Decimal("1234567890123456.78")), (1, Decimal("0.01"))] + [(2, Decimal("9999999999999999.00"))] * 12
+    df = spark.createDataFrame(rows, "k int, x decimal(18,2)")
+    exprs = A.agg_exprs([("x", ["sum"])], df=df, keep_decimal=True)
+    got = {r.k: r.x_SUM for r in df.groupBy("k").agg(*exprs).collect()}
+    assert got == {1: Decimal("1234567890123456.79"), 2: Decimal("119999999999999988.00")}
+    small = spark.createDataFrame([(1, Decimal("9999999999.99"))] * 12, "k int, x decimal(12,2)")
+    assert A.agg_by(small, "k", [("x", ["sum", "mean"])]).first().x_SUM == pytest.approx(119999999999.88, abs=1e-3)
+
+
+def test_applicants_of_unknown_nations_stay(spark, tmp_path):
+    spark.createDataFrame([(1, "a", 0, 5.0, "BUILDING"), (2, "b", 99, -5.0, "X")],
+                          "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string") \
+        .write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(0, "N", 3)], "n_nationkey int, n_name string, n_regionkey int") \
+        .write.parquet(str(tmp_path / "nation.parquet"))
+    got = {r.c_custkey: r.n_name for r in B.applicants(spark, str(tmp_path)).collect()}
+    assert got == {1: "N", 2: None}

@@ -14,14 +14,14 @@ def test_rank_methods_with_ties_and_buckets(spark):
     df = spark.createDataFrame(list(enumerate(vals)), "id int, x int")
     for method, expect in (("min", [1, 1, 3, 3, 3, 6, None]), ("average", [1.5, 1.5, 4, 4, 4, 6, None]),
                            ("dense", [1, 1, 2, 2, 2, 3, None]), ("max", [2, 2, 5, 5, 5, 6, None])):
-        out = RK.rank(df, "x", "r", method=method, rows_per_bucket=1).orderBy("id").collect()
+        out = RK.rank(df, "x", "r", method=method, buckets=7).orderBy("id").collect()
         assert [r["r"] for r in out] == expect, method
 
 
 def test_row_number_across_buckets(spark):
     vals = [(i, (i * 7919) % 101) for i in range(300)]
     df = spark.createDataFrame(vals, "id int, h int")
-    out = RK.row_number(df, ["h", "id"], "rn", rows_per_bucket=20).collect()
+    out = RK.row_number(df, ["h", "id"], "rn", buckets=7).collect()
     expect = {row: i + 1 for i, row in enumerate(sorted(vals, key=lambda t: (t[1], t[0])))}
     assert all(expect[(r["id"], r["h"])] == r["rn"] for r in out)
 
@@ -53,7 +53,7 @@ def test_folds_disjoint_exhaustive_balanced(spark):
     df = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(500)], "id long, y int")
     k = FO.kfold_assign(df, "id", 5).collect()
     assert len(k) == 500 and {r["fold"] for r in k} == set(range(5))
-    s = FO.stratified_kfold(df, "id", "y", 5, rows_per_bucket=50).collect()
+    s = FO.stratified_kfold(df, "id", "y", 5, buckets=7).collect()
     assert len(s) == 500 and len({r["id"] for r in s}) == 500
     for y in (0, 1):
         sizes = [sum(1 for r in s if r["y"] == y and r["fold"] == f) for f in range(5)]
