@@ -219,12 +219,32 @@ def target_rate_by_category(df: DataFrame, category: str, target: str = "TARGET"
 
 
 def target_rate_clusters(df: DataFrame, category: str, target: str = "TARGET", k: int = 4,
-                         seed: int = 7) -> DataFrame:
-    """Cluster categories by their label rate (k-means on the one-column
-    rate table, one row per category) -> ``(category, cluster_id)``."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-    rates = target_rate_by_category(df, category, target)
-    vec = VectorAssembler(inputCols=["target_mean"], outputCol="features").transform(rates)
-    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(vec)
-    return km.transform(vec).select(category, "target_mean", F.col("cluster_id").cast("int"))
+                         steps: int = 5) -> DataFrame:
+    """Cluster categories by their label rate: Lloyd steps in one dimension
+    over the rate table (one row per category) from evenly spaced starting
+    centres, so the result is the same on every run.  Returns ``(category,
+    target_mean, cluster_id)``, clusters numbered by rising rate; ties go to
+    the lower cluster and an empty cluster keeps its centre."""
+    rates = target_rate_by_category(df, category, target).select(category, "target_mean")
+    lo, hi = rates.agg(F.min("target_mean"), F.max("target_mean")).first()
+    if lo is None:
+        return rates.withColumn("cluster_id", F.lit(0))
+    centres = [lo + (hi - lo) * (i + 0.5) / k for i in range(k)]
+
+    def nearest() -> Column:
+        gaps = F.array(*[F.abs(F.col("target_mean") - F.lit(c)) for c in centres])
+        return (F.array_position(gaps, F.array_min(gaps)) - 1).cast("int")
+
+    for _ in range(steps):
+        means = {r["c"]: r["m"] for r in rates.groupBy(nearest().alias("c")).agg(F.avg("target_mean").alias("m")).collect()}
+        centres = [means.get(i, c) for i, c in enumerate(centres)]      # k numbers
+    return rates.withColumn("cluster_id", nearest())
+
+
+def target_rate_cluster_encode(df: DataFrame, category: str, target: str = "TARGET", k: int = 4,
+                               out: str = "cluster_id") -> DataFrame:
+    """Every row (labelled or not) with its category's cluster and one 0/1
+    column per cluster; a category without labelled rows has no cluster."""
+    table = target_rate_clusters(df, category, target, k).select(category, F.col("cluster_id").alias(out))
+    rows = _lookup_join(df, table, category)
+    return rows.select("*", *[F.coalesce((F.col(out) == i).cast("int"), F.lit(0)).alias(f"{out}_{i}") for i in range(k)])

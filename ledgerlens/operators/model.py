@@ -74,39 +74,61 @@ class OOFResult:
     importances: DataFrame | None
 
 
-def oof_predict(data: DataFrame, id_col: str, factory: Factory, k: int = 5,
-                label: str = "TARGET", features: Sequence[str] | None = None,
-                with_importance: bool = False, positive_weight: float | None = None) -> OOFResult:
-    """K-fold out-of-fold prediction: per fold train on the other folds,
-    score the held-out fold and the unlabelled rows.  ``positive_weight``
-    re-weights the positive class (``weightCol``, the scale_pos_weight
-    setting of the boosted models)."""
-    spark = data.sparkSession
+def fold_table(data: DataFrame, id_col: str, k: int, label: str = "TARGET",
+               features: Sequence[str] | None = None, positive_weight: float | None = None) -> tuple[DataFrame, list[str]]:
+    """``(id, label, fold, features)`` imputed, assembled and persisted once for
+    any number of models over the same folds, and the feature names.  The
+    caller unpersists it."""
     feats = list(features) if features is not None else numeric_features(data, [id_col, label])
     prepared = kfold_assign(prepare(data, feats, label), id_col, k)
     extra = []
     if positive_weight is not None:
         from .folds import class_weight_column
         extra = [class_weight_column(label, positive_weight, "weight")]
-    prepared = prepared.select(id_col, label, "fold", "features", *extra) \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    labelled = prepared.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    unlabelled = prepared.where(F.col(label).isNull())
-    oofs, tests, aucs, imps = [], [], [], []
-    for i in range(k):
-        est = factory().setLabelCol(label).setFeaturesCol("features")
-        if positive_weight is not None and est.hasParam("weightCol"):
-            est = est.setWeightCol("weight")
-        model = est.fit(labelled.where(F.col("fold") != i))
-        held = model.transform(labelled.where(F.col("fold") == i))
-        aucs.append(auc(held, label))
-        oofs.append(positive_probability(held).select(id_col, "fold", "score"))
-        tests.append(positive_probability(model.transform(unlabelled)).select(id_col, "score"))
-        if with_importance and hasattr(model, "featureImportances"):
-            vals = model.featureImportances.toArray().tolist()
-            imps.append(spark.createDataFrame([(f, float(v), i) for f, v in zip(feats, vals)],
-                                              "feature string, importance double, fold int"))
-    test = reduce(DataFrame.unionByName, tests).groupBy(id_col).agg(F.avg("score").alias("score"))
+    return prepared.select(id_col, label, "fold", "features", *extra).persist(StorageLevel.MEMORY_AND_DISK), feats
+
+
+def mean_probability(models: Sequence, df: DataFrame, id_col: str) -> DataFrame:
+    """``(id, score)``: the mean positive probability of several models, in one
+    pass over ``df`` (each model adds its own columns; no shuffle)."""
+    for i, m in enumerate(models):
+        df = (m.copy().setProbabilityCol(f"__p{i}").setRawPredictionCol(f"__r{i}").setPredictionCol(f"__y{i}").transform(df))
+    total = reduce(lambda x, y: x + y, [vector_to_array(f"__p{i}")[1] for i in range(len(models))])
+    return df.select(id_col, (total / len(models)).alias("score"))
+
+
+def oof_predict(data: DataFrame, id_col: str, factory: Factory, k: int = 5,
+                label: str = "TARGET", features: Sequence[str] | None = None,
+                with_importance: bool = False, positive_weight: float | None = None,
+                prepared: tuple[DataFrame, list[str]] | None = None) -> OOFResult:
+    """K-fold out-of-fold prediction: per fold train on the other folds,
+    score the held-out fold and the unlabelled rows.  ``positive_weight``
+    re-weights the positive class (``weightCol``, the scale_pos_weight
+    setting of the boosted models).  ``prepared`` is a ``fold_table`` shared
+    by several calls; without it, the table of this call is dropped from the
+    cache once the models are fitted."""
+    spark = data.sparkSession
+    table, feats = prepared or fold_table(data, id_col, k, label, features, positive_weight)
+    labelled = table.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+    oofs, models, aucs, imps = [], [], [], []
+    try:
+        for i in range(k):
+            est = factory().setLabelCol(label).setFeaturesCol("features")
+            if positive_weight is not None and est.hasParam("weightCol"):
+                est = est.setWeightCol("weight")
+            model = est.fit(labelled.where(F.col("fold") != i))
+            models.append(model)
+            held = model.transform(labelled.where(F.col("fold") == i))
+            aucs.append(auc(held, label))
+            oofs.append(positive_probability(held).select(id_col, "fold", "score"))
+            if with_importance and hasattr(model, "featureImportances"):
+                vals = model.featureImportances.toArray().tolist()
+                imps.append(spark.createDataFrame([(f, float(v), i) for f, v in zip(feats, vals)],
+                                                  "feature string, importance double, fold int"))
+    finally:
+        if prepared is None:
+            table.unpersist()
+    test = mean_probability(models, table.where(F.col(label).isNull()), id_col)
     return OOFResult(reduce(DataFrame.unionByName, oofs), test, aucs,
                      reduce(DataFrame.unionByName, imps) if imps else None)
 
@@ -121,31 +143,46 @@ def overall_auc(result: OOFResult, data: DataFrame, id_col: str, label: str = "T
 def stack(data: DataFrame, id_col: str, base: dict[str, Factory], k: int = 5,
           label: str = "TARGET") -> DataFrame:
     """Level-1 OOF scores of each base model joined on id, then a logistic
-    meta model trained on the OOF matrix (its own OOF for labelled rows)."""
-    results = {name: oof_predict(data, id_col, f, k, label) for name, f in base.items()}
-    labels = data.select(id_col, label)
-    mats = []
-    for name, r in results.items():
-        both = r.oof.select(id_col, "score").unionByName(r.test.select(id_col, "score"))
-        mats.append(both.withColumnRenamed("score", name))
-    matrix = reduce(lambda a, b: a.join(b, id_col), mats).join(labels, id_col)
+    meta model trained on the OOF matrix (its own OOF for labelled rows).
+    The base models share one prepared table."""
+    from ..session import shared_dir
+    shared_dir(data.sparkSession)
+    shared = fold_table(data, id_col, k, label)
+    try:
+        mats = []
+        for name, f in base.items():
+            r = oof_predict(data, id_col, f, k, label, prepared=shared)
+            mats.append(r.oof.select(id_col, "score").unionByName(r.test).withColumnRenamed("score", name))
+        matrix = reduce(lambda a, b: a.join(b, id_col), mats).join(data.select(id_col, label), id_col).checkpoint(eager=True)
+    finally:
+        shared[0].unpersist()
     meta = oof_predict(matrix, id_col, lambda: LogisticRegression(maxIter=50), k, label, list(base))
     meta_scores = meta.oof.select(id_col, "score").unionByName(meta.test)
     return matrix.join(meta_scores.withColumnRenamed("score", "STACK"), id_col)
 
 
+def auc_matrix(scores: DataFrame, columns: Sequence[str], label: str = "TARGET") -> DataFrame:
+    """``(model, auc, n_pos, n_neg)``: one overall AUC per score column, labelled rows only."""
+    from .rank import auc_exact
+    rows = scores.where(F.col(label).isNotNull())
+    return reduce(DataFrame.unionByName, [auc_exact(rows, c, label).select(F.lit(c).alias("model"), "auc", "n_pos", "n_neg")
+                                          for c in columns])
+
+
 def bagged_scores(data: DataFrame, id_col: str, factory: Factory, n_bags: int = 11,
                   label: str = "TARGET") -> DataFrame:
-    """One model per disjoint id bag; score = mean over bag models."""
+    """One model per disjoint id bag; score = mean over bag models, which score
+    the table in one pass."""
     feats = numeric_features(data, [id_col, label])
     prepared = bag_assign(prepare(data, feats, label), id_col, n_bags) \
         .select(id_col, label, "bag", "features").persist(StorageLevel.MEMORY_AND_DISK)
-    labelled = prepared.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
-    preds = []
-    for b in range(n_bags):
-        model = factory().setLabelCol(label).setFeaturesCol("features").fit(labelled.where(F.col("bag") == b))
-        preds.append(positive_probability(model.transform(prepared)).select(id_col, "score"))
-    return reduce(DataFrame.unionByName, preds).groupBy(id_col).agg(F.avg("score").alias("score"))
+    try:
+        labelled = prepared.where(F.col(label).isNotNull()).withColumn(label, F.col(label).cast("double"))
+        models = [factory().setLabelCol(label).setFeaturesCol("features").fit(labelled.where(F.col("bag") == b))
+                  for b in range(n_bags)]
+    finally:
+        prepared.unpersist()
+    return mean_probability(models, prepared.select(id_col, "features"), id_col)
 
 
 def cv_score(data: DataFrame, id_col: str, factory: Factory, k: int = 5, label: str = "TARGET",
@@ -170,12 +207,17 @@ def random_search(data: DataFrame, id_col: str, space: dict[str, tuple[float, fl
     rng = random.Random(seed)
     trials = [{p: rng.uniform(lo, hi) for p, (lo, hi) in space.items()} for _ in range(n_trials)]
 
+    shared = fold_table(data, id_col, k, label)
+
     def run(params):
-        r = oof_predict(data, id_col, lambda: make(params), k, label)
+        r = oof_predict(data, id_col, lambda: make(params), k, label, prepared=shared)
         return params, overall_auc(r, data, id_col, label)
 
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        return list(pool.map(run, trials))
+    try:
+        with ThreadPoolExecutor(max_workers=threads) as pool:
+            return list(pool.map(run, trials))
+    finally:
+        shared[0].unpersist()
 
 
 def l1_select(data: DataFrame, id_col: str, reg: float = 0.01, label: str = "TARGET",

@@ -120,11 +120,34 @@ def target_rate_by_category(spark, d):
     return E.target_rate_by_category(B.applicants(spark, d), "n_name")
 
 
-@query("target_rate_clusters")
+def _cluster_ctes(k=4, steps=5):
+    """The same Lloyd steps, written out: one CTE per step."""
+    ctes = {"rates": "SELECT n_name, avg(CAST(TARGET AS DOUBLE)) AS m FROM a WHERE TARGET IS NOT NULL GROUP BY n_name",
+            "c0": f"SELECT i, lo + (hi - lo) * (i + 0.5::DOUBLE) / {k} AS c FROM (SELECT min(m) AS lo, max(m) AS hi FROM rates), range({k}) t(i)"}
+    for s in range(steps):
+        ctes[f"n{s}"] = f"SELECT n_name, m, arg_min(i, (abs(m - c), i)) AS i FROM rates, c{s} GROUP BY n_name, m"
+        ctes[f"c{s + 1}"] = (f"SELECT c{s}.i, coalesce(avg(n{s}.m), any_value(c{s}.c)) AS c FROM c{s} LEFT JOIN n{s} ON n{s}.i = c{s}.i "
+                             f"GROUP BY c{s}.i")
+    ctes["clusters"] = f"SELECT n_name, m, CAST(arg_min(i, (abs(m - c), i)) AS INTEGER) AS cluster_id FROM rates, c{steps} GROUP BY n_name, m"
+    return ctes
+
+
+CLUSTERS = AP | _cluster_ctes()
+
+
+@query("target_rate_clusters", W("SELECT n_name, m AS target_mean, cluster_id FROM clusters", **CLUSTERS))
 def target_rate_clusters(spark, d):
     return E.target_rate_clusters(B.applicants(spark, d), "n_name", k=4)
 
 
+@query("target_rate_cluster_rows", W("SELECT c_custkey, TARGET, cluster_id, " + ", ".join(
+    f"CAST(coalesce(cluster_id = {i}, false) AS INTEGER) AS cluster_id_{i}" for i in range(4))
+    + " FROM a LEFT JOIN clusters USING (n_name)", **CLUSTERS))
+def target_rate_cluster_rows(spark, d):
+    rows = E.target_rate_cluster_encode(B.applicants(spark, d), "n_name", k=4)
+    return rows.select("c_custkey", "TARGET", "cluster_id", *[f"cluster_id_{i}" for i in range(4)])
+
+
 @query("crosstab_pivot", W("""SELECT n_name, count(*) FILTER (WHERE TARGET = 0) AS TARGET_0,
 count(*) FILTER (WHERE TARGET = 1) AS TARGET_1 FROM a WHERE TARGET IS NOT NULL GROUP BY n_name""", **AP))
 def crosstab_pivot(spark, d):

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators import model as ML
 from ..operators.folds import holdout_split
+from . import bindings as B
 from . import mart as M
 from .registry import query
 
@@ -32,6 +33,42 @@ def oof_predict(spark, d):
             .unionByName(r.test.select(KEY, "score", F.lit("test").alias("kind"))))
 
 
+# companions with an exact answer: which rows are scored, by which fold, and how
+_FOLD = "CAST(('0x' || substr(md5(CAST(c_custkey AS VARCHAR)), 1, 8))::BIGINT % {k} AS INTEGER)"
+
+
+@query("oof_membership", B.with_ctes(f"""SELECT c_custkey, CASE WHEN TARGET IS NULL THEN 'test' ELSE 'oof' END AS kind,
+CASE WHEN TARGET IS NOT NULL THEN {_FOLD.format(k=3)} END AS fold, true AS score_in_range FROM a""", a=B.SQL_APPLICANTS))
+def oof_membership(spark, d):
+    r = ML.oof_predict(_training_table(spark, d), KEY, ML.ESTIMATORS["dt"], k=3)
+    ok = F.col("score").between(0, 1).alias("score_in_range")
+    return (r.oof.select(KEY, F.lit("oof").alias("kind"), F.col("fold").cast("int").alias("fold"), ok)
+            .unionByName(r.test.select(KEY, F.lit("test").alias("kind"), F.lit(None).cast("int").alias("fold"), ok)))
+
+
+@query("oof_fold_sizes", B.with_ctes(f"""SELECT {_FOLD.format(k=5)} AS fold, count(*) AS n_rows, min(c_custkey) AS first_id,
+max(c_custkey) AS last_id FROM a WHERE TARGET IS NOT NULL GROUP BY 1""", a=B.SQL_APPLICANTS))
+def oof_fold_sizes(spark, d):
+    r = ML.oof_predict(_training_table(spark, d), KEY, ML.ESTIMATORS["dt"], k=5)
+    return r.oof.groupBy(F.col("fold").cast("int").alias("fold")).agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min(KEY).alias("first_id"), F.max(KEY).alias("last_id"))
+
+
+@query("oof_auc")
+def oof_auc(spark, d):
+    """Overall AUC over all out-of-fold rows beside the mean of the folds' AUCs."""
+    data = _training_table(spark, d)
+    r = ML.oof_predict(data, KEY, ML.ESTIMATORS["lr"], k=3)
+    return spark.createDataFrame([(float(ML.overall_auc(r, data, KEY, LABEL)), sum(r.fold_auc) / len(r.fold_auc))],
+                                 "overall_auc double, mean_fold_auc double")
+
+
+@query("stack_auc_matrix")
+def stack_auc_matrix(spark, d):
+    names = {"LR": ML.ESTIMATORS["lr"], "DT": ML.ESTIMATORS["dt"]}
+    return ML.auc_matrix(ML.stack(_training_table(spark, d), KEY, names, k=3), [*names, "STACK"], LABEL)
+
+
 @query("stack_oof_matrix")
 def stack_oof_matrix(spark, d):
     return ML.stack(_training_table(spark, d), KEY, {"LR": ML.ESTIMATORS["lr"], "DT": ML.ESTIMATORS["dt"]}, k=3)
