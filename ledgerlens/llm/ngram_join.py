@@ -18,8 +18,8 @@ links.
 Scale: equal sets are one class from the start.  A shingle matters only if two
 short lists or more have it (bounded bitmap), and a document only if enough of
 its short lists matter; the others drop out before any set moves.  No list
-emits all its pairs: each list's members are compared with its smallest member
-first, and afterwards only pairs from *different* components of the same list
+emits all its pairs: each list's members are compared with one centre (the
+member with the least rare shingles) first, and afterwards only pairs from *different* components of the same list
 are left, which are enumerated component against component.  Pairs are
 counted on their short lists before whole sets move.  Hot lists are met by
 partial aggregation and by plain equi-joins that AQE can split.
@@ -142,7 +142,7 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
 
     def candidates(b: pa.RecordBatch):
         for c in W.chunks(b.column(0), fold=W.LOWER):
-            k, n, whole, hits, leads = [], [], [], [], []
+            k, n, whole, hits, leads, rare = [], [], [], [], [], []
             for s in _sets(c, size):
                 if len(s):
                     p = _short(s, percent, frequent)
@@ -154,14 +154,16 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
                         whole.append(np.sort(W.as_long(s)))
                         hits.append(np.sort(W.as_long(p)))
                         leads.append(W.as_long(lead))
+                        rare.append(1000 * int((~W.in_bitmap(frequent, s)).sum()) // len(s))
             if k:
-                yield {"k": k, "n": n, "elements": whole, "hits": hits, "leads": leads}
+                yield {"k": k, "n": n, "elements": whole, "hits": hits, "leads": leads, "rare": rare}
 
-    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, hits array<long>, leads array<long>")
+    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, hits array<long>, leads array<long>, rare int")
                    .dropDuplicates(["k"]), "join-sets")
-    posting = found.select("k", "n", F.explode("leads").alias("h"))
-    centre = stored(posting.groupBy("h").agg(F.min(F.struct("k", "n")).alias("c"), F.max("k").alias("hi"))
-                    .where("c.k < hi").select("h", F.col("c.k").alias("ck"), F.col("c.n").alias("cn")), "join-centres")
+    posting = found.select("k", "n", "rare", F.explode("leads").alias("h"))
+    # a list's centre has the least of its own: among near copies, the text they all come from
+    centre = stored(posting.groupBy("h").agg(F.min(F.struct("rare", "k", "n")).alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+                    .where("lo < hi").select("h", F.col("c.k").alias("ck"), F.col("c.n").alias("cn")), "join-centres")
     fits = f"100 * least(an, bn) >= {percent} * greatest(an, bn)"
     first = stored(posting.join(centre, "h").where("k != ck")
                    .select(F.col("k").alias("a"), F.col("ck").alias("b"), F.col("n").alias("an"), F.col("cn").alias("bn"))
@@ -178,8 +180,13 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
              .select(F.col("p.h").alias("h"), F.col("p.comp").alias("ca"), F.col("q.comp").alias("cb")))
     pairs = (sides.join(owner.selectExpr("h", "comp ca", "k a", "n an"), ["h", "ca"])
              .join(owner.selectExpr("h", "comp cb", "k b", "n bn"), ["h", "cb"])
-             .where(fits).selectExpr("greatest(a, b) a", "least(a, b) b", "if(a > b, an, bn) an", "if(a > b, bn, an) bn").distinct())
-    second = stored(pairs.join(first.select("a", "b"), ["a", "b"], "left_anti"), "join-pairs")
+             .where(fits).selectExpr("greatest(a, b) a", "least(a, b) b", "if(a > b, an, bn) an", "if(a > b, bn, an) bn")
+             .groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("merged"))
+             # partners meet in T leads less what either has behind its leads
+             .where(f"merged >= ({percent} * (an + bn) + {99 + percent}) div {100 + percent} "
+                    f"- greatest(({percent} * an + 99) div 100, ({percent} * bn + 99) div 100) + 1").drop("merged"))
+    known = first.selectExpr("greatest(a, b) a", "least(a, b) b").distinct()
+    second = stored(pairs.join(known, ["a", "b"], "left_anti"), "join-pairs")
     more = _linked(second, found, percent)
     # links between components; what a component holds already is one node
     of = comp.selectExpr("node", "comp")
