@@ -20,8 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from .registry import map_batches, query, stored, table
-from .toxicity import HELD_OUT, fold_of, labelled, sampled
+from .registry import map_batches, query, table
+from .toxicity import HELD_OUT, fold_of, labelled
 
 DIM, WIDTH, STEP, FILTERS, HOP, HIDDEN = 8, 12, 4, 32, 256, 16
 SAMPLE, LONGEST = 4000, 1 << 15
@@ -147,9 +147,8 @@ def predict(net: dict, texts: pa.Array) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> dict | None:
     """The trained network, or None without labelled documents of both classes."""
-    known = labelled(docs, labels, label, id_col, text_col).where(F.octet_length("text") <= LONGEST)
-    known = stored(known.select("doc_id", "label", "text"), "cnn-labelled")
-    some = sampled(known, SAMPLE).select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
+    known = labelled(docs, labels, label, id_col, text_col, most=SAMPLE).where(F.octet_length("text") <= LONGEST)
+    some = known.select("doc_id", "label", "text").toArrow().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     y = some["label"].to_numpy()
     if len(set(y.tolist())) < 2:
         return None

@@ -44,15 +44,20 @@ def fold_of(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, fold, label, text`` of the documents that may be learnt from.
+def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str,
+             folds: tuple = tuple(range(1, FOLDS)), most: int | None = None) -> DataFrame:
+    """``doc_id, fold, label, text`` of the documents of ``folds`` that may be learnt from,
+    or of about ``most`` labels among them.
 
     One label per doc_id (the largest, should there be several); null ids and
     labels are left out, as is the held-out fold, before any text is read.
     """
     known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
              .where("doc_id is not null and label is not null").withColumn("fold", fold_of(F.col("doc_id")))
-             .where(F.col("fold") != HELD_OUT).groupBy("doc_id", "fold").agg(F.max("label").alias("label")))
+             .where(F.col("fold").isin(list(folds)) & (F.col("fold") != HELD_OUT))
+             .groupBy("doc_id", "fold").agg(F.max("label").alias("label")))
+    if most is not None:
+        known = sampled(known, most)
     known = stored(known.withColumn("at", F.xxhash64("doc_id")), "labels")
     marks = W.bitmap(known, "at", BITS)
 
@@ -111,7 +116,7 @@ def count(train: DataFrame) -> DataFrame:
     """``gram, t, o``: occurrences of each n-gram in toxic and ordinary texts."""
     def run(b: pa.RecordBatch):
         label = b.column(1).to_numpy(zero_copy_only=False)
-        for s, raw, start, end in _texts(b.column(0), 8 << 20):
+        for s, raw, start, end in _texts(b.column(0), 2 << 20):
             g, ok = _grams(raw, start, end)
             toxic = np.repeat(label[s] == 1, end - start)[: len(g)]
             u, inv = np.unique(g[ok], return_inverse=True)
@@ -125,8 +130,7 @@ def count(train: DataFrame) -> DataFrame:
 def model(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashed log ratios (toxic over ordinary) of n-grams and of contexts; NaN where nothing falls."""
     d = DISCOUNT
-    ctx = F.shiftright("gram", 8)
-    g = stored(grams.withColumn("ctx", ctx).withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1)), "kn-grams")
+    g = grams.withColumn("ctx", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1))
     contexts = stored(g.groupBy("ctx").agg(
         F.sum("t").alias("ct"), F.sum("o").alias("co"), F.sum((F.col("t") > 0).cast("long")).alias("nt"),
         F.sum((F.col("o") > 0).cast("long")).alias("no")), "kn-contexts")
@@ -207,19 +211,18 @@ def probability(x: np.ndarray, fit: tuple) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
     """``(n-gram table, context table, calibration)``, or None if a class has no labelled document."""
-    known = labelled(docs, labels, label, id_col, text_col)
-    known = stored(known.select("doc_id", "fold", "label", "text"), "kn-labelled")
-    seen = {r.label for r in known.where(F.col("fold") != CALIBRATION).select("label").distinct().collect()}
-    if not {0, 1} <= seen:
+    folds = [f for f in range(FOLDS) if f not in (HELD_OUT, CALIBRATION)]
+    counts = stored(count(labelled(docs, labels, label, id_col, text_col, tuple(folds))), "kn-grams")
+    seen = counts.agg(F.sum("t"), F.sum("o")).first()
+    if not seen[0] or not seen[1]:
         return None
-    grams, contexts = model(count(known.where(F.col("fold") != CALIBRATION)))
+    grams, contexts = model(counts)
 
     def probe(b: pa.RecordBatch):
         x = features(b.column(0), grams, contexts)
         yield {"label": b.column(1), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}
 
-    held = map_batches(sampled(known.where(F.col("fold") == CALIBRATION), CALIBRATE)
-                       .select("text", "label"), probe, "label int, a double, b double, c double").toArrow()
+    held = map_batches(labelled(docs, labels, label, id_col, text_col, (CALIBRATION,), CALIBRATE).select("text", "label"), probe, "label int, a double, b double, c double").toArrow()
     x, y = np.stack([held[k].to_numpy() for k in "abc"], axis=1), held["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:        # too few labels to calibrate: the sign of the mean log ratio decides
         x, y = np.array([[-0.1, -1, 5], [0.1, 1, 5.0]]), np.array([0.0, 1.0])

