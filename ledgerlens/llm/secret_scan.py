@@ -5,7 +5,7 @@ over them, one per kind, becomes a probabilistic automaton by merging states
 whose outgoing and ending frequencies are statistically compatible (Hoeffding
 bound), so the automaton generalises the format.  Every candidate token of
 every text is then scored by its format likelihood under each automaton,
-against a character model of all candidate tokens of the corpus; tokens above
+against a character model of all other candidate tokens of the corpus; tokens above
 the threshold that no base match covers are added as spans of kind ``grammar``.
 
 Scale: two narrow passes over whole texts.  The shuffle between them holds the
@@ -180,11 +180,13 @@ def learn(src: DataFrame, limit: int) -> tuple[list, dict[str, float]]:
         found, chars = Counter(), Counter()
         for text in b.column(0).to_pylist():
             if text:
-                for s in base_spans(text):
+                spans = base_spans(text)
+                for s in spans:
                     if s[3] - s[0] <= 2 * LONGEST and len(c := credential(text, s)) <= LONGEST:
                         found[s[2], c] += 1
                 for m in CANDIDATE.finditer(text):
-                    chars.update(m[0])
+                    if not any(x[0] < m.end() and m.start() < x[3] for x in spans):
+                        chars.update(m[0])
         rows = [(k, v, n) for (k, v), n in found.items()] + [("char", c, n) for c, n in chars.items()]
         if rows:
             k, v, n = zip(*rows)
@@ -197,8 +199,9 @@ def learn(src: DataFrame, limit: int) -> tuple[list, dict[str, float]]:
         samples[kind] = [r.value for r in seen.where(F.col("kind") == kind)
                          .orderBy(F.xxhash64("value"), "value").limit(limit).collect()]
     chars = {r.value: r.n for r in seen.where("kind = 'char'").collect()}   # at most 66 characters
-    total = sum(chars.values()) + 66
-    return fit(samples), {c: math.log((chars.get(c, 0) + 1) / total)
+    total = max(1, sum(chars.values()))
+    # half of it uniform, so that a rare character alone is no evidence
+    return fit(samples), {c: math.log(0.5 * chars.get(c, 0) / total + 0.5 / 66)
                           for c in map(chr, range(43, 123)) if CANDIDATE.match(c * 16)}
 
 
