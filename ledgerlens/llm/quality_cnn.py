@@ -88,8 +88,9 @@ def gradients(net: dict, raw: np.ndarray, hops: np.ndarray, y: np.ndarray) -> di
     feats = np.concatenate([f["peak"], f["mean"]], axis=1)
     g = {"out": feats.T @ dz, "out_bias": np.array([dz.sum()], np.float32)}
     dpeak, dmean = np.outer(dz, net["out"][:HIDDEN]), np.outer(dz, net["out"][HIDDEN:])
-    at_peak = f["hidden"] >= f["peak"][f["doc"]]
-    dh = np.where(at_peak, dpeak[f["doc"]], 0) + (dmean / f["chunks"][:, None])[f["doc"]]
+    at_peak = (f["hidden"] >= f["peak"][f["doc"]]).astype(np.float32)
+    ties = np.add.reduceat(at_peak, np.cumsum(f["chunks"]) - f["chunks"], axis=0)      # equal chunks share it
+    dh = at_peak * (dpeak / ties)[f["doc"]] + (dmean / f["chunks"][:, None])[f["doc"]]
     dh = (dh * (f["hidden"] > 0)).astype(np.float32)
     g["hidden"], g["hidden_bias"] = f["pooled"].T @ dh, dh.sum(axis=0)
     dp = dh @ net["hidden"].T * (f["pooled"] > 0)

@@ -211,8 +211,9 @@ def test_held_out_labels_are_not_learnt(spark):
 def test_cnn_gradients_match_differences():
     import pyarrow as pa
     from ledgerlens.llm import _words as W
-    texts = pa.array(["abc def " * 60, "xyz " * 200, "q"], pa.large_string())
-    y = np.array([1, 0, 1], np.float32)
+    d = random.Random(7)
+    texts = pa.array(["".join(d.choice("abcdefgh ") for _ in range(n)) for n in (700, 1500, 5)] + ["xyz " * 200], pa.large_string())
+    y = np.array([1, 0, 1, 0], np.float32)
     net = {k: v.astype(np.float64) for k, v in quality_cnn.initial(3).items()}
     raw, hops = quality_cnn.layout(*W.text_buffers(texts))
 
