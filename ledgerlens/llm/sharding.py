@@ -17,8 +17,8 @@ documents stand next to one another, also where the cut had to move a border.
 
 Scale: texts are read twice and never shuffled, only hashes of texts and lines
 are.  Positions come from per-bucket counts: a bucket holds about
-``max(ROWS, rows / PARTS)`` rows, also within a group of equal texts, so neither
-a hot group nor a shard is ever ordered in one task.
+``max(ROWS, rows / PARTS)`` rows, also within a large cluster or a group of equal
+texts, so neither a hot group nor a shard is ever ordered in one task.
 """
 
 from __future__ import annotations
@@ -112,10 +112,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, id_col: s
     # positions: (label, part, salt) buckets of about `size` rows each, laid end to end
     size = max(ROWS, -(-total // PARTS))
     parts = max(1, total // shards // size)
-    spot = state.select("node", "label", _hash("key", F.lit(7), mod=parts).alias("part"), F.xxhash64("key").alias("near"),
-                        F.ceil(F.col("w") / size).alias("salts"))
-    placed = stored(rows.join(spot, "node")
-                    .withColumn("salt", _hash("doc_id", mod=F.col("salts"))).drop("salts"), "shard-places")
+    weights = stored(state.groupBy("key").agg(F.ceil(F.sum("w") / size).alias("salts")), "shard-weights")
+    spot = state.join(weights, "key").select("node", "w", "label", _hash("key", F.lit(7), mod=parts).alias("part"),
+                                             F.xxhash64("key").alias("near"), "salts")
+    spread = F.when(F.col("w") > size, F.xxhash64("doc_id")).otherwise(F.xxhash64("node"))
+    placed = stored(rows.join(spot, "node").withColumn("salt", F.pmod(spread, "salts")).drop("salts", "w"), "shard-places")
     bucket = ["label", "part", "salt"]
     counts = placed.groupBy(*bucket).agg(F.count(F.lit(1)).alias("n"))
     upto = Window.orderBy(*bucket).rowsBetween(Window.unboundedPreceding, -1)      # some PARTS rows
