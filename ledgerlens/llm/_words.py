@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 U = np.uint64
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from .registry import map_batches, query, table
+from .registry import arrow_map, map_batches, query, table
 
 EDIT_PERCENT = 20
 WALKS, BANDS, DEPTH = 4, 12, 2
@@ -236,7 +236,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, percent: int = EDIT_PERCENT, te
                 for c in W.chunks(b.column(b.schema.names.index(text_col)), W.LOWER, W.PUNCT):
                     keep[[c.rows.start + r for r, _ in leaks(c, it)]] = False
                 yield b.filter(pa.array(keep))
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = arrow_map(docs, run, docs.schema)
     return docs
 
 

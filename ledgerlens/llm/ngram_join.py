@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from .registry import map_batches, query, stored, table
+from .registry import arrow_map, map_batches, query, stored, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -250,8 +250,8 @@ def representatives(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
                     for s in _sets(c, size)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(keys, pa.int64())], names=[*names, key])
 
-    clear = hashed.mapInArrow(passed, docs.schema)
-    rest = hashed.mapInArrow(held, hashed.schema).alias("d").join(
+    clear = arrow_map(hashed, passed, docs.schema)
+    rest = arrow_map(hashed, held, hashed.schema).alias("d").join(
         risky.alias("r"), F.col(f"d.`{id_col}`").eqNullSafe(F.col("r.doc_id")) & (F.col(f"d.`{key}`") == F.col("r.k")), "left")
     whole = [F.col(f"d.`{n}`").alias(n) for n in names]
     unknown = rest.where("r.k is null").select(*whole)

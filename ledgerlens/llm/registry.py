@@ -38,8 +38,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_ROWS = 1000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def arrow_map(df: DataFrame, fn, schema) -> DataFrame:
+    """``mapInArrow`` over batches of at most ``BATCH_ROWS`` rows: whole texts are
+    long, and a default batch of ten thousand takes hundreds of MB on both sides.
+    The session's batch size is lowered, never raised."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(_ROWS)) <= BATCH_ROWS:
+        conf.set(_ROWS, BATCH_ROWS)
+    return df.mapInArrow(fn, schema)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
-    """``mapInArrow`` over a function that yields one dict of columns at a time."""
+    """``arrow_map`` over a function that yields one dict of columns at a time."""
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType
 
@@ -55,4 +69,4 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict]], s
                     arrays = [a if a.type == f.type else a.cast(f.type) for a, f in zip(arrays, target)]
                     yield pa.RecordBatch.from_arrays(arrays, names=target.names)
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)

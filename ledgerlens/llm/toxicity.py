@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from .registry import map_batches, query, stored, table
+from .registry import arrow_map, map_batches, query, stored, table
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -116,7 +116,7 @@ def count(train: DataFrame) -> DataFrame:
     """``gram, t, o``: occurrences of each n-gram in toxic and ordinary texts."""
     def run(b: pa.RecordBatch):
         label = b.column(1).to_numpy(zero_copy_only=False)
-        for s, raw, start, end in _texts(b.column(0), 2 << 20):
+        for s, raw, start, end in _texts(b.column(0), 1 << 20):
             g, ok = _grams(raw, start, end)
             toxic = np.repeat(label[s] == 1, end - start)[: len(g)]
             u, inv = np.unique(g[ok], return_inverse=True)
@@ -266,7 +266,7 @@ def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             x = features(b.column(b.schema.names.index(text_col)), *fitted[:2])
             yield b.filter(pa.array(probability(x, fitted[2]) < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow_map(docs, run, docs.schema)
 
 
 @query("op8_kneser_ney_toxicity")
