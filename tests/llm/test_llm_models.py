@@ -144,6 +144,22 @@ def test_forest_recall_beyond_one_window(spark, monkeypatch):
     assert sum(len({v for v, _ in w} & got[q]) for q, w in want.items()) >= 0.9 * 5 * len(want)
 
 
+@pytest.mark.parametrize("n", [3000, 9000])
+def test_forest_recall_in_a_dense_cluster(spark, monkeypatch, n):
+    r = np.random.default_rng(n)
+    monkeypatch.setattr(hash_forest, "WINDOW", 16)
+    x = r.standard_normal((n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    dense = r.permutation(n)[: n // 3]          # a third of the rows at cosine .96
+    x[dense] = r.standard_normal(64) / 8 + 0.2 * x[dense]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = defaultdict(set)
+    for y in hash_forest.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[y.query_id].add(y.vec_id)
+    want = {q: w for q, w in nearest(rows).items() if q in set(dense.tolist())}
+    assert sum(len({v for v, _ in w} & got[q]) for q, w in want.items()) >= 0.97 * 5 * len(want)
+
+
 def test_forest_edge_cases(spark):
     rows = [(0, [1.0, 0.0, 0.0]), (50, [1.0, 0.0, 0.0]), (7, [1.0, 0.0, 0.0]), (3, [0.0, 1.0, 0.0]), (4, [2.0, 0.0, 0.0]),
             (5, None), (6, [0.0, 0.0, 0.0]), (8, [1.0, None, 0.0]), (9, [1.0, float("nan"), 0.0]), (10, [1.0, 2.0]),
