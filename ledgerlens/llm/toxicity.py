@@ -10,9 +10,9 @@ turns both, with the log length, into a probability.
 
 Counts come from all labelled training texts (a distributed aggregation that
 grows with them); every text is scored whole.  For scoring, the log ratio of
-every n-gram and of every context goes into a hashed table of ``TABLE`` and
-``CONTEXTS`` places (n-grams of one place share their count-weighted mean), so
-what is broadcast is 4 bytes times that, at any input size.  The calibration is
+every counted n-gram and of every context stands in a hash table with its key
+(``Ratios``), so an unseen n-gram is recognised and backs off.  The tables grow
+with the distinct n-grams: 18 to 36 bytes for each of them are broadcast.  The calibration is
 fitted on at most ``CALIBRATE`` labelled documents (smallest hashes), which
 give no counts.
 
@@ -33,7 +33,6 @@ from .registry import arrow_map, map_batches, query, stored, table
 ORDER = 5
 DISCOUNT = 0.75
 STRETCH = 8
-TABLE, CONTEXTS = 1 << 21, 1 << 20
 CALIBRATE = 20_000
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 BITS = 24
@@ -108,8 +107,43 @@ def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
     return g, ok
 
 
-def _place(g: np.ndarray, size: int) -> np.ndarray:
-    return (W.splitmix(g.view(W.U)) >> W.U(65 - size.bit_length())).astype(np.int64)
+class Ratios:
+    """A hash table from keys (from 0 on, each once) to values; linear probing, a third to two thirds of the places taken."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        keys = keys.astype(np.int64)
+        self.size = 1 << max(4, (len(keys) * 3 // 2).bit_length())
+        self.keys = np.full(self.size, -1, np.int64)
+        self.values = np.full(self.size, np.nan, np.float32)
+        todo, at = np.arange(len(keys)), self._place(keys)
+        while len(todo):
+            free = np.flatnonzero(self.keys[at] < 0)
+            at_free, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[at_free], self.values[at_free] = keys[todo[won]], values[todo[won]]
+            left = np.ones(len(todo), bool)
+            left[won] = False
+            todo, at = todo[left], (at[left] + 1) & (self.size - 1)
+
+    def _place(self, keys: np.ndarray) -> np.ndarray:
+        return (W.splitmix(keys.view(W.U)) >> W.U(65 - self.size.bit_length())).astype(np.int64)
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key, NaN for an unknown one."""
+        at = self._place(keys)
+        out = self.values[at]
+        have = self.keys[at]
+        todo = np.flatnonzero((have != keys) & (have >= 0))
+        out[have != keys] = np.nan
+        at = at[todo]
+        while len(todo):
+            at = (at + 1) & (self.size - 1)
+            have = self.keys[at]
+            hit = have == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            more = ~hit & (have >= 0)
+            todo, at = todo[more], at[more]
+        return out
 
 
 def count(train: DataFrame) -> DataFrame:
@@ -127,8 +161,8 @@ def count(train: DataFrame) -> DataFrame:
             .groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
 
 
-def model(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed log ratios (toxic over ordinary) of n-grams and of contexts; NaN where nothing falls."""
+def model(grams: DataFrame) -> tuple[Ratios, Ratios]:
+    """Log ratios (toxic over ordinary) of all counted n-grams and of their contexts."""
     d = DISCOUNT
     g = grams.withColumn("ctx", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1))
     contexts = stored(g.groupBy("ctx").agg(
@@ -146,30 +180,23 @@ def model(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     prob = {c: F.when(F.col(f"c{c}") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"c{c}")).otherwise(F.lit(0.0))
             + lam[c] * F.col("ps") for c in "to"}
     rated = (g.join(contexts, "ctx").join(shared, "suffix")
-             .select("gram", F.log(prob["t"] / prob["o"]).alias("llr"), (F.col("t") + F.col("o")).alias("n")))
-
-    def hashed(df: DataFrame, key: str, size: int) -> np.ndarray:
-        def places(b: pa.RecordBatch):
-            k = b.column(0).to_numpy(zero_copy_only=False)
-            yield {"place": _place(k, size), "llr": b.column(1), "n": b.column(2)}
-        cells = (map_batches(df.select(key, "llr", "n"), places, "place long, llr double, n long").groupBy("place")
-                 .agg((F.sum(F.col("llr") * F.col("n")) / F.sum("n")).cast("float").alias("v"))).toArrow()
-        out = np.full(size, np.nan, np.float32)
-        out[cells["place"].to_numpy()] = cells["v"].to_numpy()
-        return out
+             .select("gram", F.log(prob["t"] / prob["o"]).cast("float").alias("llr")))
+
+    def ratios(df: DataFrame) -> Ratios:
+        t = df.toArrow()
+        return Ratios(t[0].to_numpy(), t[1].to_numpy())
 
-    back = contexts.select("ctx", F.log(lam["t"] / lam["o"]).alias("llr"), (F.col("ct") + F.col("co")).alias("n"))
-    return hashed(rated, "gram", TABLE), hashed(back, "ctx", CONTEXTS)
+    return ratios(rated), ratios(contexts.select("ctx", F.log(lam["t"] / lam["o"]).cast("float")))
 
 
-def features(col: pa.Array, grams: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+def features(col: pa.Array, grams: Ratios, contexts: Ratios) -> np.ndarray:
     """Per text: log ratio per byte, log ratio of the most toxic stretch per byte, log of the length."""
     out = np.zeros((len(col), 3))
     for s, raw, start, end in _texts(col):
         g, ok = _grams(raw, start, end)
-        v = grams[_place(g, len(grams))]
+        v = grams[g]
         gone = np.isnan(v)
-        v[gone] = np.nan_to_num(contexts[_place(g[gone] >> 8, len(contexts))])
+        v[gone] = np.nan_to_num(contexts[g[gone] >> 8])
         v = np.where(ok, v, 0).astype(np.float64)
         sums = np.concatenate([[0.0], np.cumsum(v)])
         stop = np.maximum(end - ORDER + 1, start)           # n-grams of row i: start..stop

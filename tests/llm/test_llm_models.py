@@ -224,6 +224,20 @@ def test_held_out_labels_are_not_learnt(spark):
     assert {(r.doc_id, r.score) for r in a} == {(r.doc_id, r.score) for r in b}
 
 
+def test_every_counted_ngram_keeps_its_ratio(spark):
+    r = random.Random(6)
+    grams = sorted({r.randrange(1 << 40) for _ in range(200_000)})
+    rows = [(g, n, 0) if r.random() < 0.3 else (g, 0, n) for g in grams for n in [r.randint(1, 3)]]
+    table_, back = toxicity.model(spark.createDataFrame(rows, "gram long, t long, o long"))
+    some = np.array(grams)
+    have = table_[some]
+    assert not np.isnan(have).any() and len(back[some >> 8]) == len(some)
+    unseen = np.array(sorted({r.randrange(1 << 40) for _ in range(100_000)} - set(grams)))
+    assert np.isnan(table_[unseen]).all()               # backs off
+    toxic = np.array([t > 0 for _, t, _ in rows])
+    assert have[toxic].min() > 0 > have[~toxic].max()   # no ratio mixed with another's
+
+
 def test_cnn_gradients_match_differences():
     import pyarrow as pa
     from ledgerlens.llm import _words as W
