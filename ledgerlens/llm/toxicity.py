@@ -13,8 +13,9 @@ grows with them); every text is scored whole.  For scoring, the log ratio of
 every counted n-gram and of every context stands in a hash table with its key
 (``Ratios``), so an unseen n-gram is recognised and backs off.  The tables grow
 with the distinct n-grams: 18 to 36 bytes for each of them are broadcast.  The calibration is
-fitted on at most ``CALIBRATE`` labelled documents (smallest hashes), which
-give no counts.
+fitted on at most about ``CALIBRATE`` labelled documents of one fold (by hash),
+against models counted without them; the models that score then count these
+documents too.
 
 Scale: scoring is one narrow pass.  Only labelled training texts are shuffled,
 to meet their label; a bounded bitmap keeps the others out.
@@ -43,6 +44,13 @@ def fold_of(id_col: Column) -> Column:
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(FOLDS))
 
 
+def _known(labels: DataFrame, label: str, id_col: str, folds: tuple) -> DataFrame:
+    return (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
+            .where("doc_id is not null and label is not null").withColumn("fold", fold_of(F.col("doc_id")))
+            .where(F.col("fold").isin(list(folds)) & (F.col("fold") != HELD_OUT))
+            .groupBy("doc_id", "fold").agg(F.max("label").alias("label")))
+
+
 def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str,
              folds: tuple = tuple(range(1, FOLDS)), most: int | None = None) -> DataFrame:
     """``doc_id, fold, label, text`` of the documents of ``folds`` that may be learnt from,
@@ -51,10 +59,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     One label per doc_id (the largest, should there be several); null ids and
     labels are left out, as is the held-out fold, before any text is read.
     """
-    known = (labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
-             .where("doc_id is not null and label is not null").withColumn("fold", fold_of(F.col("doc_id")))
-             .where(F.col("fold").isin(list(folds)) & (F.col("fold") != HELD_OUT))
-             .groupBy("doc_id", "fold").agg(F.max("label").alias("label")))
+    known = _known(labels, label, id_col, folds)
     if most is not None:
         known = sampled(known, most)
     known = stored(known.withColumn("at", F.xxhash64("doc_id")), "labels")
@@ -72,8 +77,13 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
 
 def sampled(df: DataFrame, most: int) -> DataFrame:
     """About ``most`` rows of ``df`` (``doc_id``) by hash, or all if there are fewer."""
-    part = min(1.0, most / max(1, df.count()))
-    return df.where(F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30)))
+    return df.where(_drawn(df.count(), most))
+
+
+def _drawn(rows: int, most: int) -> Column:
+    """Whether ``doc_id`` is among about ``most`` of ``rows`` rows."""
+    part = min(1.0, most / max(1, rows))
+    return F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1 << 30)) < int(part * (1 << 30))
 
 
 def _padded(c_off: np.ndarray, raw: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -147,18 +157,18 @@ class Ratios:
 
 
 def count(train: DataFrame) -> DataFrame:
-    """``gram, t, o``: occurrences of each n-gram in toxic and ordinary texts."""
+    """``gram, t, o, ht, ho``: occurrences of each n-gram in toxic and ordinary texts, and in those of them that are ``held``."""
     def run(b: pa.RecordBatch):
-        label = b.column(1).to_numpy(zero_copy_only=False)
+        kind = ((b.column(1).to_numpy(zero_copy_only=False) == 1) + 2 * b.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
         for s, raw, start, end in _texts(b.column(0), 1 << 20):
             g, ok = _grams(raw, start, end)
-            toxic = np.repeat(label[s] == 1, end - start)[: len(g)]
+            of = np.repeat(kind[s], end - start)[: len(g)]
             u, inv = np.unique(g[ok], return_inverse=True)
-            t = np.bincount(inv, toxic[ok], minlength=len(u)).astype(np.int64)
-            yield {"gram": u, "t": t, "o": np.bincount(inv, minlength=len(u)) - t}
+            n = np.bincount(4 * inv + of[ok], minlength=4 * len(u)).reshape(-1, 4)
+            yield {"gram": u, "t": n[:, 1] + n[:, 3], "o": n[:, 0] + n[:, 2], "ht": n[:, 3], "ho": n[:, 2]}
 
-    return (map_batches(train.select("text", "label"), run, "gram long, t long, o long")
-            .groupBy("gram").agg(F.sum("t").alias("t"), F.sum("o").alias("o")))
+    return (map_batches(train.select("text", "label", "held"), run, "gram long, t long, o long, ht long, ho long")
+            .groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("t", "o", "ht", "ho")]))
 
 
 def model(grams: DataFrame) -> tuple[Ratios, Ratios]:
@@ -238,19 +248,25 @@ def probability(x: np.ndarray, fit: tuple) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
     """``(n-gram table, context table, calibration)``, or None if a class has no labelled document."""
-    folds = [f for f in range(FOLDS) if f not in (HELD_OUT, CALIBRATION)]
-    counts = stored(count(labelled(docs, labels, label, id_col, text_col, tuple(folds))), "kn-grams")
-    seen = counts.agg(F.sum("t"), F.sum("o")).first()
+    rows = _known(labels, label, id_col, (CALIBRATION,)).count()
+    held = (F.col("fold") == CALIBRATION) & _drawn(rows, CALIBRATE)
+    every = labelled(docs, labels, label, id_col, text_col).withColumn("held", held)
+    counts = stored(count(every), "kn-grams")
+    seen = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "o", "ht", "ho")]).first()
     if not seen[0] or not seen[1]:
         return None
-    grams, contexts = model(counts)
-
-    def probe(b: pa.RecordBatch):
-        x = features(b.column(0), grams, contexts)
-        yield {"label": b.column(1), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}
-
-    held = map_batches(labelled(docs, labels, label, id_col, text_col, (CALIBRATION,), CALIBRATE).select("text", "label"), probe, "label int, a double, b double, c double").toArrow()
-    x, y = np.stack([held[k].to_numpy() for k in "abc"], axis=1), held["label"].to_numpy().astype(float)
+    grams, contexts = model(counts.select("gram", "t", "o"))
+    x, y = np.zeros((0, 3)), np.zeros(0)
+    if seen[0] > seen[2] and seen[1] > seen[3]:
+        without = model(counts.selectExpr("gram", "t - ht t", "o - ho o").where("t + o > 0"))
+
+        def probe(b: pa.RecordBatch):
+            x = features(b.column(0), *without)
+            yield {"label": b.column(1), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}
+
+        some = labelled(docs, labels, label, id_col, text_col, (CALIBRATION,), CALIBRATE).select("text", "label")
+        probed = map_batches(some, probe, "label int, a double, b double, c double").toArrow()
+        x, y = np.stack([probed[k].to_numpy() for k in "abc"], axis=1), probed["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:        # too few labels to calibrate: the sign of the mean log ratio decides
         x, y = np.array([[-0.1, -1, 5], [0.1, 1, 5.0]]), np.array([0.0, 1.0])
     order = np.lexsort(x.T)

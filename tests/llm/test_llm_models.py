@@ -224,6 +224,17 @@ def test_held_out_labels_are_not_learnt(spark):
     assert {(r.doc_id, r.score) for r in a} == {(r.doc_id, r.score) for r in b}
 
 
+def test_expressions_of_the_calibration_fold_are_learnt(spark):
+    docs, labels = toxic_corpus(3, 400)
+    fold = (lambda i: zlib.crc32(str(i).encode()) % 5)
+    docs = [(i, t + " qzxvkj qzxvkj qzxvkj" if fold(i) == 1 and toxic else t, s)
+            for (i, t, s), (_, _, toxic, _) in zip(docs, labels)]
+    new = next(i for i in range(9000, 9100) if fold(i) == 0)
+    asked = docs + [(new, "an er th qzxvkj qzxvkj", "s")]
+    got = toxicity.score(frame(spark, asked), spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text string"))
+    assert got.where(f"doc_id = {new}").first().llr_stretch > 0.5
+
+
 def test_every_counted_ngram_keeps_its_ratio(spark):
     r = random.Random(6)
     grams = sorted({r.randrange(1 << 40) for _ in range(200_000)})
