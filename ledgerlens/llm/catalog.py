@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_transducer, collocations, decontaminate, hash_forest, license_scan, mixing, ngram_join, quality_cnn, rlz_dedup, secret_scan, sharding, toxicity  # noqa: F401
+from . import bpe_transducer, collocations, decontaminate, hash_forest, license_scan, mixing, ngram_join, quality_cnn, rlz_dedup, secret_scan, sharding, token_alignment, toxicity  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 
