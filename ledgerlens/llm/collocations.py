@@ -16,7 +16,7 @@ others, at most 32 MB; a collision costs work, never a result).
 
 Exactness: hashes only prune and balance.  Leaves travel as blocks with the
 words themselves (one block per task batch, language and group: a small word
-list and indices into it), so every count is a count of equal strings.
+list and indices into it, compressed), so every count is a count of equal strings.
 
 Scale: what reaches the driver is the prefixes heavier than a quarter of the
 budget and the loads of the slots that are packed, both in proportion to the
@@ -43,8 +43,8 @@ DEPTH = 4                # words of the longest phrase
 LEAST = 30               # occurrences of a candidate
 SHARE = 80               # per cent of a phrase's occurrences that lie in one longer candidate: it goes
 TOP = 2000               # phrases of each language in the report
-BUDGET = 1 << 21         # suffixes of one group
-UNIT = 8 << 20           # bytes of text that a task counts at a time
+BUDGET = 1 << 20         # suffixes of one group
+UNIT = 4 << 20           # bytes of text that a task counts at a time
 MOST_BITS = 28           # bitmap of words: 32 MB at most
 
 BREAK = np.zeros(256, bool)
@@ -147,7 +147,7 @@ def _slot(keys, slots: int):
 
 
 _VOCAB = "lang string, word long, n long"
-_BLOCK = "grp int, lang string, deep int, words array<string>, leaf binary, n binary"
+_BLOCK = "grp int, lang string, deep int, leaves int, words int, size int, body binary"
 _NODE = "lang string, phrase string, m int, f long, partial boolean"
 
 
@@ -159,14 +159,14 @@ def _blocks(u: _Unit, frequent, heavy, group_of, slots: int, depth: int):
         return None
     deep, prefix = _split(length[at], [k[at] for k in keys], heavy)
     words = u.words(at).dictionary_encode()
-    ids = np.zeros(len(length) + depth, np.int64)
-    ids[at] = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
+    ids = np.zeros(len(length) + depth, np.int32)
+    ids[at] = words.indices.to_numpy(zero_copy_only=False) + 1
     cols = [np.where(length[at] > d, ids[at + d], 0) for d in range(depth)]
     top = (group_of[_slot(prefix, slots)].astype(np.int64) * len(u.langs) + u.lang[at]) * (depth + 1) + deep
     order, first, n = _sorted(top, cols, np.ones(len(at), np.int64))
     top, cols = top[order][first], [c[order][first] for c in cols]
     cut = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
-    rows = {k: [] for k in ("grp", "lang", "deep", "words", "leaf", "n")}
+    rows = {k: [] for k in ("grp", "lang", "deep", "leaves", "words", "size", "body")}
     for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(top)]):
         used, local = np.unique(np.concatenate([c[a:b] for c in cols]), return_inverse=True)
         if used[0]:                                  # 0 ends a suffix in every block
@@ -176,15 +176,29 @@ def _blocks(u: _Unit, frequent, heavy, group_of, slots: int, depth: int):
         rows["grp"].append(g)
         rows["lang"].append(u.langs[lang])
         rows["deep"].append(d)
-        rows["words"].append(words.dictionary.take(pa.array(used[1:] - 1)))
-        rows["leaf"].append(local.astype(np.uint16 if len(used) < 1 << 16 else np.uint32).tobytes())
-        rows["n"].append(n[a:b].astype(np.uint32).tobytes())
-    sizes = np.cumsum([0, *map(len, rows["words"])]).astype(np.int32)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(rows["grp"], pa.int32()), pa.array(rows["lang"], pa.string()), pa.array(rows["deep"], pa.int32()),
-         pa.ListArray.from_arrays(pa.array(sizes), pa.concat_arrays(rows["words"])),
-         pa.array(rows["leaf"], pa.binary()), pa.array(rows["n"], pa.binary())],
-        names=["grp", "lang", "deep", "words", "leaf", "n"])
+        body = _packed(words.dictionary.take(pa.array(used[1:] - 1)), local, n[a:b])
+        rows["leaves"].append(b - a)
+        rows["words"].append(len(used) - 1)
+        rows["size"].append(len(body))
+        rows["body"].append(pa.compress(body, "zstd", asbytes=True))
+    types = {"lang": pa.string(), "body": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int32())) for k, v in rows.items()], names=list(rows))
+
+
+def _packed(words: pa.Array, local: np.ndarray, n: np.ndarray) -> bytes:
+    """A block: indices, counts (both by byte planes, which compress better) and the words."""
+    wide = np.uint16 if len(words) + 1 < 1 << 16 else np.uint32
+    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (local.astype(wide), n.astype(np.uint32))]
+    return b"".join([*planes, " ".join(words.to_pylist()).encode()])
+
+
+def _unpacked(body: bytes, leaves: int, words: int, depth: int) -> tuple[list[str], np.ndarray, np.ndarray]:
+    wide = np.dtype(np.uint16 if words + 1 < 1 << 16 else np.uint32)
+    cut = leaves * depth * wide.itemsize
+    raw = np.frombuffer(body, np.uint8)
+    local = np.ascontiguousarray(raw[:cut].reshape(wide.itemsize, -1).T).view(wide).reshape(depth, leaves)
+    n = np.ascontiguousarray(raw[cut:cut + 4 * leaves].reshape(4, -1).T).view(np.uint32).ravel()
+    return body[cut + 4 * leaves:].decode().split(" "), local, n
 
 
 def _sorted(top: np.ndarray, cols: list[np.ndarray], n: np.ndarray):
@@ -201,21 +215,20 @@ def _sorted(top: np.ndarray, cols: list[np.ndarray], n: np.ndarray):
 
 def _subtrees(blocks: list[tuple], depth: int, least: int):
     """Nodes of one group's subtrees, from its sorted leaves."""
-    words = pa.concat_arrays([x[2] for x in blocks]).dictionary_encode()
-    ids = words.indices.to_numpy(zero_copy_only=False).astype(np.int64) + 1
     names = sorted({x[0] for x in blocks})
     code = {x: i for i, x in enumerate(names)}
-    tops, cols, ns, at = [], [[] for _ in range(depth)], [], 0
-    for lang, deep, own, leaf, n in blocks:
-        local = np.concatenate([[0], ids[at:at + len(own)]])
-        at += len(own)
-        k = len(n) // 4
-        leaf = np.frombuffer(leaf, np.uint16 if len(own) + 1 < 1 << 16 else np.uint32).reshape(depth, k)
+    place: dict[str, int] = {}
+    tops, cols, ns = [], [[] for _ in range(depth)], []
+    for lang, deep, leaves, kinds, size, body in blocks:
+        own, leaf, n = _unpacked(pa.decompress(body, size, "zstd", asbytes=True), leaves, kinds, depth)
+        local = np.array([0, *(place.setdefault(w, len(place) + 1) for w in own)], np.int32)
         for d in range(depth):
             cols[d].append(local[leaf[d]])
-        tops.append(np.full(k, code[lang] * (depth + 1) + deep))
-        ns.append(np.frombuffer(n, np.uint32).astype(np.int64))
-    top, cols, n = np.concatenate(tops), [np.concatenate(c) for c in cols], np.concatenate(ns)
+        tops.append(np.full(leaves, code[lang] * (depth + 1) + deep, np.int32))
+        ns.append(n)
+    words = pa.array(list(place), pa.string())
+    top, cols, n = np.concatenate(tops), [np.concatenate(c) for c in cols], np.concatenate(ns).astype(np.int64)
+    tops, ns = [], []
     order, first, n = _sorted(top, cols, n)
     top, cols = top[order][first], [c[order][first] for c in cols]
     new = np.concatenate([[True], top[1:] != top[:-1]])
@@ -228,7 +241,7 @@ def _subtrees(blocks: list[tuple], depth: int, least: int):
         keep = (c[node] != 0) & (partial | (total >= least))
         node, total, partial = node[keep], total[keep], partial[keep]
         if len(node):
-            parts = [words.dictionary.take(pa.array(x[node] - 1)) for x in cols[:d]]
+            parts = [words.take(pa.array(x[node] - 1)) for x in cols[:d]]
             phrase = pc.binary_join_element_wise(*parts, " ") if d > 1 else parts[0]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names).take(pa.array(top[node] // (depth + 1))), phrase, pa.array(np.full(len(node), d, np.int32)),
@@ -304,11 +317,9 @@ def phrase_counts(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, budge
     def trees(batches):
         held: dict[int, list] = {}
         for b in batches:
-            grp, lang, deep, leaf, n = (b.column(i).to_pylist() for i in (0, 1, 2, 4, 5))
-            off, words = b.column(3).offsets.to_numpy(), b.column(3).values
-            for i in range(b.num_rows):
-                own = words.slice(off[i], off[i + 1] - off[i])
-                held.setdefault(grp[i], []).append((lang[i], deep[i], own, leaf[i], n[i]))
+            grp, *rest = (c.to_pylist() for c in b.columns)
+            for g, *block in zip(grp, *rest):
+                held.setdefault(g, []).append(block)
         for g in sorted(held):
             yield from _subtrees(held.pop(g), depth, least)
 
