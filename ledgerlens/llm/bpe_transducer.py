@@ -74,14 +74,16 @@ def _normal(s: str) -> str:
 
 
 class Vocabulary:
-    """Merges, token strings and special tokens of a tokenizer file."""
+    """Merges, token strings and special tokens of a byte-level BPE file whose words end in ``end``."""
+
+    end = END
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
-        if spec["model"].get("end_of_word_suffix") != END:
-            raise ValueError(f"{path}: not a vocabulary with word ends")
+        if (spec["model"].get("end_of_word_suffix") or "") != self.end:
+            raise ValueError(f"{path}: words don't end in {self.end!r}")
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         names = {i: s for s, i in vocab.items()} | {i: s for s, i in self.special.items()}
         size = max(names) + 1
@@ -89,7 +91,7 @@ class Vocabulary:
         self.spaced = pa.array([s + " " for s in self.names], pa.large_string())
         byte = _byte_letters()
         self.inner = np.array([vocab[c] for c in byte], np.int64)
-        self.last = np.array([vocab[c + END] for c in byte], np.int64)
+        self.last = np.array([vocab[c + self.end] for c in byte], np.int64)
         pairs = [m if isinstance(m, list) else m.split(" ") for m in merges]
         left = np.array([vocab[a] for a, _ in pairs], np.int64)
         right = np.array([vocab[b] for _, b in pairs], np.int64)

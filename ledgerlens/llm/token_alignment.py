@@ -25,46 +25,149 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from .bpe_transducer import _letter_bytes
+from .bpe_transducer import LETTER, SPACE, UNSURE, Vocabulary, _classes, _letter_bytes, _ragged
 from .registry import arrow_map, query, stored, table
 
-UNIT = 4 << 20
+UNIT = 1 << 20
 _LINKS = ("unit long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, groups string, "
           "at array<int>, times array<int>, pos int, pair long, n long")
 _ROW = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
 
 
+class ByteLevel(Vocabulary):
+    """Byte-level BPE without word ends: a text is split into words, and distinct words are merged once."""
+
+    end = ""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        byte = _letter_bytes()
+        raw = [bytes(byte.get(ord(c), 63) for c in s) for s in self.names]
+        self.raw = pa.array(raw, pa.large_binary())
+        self.size = np.array([len(x) for x in raw], np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts and where each text's begin; texts are not empty."""
+        words, edge, unsure = self._cut(texts)
+        ids, edge = _by_word(words, edge, self.merge)
+        if not unsure:
+            return ids, edge
+        lib = self.library
+        lib.no_truncation()
+        lib.no_padding()
+        lib.encode_special_tokens = True                 # their strings in a text are text
+        parts = [ids[a:b] for a, b in zip(edge[:-1], edge[1:])]
+        for i in unsure:
+            parts[i] = np.array(lib.encode(texts[i], add_special_tokens=False).ids, np.int64)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+
+    @staticmethod
+    def _cut(texts: list[str]):
+        """Words of all texts, where each text's begin, and the texts with a code point of unsure class (no words).
+
+        The split pattern: 's 't 're 've 'm 'll 'd; letters, numbers or other signs, each with a space before;
+        white space, whose last character is left to what follows."""
+        joined = "".join(texts)
+        cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
+        n, ends = len(cp), np.cumsum([len(t) for t in texts])
+        kind = np.where(cp < 1 << 16, _classes()[np.minimum(cp, (1 << 16) - 1)], UNSURE)
+        unsure = np.unique(np.searchsorted(ends, np.flatnonzero(kind == UNSURE), side="right")).tolist()
+        if unsure:
+            bad = set(unsure)
+            words, edge, _ = ByteLevel._cut(["" if i in bad else t for i, t in enumerate(texts)])
+            return words, edge, unsure
+        if not n:
+            return pa.array([], pa.large_binary()), np.zeros(len(texts) + 1, np.int64), []
+        begin = np.ones(n, bool)
+        begin[1:] = kind[1:] != kind[:-1]
+        begin[(ends - [len(t) for t in texts])[np.diff(ends, prepend=0) > 0]] = True
+        first = np.zeros(n + 1, bool)
+        first[ends] = True                               # a text begins here, or all end
+        last = np.flatnonzero((kind[:-1] == SPACE) & (kind[1:] != SPACE) & ~first[1:n])
+        begin[last] = True
+        begin[last[cp[last] == 32] + 1] = False          # the space goes with the word
+        i = np.flatnonzero((cp[:-1] == 39) & begin[:-1] & (kind[1:] == LETTER) & ~first[1:n])
+        x, y = cp[i + 1], np.where(first[np.minimum(i + 2, n)], 0, cp[np.minimum(i + 2, n - 1)])
+        two = np.isin(x, [115, 116, 109, 100])
+        three = ((x == 114) & (y == 101)) | ((x == 118) & (y == 101)) | ((x == 108) & (y == 108))
+        begin[i[two | three] + 1] = False
+        j = np.concatenate([i[two] + 2, i[three] + 3])
+        j = j[j < n]
+        begin[j] |= kind[j] == LETTER
+        width = 1 + (cp >= 0x80) + (cp >= 0x800)
+        start = np.flatnonzero(begin)
+        offsets = np.concatenate([[0], np.cumsum(width)]).astype(np.int64)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [
+            None, pa.py_buffer(offsets[np.append(start, n)]), pa.py_buffer(joined.encode())])
+        return words, np.searchsorted(start, np.concatenate([[0], ends])), []
+
+
+class Pieces:
+    """SentencePiece BPE with a space in front.  Its pieces hold spaces at their beginning only, so no merge crosses
+    from a word into the spaces after it: distinct words (with the spaces before them) are encoded once."""
+
+    def __init__(self, path: str):
+        import sentencepiece
+        self.p = sentencepiece.SentencePieceProcessor(model_file=path)
+        raw, self.local = [], True
+        for i in range(self.p.get_piece_size()):
+            s = self.p.id_to_piece(i)
+            byte = re.fullmatch(r"<0x([0-9A-F]{2})>", s)
+            raw.append(bytes([int(byte[1], 16)]) if byte else s.replace("▁", " ").encode())
+            self.local &= "▁" not in s.lstrip("▁")
+        self.space = self.p.piece_to_id("▁")
+        self.raw = pa.array(raw, pa.large_binary())
+        self.size = np.array([len(x) for x in raw], np.int64)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each with its space in front, and where each text's begin."""
+        data = "".join(texts).encode()
+        ends = np.cumsum([len(t.encode()) for t in texts])
+        first = ends - np.diff(ends, prepend=0)
+        space = np.frombuffer(data, np.uint8) == 32
+        begin = np.zeros(len(space), bool)
+        if self.local:
+            begin[1:] = space[1:] & ~space[:-1]
+        begin[first] = True
+        start = np.flatnonzero(begin)
+        words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [
+            None, pa.py_buffer(np.append(start, len(data)).astype(np.int64)), pa.py_buffer(data)])
+
+        def merge(words: pa.Array):
+            # the processor puts the first space in front itself
+            ids, edge = _flat(self.p.encode([w.decode()[1:] or "." for w in words.to_pylist()], num_threads=1))
+            alone = pc.equal(pc.binary_length(words), 1).to_numpy(zero_copy_only=False)
+            if alone.any():                              # a lone space is one piece
+                parts = [np.array([self.space]) if x else ids[a:b] for x, a, b in zip(alone, edge[:-1], edge[1:])]
+                ids, edge = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+            return edge, ids
+
+        return _by_word(words, np.searchsorted(start, np.append(first, len(data))), merge)
+
+
+def _by_word(words: pa.Array, edge: np.ndarray, merge) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of texts that are runs ``edge`` of words, and where each text's begin; ``merge`` sees distinct words."""
+    coded = words.dictionary_encode()
+    offsets, ids = merge(coded.dictionary)
+    size, take = _ragged(offsets, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64))
+    return ids[take], np.concatenate([[0], np.cumsum(size)])[edge]
+
+
 @functools.cache
-def _byte_level(path: str):
-    """Tokenizer and the bytes of each of its ids."""
+def _byte_level(path: str) -> ByteLevel:
     os.environ["TOKENIZERS_PARALLELISM"] = "false"       # Spark runs the tasks side by side
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    t.encode_special_tokens = True                       # their strings in a text are text
-    names = {i: s for s, i in t.get_vocab(with_added_tokens=True).items()}
-    byte = _letter_bytes()
-    raw = [bytes(byte.get(ord(c), 63) for c in names.get(i, "")) for i in range(max(names) + 1)]
-    return t, pa.array(raw, pa.large_binary()), np.array([len(x) for x in raw], np.int64)
+    return ByteLevel(path)
 
 
 @functools.cache
-def _pieces(path: str):
-    """Processor and the bytes of each of its ids."""
-    import sentencepiece
-    p = sentencepiece.SentencePieceProcessor(model_file=path)
-    raw = []
-    for i in range(p.get_piece_size()):
-        s = p.id_to_piece(i)
-        byte = re.fullmatch(r"<0x([0-9A-F]{2})>", s)
-        raw.append(bytes([int(byte[1], 16)]) if byte else s.replace("▁", " ").encode())
-    return p, pa.array(raw, pa.large_binary()), np.array([len(x) for x in raw], np.int64)
+def _pieces(path: str) -> Pieces:
+    return Pieces(path)
 
 
 @functools.cache
@@ -136,13 +239,14 @@ def _buffers(x: pa.Array) -> tuple[np.ndarray, memoryview]:
 
 def _unit(unit: int, doc_ids: pa.Array, texts: list[str | None], a_path: str, b_path: str, whole: bool):
     """Rows of one unit: its documents with their links, then its distinct pairs."""
-    ta, raw_a, len_a = _byte_level(a_path)
-    tb, raw_b, len_b = _pieces(b_path)
+    ta, tb = _byte_level(a_path), _pieces(b_path)
+    len_a, len_b = ta.size, tb.size
     some = [i for i, t in enumerate(texts) if t]
-    a, ae = _flat([e.ids for e in ta.encode_batch_fast([" " + texts[i] for i in some], add_special_tokens=False)])
-    b, be = _flat(tb.encode([texts[i] for i in some], num_threads=1) if some else [])
-    want = [b" " + texts[i].encode() for i in some]
-    good = _same(a, ae, raw_a, want) & _same(b, be, raw_b, want) if some else np.zeros(0, bool)
+    want = [" " + texts[i] for i in some]
+    none = np.zeros(0, np.int64), np.zeros(1, np.int64)
+    (a, ae), (b, be) = (ta.encode(want), tb.encode(want)) if some else (none, none)
+    want = [t.encode() for t in want]
+    good = _same(a, ae, ta.raw, want) & _same(b, be, tb.raw, want) if some else np.zeros(0, bool)
     if not good.all():
         a, b = a[np.repeat(good, np.diff(ae))], b[np.repeat(good, np.diff(be))]
         ae = np.concatenate([[0], np.cumsum(np.diff(ae)[good])])

@@ -135,7 +135,7 @@ def brute_alignment(texts):
     tok = Tokenizer.from_file(BYTE)
     tok.encode_special_tokens = True
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
-    raw_a, raw_b = T._byte_level(BYTE)[1], T._pieces(PIECE)[1]
+    raw_a, raw_b = T._byte_level(BYTE).raw, T._pieces(PIECE).raw
     count, rows = Counter(), []
     for t in texts:
         a, b = (tok.encode(" " + t, add_special_tokens=False).ids, sp.encode(t)) if t else ([], [])
@@ -160,6 +160,24 @@ def brute_alignment(texts):
              hashlib.sha256(";".join(g).encode()).hexdigest() if na else "", ";".join(g)) for na, nb, g, k in rows]
 
 
+def test_encoders_equal_the_libraries():
+    """Every code point of sure class, spaces and line ends of all lengths, contractions, texts side by side."""
+    rng = random.Random(4)
+    known = B._classes()
+    texts = [f"a{chr(c)}a{chr(c)}{chr(c)}'s {chr(c)}" for c in range(1, 1 << 16) if known[c] != B.UNSURE]
+    signs = ["'", "'s", "'re", "'ll", " ", "  ", "\n", "\t", " \n", "a", "É", "12", "٣", "..", "中", "\xa0", "\U0001f600", "<s>", "<|endoftext|>", "\x00", "St", "re"]
+    texts += ["".join(rng.choice(signs) for _ in range(rng.randint(1, 25))) for _ in range(20000)]
+    texts += [" ", "   ", "\n", "'s", "x" * 3000, " " * 3000, "a" + " " * 70 + "b", "'", "''s", "'l"]
+    tok = Tokenizer.from_file(BYTE)
+    tok.encode_special_tokens = True
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    spaced = [" " + t for t in texts]
+    for (ids, edge), want in ((T._byte_level(BYTE).encode(spaced), [e.ids for e in tok.encode_batch(spaced, add_special_tokens=False)]),
+                              (T._pieces(PIECE).encode(spaced), sp.encode(texts, num_threads=1))):
+        for i, x in enumerate(want):
+            assert ids[edge[i]:edge[i + 1]].tolist() == x, texts[i]
+
+
 @pytest.mark.parametrize("unit", [3000, 4 << 20])
 def test_alignment_equals_brute_force(spark, unit, monkeypatch):
     """Units of 3000 bytes and of everything; bytes lost by U+2581, null ids, repeated rows, special strings, long texts."""
