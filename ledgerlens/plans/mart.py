@@ -58,6 +58,7 @@ INSTAL_SPEC = [
 CARD_SPEC = A.spec_for(["l_quantity", "AMT_EXT", "l_discount", "l_tax", "MONTHS_BALANCE", "DAYS_SHIP"],
                        ["max", "mean", "min", "sum"])
 BUREAU_SUBSETS = {"ACTIVE_": ("o_orderstatus", "O"), "CLOSED_": ("o_orderstatus", "F")}
+RATE, RATE_COLUMNS = "decimal(4,2)", ["l_discount", "l_tax"]
 PRICE_PER_UNIT = 1000    # the prescribed instalment of the derived payment columns, per unit
 DAYS_PER_INSTALMENT = 300
 ACTIVITY_SPEC = [("AMT_VALUE", ["sum", "mean", "max"])]
@@ -81,9 +82,10 @@ def fit(loans: DataFrame, lines: DataFrame, activity: DataFrame) -> MartModel:
 
 
 def payment_columns(lines: DataFrame) -> DataFrame:
-    """Instalment columns: paid share and difference, days past and before due (clamped at 0)."""
+    """Instalment columns: paid share and difference, days past and before due (clamped at 0).
+    Rates are two-place decimals, so that their sums are exact like money's."""
     due = -(F.col("l_linenumber") * DAYS_PER_INSTALMENT)
-    return lines.select(
+    return lines.withColumns({c: F.col(c).cast(RATE) for c in RATE_COLUMNS}).select(
         "*", X.safe_ratio("AMT_EXT", "l_quantity").alias("PAYMENT_PERC"),
         (F.col("AMT_EXT") - (F.col("l_quantity") * PRICE_PER_UNIT).cast(B.MONEY)).cast(B.MONEY).alias("PAYMENT_DIFF"),
         X.clamp_zero(F.col("DAYS_SHIP") - due).alias("DPD"), X.clamp_zero(due - F.col("DAYS_SHIP")).alias("DBD"))

@@ -17,8 +17,7 @@ ORACLE_LEVELS = {
 }
 
 # places of the order-dependent sums, rounded on both sides
-MART_PLACES = {f"INSTAL_PAYMENT_PERC_{f}": 4 for f in ("MAX", "MEAN", "SUM")} | {
-    f"CC_{c}_{f}": 6 for c in ("l_discount", "l_tax") for f in ("MEAN", "SUM")}
+MART_PLACES = {f"INSTAL_PAYMENT_PERC_{f}": 4 for f in ("MEAN", "SUM")}
 MART_NOISY = [f"{p}{c}" for p in ("PREV_", "APPROVED_", "REFUSED_")
               for c in ("PRICE_PER_DAY_MEAN", "DAYS_DECISION_VAR")]
 
@@ -97,12 +96,13 @@ def mart_sql() -> str:
     pos = (f"SELECT o_custkey AS c_custkey, {', '.join(l2)}, sum(n) AS POS_COUNT "
            f"FROM ({lvl1}) GROUP BY o_custkey")
 
-    detail = (f"SELECT *, CAST(AMT_EXT AS DOUBLE) / NULLIF(l_quantity, 0) AS PAYMENT_PERC, "
+    rates = ", ".join(f"CAST({c} AS {M.RATE}) AS {c}" for c in M.RATE_COLUMNS)
+    detail = (f"SELECT * REPLACE ({rates}), CAST(AMT_EXT AS DOUBLE) / NULLIF(l_quantity, 0) AS PAYMENT_PERC, "
               f"AMT_EXT - CAST(l_quantity * {M.PRICE_PER_UNIT} AS DECIMAL(18,2)) AS PAYMENT_DIFF, "
               f"greatest(DAYS_SHIP + l_linenumber * {M.DAYS_PER_INSTALMENT}, 0) AS DPD, "
               f"greatest(-l_linenumber * {M.DAYS_PER_INSTALMENT} - DAYS_SHIP, 0) AS DBD FROM lines_b")
     ins = (f"SELECT o_custkey AS c_custkey, {sql_spec(M.INSTAL_SPEC, 'INSTAL_', ['AMT_EXT', 'PAYMENT_DIFF'], rounding=MART_PLACES)}, "
-           f"{sql_spec(M.CARD_SPEC, 'CC_', ['AMT_EXT'], rounding=MART_PLACES)} FROM ({detail}) GROUP BY o_custkey")
+           f"{sql_spec(M.CARD_SPEC, 'CC_', ['AMT_EXT', *M.RATE_COLUMNS], rounding=MART_PLACES)} FROM ({detail}) GROUP BY o_custkey")
     buro_aggs = [sql_spec(M.BUREAU_SPEC, "BURO_", ["AMT_PRICE"])]
     for prefix, (c, v) in M.BUREAU_SUBSETS.items():
         buro_aggs.append(sql_spec(M.BUREAU_SPEC, prefix, ["AMT_PRICE"], cond=f"{c} = '{v}'"))

@@ -13,7 +13,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "embeddings pages benchmark labels conversations").split()
 FAST = ["safe_ratio", "fixed_width_bucket", "row_kurtosis", "one_hot_agg", "conditional_agg",
         "two_level_weighted_agg", "agg_mode", "factorize", "rank_min", "auc_exact", "stratified_kfold",
-        "winsor_to_null", "dfs_depth1", "infinite_to_null", "missing_target_lift"]
+        "winsor_to_null", "feature_mart", "dfs_depth1", "infinite_to_null", "missing_target_lift"]
 
 
 def _norm(v):
