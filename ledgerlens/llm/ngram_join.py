@@ -20,7 +20,9 @@ short lists or more have it (bounded bitmap), and a document only if enough of
 its short lists matter; the others drop out before any set moves.  No list
 emits all its pairs: each list's members are compared with one centre (the
 member with the least rare shingles) first, and afterwards only pairs from *different* components of the same list
-are left, which are enumerated component against component.  Pairs are
+are left, which are enumerated component against component under a condition
+that nearly all unlinked pairs fail: parity sketches of two sets differ in no
+more bits than the sets in shingles, so linked sets always pass it.  Pairs are
 counted on their short lists before whole sets move.  Hot lists are met by
 partial aggregation and by plain equi-joins that AQE can split.
 """
@@ -42,6 +44,8 @@ LEAST = 20           # l: this part of a set (per cent, plus one) must meet in s
 SAMPLE = 16          # one document in SAMPLE informs the order of the shingles
 FREQUENT = 3         # ... in which a frequent shingle occurs this often
 BITS = 26            # 8 MB bitmaps
+SKETCH = 4           # parity sketch of a set: this many longs
+_S = [f"s{i}" for i in range(SKETCH)]
 
 
 def _sets(c: W.Chunk, size: int):
@@ -64,6 +68,20 @@ def _key(s: np.ndarray) -> int:
         return int(W.splitmix(np.array([W.splitmix(s).sum() + np.uint64(len(s))], dtype=W.U)).view(np.int64)[0])
 
 
+def _sketch(s: np.ndarray) -> list[int]:
+    """Parity of the set's shingles by bit.  Sketches of two sets differ in no more bits than the sets in shingles."""
+    odd = np.bincount((s & W.U(64 * SKETCH - 1)).astype(np.int64), minlength=64 * SKETCH) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64).tolist()
+
+
+def _near(a: str, b: str, percent: int) -> str:
+    """Condition that sets ``a`` and ``b`` (prefixes of n and sketch columns) may link: neither sizes nor sketches rule it out."""
+    n = f"({a}n + {b}n)"
+    bits = " + ".join(f"bit_count({a}{x} ^ {b}{x})" for x in _S)
+    return (f"100 * least({a}n, {b}n) >= {percent} * greatest({a}n, {b}n) and "
+            f"{bits} <= {n} - 2 * (({percent} * {n} + {99 + percent}) div {100 + percent})")
+
+
 def _met(n, least: int = LEAST):
     """Short lists in which partners of sets of n shingles must meet."""
     return 1 + n * least // 100
@@ -142,7 +160,7 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
 
     def candidates(b: pa.RecordBatch):
         for c in W.chunks(b.column(0), fold=W.LOWER):
-            k, n, whole, hits, leads, rare = [], [], [], [], [], []
+            k, n, whole, hits, leads, rare, marks = [], [], [], [], [], [], []
             for s in _sets(c, size):
                 if len(s):
                     p = _short(s, percent, frequent)
@@ -154,33 +172,36 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
                         whole.append(np.sort(W.as_long(s)))
                         hits.append(np.sort(W.as_long(p)))
                         leads.append(W.as_long(lead))
+                        marks.append(_sketch(s))
                         rare.append(1000 * int((~W.in_bitmap(frequent, s)).sum()) // len(s))
             if k:
-                yield {"k": k, "n": n, "elements": whole, "hits": hits, "leads": leads, "rare": rare}
+                yield {"k": k, "n": n, "elements": whole, "hits": hits, "leads": leads, "rare": rare} | dict(zip(_S, map(list, zip(*marks))))
 
-    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, hits array<long>, leads array<long>, rare int")
+    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, hits array<long>, leads array<long>, rare int, "
+                               + ", ".join(f"{x} long" for x in _S))
                    .dropDuplicates(["k"]), "join-sets")
-    posting = found.select("k", "n", "rare", F.explode("leads").alias("h"))
+    posting = found.select("k", "n", "rare", *_S, F.explode("leads").alias("h"))
     # a list's centre has the least of its own: among near copies, the text they all come from
-    centre = stored(posting.groupBy("h").agg(F.min(F.struct("rare", "k", "n")).alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi"))
-                    .where("lo < hi").select("h", F.col("c.k").alias("ck"), F.col("c.n").alias("cn")), "join-centres")
-    fits = f"100 * least(an, bn) >= {percent} * greatest(an, bn)"
-    first = stored(posting.join(centre, "h").where("k != ck")
-                   .select(F.col("k").alias("a"), F.col("ck").alias("b"), F.col("n").alias("an"), F.col("cn").alias("bn"))
-                   .where(fits).distinct(), "join-pairs")
+    centre = stored(posting.groupBy("h").agg(F.min(F.struct("rare", "k", "n", *_S)).alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi"))
+                    .where("lo < hi").select("h", "c.k", "c.n", *[f"c.{x}" for x in _S]), "join-centres")
+    first = stored(posting.alias("a").join(centre.alias("b"), F.expr(f"a.h = b.h and a.k != b.k and {_near('a.', 'b.', percent)}"))
+                   .selectExpr("a.k a", "b.k b", "a.n an", "b.n bn").distinct(), "join-pairs")
     comp = components(_linked(first, found, percent))
 
-    # what is left: pairs of different components within one list
+    # what is left: pairs of different components within one list; sizes and sketches are part of the join conditions,
+    # so texts that share a frequent passage and little else are never put out as pairs
     owner = stored(posting.join(comp, posting["k"] == comp["node"], "left")
-                   .select("h", "k", "n", F.coalesce("comp", "k").alias("comp")), "join-owners")
-    parts = owner.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    p, q = parts.alias("p"), parts.alias("q")
-    sides = (p.join(q, F.col("p.h") == F.col("q.h"))
-             .where(f"p.comp < q.comp and 100 * p.hi >= {percent} * q.lo and 100 * q.hi >= {percent} * p.lo")
-             .select(F.col("p.h").alias("h"), F.col("p.comp").alias("ca"), F.col("q.comp").alias("cb")))
-    pairs = (sides.join(owner.selectExpr("h", "comp ca", "k a", "n an"), ["h", "ca"])
-             .join(owner.selectExpr("h", "comp cb", "k b", "n bn"), ["h", "cb"])
-             .where(fits).selectExpr("greatest(a, b) a", "least(a, b) b", "if(a > b, an, bn) an", "if(a > b, bn, an) bn")
+                   .select("h", "k", "n", *_S, F.coalesce("comp", "k").alias("comp")), "join-owners")
+    parts = owner.groupBy("h", "comp").agg(F.min("n").alias("lo"), F.max("n").alias("hi"), (F.count(F.lit(1)) == 1).alias("lone"),
+                                           F.min(F.struct("k", "n", *_S)).alias("one")).select("h", "comp", "lo", "hi", "lone", "one.*")
+    sides = (parts.alias("p").join(parts.alias("q"), F.expr(
+        f"p.h = q.h and p.comp < q.comp and 100 * p.hi >= {percent} * q.lo and 100 * q.hi >= {percent} * p.lo "
+        f"and (not p.lone or not q.lone or ({_near('p.', 'q.', percent)}))"))
+             .selectExpr("p.h", "p.comp ca", "q.comp cb", "q.lone", "q.n", *[f"q.{x}" for x in _S]))
+    pairs = (sides.alias("x").join(owner.alias("a"), F.expr(f"x.h = a.h and x.ca = a.comp and (not x.lone or ({_near('x.', 'a.', percent)}))"))
+             .selectExpr("x.h", "cb", "a.k", "a.n", *[f"a.{x}" for x in _S]).alias("a")
+             .join(owner.alias("b"), F.expr(f"a.h = b.h and a.cb = b.comp and {_near('a.', 'b.', percent)}"))
+             .selectExpr("greatest(a.k, b.k) a", "least(a.k, b.k) b", "if(a.k > b.k, a.n, b.n) an", "if(a.k > b.k, b.n, a.n) bn")
              .groupBy("a", "b", "an", "bn").agg(F.count(F.lit(1)).alias("merged"))
              # partners meet in T leads less what either has behind its leads
              .where(f"merged >= ({percent} * (an + bn) + {99 + percent}) div {100 + percent} "

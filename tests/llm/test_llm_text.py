@@ -222,3 +222,41 @@ def test_alergia_merges_loops():
     t = b.tables()
     assert secret_scan.log_likelihood(t, "AK0110") > secret_scan.log_likelihood(t, "KA0110")
     assert sum(b.ends) == 400
+
+
+def test_unlinked_near_copies_stay_few(spark, monkeypatch):
+    """Copies with many replaced words share lists and don't link: the pairs put out grow with the rows, not their square."""
+    seen = []
+    whole = ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: seen.append((name, whole(df, name))) or seen[-1][1])
+    made = []
+    for n in (100, 400):
+        r = random.Random(n)
+        base = [f"b{i}" for i in range(200)]
+        rows = []
+        for i in range(n):
+            w = list(base)
+            for at in r.sample(range(200), 8):
+                w[at] = f"r{i}x{at}"
+            rows.append((i, " ".join(w)))
+        seen.clear()
+        got = {x.doc_id: x.component_id for x in ngram_join.join(frame(spark, rows)).collect()}
+        assert got == brute_components(rows)
+        made.append(sum(df.count() for name, df in seen if name == "join-pairs"))
+    assert made[1] <= 8 * made[0] + 400
+
+
+def brute_components(rows):
+    sets = {i: {tuple(t.split()[j:j + 5]) for j in range(len(t.split()) - 4)} for i, t in rows}
+    up = {i: i for i in sets}
+
+    def top(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    return {i: top(i) for i in sets}
