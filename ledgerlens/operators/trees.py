@@ -70,7 +70,7 @@ def fit_extra_trees(df: DataFrame, label: str, features: Sequence[str], n_trees:
     if n_trees << depth > 1 << 16:
         raise ValueError("the model's statistics would have more than 65536 rows a level")
     model = ExtraTrees(features, [{} for _ in range(n_trees)], [{} for _ in range(n_trees)])
-    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), *[F.col(f"`{c}`").cast("double").alias(c) for c in features])
+    rows = df.where(F.col(label).isNotNull()).select(F.col(label).cast("double").alias("y"), *[F.nanvl(F.col(f"`{c}`").cast("double"), F.lit(None).cast("double")).alias(c) for c in features])
     x = [F.col(f"`{c}`") for c in features]
     open_nodes = [{1} for _ in range(n_trees)]
     for level in range(depth + 1):
