@@ -6,7 +6,11 @@ from the target: every child is reduced to one row per parent key with the
 aggregation primitives (one ``groupBy`` per edge, with map-side partial
 aggregation), then left-joined onto the parent.  At depth 2 the child's own
 aggregates of its children are aggregated again, giving stacked features
-named ``FUNC(child.FUNC2(grandchild.col))``.
+named ``FUNC(child.FUNC2(grandchild.col))``.  An entity also gets the features
+of its parents (their columns and the aggregates of their other children) by
+an equi-join on the parent's key, named ``parent.feature``; the walk never
+comes back to an entity of its own path, so it ends on any set of
+relationships.
 
 Primitives: SUM, STD, MAX, SKEW, MIN, MEAN, COUNT (numeric) and NUM_UNIQUE,
 MODE (categorical).  SKEW is the bias-corrected sample skewness (0 for a
@@ -54,6 +58,9 @@ class EntitySet:
         self.relationships.append(Relationship(parent, parent_key, child, child_key))
         return self
 
+    def parents(self, child: str) -> list[Relationship]:
+        return [r for r in self.relationships if r.child == child]
+
     def children(self, parent: str) -> list[Relationship]:
         return [r for r in self.relationships if r.parent == parent]
 
@@ -134,15 +141,21 @@ def _aggregate_child(child_df: DataFrame, child: str, child_key: str, skip: set[
 def synthesize(es: EntitySet, target: str, max_depth: int = 2,
                numeric_prims: Sequence[str] = NUMERIC_PRIMITIVES,
                cat_prims: Sequence[str] = CATEGORICAL_PRIMITIVES) -> DataFrame:
-    """Feature table with one row per ``target`` key."""
+    """Feature table with one row per row of ``target``.
+
+    A row without a parent (or with a null key) has NULL in the parent's
+    features; parent keys must be unique."""
 
-    def build(name: str, depth: int) -> DataFrame:
+    def build(name: str, depth: int, path: tuple[str, ...]) -> DataFrame:
         ent = es.entities[name]
         out = ent.df
         if depth <= 0:
             return out
+        path = (*path, name)
         for rel in es.children(name):
-            child = build(rel.child, depth - 1)
+            if rel.child in path:
+                continue
+            child = build(rel.child, depth - 1, path)
             if depth - 1 >= 1 and es.children(rel.child):
                 # a derived feature table read by the main aggregate and by
                 # the categorical side plans: materialise it once (reliable
@@ -154,9 +167,17 @@ def synthesize(es: EntitySet, target: str, max_depth: int = 2,
             skip.discard(None)
             agg = _aggregate_child(child, rel.child, rel.child_key, skip, numeric_prims, cat_prims)
             out = out.join(agg, out[rel.parent_key] == agg["__fk"], "left").drop("__fk")
+        for rel in es.parents(name):
+            if rel.parent in path:
+                continue
+            above = build(rel.parent, depth - 1, path)
+            hidden = {es.entities[rel.parent].key, rel.parent_key} | es.foreign_keys(rel.parent)
+            direct = above.select(F.col(f"`{rel.parent_key}`").alias("__pk"), *[F.col(f"`{c}`").alias(f"{rel.parent}.{c}")
+                                                                               for c in above.columns if c not in hidden])
+            out = out.join(direct, out[f"`{rel.child_key}`"] == direct["__pk"], "left").drop("__pk")
         return out
 
-    result = build(target, max_depth)
+    result = build(target, max_depth, ())
     # decimal sums/min/max come out as double at the end
     return result.select(*[F.col(f"`{f.name}`").cast("double").alias(f.name)
                            if isinstance(f.dataType, DecimalType) else F.col(f"`{f.name}`")

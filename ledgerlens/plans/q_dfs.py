@@ -64,7 +64,7 @@ def _kind_after(p, kind):
     return "dbl"
 
 
-def _sql_build(name, depth, ctes, counter):
+def _sql_build(name, depth, ctes, counter, path=()):
     """Returns (cte name, key, [(col, kind)]) for the entity at this depth."""
     body, key, cols = SQL_ENTITIES[name]
     cur = f"e{counter[0]}"
@@ -74,9 +74,9 @@ def _sql_build(name, depth, ctes, counter):
     if depth <= 0:
         return cur, cols
     for parent, pk, child, fk in SQL_REL:
-        if parent != name:
+        if parent != name or child in path:
             continue
-        ccte, ccols = _sql_build(child, depth - 1, ctes, counter)
+        ccte, ccols = _sql_build(child, depth - 1, ctes, counter, (*path, name))
         aggs = [f'count(*) AS "COUNT({child})"']
         new = [(f"COUNT({child})", "int")]
         modes = []
@@ -168,3 +168,26 @@ def dfs_depth1(spark, d):
 @query("dfs_depth2", dfs_sql(2))
 def dfs_depth2(spark, d):
     return _dfs(spark, d, 2)
+
+
+def _loans_sql() -> str:
+    """Loans with the aggregates of their lines, and their applicant's columns and activity aggregates."""
+    ctes = {"a": B.SQL_APPLICANTS, "l": B.SQL_LOANS, "x": B.SQL_LINES, "v": B.SQL_ACTIVITY}
+    counter = [0]
+    own, cols = _sql_build("orders", 2, ctes, counter)
+    above, direct = _sql_build("customers", 1, ctes, counter, ("orders",))
+    named = [("o", n, n, kind) for n, kind in cols] + [("c", "c_acctbal", "customers.c_acctbal", "dbl")]
+    named += [("c", n, f"customers.{n}", kind) for n, kind in direct]
+    sel = ["o.o_orderkey", "o.o_custkey"]
+    for t, n, out, kind in named:
+        e = f'CAST({t}."{n}" AS DOUBLE)' if kind == "dec" else f'{t}."{n}"'
+        # no negative zero on either side
+        sel.append(f'round(CAST({e} AS DOUBLE), {_places(out)}) + 0.0::DOUBLE AS "{out}"' if _noisy(out) else f'{e} AS "{out}"')
+    return B.with_ctes(f"SELECT {', '.join(sel)} FROM {own} o LEFT JOIN {above} c ON c.c_custkey = o.o_custkey", **ctes)
+
+
+@query("dfs_loans_depth2", _loans_sql())
+def dfs_loans_depth2(spark, d):
+    """Synthesis for a table that is child and parent at once."""
+    out = synthesize(entity_set(spark, d), "orders", max_depth=2)
+    return round_map(out, {c: _places(c) for c in out.columns if _noisy(c)})

@@ -31,3 +31,20 @@ def test_entry_and_registry(spark):
     assert len(rows) > 0 and "c_custkey" in df.columns
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q) and len(q) >= 114
+
+
+def test_direct_parent_features_end_on_cycles(spark):
+    from ledgerlens.operators.dfs import EntitySet, synthesize
+    es = EntitySet()
+    es.add("shop", spark.createDataFrame([(1, 10.0, 7), (2, 20.0, 8)], "shop_id int, size double, city int"), "shop_id")
+    es.add("sale", spark.createDataFrame([(1, 1, 5.0), (2, 1, 7.0), (3, None, 9.0), (4, 9, 1.0)], "sale_id int, shop int, paid double"), "sale_id")
+    es.add("visit", spark.createDataFrame([(1,), (1,), (2,)], "shop int"), None)
+    es.add("city", spark.createDataFrame([(7, "x"), (8, "y")], "city_id int, name string"), "city_id")
+    es.relate("shop", "shop_id", "sale", "shop").relate("shop", "shop_id", "visit", "shop").relate("city", "city_id", "shop", "city")
+    rows = {r["sale_id"]: r.asDict() for r in synthesize(es, "sale", 2).collect()}
+    assert set(rows[1]) == {"sale_id", "shop", "paid", "shop.size", "shop.COUNT(visit)", "shop.city.name"}
+    assert rows[1]["shop.size"] == 10.0 and rows[1]["shop.COUNT(visit)"] == 2 and rows[1]["shop.city.name"] == "x"
+    assert rows[3]["shop.size"] is None and rows[4]["shop.COUNT(visit)"] is None and len(rows) == 4
+    assert "shop.city.name" not in synthesize(es, "sale", 1).columns
+    es.relate("sale", "sale_id", "city", "city_id")          # a cycle
+    assert synthesize(es, "sale", 4).count() == 4
