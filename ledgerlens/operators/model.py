@@ -242,10 +242,17 @@ class DataHandle:
     def __init__(self, missing_rate: float = 0.3, id_col: str = "c_custkey", label: str = "TARGET",
                  reg: float = 0.01):
         self.missing_rate, self.id_col, self.label, self.reg = missing_rate, id_col, label, reg
+        self.clear()
+
+    def clear(self) -> "DataHandle":
+        """Forgets everything fitted; the settings stay."""
         self.columns: list[str] = []
+        self.onehot = self.imputer = self.scaler = None
+        return self
 
     def fit(self, df: DataFrame) -> "DataHandle":
         from .encode import fit_one_hot
+        self.clear()
         kept = drop_sparse_columns(df, self.missing_rate, inclusive=False, keep=[self.id_col, self.label])
         self.onehot = fit_one_hot(kept, [f.name for f in kept.schema.fields
                                         if f.dataType.typeName() == "string"])
@@ -259,6 +266,8 @@ class DataHandle:
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.onehot is None:
+            raise RuntimeError("fit first")
         enc = self.onehot.transform(df)
         out = self.scaler.transform(self.imputer.transform(enc))
         return out.select(self.id_col, self.label, *[F.col(c) for c in self.columns])

@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 
 def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[str],
-                parts: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
+                parts: Sequence[str] = (), buckets: int | None = None, previous: Sequence[str] = ()) -> DataFrame:
     """For each row add ``{w}_before`` (sum of ``w`` over rows of the same
     ``parts`` that sort strictly before it by ``order_cols``) and
     ``{w}_total`` (sum over the part).  Rows must be unique per
-    (parts, order_cols).
+    (parts, order_cols).  Columns in ``previous`` also give ``{c}_previous``,
+    their value in the row just before (NULL in a part's first row): a bucket's
+    last row is handed to the next bucket of the part.
 
     ``buckets`` defaults to the session's shuffle partitions.  A hot part is
     spread over the buckets its values fall into; offsets are a window over
@@ -42,13 +44,16 @@ def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[
     shared_dir(spark)
     b = (counts.repartitionByRange(n_buckets, *[F.col(f"`{c}`") for c in (*parts, *order_cols)])
          .withColumn("__b", F.spark_partition_id()).checkpoint(eager=True))
-    totals = b.groupBy(*parts, "__b").agg(*[F.sum(w).alias(w) for w in weights])
+    key = F.struct(*[F.col(f"`{c}`") for c in order_cols])
+    totals = b.groupBy(*parts, "__b").agg(*[F.sum(w).alias(w) for w in weights],
+                                          *[F.max_by(F.col(c), key).alias(f"__last_{c}") for c in previous])
     before_b = Window.partitionBy(*parts).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
     offsets = totals.select(
         *parts, "__b",
         *[F.coalesce(F.sum(w).over(before_b), F.lit(0)).cast("double").alias(f"__off_{w}") for w in weights],
-        *[F.sum(w).over(whole).cast("double").alias(f"{w}_total") for w in weights])
+        *[F.sum(w).over(whole).cast("double").alias(f"{w}_total") for w in weights],
+        *[F.lag(f"__last_{c}").over(Window.partitionBy(*parts).orderBy("__b")).alias(f"__last_{c}") for c in previous])
     if not parts:
         offsets = F.broadcast(offsets)  # one row per bucket
     win = (Window.partitionBy(*parts, "__b").orderBy(*order_cols)
@@ -58,7 +63,9 @@ def prefix_sums(counts: DataFrame, order_cols: Sequence[str], weights: Sequence[
         *[F.col(c) for c in b.columns if c != "__b"],
         *[(F.col(f"__off_{w}") + F.coalesce(F.sum(w).over(win), F.lit(0))).alias(f"{w}_before")
           for w in weights],
-        *[F.col(f"{w}_total") for w in weights])
+        *[F.col(f"{w}_total") for w in weights],
+        *[F.coalesce(F.lag(c).over(Window.partitionBy(*parts, "__b").orderBy(*order_cols)), F.col(f"__last_{c}"))
+          .alias(f"{c}_previous") for c in previous])
 
 
 def exact_quantiles(df: DataFrame, value: str | Column, probs: Sequence[float],
@@ -178,15 +185,24 @@ def auc_exact(df: DataFrame, score: str, label: str) -> DataFrame:
         F.sum("__pos").alias("n_pos"), F.sum("__neg").alias("n_neg"))
 
 
-def roc_curve_points(df: DataFrame, score: str, label: str) -> DataFrame:
+def roc_curve_points(df: DataFrame, score: str, label: str, drop_intermediate: bool = False) -> DataFrame:
     """One ROC point per distinct score used as threshold (score >= t):
-    ``(threshold, fpr, tpr)``."""
+    ``(threshold, fpr, tpr)``.
+
+    With ``drop_intermediate`` a point goes if the step that leads to it equals
+    the step to the next lower threshold, so it lies inside a straight stretch;
+    the points of the highest and the lowest threshold stay."""
     c = (df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
          .groupBy(score).agg(F.sum((F.col(label) == 1).cast("long")).alias("__pos"),
                              F.sum((F.col(label) != 1).cast("long")).alias("__neg")))
-    ps = prefix_sums(c, [score], ["__pos", "__neg"])
+    if drop_intermediate:
+        c = c.withColumn("__step", F.struct("__pos", "__neg"))
+    ps = prefix_sums(c, [score], ["__pos", "__neg"], previous=["__step"] if drop_intermediate else [])
     tp = F.col("__pos_total") - F.col("__pos_before")
     fp = F.col("__neg_total") - F.col("__neg_before")
+    if drop_intermediate:
+        ps = ps.where(F.col("__step_previous").isNull() | (F.col("__step_previous") != F.col("__step"))
+                      | ((tp == F.col("__pos")) & (fp == F.col("__neg"))))
     return ps.select(F.col(score).cast("double").alias("threshold"),
                      (fp / F.col("__neg_total")).alias("fpr"),
                      (tp / F.col("__pos_total")).alias("tpr"))

@@ -104,6 +104,16 @@ def roc_curve_points(spark, d):
     return RK.roc_curve_points(B.model_scores(spark, d), "ET", "TARGET")
 
 
+@query("roc_curve_corners", W("""SELECT threshold, fpr, tpr FROM (
+SELECT ET AS threshold, p, n, lag(p) OVER o AS lp, lag(n) OVER o AS ln, lead(p) OVER o AS up,
+CAST(sum(n) OVER d AS DOUBLE) / sum(n) OVER () AS fpr, CAST(sum(p) OVER d AS DOUBLE) / sum(p) OVER () AS tpr FROM
+(SELECT ET, count(*) FILTER (WHERE TARGET = 1) AS p, count(*) FILTER (WHERE TARGET <> 1) AS n FROM s WHERE TARGET IS NOT NULL GROUP BY ET)
+WINDOW o AS (ORDER BY ET), d AS (ORDER BY ET DESC)) WHERE lp IS NULL OR up IS NULL OR lp <> p OR ln <> n""", **SC))
+def roc_curve_corners(spark, d):
+    """ROC points without those inside straight stretches."""
+    return RK.roc_curve_points(B.model_scores(spark, d), "ET", "TARGET", drop_intermediate=True)
+
+
 @query("rmse", W("SELECT round(sqrt(avg((TARGET - ET) * (TARGET - ET))), 10) AS rmse FROM s WHERE TARGET IS NOT NULL", **SC))
 def rmse(spark, d):
     s = B.model_scores(spark, d).where("TARGET IS NOT NULL")

@@ -64,3 +64,19 @@ def test_topk_threshold_drops_ties_at_threshold(spark):
     df = spark.createDataFrame([("a", 5.0), ("b", 5.0), ("c", 3.0), ("d", 3.0), ("e", 1.0)], "f string, v double")
     kept = df.where(RK.kth_largest_threshold(df, "v", 3)).collect()
     assert sorted(r["f"] for r in kept) == ["a", "b"]
+
+
+def test_roc_corners_equal_the_full_second_difference(spark):
+    """Straight stretches that run over several range buckets lose their inner points only."""
+    import numpy as np
+    from ledgerlens.operators.rank import roc_curve_points
+    r = np.random.default_rng(3)
+    y = np.concatenate([np.ones(40), r.integers(0, 2, 60), np.zeros(50)]).astype(int)
+    score = np.concatenate([np.arange(150, 110, -1), r.integers(50, 110, 60), np.arange(49, -1, -1)]).astype(float)
+    df = spark.createDataFrame([(float(s), int(t)) for s, t in zip(score, y)] + [(None, 1), (3.0, None)], "s double, y int")
+    got = sorted((x.threshold, x.fpr, x.tpr) for x in roc_curve_points(df, "s", "y", drop_intermediate=True).collect())
+    t = np.unique(score)[::-1]
+    tp, fp = (np.array([((score >= v) & (y == k)).sum() for v in t]) for k in (1, 0))
+    keep = np.r_[True, (np.diff(fp, 2) != 0) | (np.diff(tp, 2) != 0), True]
+    want = sorted(zip(t[keep], fp[keep] / fp[-1], tp[keep] / tp[-1]))
+    assert len(want) < len(t) - 60 and np.allclose(got, want)
