@@ -80,10 +80,8 @@ def fit_robust_scale(df: DataFrame, columns: Sequence[str], exact: bool = True)
     """(x - median) / (q75 - q25); exact percentiles by default, approximate
     (``percentile_approx``) at scale."""
     if exact:
-        from .rank import multi_quantiles
-        v = {c: None for c in columns}
-        for r in multi_quantiles(df, columns, [0.25, 0.5, 0.75]).collect():  # one row per column
-            v[r["column_name"]] = None if r["q0"] is None else [r["q0"], r["q1"], r["q2"]]
+        from .brackets import bracketed_quantiles
+        v = {c: q.values for c, q in bracketed_quantiles(df, columns, [0.25, 0.5, 0.75]).items()}
     else:
         v = _fit_scalars(df, [F.percentile_approx(F.col(c).cast("double"), F.array(
             F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.lit(10000)).alias(c) for c in columns])
@@ -169,15 +167,20 @@ def winsor_bounds(df: DataFrame, columns: Sequence[str], lower: float = 0.001,
     """Percentile bounds per column, or None for columns with fewer than
     ``min_distinct`` distinct values or all values distinct (ids).
 
-    Exact mode is one distributed pass: the (column, value, count) table
-    behind the quantiles also gives each column's distinct and row counts."""
+    Exact mode brackets the percentiles (``brackets``).  The guards mostly follow from
+    those passes; only columns they leave open (few landmarks, or no repeated
+    value met) have their distinct values counted."""
     out = {}
     if exact:
-        from .rank import multi_quantiles
-        for r in multi_quantiles(df, columns, [lower, upper]).collect():  # one row per column
-            nd, n = r["n_distinct"], r["n"]
-            out[r["column_name"]] = None if (nd < min_distinct or nd == n) else (r["q0"], r["q1"])
-        return {c: out.get(c) for c in columns}
+        from .brackets import bracketed_quantiles, distinct_and_repeats
+        found = bracketed_quantiles(df, columns, [lower, upper])
+        unsure = [c for c, q in found.items() if q.n and (q.n_distinct_at_least < min_distinct or not q.has_repeats)]
+        counted = distinct_and_repeats(df, unsure)
+        for c, q in found.items():
+            enough, repeats = ((counted[c][0] >= min_distinct, counted[c][1]) if c in counted
+                               else (True, q.has_repeats))
+            out[c] = tuple(q.values) if q.n and enough and repeats else None
+        return out
     exprs = []
     for c in columns:
         x = F.col(c).cast("double")
