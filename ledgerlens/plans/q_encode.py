@@ -120,16 +120,27 @@ def target_rate_by_category(spark, d):
     return E.target_rate_by_category(B.applicants(spark, d), "n_name")
 
 
-def _cluster_ctes(k=4, steps=5):
-    """The same Lloyd steps, written out: one CTE per step."""
-    ctes = {"rates": "SELECT n_name, avg(CAST(TARGET AS DOUBLE)) AS m FROM a WHERE TARGET IS NOT NULL GROUP BY n_name",
-            "c0": f"SELECT i, lo + (hi - lo) * (i + 0.5::DOUBLE) / {k} AS c FROM (SELECT min(m) AS lo, max(m) AS hi FROM rates), range({k}) t(i)"}
-    for s in range(steps):
-        ctes[f"n{s}"] = f"SELECT n_name, m, arg_min(i, (abs(m - c), i)) AS i FROM rates, c{s} GROUP BY n_name, m"
-        ctes[f"c{s + 1}"] = (f"SELECT c{s}.i, coalesce(avg(n{s}.m), any_value(c{s}.c)) AS c FROM c{s} LEFT JOIN n{s} ON n{s}.i = c{s}.i "
-                             f"GROUP BY c{s}.i")
-    ctes["clusters"] = f"SELECT n_name, m, CAST(arg_min(i, (abs(m - c), i)) AS INTEGER) AS cluster_id FROM rates, c{steps} GROUP BY n_name, m"
-    return ctes
+def _cluster_ctes(k=4):
+    """Every way to cut the sorted rates into ``k`` runs, empty ones included, by its cost."""
+    prefix = "OVER (ORDER BY m)"
+    cost = lambda a, b: (f"CASE WHEN {b}.w = {a}.w THEN 0 ELSE {b}.q - {a}.q - "
+                         f"({b}.s - {a}.s) * ({b}.s - {a}.s) / ({b}.w - {a}.w) END")
+    names = ["lo", *[f"p{i}" for i in range(1, k)], "hi"]
+    total = " + ".join(cost(a, b) for a, b in zip(names, names[1:], strict=False))
+    joins = " ".join(f"JOIN sums p{i} ON p{i}.i >= {names[i - 1]}.i" for i in range(1, k))
+    return {
+        "rates": "SELECT n_name, avg(CAST(TARGET AS DOUBLE)) AS m FROM a WHERE TARGET IS NOT NULL GROUP BY n_name",
+        "shared": "SELECT m, m - (SELECT avg(m) FROM rates) AS x, count(*) AS n FROM rates GROUP BY m",
+        "sums": (f"SELECT 0 AS i, 0.0::DOUBLE AS w, 0.0::DOUBLE AS s, 0.0::DOUBLE AS q UNION ALL SELECT row_number() {prefix}, "
+                 f"sum(n) {prefix}, sum(n * x) {prefix}, sum(n * x * x) {prefix} FROM shared"),
+        "costs": (f"SELECT [{', '.join(f'p{i}.i' for i in range(1, k))}] AS cuts, {total} AS cost FROM sums lo {joins} "
+                  f"JOIN sums hi ON hi.i >= p{k - 1}.i WHERE lo.i = 0 AND hi.i = (SELECT max(i) FROM sums)"),
+        "chosen": ("SELECT arg_min(cuts, (round(cost / (SELECT greatest(max(q), 1e-300) * 1e-12 FROM sums WHERE i = (SELECT max(i) FROM sums))), "
+                   "list_reverse(cuts))) AS cuts FROM costs"),
+        "numbered": "SELECT m, row_number() OVER (ORDER BY m) AS i FROM shared",
+        "clusters": ("SELECT n_name, r.m, CAST(dense_rank() OVER (ORDER BY len(list_filter(cuts, lambda c: c < i))) - 1 AS INTEGER) AS cluster_id "
+                     "FROM rates r JOIN numbered USING (m), chosen"),
+    }
 
 
 CLUSTERS = AP | _cluster_ctes()

@@ -1,5 +1,6 @@
 """Encoders, profiles, unions."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from ledgerlens.operators import clean as C
@@ -70,3 +71,35 @@ def test_fit_one_hot_many_matches_single_fits(spark):
     m1, m2 = E.fit_one_hot_many([(a, ["c", "d"], True), (b, ["c"], False)])
     assert m1.levels == E.fit_one_hot(a, ["c", "d"], True).levels
     assert m2.levels == {"c": ["x", "z"]} and m1.names == ["c_x", "c_y", "c_nan", "d_p", "d_nan"]
+
+
+def test_optimal_cuts_equal_every_way_to_cut():
+    from itertools import combinations
+
+    import numpy as np
+    rng = np.random.default_rng(3)
+    for case in range(60):
+        n, k = int(rng.integers(1, 12)), int(rng.integers(1, 6))
+        x = np.sort(rng.choice(np.arange(1000), n, replace=False)) / 997.0
+        w = rng.integers(1, 5, n)
+
+        def cost(cuts, x=x, w=w, n=n):
+            runs = [slice(a, b) for a, b in zip(cuts, [*cuts[1:], n], strict=True)]
+            return sum(float((w[r] * (x[r] - np.average(x[r], weights=w[r])) ** 2).sum()) for r in runs)
+
+        got = E.optimal_cuts(list(x), list(w), k)
+        ways = [(0, *c) for c in combinations(range(1, n), min(k, n) - 1)]
+        assert len(got) == min(k, n) and got[0] == 0 and got == sorted(set(got))
+        assert cost(got) <= min(map(cost, ways)) + 1e-9, case
+
+
+def test_rate_clusters_bounds_and_edges(spark):
+    rows = [(c, t) for c, ones in {"a": 0, "b": 1, "c": 8, "d": 9, "e": 9}.items() for t in [1] * ones + [0] * (10 - ones)]
+    df = spark.createDataFrame([*rows, ("z", None), (None, 1)], "c string, TARGET int")
+    got = {r["c"]: r["cluster_id"] for r in E.target_rate_clusters(df, "c", k=2).collect()}
+    assert got == {"a": 0, "b": 0, "c": 1, "d": 1, "e": 1, None: 1}
+    many = {r["c"]: r["cluster_id"] for r in E.target_rate_clusters(df, "c", k=9).collect()}
+    assert many == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 3, None: 4}
+    with pytest.raises(ValueError):
+        E.target_rate_clusters(df, "c", max_rates=2)
+    assert E.target_rate_clusters(df.where("false"), "c").count() == 0
