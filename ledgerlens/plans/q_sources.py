@@ -34,6 +34,29 @@ def sink_roundtrip(spark, d):
     return IO.sink_roundtrip(spark, agg, "prev_mart", bucket_key="o_custkey")
 
 
+MART_BUCKETS = 8
+ACTIVITY_SPEC = [("AMT_VALUE", ["max", "mean", "sum"]), ("event_id", ["size"])]
+
+
+def store_marts(spark, d, buckets=MART_BUCKETS):
+    """Root, loan and activity marts, each stored by applicant; their paths."""
+    key = "c_custkey"
+    loans = A.agg_by(B.loans(spark, d), "o_custkey", PREV_SPEC, "PREV_").withColumnRenamed("o_custkey", key)
+    activity = A.agg_by(B.activity(spark, d), key, ACTIVITY_SPEC, "EVT_")
+    root = B.applicants(spark, d).select(key, "TARGET", "n_name")
+    return [IO.save_mart(df, scratch_path(spark, f"{n}_mart"), key, buckets)
+            for n, df in (("root", root), ("loan", loans), ("activity", activity))]
+
+
+@query("stored_marts_join", W(f"""SELECT a.c_custkey, TARGET, n_name, p.* EXCLUDE (c_custkey), e.* EXCLUDE (c_custkey) FROM a
+LEFT JOIN (SELECT o_custkey AS c_custkey, {sql_spec(PREV_SPEC, 'PREV_', ['AMT_PRICE'])} FROM l GROUP BY 1) p ON p.c_custkey = a.c_custkey
+LEFT JOIN (SELECT c_custkey, {sql_spec(ACTIVITY_SPEC, 'EVT_', ['AMT_VALUE'])} FROM v GROUP BY 1) e ON e.c_custkey = a.c_custkey""",
+                              a=B.SQL_APPLICANTS, l=B.SQL_LOANS, v=B.SQL_ACTIVITY))
+def stored_marts_join(spark, d):
+    root, *marts = [IO.open_mart(spark, p) for p in store_marts(spark, d)]
+    return IO.join_marts(root, marts, "c_custkey")
+
+
 @query("submission_frame", W("""SELECT CAST(c_custkey AS BIGINT) AS SK_ID_CURR, round(ET, 8) AS TARGET
 FROM s WHERE TARGET IS NULL""", s=B.SQL_SCORES))
 def submission_frame(spark, d):

@@ -8,6 +8,7 @@ submission file) into the shared folder named by ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Sequence
 
@@ -72,8 +73,9 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, bucket_key: str | None = None,
                 partitions: int | None = None) -> str:
-    """Parquet sink; with ``bucket_key`` the rows are hash-clustered by it so
-    a later join on the key reads co-located files."""
+    """Parquet sink; with ``bucket_key`` rows of a key lie in one file, sorted, so that
+    filters on the key prune.  Spark doesn't know the layout; joins without a shuffle
+    need ``save_mart``."""
     w = df
     if bucket_key is not None:
         w = df.repartition(partitions or df.sparkSession.sparkContext.defaultParallelism,
@@ -89,6 +91,52 @@ def sink_roundtrip(spark: SparkSession, df: DataFrame, name: str, bucket_key: st
     return spark.read.parquet(path)
 
 
+def _mart_ddl(name: str, fields: str, key: str, buckets: int, path: str) -> str:
+    where = path.replace("'", "\\'")
+    return (f"CREATE TABLE `{name}` ({fields}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+            f"INTO {buckets} BUCKETS LOCATION '{where}'")
+
+
+def save_mart(df: DataFrame, path: str, key: str, buckets: int) -> str:
+    """Store a feature table as ``buckets`` sorted bucket files under ``path`` and its layout beside
+    them.  Tables stored with the same number of buckets join on the key without a shuffle, in this
+    session or a later one (``open_mart``).
+
+    One task writes one bucket (the rows are clustered by the same hash that names the bucket), so
+    every bucket is one sorted file; choose ``buckets`` so that one holds about 1 GB.  Marts have one
+    row per key, so no bucket is hot.  The folder must be new: the layout of an existing one is never
+    changed under its readers."""
+    spark = df.sparkSession
+    name = "mart_" + hashlib.md5(path.encode()).hexdigest()
+    spark.sql(f"DROP TABLE IF EXISTS `{name}`")          # the catalog's entry only: the table is external
+    (df.repartition(buckets, key).write.format("parquet").mode("errorifexists")
+     .bucketBy(buckets, key).sortBy(key).option("path", f"{path}/data").saveAsTable(name))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    (spark.range(1).select(F.lit(name).alias("name"), F.lit(fields).alias("fields"), F.lit(key).alias("key"),
+                           F.lit(buckets).alias("buckets")).coalesce(1).write.mode("errorifexists").json(f"{path}/layout"))
+    return path
+
+
+def open_mart(spark: SparkSession, path: str) -> DataFrame:
+    """A table stored by ``save_mart``, with its buckets known to Spark.  A session that doesn't have
+    it in its catalog yet registers it from the stored layout."""
+    m = spark.read.schema("name string, fields string, key string, buckets int").json(f"{path}/layout").first()
+    if m is None:
+        raise FileNotFoundError(f"no stored mart in {path}")
+    if not spark.catalog.tableExists(m["name"]):
+        spark.sql(_mart_ddl(m["name"], m["fields"], m["key"], m["buckets"], f"{path}/data"))
+    return spark.table(m["name"])
+
+
+def join_marts(root: DataFrame, marts: Sequence[DataFrame], key: str) -> DataFrame:
+    """The root with every mart's columns, in one left chain; sort-merge joins that read stored
+    marts bucket by bucket (a broadcast would copy what already lies together)."""
+    out = root.hint("merge")
+    for m in marts:
+        out = out.join(m.hint("merge"), key, "left")
+    return out
+
+
 def submission_frame(df: DataFrame, id_col: str, score_col: str, places: int | None = 8,
                      id_name: str | None = None, score_name: str | None = None) -> DataFrame:
     """``(id bigint, score double)``; optionally rounded like ``%.8f``."""
