@@ -22,13 +22,14 @@ from typing import Union
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DecimalType
+from pyspark.sql.types import AtomicType, BinaryType, DecimalType, DoubleType, FloatType
 
 
 Spec = Union[Sequence[tuple[str, Sequence[str]]], Mapping[str, Sequence[str]]]
 
 SUPPORTED = ("min", "max", "mean", "sum", "var", "std", "median", "size", "count",
              "nunique", "mode", "first_quartile", "third_quartile")
+MASK_BITS = 63     # levels of a column whose distinct values are kept as a mask
 
 
 def spec_items(spec: Spec) -> list[tuple[str, list[str]]]:
@@ -398,6 +399,7 @@ class MidPass:
         self.final: list[tuple[str, Column]] = []
         self.means: list[Column] = []
         self.names: list[str] = []
+        self.sets: list[tuple[str, str]] = []      # (column, output) whose distinct values go through the parent
         self._i = 0
 
     def direct(self, spec: Spec, prefix: str = "") -> MidPass:
@@ -454,6 +456,48 @@ class MidPass:
             self.final.append((count_name, F.sum("__rows")))
         return self
 
+    def distinct(self, columns: Sequence[str], prefix: str = "",
+                 levels: Mapping[str, Sequence] | None = None) -> MidPass:
+        """Distinct non-null values of each column per root (``{prefix}{c}_NUNIQUE``).
+
+        A column with ``levels`` (its at most 63 possible values; another one raises) has a
+        64-bit mask as its state, joined by OR at both levels inside the same pass.  The others
+        move as (mid key, column, value) rows without repeats, then as (root, column, value)
+        rows without repeats, so that neither a hot root nor a hot value is one task's work."""
+        for c in columns:
+            name, known = f"{prefix}{c}_NUNIQUE", (levels or {}).get(c)
+            if known is None:
+                if not isinstance(self.types[c], AtomicType):
+                    raise ValueError(f"distinct values of {c}: {self.types[c].simpleString()}")
+                self.sets.append((c, name))
+                continue
+            if len(known) > MASK_BITS:
+                raise ValueError(f"more than {MASK_BITS} levels of {c}")
+            i, self._i = self._i, self._i + 1
+            x = F.col(f"`{c}`")
+            bit = F.array_position(F.array(*[F.lit(v).cast(self.types[c]) for v in known]), x) - 1
+            bit = F.when(bit >= 0, F.call_function("shiftleft", F.lit(1).cast("long"), bit.cast("int"))).when(
+                x.isNotNull(), F.raise_error(F.concat(F.lit(f"no level of {c}: "), x.cast("string"))).cast("long"))
+            self.partial.append(F.bit_or(bit).alias(f"__mask{i}"))
+            self.final.append((name, F.coalesce(F.bit_count(F.bit_or(f"__mask{i}")), F.lit(0)).cast("long")))
+        return self
+
+    def _distinct_per_root(self, parent: DataFrame, root_key: str) -> DataFrame:
+        """``__root`` and one count for each of ``sets``."""
+        def text(c: str) -> Column:
+            x = F.col(f"`{c}`")
+            if isinstance(self.types[c], (DoubleType, FloatType)):
+                return (x + F.lit(0.0).cast(self.types[c])).cast("string")       # -0.0 is 0.0
+            return F.hex(x) if isinstance(self.types[c], BinaryType) else x.cast("string")
+
+        entries = F.array_compact(F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).alias("i"), text(c).alias("v")))
+                                            for i, (c, _) in enumerate(self.sets)]))
+        per_mid = self.df.select(self.mid_key, F.explode(entries).alias("__e")).select(
+            self.mid_key, F.col("__e.i").alias("__i"), F.col("__e.v").alias("__v")).distinct()
+        owner = parent.select(self.mid_key, F.col(root_key).alias("__root"))
+        return (per_mid.join(owner, self.mid_key).select("__root", "__i", "__v").distinct()
+                .groupBy("__root").agg(*[F.count_if(F.col("__i") == i).alias(f"__set{i}") for i in range(len(self.sets))]))
+
     def per_mid(self) -> DataFrame:
         """One row per mid key with every block's partial aggregates."""
         return self.df.groupBy(self.mid_key).agg(*self.partial)
@@ -467,7 +511,14 @@ class MidPass:
             rows = rows.join(rows.groupBy(root_key).agg(*self.means), root_key)
         some = F.sum("__rows").isNotNull()
         final = [(e if how == "inner" else F.when(some, e)).alias(n) for n, e in self.final]
-        return rows.groupBy(root_key).agg(*final, *extra)
+        if not self.sets:
+            return rows.groupBy(root_key).agg(*final, *extra)
+        names = {f"__set{i}": n for i, (_, n) in enumerate(self.sets)}
+        out = rows.groupBy(root_key).agg(*final, *extra, some.alias("__some"))
+        counts = self._distinct_per_root(parent, root_key)
+        return out.join(counts, F.col(root_key).eqNullSafe(F.col("__root")), "left").select(
+            *[c for c in out.columns if c != "__some"],
+            *[F.when(F.col("__some"), F.coalesce(s, F.lit(0))).alias(n) for s, n in names.items()])
 
 
 def agg_spec_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root_key: str,
@@ -475,6 +526,7 @@ def agg_spec_through_parent(df: DataFrame, mid_key: str, parent: DataFrame, root
     """``agg_by(detail ⋈ parent, root_key, spec)`` for algebraic specs,
     computed as partial aggregates per mid key joined to the parent: count,
     sum (exact integer units for long-sized decimals), centred squares and
-    extremes per mid key, combined per root.  Holistic functions (median,
-    mode, nunique) need the detail rows: use ``agg_by`` after the join."""
+    extremes per mid key, combined per root.  Distinct counts go through the
+    parent by ``MidPass.distinct``; median and mode need the detail rows: use
+    ``agg_by`` after the join."""
     return MidPass(df, mid_key).direct(spec, prefix).run(parent.select(mid_key, root_key), root_key)

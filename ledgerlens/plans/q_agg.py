@@ -161,9 +161,9 @@ NUNIQUE_SPEC = [("l_partkey", ["nunique"]), ("l_suppkey", ["nunique"]), ("l_retu
 (SELECT l.*, o_custkey FROM lineitem l JOIN orders ON l_orderkey = o_orderkey) GROUP BY o_custkey"""))
 def agg_nunique(spark, d):
     li = scan_table(spark, d, "lineitem")
-    o = scan_table(spark, d, "orders").select("o_orderkey", "o_custkey")
-    x = li.join(o, li.l_orderkey == o.o_orderkey)
-    return A.agg_by(x, "o_custkey", NUNIQUE_SPEC, "INS_")
+    o = scan_table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey")
+    columns = [c for c, _ in NUNIQUE_SPEC]
+    return A.MidPass(li, "l_orderkey").distinct(columns, "INS_", levels={"l_returnflag": RF_LEVELS}).run(o, "o_custkey")
 
 
 COND_SPEC = [("AMT_PRICE", ["mean", "sum", "max"]), ("DAYS_DECISION", ["max", "size", "median"])]

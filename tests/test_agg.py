@@ -175,3 +175,38 @@ def test_applicants_of_unknown_nations_stay(spark, tmp_path):
         .write.parquet(str(tmp_path / "nation.parquet"))
     got = {r.c_custkey: r.n_name for r in B.applicants(spark, str(tmp_path)).collect()}
     assert got == {1: "N", 2: None}
+
+
+DISTINCT_ROWS = [(10, "a", 1.0, "N"), (10, "a", 2.0, "R"), (11, "b", 2.0, "N"), (11, None, 0.0, None), (12, "a", -0.0, "N"),
+                 (13, None, None, None), (14, "c", 9.0, "A"), (None, "z", 7.0, "R"), (99, "q", 3.0, "N")]
+DISTINCT_SCHEMA = "o int, s string, x double, f string"
+
+
+def test_distinct_through_parent_equals_join_then_count(spark):
+    lines = spark.createDataFrame(DISTINCT_ROWS, DISTINCT_SCHEMA)
+    owner = spark.createDataFrame([(10, 1), (11, 1), (12, 1), (13, 2), (14, None), (15, 3)], "o int, c int")
+    mid = A.MidPass(lines, "o").direct([("x", ["max", "size"])]).distinct(["s", "x", "f"], "P_", levels={"f": ["A", "N", "R"]})
+    via = _by_key(mid.run(owner, "c", extra=[F.count(F.lit(1)).alias("loans")]), "c")
+    joined = lines.join(owner, "o").groupBy("c").agg(*[F.countDistinct(c).alias(f"P_{c}_NUNIQUE") for c in "sxf"])
+    for c, want in _by_key(joined, "c").items():
+        assert {k: via[c][k] for k in want} == want
+    assert set(via) == {1, 2, None} and via[1]["P_x_NUNIQUE"] == 3 and via[2]["P_f_NUNIQUE"] == 0
+    left = _by_key(mid.run(owner, "c", how="left"), "c")
+    assert left[3]["P_s_NUNIQUE"] is None and left[2]["P_s_NUNIQUE"] == 0 and left[None]["P_s_NUNIQUE"] == 1
+
+
+def test_distinct_through_parent_plan_and_refusals(spark):
+    lines = spark.createDataFrame(DISTINCT_ROWS, DISTINCT_SCHEMA)
+    owner = spark.createDataFrame([(10, 1), (14, 1)], "o int, c int")
+    plan = A.MidPass(lines, "o").distinct(["s", "x"]).run(owner, "c")._jdf.queryExecution().executedPlan().toString()
+    assert "Expand" not in plan
+    with pytest.raises(ValueError):
+        A.MidPass(lines, "o").distinct(["s"], levels={"s": list(range(64))})
+    with pytest.raises(ValueError):
+        A.MidPass(lines.select("o", F.array("s").alias("a")), "o").distinct(["a"])
+    with pytest.raises(Exception, match="no level of f: A"):
+        A.MidPass(lines, "o").distinct(["f"], levels={"f": ["N", "R"]}).run(owner, "c").collect()
+    with_61 = [*range(61), "a", "b"]
+    got = A.MidPass(lines, "o").distinct(["s"], levels={"s": [str(v) for v in with_61] }).run(
+        owner.where("o = 10"), "c").first()
+    assert got["s_NUNIQUE"] == 1
