@@ -12,9 +12,12 @@ The dual is solved by distributed, bracketed Newton iterations over the
 
 Copies: whole copies are ``floor(rate)``; the rest of each rate is the chance of
 one more copy, drawn by sequential Poisson sampling (smallest ``u / chance``
-first, u a hash of the row) until the source's remaining words are used up; the
-document at the edge adds a part of a copy.  So each source's sum is its target
-to the word.
+first, u a hash of the row) until the next one, the document at the edge, would go
+beyond the source's remaining words.  The gap it leaves is filled by the next
+documents that are no longer than the gap, to the nearest whole one; where too few of them follow, the
+document at the edge is taken if that comes nearer to the target.  All copies are
+whole, and a source is missed by half a short document, or by half the one at the edge where what
+follows it can't fill its gap.
 
 Scale: texts are read, counted and never shuffled.  A hot source is a partial
 aggregation and a join with one row per source; the edge of the draw is found
@@ -107,11 +110,11 @@ def solve(hist: DataFrame, goal: DataFrame, cap: int, rounds: int = ROUNDS, tole
 def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple = WEIGHTS,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of ``docs``: ``row`` (a struct of all its columns, so none can clash), ``doc_id,
-    size, source_size, target, rate, copies`` (whole copies) and ``taken`` (words taken in all).
+    size, source_size, target, rate, copies`` and ``taken`` (words taken in all, ``copies * size``).
 
     Null and empty texts have size 0 and take nothing; a null source is a source
-    of its own, the last; repeated rows are rows like others; an empty table
-    gives an empty result.
+    of its own, the last; repeated rows are rows like others, each drawn by
+    itself; a very long text is taken whole or not at all; an empty table gives an empty result.
     """
     base = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                        word_count(F.col(text_col)).alias("n"))
@@ -134,40 +137,66 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple =
     whole = rated(sized).groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("whole"))
     rest = (whole.join(theta.select(F.col("source").alias("of"), "target"), F.col("source").eqNullSafe(F.col("of")))
             .select("source", F.greatest(F.round(F.col("target") - F.col("whole")).cast("long"), F.lit(0)).alias("rest")))
-    buckets = drawn.groupBy("source", "bucket").agg(F.sum("n").alias("words"))
-    run = Window.partitionBy("source").orderBy("bucket")
-    sums = buckets.withColumn("upto", F.sum("words").over(run))
-    r = rest.withColumnRenamed("source", "of")
-    edge = stored(sums.join(r, F.col("source").eqNullSafe(F.col("of")))
-                  .where("upto >= rest").groupBy("source").agg(F.min(F.struct("bucket", F.expr("rest - (upto - words)").alias("left"))).alias("e"))
-                  .select(F.col("source").alias("of"), F.col("e.bucket").alias("edge"), F.col("e.left").alias("left")), "mix-edge")
-
-    placed = rated(base).join(edge, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    edge = stored(_edge(drawn, rest, "rest").select("of", F.col("bucket").alias("edge"), "left"), "mix-edge")
+    place = F.struct("turn", "doc_id", "n")
+    order = Window.partitionBy("source", "bucket").orderBy("turn", "doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum("n").over(order), F.lit(0))
+    first = (drawn.join(edge, F.col("source").eqNullSafe(F.col("of"))).where("bucket = edge").withColumn("used", used)
+             .where("used < left and used + n > left").groupBy("of")
+             .agg(F.min(F.struct(place.alias("place"), (F.col("left") - F.col("used")).alias("gap"))).alias("f"))
+             .select("of", "f.place", "f.gap"))
+    first = stored(first, "mix-gap")
+    # what follows the edge and is no longer than the gap fills it
+    fits = (drawn.join(first, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+            .where((place > F.col("place")) & (F.col("n") <= F.col("gap"))))
+    fill = _edge(fits, first.select(F.col("of").alias("source"), "gap"), "gap").select(
+        F.col("of").alias("of2"), F.col("bucket").alias("edge2"), F.col("left").alias("left2"))
+    words = fits.groupBy(F.col("source").alias("of3")).agg(F.sum("n").alias("follow"))
+    known = (edge.join(first.withColumnRenamed("of", "of1"), F.col("of").eqNullSafe(F.col("of1")), "left")
+             .join(fill, F.col("of").eqNullSafe(F.col("of2")), "left").join(words, F.col("of").eqNullSafe(F.col("of3")), "left")
+             .withColumn("over", F.col("edge2").isNull() & (F.col("place.n") - F.col("gap")
+                                                           <= F.col("gap") - F.coalesce("follow", F.lit(0)))))
+    known = stored(known.select("of", "edge", "left", "place", "gap", "edge2", "left2", "over"), "mix-edges")
+
+    placed = rated(base).join(known, F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    later = F.coalesce((place > F.col("place")) & (F.col("n") <= F.col("gap")) & ~F.col("over"), F.lit(False))
+    at_edge = F.coalesce((F.col("bucket") == F.col("edge")) | (later & (F.col("bucket") == F.col("edge2"))), F.lit(False))
+    placed = placed.withColumn("later", later).withColumn("at_edge", at_edge)
     keep = ["row", "doc_id", "n", "source_size", "target", "rate", "copies"]
-    outer = placed.where("bucket is null or edge is null or bucket != edge").select(
-        *keep, F.when(F.col("bucket") < F.coalesce("edge", F.lit(BUCKETS)), F.col("n")).otherwise(0).alias("extra"))
-    order = Window.partitionBy("source").orderBy("turn", "doc_id", "n").rowsBetween(Window.unboundedPreceding, -1)
-    inner = placed.where("bucket = edge").withColumn("used", F.coalesce(F.sum("n").over(order), F.lit(0))).select(
-        *keep, F.greatest(F.least(F.col("left") - F.col("used"), F.col("n")), F.lit(0)).alias("extra"))
+    sure = (F.col("bucket") < F.coalesce("edge", F.lit(BUCKETS))) | (F.col("later") & (F.col("bucket") < F.coalesce("edge2", F.lit(BUCKETS))))
+    outer = placed.where("not at_edge").select(*keep, F.when(F.coalesce(sure, F.lit(False)), F.col("n")).otherwise(0).alias("extra"))
+    used2 = F.coalesce(F.sum(F.when(F.col("later"), F.col("n"))).over(order), F.lit(0))
+    before = (F.col("bucket") == F.col("edge")) & ((F.col("used") + F.col("n") <= F.col("left"))
+                                                   | (F.col("over") & (place == F.col("place")) & (F.col("used") < F.col("left"))))
+    after = F.col("later") & ((F.col("bucket") < F.coalesce("edge2", F.lit(BUCKETS)))
+                              | (2 * (F.col("left2") - F.col("used2")) >= F.col("n")))
+    inner = placed.where("at_edge").withColumn("used", used).withColumn("used2", used2).select(
+        *keep, F.when(F.coalesce(before, F.lit(False)) | F.coalesce(after, F.lit(False)), F.col("n")).otherwise(0).alias("extra"))
     return outer.unionAll(inner).select(
-        "row", "doc_id", F.col("n").alias("size"), "source_size", "target", "rate", "copies",
+        "row", "doc_id", F.col("n").alias("size"), "source_size", "target", "rate",
+        (F.col("copies") + (F.col("extra") > 0).cast("long")).alias("copies"),
         (F.col("copies") * F.col("n") + F.col("extra")).cast("long").alias("taken"))
 
 
+def _edge(rows: DataFrame, goal: DataFrame, words: str) -> DataFrame:
+    """``of, bucket, left``: for each source of ``goal`` the bucket in which its rows, in order of buckets,
+    reach ``words``, and what of them is left at its start; no row where they never do."""
+    sums = (rows.groupBy("source", "bucket").agg(F.sum("n").alias("s"))
+            .withColumn("upto", F.sum("s").over(Window.partitionBy("source").orderBy("bucket"))))
+    return (sums.join(goal.select(F.col("source").alias("of"), F.col(words).alias("goal")), F.col("source").eqNullSafe(F.col("of")))
+            .where("upto >= goal").groupBy("of")
+            .agg(F.min(F.struct("bucket", F.expr("goal - (upto - s)").alias("left"))).alias("e")).select("of", "e.bucket", "e.left"))
+
+
 def apply(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: every document as often as it is taken.
+    """The mix itself, with the columns of ``docs``: every document as often as it is taken, always whole.
 
-    The one document of a source that is taken in part ends with its first words, joined by a space.
+    Rows without words (null and empty texts among them) are taken never; repeated rows are
+    copied each by itself; an empty table gives an empty result.
     """
-    m = mix(docs, text_col=text_col, **options).where("taken > 0")
-    whole = F.floor(F.col("taken") / F.col("size")).cast("int")
-    part = (F.col("taken") - whole * F.col("size")).cast("int")
-    words = F.regexp_extract_all(F.col(f"row.`{text_col}`"), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-    times = F.sequence(F.lit(1), F.when(part > 0, whole + 1).otherwise(whole))
-    out = m.select("row", whole.alias("whole"), part.alias("part"), F.explode(times).alias("copy"))
-    cut = F.when(F.col("copy") > F.col("whole"), F.array_join(F.slice(words, F.lit(1), F.col("part")), " ")).otherwise(
-        F.col(f"row.`{text_col}`"))
-    return out.select(*[(cut if c == text_col else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    m = mix(docs, text_col=text_col, **options).where("copies > 0")
+    out = m.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies").cast("long"))).alias("copy"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 @query("op5_entropy_balancing_mix")
