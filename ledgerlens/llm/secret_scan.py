@@ -5,8 +5,12 @@ over them, one per kind, becomes a probabilistic automaton by merging states
 whose outgoing and ending frequencies are statistically compatible (Hoeffding
 bound), so the automaton generalises the format.  Every candidate token of
 every text is then scored by its format likelihood under each automaton,
-against a character model of all other candidate tokens of the corpus; tokens above
-the threshold that no base match covers are added as spans of kind ``grammar``.
+against a character model of the corpus's other candidate tokens: of all of them, but of plain
+numbers for a number and of plain words for a word, so that these are no credentials; tokens above
+both thresholds that no base match covers are added as spans of kind ``grammar``.
+A candidate is a run of the credentials' alphabet, dots inside included, of the
+length that an assigned value must have; where a run with dots fails as a whole, its parts
+between dots are candidates.  A token that a base span only touches is scored.
 
 Scale: two narrow passes over whole texts.  The shuffle between them holds the
 distinct credentials only; character counts are one row per character and
@@ -33,13 +37,18 @@ LEARN = 600          # credentials per kind that the automata are fitted on
 LONGEST = 128        # ... of this many characters at most
 ALPHA = 0.05         # confidence of the merge test
 THRESHOLD = 1.0      # nats per character over the corpus's own tokens
+SHORTEST = 6         # characters of a candidate, as of an assigned value
+EVIDENCE = 14.0      # nats in all: a corpus token passes by chance once in e^14 at most
+CACHE = 1 << 17      # scored tokens that a task remembers
 UNSEEN = 1e-4        # probability of a symbol that a state has not seen
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-MIXED = re.compile(r"(?=.*[0-9])(?=.*[A-Za-z])", re.S)
+PART = r"[A-Za-z0-9+/_=-]"
+TOKEN = re.compile(rf"{PART}+(?:\.+{PART}+)*")     # a sentence's last dot is not part of a token
+DIGITS, LETTERS = "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+MAKES = {"digits": DIGITS, "letters": LETTERS, "mixed": DIGITS + LETTERS + "+/_.=-"}
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, int]]:
@@ -60,6 +69,26 @@ def credential(text: str, span: tuple[int, int, str, int]) -> str:
     return ASSIGN.match(s)[2] if span[2] == "assign" else s
 
 
+def candidates(text: str, spans: list) -> list[tuple[int, int]]:
+    """``(start, end)`` of the tokens of ``SHORTEST`` characters or more that no base span covers whole."""
+    found = [m.span() for m in TOKEN.finditer(text) if m.end() - m.start() >= SHORTEST]
+    if not spans:
+        return found
+    return [(s, e) for s, e in found if not any(x[0] <= s and e <= x[3] for x in spans)]
+
+
+def make(token: str) -> str:
+    """What a token is made of: a key of ``MAKES``."""
+    return "digits" if token.isdigit() else "letters" if token.isalpha() else "mixed"
+
+
+def parts(text: str, s: int, e: int) -> list[tuple[int, int]]:
+    """The runs between dots of the token at ``s:e``, if it has any dots."""
+    if "." not in text[s:e]:
+        return []
+    return [(s + m.start(), s + m.end()) for m in re.finditer(r"[^.]+", text[s:e]) if m.end() - m.start() >= SHORTEST]
+
+
 # ----------------------------------------------------------------- automata
 
 class Automaton:
@@ -173,21 +202,23 @@ def fit(samples: dict[str, list[str]]) -> list:
     return out
 
 
-def learn(src: DataFrame, limit: int) -> tuple[list, dict[str, float]]:
-    """Automata of the base credentials, and log frequencies of characters in candidate tokens, over all texts."""
+def learn(src: DataFrame, limit: int) -> tuple[list, dict[str, dict[str, float]]]:
+    """Automata of the base credentials, and log frequencies of characters in candidate tokens (all, numbers, words), over all texts."""
 
     def collect(b: pa.RecordBatch):
-        found, chars = Counter(), Counter()
+        found, chars, tokens = Counter(), Counter(), Counter()
         for text in b.column(0).to_pylist():
             if text:
                 spans = base_spans(text)
                 for s in spans:
                     if s[3] - s[0] <= 2 * LONGEST and len(c := credential(text, s)) <= LONGEST:
                         found[s[2], c] += 1
-                for m in CANDIDATE.finditer(text):
-                    if not any(x[0] < m.end() and m.start() < x[3] for x in spans):
-                        chars.update(m[0])
-        rows = [(k, v, n) for (k, v), n in found.items()] + [("char", c, n) for c, n in chars.items()]
+                tokens.update(text[s:e] for s, e in candidates(text, spans))
+        for t, n in tokens.items():
+            for kind in {make(t), "mixed"}:
+                for c in t:
+                    chars[kind, c] += n
+        rows = [(k, v, n) for (k, v), n in (found + chars).items()]
         if rows:
             k, v, n = zip(*rows)
             yield {"kind": list(k), "value": list(v), "n": list(n)}
@@ -198,11 +229,13 @@ def learn(src: DataFrame, limit: int) -> tuple[list, dict[str, float]]:
     for kind in KINDS[:3]:
         samples[kind] = [r.value for r in seen.where(F.col("kind") == kind)
                          .orderBy(F.xxhash64("value"), "value").limit(limit).collect()]
-    chars = {r.value: r.n for r in seen.where("kind = 'char'").collect()}   # at most 66 characters
-    total = max(1, sum(chars.values()))
-    # half of it uniform, so that a rare character alone is no evidence
-    return fit(samples), {c: math.log(0.5 * chars.get(c, 0) / total + 0.5 / 66)
-                          for c in map(chr, range(43, 123)) if CANDIDATE.match(c * 16)}
+    chars = {(r.kind, r.value): r.n for r in seen.where(F.col("kind").isin(*MAKES)).collect()}   # three alphabets at most
+    plain = {}
+    for kind, alphabet in MAKES.items():
+        total = max(1, sum(chars.get((kind, c), 0) for c in alphabet))
+        # half of it uniform, so that a rare character alone is no evidence
+        plain[kind] = {c: math.log(0.5 * chars.get((kind, c), 0) / total + 0.5 / len(alphabet)) for c in alphabet}
+    return fit(samples), plain
 
 
 def scan(docs: DataFrame, limit: int = LEARN, threshold: float = THRESHOLD,
@@ -212,14 +245,35 @@ def scan(docs: DataFrame, limit: int = LEARN, threshold: float = THRESHOLD,
 
     Spans are ``kind:start:end`` in code points, end exclusive.  Null and empty
     texts have no spans; null ids are passed on; repeated rows are scored
-    alike; without any labelled credential nothing is added to the base.
+    alike; very long texts are scanned whole; without any labelled credential nothing is
+    added to the base; an empty table gives an empty result, and other columns are ignored.
     """
     src = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("doc_id"))
     automata, plain = learn(src, limit)
 
+    known: dict[str, float] = {}
+
     def score(token: str) -> float:
-        corpus = sum(plain[c] for c in token)
-        return max(((log_likelihood(a, token) - corpus) / len(token) for a in automata), default=-math.inf)
+        """Nats per character over the corpus's tokens; minus infinity without enough of them in all."""
+        got = known.get(token)
+        if got is None:
+            chances = plain[make(token)]
+            corpus = sum(chances[c] for c in token)
+            nats = max((log_likelihood(a, token) for a in automata), default=-math.inf) - corpus
+            if len(known) >= CACHE:
+                known.clear()
+            got = known[token] = nats / len(token) if nats >= EVIDENCE else -math.inf
+        return got
+
+    def added(text: str, spans: list):
+        """``(start, end, score)`` of the tokens that pass, else of their parts that do."""
+        for s, e in candidates(text, spans):
+            if (got := score(text[s:e])) >= threshold:
+                yield s, e, got
+                continue
+            for a, z in parts(text, s, e):
+                if not any(x[0] <= a and z <= x[3] for x in spans) and (got := score(text[a:z])) >= threshold:
+                    yield a, z, got
 
     def run(b: pa.RecordBatch):
         out = {x: [] for x in ("n_assign", "n_access", "n_hex", "n_grammar", "base_sha256", "spans", "best_score")}
@@ -228,12 +282,9 @@ def scan(docs: DataFrame, limit: int = LEARN, threshold: float = THRESHOLD,
             n = Counter(s[2] for s in spans)
             base = ",".join(f"{k}:{s}:{e}" for s, _, k, e in spans)
             best = None
-            for m in CANDIDATE.finditer(text or ""):
-                s, e = m.span()
-                if MIXED.match(m[0]) and not any(x[0] < e and s < x[3] for x in spans):
-                    if (got := score(m[0])) >= threshold:
-                        spans.append((s, 3, "grammar", e))
-                        best = got if best is None else max(best, got)
+            for s, e, got in list(added(text or "", spans)):
+                spans.append((s, 3, "grammar", e))
+                best = got if best is None else max(best, got)
             spans.sort()
             for k in ("assign", "access", "hex"):
                 out[f"n_{k}"].append(n[k])
