@@ -1,11 +1,14 @@
 """License scans by sentence rules, in DataFrame functions only.
 
-A text is lower-cased (A-Z), cut into sentences at ``. ! ? ;`` before white
-space and at line ends, and each sentence is normalised to its words of a-z and
-0-9.  Sentences known from licence texts become identifiers (a fixed table of a
-few dozen sentences); the document's sequence of identifiers is then matched
-against ordered rules, longest and most specific first.  A rule consumes what
+A text is lower-cased (A-Z) and cut into sentences at ``. ! ?`` before white space (not
+after ``v.`` before a number).  Line ends cut nothing, since licence texts are wrapped, and
+comment marks go with everything else that is no word of a-z and 0-9.  Sentences
+known from licence texts (a fixed table of a few dozen, longer ones first) become identifiers
+wherever their words follow one another within a sentence; the document's sequence of identifiers
+is then matched against ordered rules, longest and most specific first.  A rule consumes what
 it matches, so a full licence text isn't reported again through its parts.
+``SPDX-License-Identifier:`` expressions are parsed: every licence that ``AND`` and
+``OR`` join, without the exceptions after ``WITH``.
 
 The whole scan is one narrow projection: no shuffle, no explode, one output
 row per input row.
@@ -26,7 +29,6 @@ SENTENCES = {
     "apache-obtain": "you may obtain a copy of the license at http www apache org licenses license 2 0",
     "apache-basis": "unless required by applicable law or agreed to in writing software distributed under the license is "
                     "distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "apache-spdx": "spdx license identifier apache 2 0",
     "mit-released": "released under the mit license",
     "mit-under": "licensed under the mit license",
     "mit-name": "the mit license mit",
@@ -37,7 +39,6 @@ SENTENCES = {
                       "the following conditions",
     "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial "
                   "portions of the software",
-    "mit-spdx": "spdx license identifier mit",
     "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to "
              "the warranties of merchantability fitness for a particular purpose and noninfringement",
     "gpl3-work": "this work is licensed under the gnu general public license version 3",
@@ -52,7 +53,6 @@ SENTENCES = {
     "gpl-hope": "this program is distributed in the hope that it will be useful but without any warranty without even the "
                 "implied warranty of merchantability or fitness for a particular purpose",
     "gpl-see": "see the gnu general public license for more details",
-    "gpl3-spdx": "spdx license identifier gpl 3 0 only",
     "cc-by-nc": "licensed under cc by nc 4 0",
     "cc-by": "licensed under cc by 4 0",
     "cc-by-sa": "licensed under cc by sa 4 0",
@@ -78,15 +78,12 @@ RULES = [
     ("GPL-2.0-or-later", ["gpl-redistribute-2"]),
     ("Apache-2.0", ["apache-under-the"]),
     ("Apache-2.0", ["apache-under"]),
-    ("Apache-2.0", ["apache-spdx"]),
     ("MIT", ["mit-released"]),
     ("MIT", ["mit-under"]),
     ("MIT", ["mit-name"]),
     ("MIT", ["mit-permission"]),
-    ("MIT", ["mit-spdx"]),
     ("GPL-3.0-only", ["gpl3-work"]),
     ("GPL-3.0-only", ["gpl3-under"]),
-    ("GPL-3.0-only", ["gpl3-spdx"]),
     ("GPL-2.0-only", ["gpl2-under"]),
     ("CC-BY-NC-4.0", ["cc-by-nc"]),
     ("CC-BY-SA-4.0", ["cc-by-sa"]),
@@ -100,7 +97,8 @@ RULES = [
 ]
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-BREAK = r"[.!?;]+[\x20\x09-\x0D]+|[\x0A-\x0D]+"
+VERSION = r"v\.[\x20\x09-\x0D]+([0-9])"
+BREAK = r"[.!?]+[\x20\x09-\x0D]+"
 OTHER = r"[^a-z0-9\n]+"
 
 
@@ -108,26 +106,45 @@ def _pattern(rule: list[str]) -> str:
     return "".join(f"<{x}>" for x in rule)
 
 
-def sentences(text: Column) -> Column:
-    """Normalised sentences of a text, in order (null text: none)."""
-    flat = F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), BREAK, "\n")
-    words = F.regexp_replace(flat, OTHER, " ")
-    return F.filter(F.transform(F.split(words, "\n"), lambda s: F.trim(s)), lambda s: s != "")
+# Words stand between single spaces of their own, so that neighbouring matches share none.
+KNOWN = {f" {t} ".replace(" ", "  ")[1:-1]: s for s, t in SENTENCES.items()}
+CLAUSE = "|".join(sorted(KNOWN, key=lambda t: (-len(t), t)))
+_ID = r"[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?"
+SPDX = rf"SPDX-License-Identifier:[\x20\x09]*(\(*{_ID}\)*(?:[\x20\x09]+(?:AND|OR|WITH)[\x20\x09]+\(*{_ID}\)*)*)"
+EXCEPTION = rf"[\x20\x09]+WITH[\x20\x09]+\(*{_ID}"
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``doc_id, n_sentences, sentence_ids, licenses``.
+def words_by_sentence(text: Column) -> Column:
+    """The normalised words of a text, one sentence a line (null text: empty)."""
+    lower = F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)
+    flat = F.regexp_replace(F.regexp_replace(F.regexp_replace(lower, VERSION, "v $1"), r"[\x0A-\x0D]+", " "), BREAK, "\n")
+    return F.regexp_replace(flat, OTHER, " ")
+
+
+def spdx(text: Column) -> Column:
+    """The licences named by a text's SPDX expressions, in order, each once."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(SPDX), F.lit(1))
+    each = F.flatten(F.transform(found, lambda x: F.regexp_extract_all(
+        F.regexp_replace(x, EXCEPTION, ""), F.lit(_ID), F.lit(0))))
+    return F.array_distinct(F.filter(each, lambda x: ~x.isin("AND", "OR")))
 
-    ``sentence_ids`` are the recognised sentences in text order and ``licenses``
-    the licences of the rules that matched, each once, in rule order (both
-    comma-joined, empty when there are none).  Null and empty texts have no
-    sentence; null ids are passed on; other columns are ignored.
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``doc_id, n_sentences, sentence_ids, spdx, licenses``.
+
+    ``sentence_ids`` are the recognised sentences in text order, ``spdx`` the
+    licences of SPDX expressions, and ``licenses`` those of the rules that matched, in
+    rule order, then of the expressions, each once (all comma-joined, empty when there are none).
+    Null and empty texts have no sentence; null ids are passed on; repeated rows are
+    scanned alike; very long texts are scanned whole; an empty table gives an empty result; other
+    columns are ignored.
     """
-    known = F.create_map(*[F.lit(x) for s, t in SENTENCES.items() for x in (t, s)])
+    known = F.create_map(*[F.lit(x) for t, s in KNOWN.items() for x in (t, s)])
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(_pattern(r)).alias("pattern")) for n, r in RULES])
-    found = docs.select(F.col(id_col).alias("doc_id"), sentences(F.col(text_col)).alias("s"))
-    ids = found.select("doc_id", F.size("s").cast("long").alias("n_sentences"),
-                       F.filter(F.transform("s", lambda s: F.element_at(known, s)), lambda x: x.isNotNull()).alias("ids"))
+    found = docs.select(F.col(id_col).alias("doc_id"), words_by_sentence(F.col(text_col)).alias("w"), spdx(F.col(text_col)).alias("x"))
+    spaced = F.concat(F.lit(" "), F.replace(F.replace("w", F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
+    ids = found.select("doc_id", F.size(F.filter(F.split("w", "\n"), lambda s: F.trim(s) != "")).cast("long").alias("n_sentences"), "x",
+                       F.transform(F.regexp_extract_all(spaced, F.lit(CLAUSE), F.lit(0)), lambda s: F.element_at(known, s)).alias("ids"))
     marked = ids.withColumn("sequence", F.concat(F.lit(""), *[F.array_join(F.transform(
         "ids", lambda x: F.concat(F.lit("<"), x, F.lit(">"))), "")]))
     start = F.struct(F.col("sequence").alias("rest"), F.array().cast("array<string>").alias("names"))
@@ -137,24 +154,30 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         .otherwise(a["names"]).alias("names")))
     names = F.when(F.size("ids") == 0, F.array().cast("array<string>")).otherwise(walked["names"])
     return marked.select("doc_id", "n_sentences", F.array_join("ids", ",").alias("sentence_ids"),
-                         F.array_join(names, ",").alias("licenses"))
+                         F.array_join("x", ",").alias("spdx"), F.array_join(F.array_union(names, F.col("x")), ",").alias("licenses"))
 
 
 def _sql() -> str:
-    known = ", ".join(f"'{t}': '{s}'" for s, t in SENTENCES.items())
-    q = f"""SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(
-      translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{BREAK}', chr(10), 'g'), '{OTHER}', ' ', 'g'), chr(10)),
-      lambda x: trim(x)), lambda x: x <> '') AS s FROM documents"""
-    q = f"""SELECT doc_id, CAST(len(s) AS BIGINT) AS n_sentences,
-      list_filter(list_transform(s, lambda x: MAP {{{known}}}[x]), lambda x: x IS NOT NULL) AS ids FROM ({q})"""
+    known = ", ".join(f"'{t}': '{s}'" for t, s in KNOWN.items())
+    w = f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')"
+    for pattern, to in ((VERSION, r"'v \1'"), (r"[\x0A-\x0D]+", "' '"), (BREAK, "chr(10)"), (OTHER, "' '")):
+        w = f"regexp_replace({w}, '{pattern}', {to}, 'g')"
+    x = f"regexp_extract_all(coalesce(text, ''), '{SPDX}', 1)"
+    x = f"flatten(list_transform({x}, lambda e: regexp_extract_all(regexp_replace(e, '{EXCEPTION}', '', 'g'), '{_ID}')))"
+    q = f"SELECT doc_id, {w} AS w, list_filter({x}, lambda e: e NOT IN ('AND', 'OR')) AS every FROM documents"
+    q = f"""SELECT *, list_filter(every, lambda e, i: list_position(every, e) = i) AS x,
+      ' ' || replace(replace(w, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' ' AS spaced FROM ({q})"""
+    q = f"""SELECT doc_id, CAST(len(list_filter(string_split(w, chr(10)), lambda s: trim(s) <> '')) AS BIGINT) AS n_sentences, x,
+      list_transform(regexp_extract_all(spaced, '{CLAUSE}'), lambda s: MAP {{{known}}}[s]) AS ids FROM ({q})"""
     q = f"""SELECT *, coalesce(array_to_string(list_transform(ids, lambda x: '<' || x || '>'), ''), '') AS rest,
       CAST([] AS VARCHAR[]) AS names FROM ({q})"""
     for name, rule in RULES:
-        q = f"""SELECT doc_id, n_sentences, ids, replace(rest, '{_pattern(rule)}', '|') AS rest,
+        q = f"""SELECT doc_id, n_sentences, ids, x, replace(rest, '{_pattern(rule)}', '|') AS rest,
           CASE WHEN contains(rest, '{_pattern(rule)}') AND NOT list_contains(names, '{name}')
           THEN list_append(names, '{name}') ELSE names END AS names FROM ({q})"""
     return f"""SELECT doc_id, n_sentences, coalesce(array_to_string(ids, ','), '') AS sentence_ids,
-      coalesce(array_to_string(names, ','), '') AS licenses FROM ({q})"""
+      coalesce(array_to_string(x, ','), '') AS spdx, coalesce(array_to_string(
+        list_concat(names, list_filter(x, lambda e: NOT list_contains(names, e))), ','), '') AS licenses FROM ({q})"""
 
 
 @query("op7_sentence_rule_licenses", _sql())

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from collections import Counter
 
 import pytest
 
@@ -186,6 +187,69 @@ def test_licenses(spark):
     assert license_scan.scan(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_licenses_in_wrapped_texts(spark):
+    """Standard texts as they are found: wrapped, commented, with blank lines."""
+    mit = """MIT License
+
+Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.
+"""
+    gpl = """ * This program is free software; you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version {} of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+"""
+    apache = """# Licensed under the Apache License, Version 2.0 (the "License");
+# you may not use this file except in compliance with the License.
+# You may obtain a copy of the License at
+#
+#     http://www.apache.org/licenses/LICENSE-2.0
+#
+# Unless required by applicable law or agreed to in writing, software
+# distributed under the License is distributed on an "AS IS" BASIS,
+# WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+"""
+    rows = [(1, mit), (2, gpl.format(3)), (3, gpl.format(2)), (4, apache), (5, apache.replace("\n", "\r\n")),
+            (6, "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0.\n"),
+            (7, "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided "
+                "that the following conditions\nare met:\n"),
+            (8, "SPDX-License-Identifier: GPL-3.0-or-later"), (9, "x SPDX-License-Identifier: (MIT OR Apache-2.0) AND BSD-3-Clause\n"
+             "y SPDX-License-Identifier: GPL-2.0-only WITH Classpath-exception-2.0."), (10, "SPDX-License-Identifier: MIT-0 and more"),
+            (11, "Permission is hereby granted. Free of charge, to any person"), (12, mit + apache), (13, "spdx"), (13, "spdx")]
+    found = license_scan.scan(frame(spark, rows)).collect()
+    got = {r.doc_id: r for r in found}
+    assert len(found) == len(rows)
+    want = {1: "MIT", 2: "GPL-3.0-or-later", 3: "GPL-2.0-or-later", 4: "Apache-2.0", 5: "Apache-2.0", 6: "MPL-2.0", 7: "BSD",
+            8: "GPL-3.0-or-later", 9: "MIT,Apache-2.0,BSD-3-Clause,GPL-2.0-only", 10: "MIT-0", 11: "", 12: "Apache-2.0,MIT", 13: ""}
+    assert {i: got[i].licenses for i in want} == want
+    assert got[4].sentence_ids == "apache-under-the,apache-may-not,apache-obtain,apache-basis"
+    import duckdb
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents(doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    cur = con.execute(license_scan._sql())
+    names = [d[0] for d in cur.description]
+    assert Counter(cur.fetchall()) == Counter(tuple(r[n] for n in names) for r in found)
+
+
 def test_secret_base_spans_and_grammar(spark):
     r = random.Random(3)
     hexes = ["".join(r.choice("0123456789abcdef") for _ in range(20)) for _ in range(80)]
