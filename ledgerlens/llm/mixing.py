@@ -133,8 +133,10 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple =
         r = r.withColumn("copies", F.floor("rate")).withColumn("turn", F.when(chance > 0, u / (u + chance)))
         return r.withColumn("bucket", F.floor(F.col("turn") * BUCKETS))
 
-    drawn = rated(sized).where("bucket is not null")
-    whole = rated(sized).groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("whole"))
+    # written once: five small aggregates and joins read it, each with a short plan of its own
+    draws = stored(rated(sized).select("doc_id", "source", "n", "copies", "turn", "bucket"), "mix-draws")
+    drawn = draws.where("bucket is not null")
+    whole = draws.groupBy("source").agg(F.sum(F.col("n") * F.col("copies")).alias("whole"))
     rest = (whole.join(theta.select(F.col("source").alias("of"), "target"), F.col("source").eqNullSafe(F.col("of")))
             .select("source", F.greatest(F.round(F.col("target") - F.col("whole")).cast("long"), F.lit(0)).alias("rest")))
     edge = stored(_edge(drawn, rest, "rest").select("of", F.col("bucket").alias("edge"), "left"), "mix-edge")
@@ -149,6 +151,7 @@ def mix(docs: DataFrame, share: float = SHARE, cap: int = CAP, weights: tuple =
     # what follows the edge and is no longer than the gap fills it
     fits = (drawn.join(first, F.col("source").eqNullSafe(F.col("of"))).drop("of")
             .where((place > F.col("place")) & (F.col("n") <= F.col("gap"))))
+    fits = stored(fits.groupBy("source", "bucket").agg(F.sum("n").alias("n")), "mix-fits")
     fill = _edge(fits, first.select(F.col("of").alias("source"), "gap"), "gap").select(
         F.col("of").alias("of2"), F.col("bucket").alias("edge2"), F.col("left").alias("left2"))
     words = fits.groupBy(F.col("source").alias("of3")).agg(F.sum("n").alias("follow"))
