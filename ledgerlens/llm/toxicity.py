@@ -9,22 +9,33 @@ and over its most toxic stretch of ``STRETCH`` n-grams.  A logistic calibration
 turns both, with the log length, into a probability.
 
 Counts come from all labelled training texts (a distributed aggregation that
-grows with them); every text is scored whole.  For scoring, the log ratio of
-every counted n-gram and of every context stands in a hash table with its key
-(``Ratios``), so an unseen n-gram is recognised and backs off.  The tables grow
-with the distinct n-grams: 18 to 36 bytes for each of them are broadcast.  The calibration is
-fitted on at most about ``CALIBRATE`` labelled documents of one fold (by hash),
-against models counted without them; the models that score then count these
-documents too.
-
-Scale: scoring is one narrow pass.  Only labelled training texts are shuffled,
-to meet their label; a bounded bitmap keeps the others out.
+grows with them); every text is scored whole.  The model is a table with the log
+ratio of every counted n-gram and of every context, and it stays one: neither
+the driver nor any task ever holds it.  Texts are packed into units of about
+``UNIT`` bytes, the distinct n-grams and contexts of a unit are joined with the
+table, and what was found goes back to its unit, where the texts are scored.  An
+n-gram that isn't found backs off to its context.  The calibration is fitted on
+at most about ``CALIBRATE`` labelled documents of one fold (by hash), against
+models counted without them; the models that score then count these documents
+too.
+
+Scale: compressed texts are shuffled once to meet their ratios (both uses of the
+units share the exchange), n-grams as often as a unit has them distinct.  Of the
+training texts only labelled ones are shuffled, to meet their label; a bounded
+bitmap keeps the others out.  A unit is named by its place and its content, and
+one whose ratios belong to other content (a lost partition that came back in
+another order) fails its task instead of scoring without them.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,6 +46,8 @@ ORDER = 5
 DISCOUNT = 0.75
 STRETCH = 8
 CALIBRATE = 20_000
+UNIT = 32 << 20         # bytes of the batches that share one lookup
+SEAL = -(1 << 62)       # a key that every unit asks for and every model holds
 FOLDS, HELD_OUT, CALIBRATION = 5, 0, 1
 BITS = 24
 
@@ -103,7 +116,7 @@ def _texts(col: pa.Array, size: int = W.CHUNK):
         yield (s, *_padded(o - o[0], W.LOWER[data[o[0]:o[-1]]]))
 
 
-def _grams(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _grams(raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The n-gram from each byte on, and whether it lies within one row."""
     n = max(0, len(raw) - ORDER + 1)
     g = np.zeros(n, np.int64)
@@ -161,7 +174,7 @@ def count(train: DataFrame) -> DataFrame:
     def run(b: pa.RecordBatch):
         kind = ((b.column(1).to_numpy(zero_copy_only=False) == 1) + 2 * b.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
         for s, raw, start, end in _texts(b.column(0), 1 << 20):
-            g, ok = _grams(raw, start, end)
+            g, ok = _grams(raw, end)
             of = np.repeat(kind[s], end - start)[: len(g)]
             u, inv = np.unique(g[ok], return_inverse=True)
             n = np.bincount(4 * inv + of[ok], minlength=4 * len(u)).reshape(-1, 4)
@@ -171,8 +184,9 @@ def count(train: DataFrame) -> DataFrame:
             .groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("t", "o", "ht", "ho")]))
 
 
-def model(grams: DataFrame) -> tuple[Ratios, Ratios]:
-    """Log ratios (toxic over ordinary) of all counted n-grams and of their contexts."""
+def model(grams: DataFrame) -> DataFrame:
+    """``key, llr``: log ratios (toxic over ordinary) of all counted n-grams (key: the n-gram), of their contexts
+    (key: -1 - context), and ``SEAL``."""
     d = DISCOUNT
     g = grams.withColumn("ctx", F.shiftright("gram", 8)).withColumn("suffix", F.col("gram").bitwiseAND((1 << 8 * (ORDER - 1)) - 1))
     contexts = stored(g.groupBy("ctx").agg(
@@ -190,20 +204,24 @@ def model(grams: DataFrame) -> tuple[Ratios, Ratios]:
     prob = {c: F.when(F.col(f"c{c}") > 0, F.greatest(F.col(c) - d, F.lit(0.0)) / F.col(f"c{c}")).otherwise(F.lit(0.0))
             + lam[c] * F.col("ps") for c in "to"}
     rated = (g.join(contexts, "ctx").join(shared, "suffix")
-             .select("gram", F.log(prob["t"] / prob["o"]).cast("float").alias("llr")))
+             .select(F.col("gram").alias("key"), F.log(prob["t"] / prob["o"]).cast("float").alias("llr")))
+
+    back = contexts.select((F.lit(-1) - F.col("ctx")).alias("key"), F.log(lam["t"] / lam["o"]).cast("float").alias("llr"))
+    seal = grams.sparkSession.range(1).select(F.lit(SEAL).alias("key"), F.lit(0.0).cast("float").alias("llr"))
+    return rated.union(back).union(seal)
 
-    def ratios(df: DataFrame) -> Ratios:
-        t = df.toArrow()
-        return Ratios(t[0].to_numpy(), t[1].to_numpy())
 
-    return ratios(rated), ratios(contexts.select("ctx", F.log(lam["t"] / lam["o"]).cast("float")))
+def tables(keys: np.ndarray, llr: np.ndarray) -> tuple[Ratios, Ratios]:
+    """Rows of a model as hash tables of n-grams and of contexts."""
+    context = (keys < 0) & (keys != SEAL)
+    return Ratios(keys[keys >= 0], llr[keys >= 0]), Ratios(-1 - keys[context], llr[context])
 
 
 def features(col: pa.Array, grams: Ratios, contexts: Ratios) -> np.ndarray:
     """Per text: log ratio per byte, log ratio of the most toxic stretch per byte, log of the length."""
     out = np.zeros((len(col), 3))
     for s, raw, start, end in _texts(col):
-        g, ok = _grams(raw, start, end)
+        g, ok = _grams(raw, end)
         v = grams[g]
         gone = np.isnan(v)
         v[gone] = np.nan_to_num(contexts[g[gone] >> 8])
@@ -229,6 +247,79 @@ def features(col: pa.Array, grams: Ratios, contexts: Ratios) -> np.ndarray:
     return out
 
 
+def packed(src: DataFrame) -> DataFrame:
+    """``unit, pack``: batches of ``src`` as compressed Arrow streams, those of about ``UNIT`` bytes in one unit."""
+    def run(batches):
+        place, held, size = [TaskContext.get().partitionId(), 0], [], 0
+
+        def unit():
+            name = hashlib.blake2b(repr(place).encode(), digest_size=8)
+            for p in held:
+                name.update(p)
+            return pa.RecordBatch.from_arrays([pa.array([int.from_bytes(name.digest(), "little", signed=True)] * len(held), pa.int64()),
+                                               pa.array(held, pa.binary())], names=["unit", "pack"])
+
+        for b in batches:
+            if b.num_rows:
+                sink = pa.BufferOutputStream()
+                codec = pa.Codec("zstd", compression_level=3)
+                with pa.ipc.new_stream(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression=codec)) as w:
+                    w.write_batch(b)
+                held.append(sink.getvalue().to_pybytes())
+                size += b.nbytes
+                if size >= UNIT:
+                    yield unit()
+                    place[1], held, size = place[1] + 1, [], 0
+        if held:
+            yield unit()
+
+    return arrow_map(src, run, "unit long, pack binary")
+
+
+def _unpacked(t: pa.Table):
+    for p in t["pack"]:
+        with pa.ipc.open_stream(p.as_buffer()) as r:
+            yield from r
+
+
+def lookup(src: DataFrame, text_col: str, ratios: DataFrame, fn: Callable[[pa.RecordBatch, np.ndarray], list], schema) -> DataFrame:
+    """``fn(batch, features)`` (columns of ``schema``) over batches of ``src``, with the features of their texts under
+    the model ``ratios``."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    target = to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
+    at = src.columns.index(text_col)
+
+    def asked(t: pa.Table) -> pa.Table:
+        have = pa.array([], pa.int64())
+        for b in _unpacked(t):
+            for _, raw, _, end in _texts(b.column(at), 1 << 20):
+                g, ok = _grams(raw, end)
+                have = pc.unique(pa.concat_arrays([have, pc.unique(pa.array(g[ok]))]))
+        back = pc.subtract(-1, pc.unique(pc.shift_right(have, 8)))
+        keys = pa.concat_arrays([have, back, pa.array([SEAL], pa.int64())])
+        return pa.table({"unit": pa.array(np.full(len(keys), t["unit"][0].as_py(), np.int64)), "key": keys})
+
+    def found(t: pa.Table, hits: pa.Table) -> pa.Table:
+        if not t.num_rows:
+            return target.empty_table()
+        keys = hits["key"].to_numpy()
+        if SEAL not in keys:
+            raise RuntimeError("the rows of a unit changed between its two uses: store the documents first")
+        model_ = tables(keys, hits["llr"].to_numpy())
+        out = []
+        for b in _unpacked(t):
+            cols = fn(b, features(b.column(at), *model_))
+            out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
+                                                   for c, f in zip(cols, target)], schema=target))
+        return pa.Table.from_batches(out, target)
+
+    packs = packed(src)
+    hits = packs.groupBy("unit").applyInArrow(asked, "unit long, key long").join(ratios, "key").select("unit", "key", "llr")
+    return packs.groupBy("unit").cogroup(hits.groupBy("unit")).applyInArrow(found, schema)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Newton fit of standardised features; (mean, scale, weights with the intercept last)."""
     mu, sd = x.mean(axis=0), x.std(axis=0) + 1e-9
@@ -247,7 +338,7 @@ def probability(x: np.ndarray, fit: tuple) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text"):
-    """``(n-gram table, context table, calibration)``, or None if a class has no labelled document."""
+    """``(model, calibration)``, or None if a class has no labelled document."""
     rows = _known(labels, label, id_col, (CALIBRATION,)).count()
     held = (F.col("fold") == CALIBRATION) & _drawn(rows, CALIBRATE)
     every = labelled(docs, labels, label, id_col, text_col).withColumn("held", held)
@@ -255,22 +346,17 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     seen = counts.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("t", "o", "ht", "ho")]).first()
     if not seen[0] or not seen[1]:
         return None
-    grams, contexts = model(counts.select("gram", "t", "o"))
     x, y = np.zeros((0, 3)), np.zeros(0)
     if seen[0] > seen[2] and seen[1] > seen[3]:
         without = model(counts.selectExpr("gram", "t - ht t", "o - ho o").where("t + o > 0"))
 
-        def probe(b: pa.RecordBatch):
-            x = features(b.column(0), *without)
-            yield {"label": b.column(1), "a": x[:, 0], "b": x[:, 1], "c": x[:, 2]}
-
         some = labelled(docs, labels, label, id_col, text_col, (CALIBRATION,), CALIBRATE).select("text", "label")
-        probed = map_batches(some, probe, "label int, a double, b double, c double").toArrow()
+        probed = lookup(some, "text", without, lambda b, x: [b.column(1), *x.T], "label int, a double, b double, c double").toArrow()
         x, y = np.stack([probed[k].to_numpy() for k in "abc"], axis=1), probed["label"].to_numpy().astype(float)
     if len(set(y.tolist())) < 2:        # too few labels to calibrate: the sign of the mean log ratio decides
         x, y = np.array([[-0.1, -1, 5], [0.1, 1, 5.0]]), np.array([0.0, 1.0])
     order = np.lexsort(x.T)
-    return grams, contexts, logistic(x[order], y[order])
+    return model(counts.select("gram", "t", "o")), logistic(x[order], y[order])
 
 
 def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -286,30 +372,37 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(fold_of(F.col(id_col)) == HELD_OUT, F.lit(False)).alias("held_out"),
                       F.col(text_col).alias("text"))
 
-    def run(b: pa.RecordBatch):
-        x = features(b.column(2), *fitted[:2]) if fitted else np.zeros((b.num_rows, 3))
-        p = probability(x, fitted[2]) if fitted else np.zeros(b.num_rows)
-        yield {"doc_id": b.column(0), "held_out": b.column(1), "score": p, "predicted": (p >= threshold).astype(np.int32),
-               "llr_per_byte": x[:, 0], "llr_stretch": x[:, 1]}
+    def run(b: pa.RecordBatch, x: np.ndarray):
+        p = probability(x, fit)
+        return [b.column(0), b.column(1), p, (p >= threshold).astype(np.int32), x[:, 0], x[:, 1]]
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(src, run, f"doc_id {kind}, held_out boolean, score double, predicted int, llr_per_byte double, "
-                                 "llr_stretch double")
+    if not fitted:
+        nothing = F.lit(0.0)
+        return src.select("doc_id", "held_out", nothing.alias("score"), F.lit(int(threshold <= 0)).alias("predicted"),
+                          nothing.alias("llr_per_byte"), nothing.alias("llr_stretch"))
+    ratios, fit = fitted
+    return lookup(src, "text", ratios, run, f"doc_id {kind}, held_out boolean, score double, predicted int, llr_per_byte double, "
+                                            "llr_stretch double")
 
 
 def reject(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
            threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` (all columns) that are not predicted toxic; one narrow pass after training."""
+    """The rows of ``docs`` (all columns) that are not predicted toxic.
+
+    Null and empty texts are scored as empty ones; rows with a null id are judged
+    and never learnt from; repeated rows stay as often as they are there.
+    Without labels of both classes nothing goes; an empty table stays empty.
+    """
     fitted = train(docs, labels, id_col=id_col, text_col=text_col)
     if not fitted:
         return docs
+    ratios, fit = fitted
 
-    def run(batches):
-        for b in batches:
-            x = features(b.column(b.schema.names.index(text_col)), *fitted[:2])
-            yield b.filter(pa.array(probability(x, fitted[2]) < threshold))
+    def run(b: pa.RecordBatch, x: np.ndarray):
+        return b.filter(pa.array(probability(x, fit) < threshold)).columns
 
-    return arrow_map(docs, run, docs.schema)
+    return lookup(docs, text_col, ratios, run, docs.schema)
 
 
 @query("op8_kneser_ney_toxicity")

@@ -264,7 +264,8 @@ def test_every_counted_ngram_keeps_its_ratio(spark):
     r = random.Random(6)
     grams = sorted({r.randrange(1 << 40) for _ in range(200_000)})
     rows = [(g, n, 0) if r.random() < 0.3 else (g, 0, n) for g in grams for n in [r.randint(1, 3)]]
-    table_, back = toxicity.model(spark.createDataFrame(rows, "gram long, t long, o long"))
+    rated = toxicity.model(spark.createDataFrame(rows, "gram long, t long, o long")).toArrow()
+    table_, back = toxicity.tables(rated["key"].to_numpy(), rated["llr"].to_numpy())
     some = np.array(grams)
     have = table_[some]
     assert not np.isnan(have).any() and len(back[some >> 8]) == len(some)
