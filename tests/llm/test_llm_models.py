@@ -275,6 +275,24 @@ def test_every_counted_ngram_keeps_its_ratio(spark):
     assert have[toxic].min() > 0 > have[~toxic].max()   # no ratio mixed with another's
 
 
+@pytest.mark.parametrize("unit", [1, 32 << 20])
+def test_units_find_the_ratios_of_their_texts(spark, monkeypatch, unit):
+    import pyarrow as pa
+    monkeypatch.setattr(toxicity, "UNIT", unit)         # units of one batch, and of several
+    r = random.Random(8)
+    texts = [None, "", "a"] + ["".join(r.choice("abc ") for _ in range(r.randint(1, 60))) for _ in range(2400)]
+    grams = sorted({int.from_bytes(bytes(r.choice(b"abc ") for _ in range(5)), "big") for _ in range(300)})
+    back = sorted({-1 - (g >> 8) for g in grams})
+    rows = [(k, r.random() - 0.5) for k in grams + back] + [(toxicity.SEAL, 0.0)]
+    model = spark.createDataFrame(rows, "key long, llr float")
+    docs = spark.createDataFrame(list(enumerate(texts)), "unit int, text string").coalesce(1)
+    got = toxicity.lookup(docs, "text", model, lambda b, x: [b.column(0), *x.T], "unit int, a double, b double, c double").collect()
+    keys, llr = np.array([k for k, _ in rows]), np.array([v for _, v in rows], np.float32)
+    want = toxicity.features(pa.array(texts, pa.large_string()), *toxicity.tables(keys, llr))
+    assert sorted(x.unit for x in got) == list(range(len(texts)))
+    assert np.allclose([x[1:] for x in sorted(got)], want)
+
+
 def test_cnn_gradients_match_differences():
     import pyarrow as pa
     from ledgerlens.llm import _words as W
