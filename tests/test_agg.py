@@ -210,3 +210,35 @@ def test_distinct_through_parent_plan_and_refusals(spark):
     got = A.MidPass(lines, "o").distinct(["s"], levels={"s": [str(v) for v in with_61] }).run(
         owner.where("o = 10"), "c").first()
     assert got["s_NUNIQUE"] == 1
+
+
+def _exchange_widths(df):
+    """Columns of the rows that each shuffle of the first plan moves."""
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        own = [node.output().size()] if node.nodeName() == "Exchange" else []
+        return own + [w for i in range(node.children().size()) for w in walk(node.children().apply(i))]
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_mart_shuffles_rows_not_states(spark):
+    """The mart's blocks have hundreds of states; the shuffles carry the lines, the loans and one row per loan."""
+    from ledgerlens.operators.encode import OneHotModel
+    from ledgerlens.plans import mart as M
+    loans = spark.sql("""select * from values (1L, 7L, 'F', 'a', 10.5, -3), (2L, 7L, 'O', 'b', 2.0, -9), (3L, 8L, 'O', 'a', 1.0, -1),
+                         (3L, 9L, 'F', 'a', 4.0, -2), (null, 9L, 'F', 'a', 1.0, -1)
+                         t(o_orderkey, o_custkey, o_orderstatus, o_orderpriority, p, DAYS_DECISION)""") \
+        .select("*", F.col("p").cast("decimal(12,2)").alias("AMT_PRICE")).drop("p")
+    lines = spark.sql("""select * from values (1L, 1, 5.0D, 30.25, 0.05D, 0.01D, 'R', 'F', -400), (1L, 2, 7.0D, 10, 0.0D, null, 'N', 'O', -100),
+                         (3L, 1, 1.0D, 99.99, 0.1D, 0.02D, 'A', 'F', 5), (null, 1, 1.0D, 1, 0.1D, 0.1D, 'A', 'F', 5)
+                         t(l_orderkey, l_linenumber, l_quantity, p, l_discount, l_tax, l_returnflag, l_linestatus, DAYS_SHIP)""") \
+        .select("*", F.col("p").cast("decimal(12,2)").alias("AMT_EXT"), (-F.col("l_linenumber")).alias("MONTHS_BALANCE")).drop("p")
+    model = M.fit(loans, lines, lines.select(F.col("l_returnflag").alias("event_type")))
+    out = M.loan_and_line_features(loans, lines, model)
+    assert max(_exchange_widths(out)) < 100
+    got = {r[M.KEY]: r for r in out.collect()}
+    assert set(got) == {7, 8, 9}
+    assert (got[7].PREV_COUNT, got[7].POS_COUNT, got[7].INSTAL_AMT_EXT_SUM, got[7].CC_AMT_EXT_MAX) == (2, 2, 40.25, 30.25)
+    assert (got[7].CC_l_tax_MEAN, got[7].INSTAL_DPD_MAX, got[7].POS_POS_l_quantity_SUM_MEAN) == (0.01, 500, 12.0)
+    assert (got[8].CC_AMT_EXT_SUM, got[9].CC_AMT_EXT_SUM, got[9].PREV_COUNT) == (99.99, 99.99, 2)
