@@ -24,11 +24,13 @@ are left, which are enumerated component against component under a condition
 that nearly all unlinked pairs fail: parity sketches of two sets differ in no
 more bits than the sets in shingles, so linked sets always pass it.  Pairs are
 counted on their short lists before whole sets move.  Hot lists are met by
-partial aggregation and by plain equi-joins that AQE can split.
+partial aggregation (batch by batch where shingles are counted) and by plain equi-joins that AQE can split.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -100,6 +102,11 @@ def _short(s: np.ndarray, percent: int, frequent: np.ndarray) -> np.ndarray:
     return cool[:m] if len(cool) >= m else np.concatenate([cool, s[hot][:m - len(cool)]])
 
 
+def _counts(lists: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of some short lists and how many of the lists have each: a hot one is one row a batch."""
+    return np.unique(np.concatenate([np.zeros(0, W.U), *lists]), return_counts=True)
+
+
 def _common(p: np.ndarray, q: np.ndarray, need: int) -> bool:
     """Whether two sorted sets share ``need`` elements: the smaller is probed in the larger by binary search,
     and the search ends as soon as the answer is known."""
@@ -150,12 +157,12 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
                         .where(F.col("c") >= FREQUENT), "h", BITS - 3)
 
     def short_lists(b: pa.RecordBatch):
-        for c in W.chunks(b.column(0), fold=W.LOWER):
-            got = [_short(s, percent, frequent) for s in _sets(c, size) if len(s)]
-            if got:
-                yield {"h": W.as_long(np.concatenate(got))}
+        h, c = _counts(_short(s, percent, frequent) for x in W.chunks(b.column(0), fold=W.LOWER) for s in _sets(x, size))
+        yield {"h": W.as_long(h), "c": c}
 
-    lists = map_batches(texts, short_lists, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    # shingles are nearly all different: a table of those of a task would hold as much as its rows, and save little
+    lists = (map_batches(texts, short_lists, "h long, c long").repartition("h")
+             .groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
     shared = W.bitmap(lists, "h", BITS)
 
     def candidates(b: pa.RecordBatch):

@@ -30,7 +30,7 @@ another order) fails its task instead of scoring without them.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from .registry import arrow_map, map_batches, query, stored, table
+from .registry import arrow_map, give_back, map_batches, query, stored, table
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -130,6 +130,29 @@ def _grams(raw: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, ok
 
 
+def _counted(col: pa.Array, kind: np.ndarray):
+    """The distinct n-grams of each chunk of texts and how often texts of each kind (0 to 3) hold them.
+    Chunks are small: a worker keeps what its largest arrays took, for as long as Spark keeps the worker."""
+    for s, raw, start, end in _texts(col):
+        g, ok = _grams(raw, end)
+        of = np.repeat(kind[s], end - start)[: len(g)]
+        u, inv = np.unique(g[ok], return_inverse=True)
+        yield u, np.bincount(4 * inv + of[ok], minlength=4 * len(u)).reshape(-1, 4)
+
+
+def _distinct(cols: Iterable[pa.Array]) -> pa.Array:
+    """The distinct n-grams of all texts; those of small chunks are merged once they outnumber the rest."""
+    have, fresh, n = pa.array([], pa.int64()), [], 0
+    for col in cols:
+        for _, raw, _, end in _texts(col):
+            g, ok = _grams(raw, end)
+            fresh.append(pc.unique(pa.array(g[ok])))
+            n += len(fresh[-1])
+            if n > len(have):
+                have, fresh, n = pc.unique(pa.concat_arrays([have, *fresh])), [], 0
+    return pc.unique(pa.concat_arrays([have, *fresh]))
+
+
 class Ratios:
     """A hash table from keys (from 0 on, each once) to values; linear probing, a third to two thirds of the places taken."""
 
@@ -173,11 +196,7 @@ def count(train: DataFrame) -> DataFrame:
     """``gram, t, o, ht, ho``: occurrences of each n-gram in toxic and ordinary texts, and in those of them that are ``held``."""
     def run(b: pa.RecordBatch):
         kind = ((b.column(1).to_numpy(zero_copy_only=False) == 1) + 2 * b.column(2).to_numpy(zero_copy_only=False).astype(np.int64))
-        for s, raw, start, end in _texts(b.column(0), 1 << 20):
-            g, ok = _grams(raw, end)
-            of = np.repeat(kind[s], end - start)[: len(g)]
-            u, inv = np.unique(g[ok], return_inverse=True)
-            n = np.bincount(4 * inv + of[ok], minlength=4 * len(u)).reshape(-1, 4)
+        for u, n in _counted(b.column(0), kind):
             yield {"gram": u, "t": n[:, 1] + n[:, 3], "o": n[:, 0] + n[:, 2], "ht": n[:, 3], "ho": n[:, 2]}
 
     return (map_batches(train.select("text", "label", "held"), run, "gram long, t long, o long, ht long, ho long")
@@ -272,6 +291,9 @@ def packed(src: DataFrame) -> DataFrame:
                     place[1], held, size = place[1] + 1, [], 0
         if held:
             yield unit()
+        b = sink = None
+        held.clear()
+        give_back()
 
     return arrow_map(src, run, "unit long, pack binary")
 
@@ -292,18 +314,16 @@ def lookup(src: DataFrame, text_col: str, ratios: DataFrame, fn: Callable[[pa.Re
     at = src.columns.index(text_col)
 
     def asked(t: pa.Table) -> pa.Table:
-        have = pa.array([], pa.int64())
-        for b in _unpacked(t):
-            for _, raw, _, end in _texts(b.column(at), 1 << 20):
-                g, ok = _grams(raw, end)
-                have = pc.unique(pa.concat_arrays([have, pc.unique(pa.array(g[ok]))]))
+        have = _distinct(b.column(at) for b in _unpacked(t))
         back = pc.subtract(-1, pc.unique(pc.shift_right(have, 8)))
         keys = pa.concat_arrays([have, back, pa.array([SEAL], pa.int64())])
+        give_back()
         return pa.table({"unit": pa.array(np.full(len(keys), t["unit"][0].as_py(), np.int64)), "key": keys})
 
     def found(t: pa.Table, hits: pa.Table) -> pa.Table:
         if not t.num_rows:
             return target.empty_table()
+        give_back()                                     # the last unit's texts
         keys = hits["key"].to_numpy()
         if SEAL not in keys:
             raise RuntimeError("the rows of a unit changed between its two uses: store the documents first")
@@ -313,6 +333,8 @@ def lookup(src: DataFrame, text_col: str, ratios: DataFrame, fn: Callable[[pa.Re
             cols = fn(b, features(b.column(at), *model_))
             out.append(pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type)
                                                    for c, f in zip(cols, target)], schema=target))
+        del model_, keys, b, cols
+        give_back()
         return pa.Table.from_batches(out, target)
 
     packs = packed(src)

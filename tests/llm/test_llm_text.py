@@ -399,3 +399,25 @@ def brute_components(rows):
                 x, y = sorted((top(a), top(b)))
                 up[y] = x
     return {i: top(i) for i in sets}
+
+
+def test_shingles_are_counted_without_a_table_per_task(spark, monkeypatch):
+    """What a task counts before the shuffle is bounded by its batches; a hot shingle is still one row a batch."""
+    import numpy as np
+    from ledgerlens.llm import _words as W
+    h, c = ngram_join._counts(iter([np.array([3, 5], W.U), np.array([], W.U), np.array([3], W.U)]))
+    assert h.tolist() == [3, 5] and c.tolist() == [2, 1] and len(ngram_join._counts(iter([]))[0]) == 0
+    seen, bitmap = [], W.bitmap
+
+    def spy(df, key, bits):
+        seen.append((bits, df._jdf.queryExecution().executedPlan().toString()))
+        return bitmap(df, key, bits)
+    monkeypatch.setattr(W, "bitmap", spy)
+    text = "one two three four five six seven eight nine ten"
+    rows = [(i, text + (" x" if i % 3 == 0 else "")) for i in range(12)] + [(20, None), (21, "alone with other words of its own")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in ngram_join.join(docs).collect()}
+    assert got == {i: 0 for i in range(12)} | {20: 20, 21: 21}
+    plan = next(p for bits, p in seen if bits == ngram_join.BITS).splitlines()
+    below = [x for x in plan[next(i for i, x in enumerate(plan) if "Exchange" in x):] if "Aggregate" in x]
+    assert not below
