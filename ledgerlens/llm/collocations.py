@@ -15,8 +15,8 @@ ends a suffix, since no phrase with it can reach ``least`` (a bitmap of the
 others, at most 32 MB; a collision costs work, never a result).
 
 Exactness: hashes only prune and balance.  Leaves travel as blocks with the
-words themselves (one block per task batch, language and group: a small word
-list and indices into it, compressed), so every count is a count of equal strings.
+words themselves (one block per unit of texts and group: a small word list and
+indices into it, compressed), so every count is a count of equal strings.
 
 Scale: what reaches the driver is the prefixes heavier than a quarter of the
 budget and the loads of the slots that are packed, both in proportion to the
@@ -147,12 +147,12 @@ def _slot(keys, slots: int):
 
 
 _VOCAB = "lang string, word long, n long"
-_BLOCK = "grp int, lang string, deep int, leaves int, words int, size int, body binary"
+_BLOCK = "grp int, lang array<string>, deep array<int>, leaves array<int>, words int, size int, body binary"
 _NODE = "lang string, phrase string, m int, f long, partial boolean"
 
 
 def _blocks(u: _Unit, frequent, heavy, group_of, slots: int, depth: int):
-    """Leaves of a unit by group, language and prefix length: one row each."""
+    """Leaves of a unit by group, one row each: the runs of one language and prefix length, and their leaves."""
     length, keys = _prefixes(u, frequent, depth)
     at = np.flatnonzero(length)
     if not len(at):
@@ -162,71 +162,97 @@ def _blocks(u: _Unit, frequent, heavy, group_of, slots: int, depth: int):
     ids = np.zeros(len(length) + depth, np.int32)
     ids[at] = words.indices.to_numpy(zero_copy_only=False) + 1
     cols = [np.where(length[at] > d, ids[at + d], 0) for d in range(depth)]
-    top = (group_of[_slot(prefix, slots)].astype(np.int64) * len(u.langs) + u.lang[at]) * (depth + 1) + deep
+    kinds = len(u.langs) * (depth + 1)
+    top = group_of[_slot(prefix, slots)].astype(np.int64) * kinds + u.lang[at] * (depth + 1) + deep
     order, first, n = _sorted(top, cols, np.ones(len(at), np.int64))
-    top, cols = top[order][first], [c[order][first] for c in cols]
-    cut = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+    order = order[first]
+    top, leaf = top[order], np.stack([c[order] for c in cols])
+    run = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+    grp, kind = np.divmod(top[run], kinds)
+    edge, size = [*run.tolist(), len(top)], np.diff(run, append=len(top))
+    block = np.flatnonzero(np.concatenate([[True], grp[1:] != grp[:-1]])).tolist()
     rows = {k: [] for k in ("grp", "lang", "deep", "leaves", "words", "size", "body")}
-    for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(top)]):
-        used, local = np.unique(np.concatenate([c[a:b] for c in cols]), return_inverse=True)
-        if used[0]:                                  # 0 ends a suffix in every block
-            used, local = np.concatenate([[0], used]), local + 1
-        rest, d = divmod(int(top[a]), depth + 1)
-        g, lang = divmod(rest, len(u.langs))
-        rows["grp"].append(g)
-        rows["lang"].append(u.langs[lang])
-        rows["deep"].append(d)
-        body = _packed(words.dictionary.take(pa.array(used[1:] - 1)), local, n[a:b])
-        rows["leaves"].append(b - a)
-        rows["words"].append(len(used) - 1)
+    place = np.zeros(len(words.dictionary) + 1, np.int32)
+    for i, j in zip(block, [*block[1:], len(run)]):
+        part = leaf[:, edge[i]:edge[j]]
+        seen = np.zeros(len(place), bool)
+        seen[part] = True
+        seen[0] = False                              # 0 ends a suffix in every block
+        used = np.flatnonzero(seen)
+        place[used] = np.arange(1, len(used) + 1)
+        body = _packed(words.dictionary.take(pa.array(used - 1)), place[part], n[edge[i]:edge[j]])
+        rows["grp"].append(int(grp[i]))
+        rows["lang"].append([u.langs[x] for x in (kind[i:j] // (depth + 1)).tolist()])
+        rows["deep"].append(kind[i:j] % (depth + 1))
+        rows["leaves"].append(size[i:j])
+        rows["words"].append(len(used))
         rows["size"].append(len(body))
         rows["body"].append(pa.compress(body, "zstd", asbytes=True))
-    types = {"lang": pa.string(), "body": pa.binary()}
+    types = {"lang": pa.list_(pa.string()), "deep": pa.list_(pa.int32()), "leaves": pa.list_(pa.int32()), "body": pa.binary()}
     return pa.RecordBatch.from_arrays([pa.array(v, types.get(k, pa.int32())) for k, v in rows.items()], names=list(rows))
 
 
 def _packed(words: pa.Array, local: np.ndarray, n: np.ndarray) -> bytes:
-    """A block: indices, counts (both by byte planes, which compress better) and the words."""
+    """A block: indices, counts, the words' sizes (all by byte planes, which compress better) and the words."""
     wide = np.uint16 if len(words) + 1 < 1 << 16 else np.uint32
-    planes = [np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes() for x in (local.astype(wide), n.astype(np.uint32))]
-    return b"".join([*planes, " ".join(words.to_pylist()).encode()])
+    off, data = W.text_buffers(words)
+    planes = [np.ascontiguousarray(x.reshape(-1).view(np.uint8).reshape(x.size, -1).T).tobytes()
+              for x in (local.astype(wide), n.astype(np.uint32), np.diff(off).astype(np.uint32))]
+    return b"".join([*planes, data[off[0]:off[-1]].tobytes()])
 
 
-def _unpacked(body: bytes, leaves: int, words: int, depth: int) -> tuple[list[str], np.ndarray, np.ndarray]:
-    wide = np.dtype(np.uint16 if words + 1 < 1 << 16 else np.uint32)
-    cut = leaves * depth * wide.itemsize
-    raw = np.frombuffer(body, np.uint8)
-    local = np.ascontiguousarray(raw[:cut].reshape(wide.itemsize, -1).T).view(wide).reshape(depth, leaves)
-    n = np.ascontiguousarray(raw[cut:cut + 4 * leaves].reshape(4, -1).T).view(np.uint32).ravel()
-    return body[cut + 4 * leaves:].decode().split(" "), local, n
+def _unpacked(body: bytes, leaves: int, words: int, depth: int) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    wide, raw, at = np.dtype(np.uint16 if words + 1 < 1 << 16 else np.uint32), np.frombuffer(body, np.uint8), 0
+    cols = []
+    for kind, size in ((wide, leaves * depth), (np.dtype(np.uint32), leaves), (np.dtype(np.uint32), words)):
+        planes = raw[at:at + size * kind.itemsize].reshape(kind.itemsize, -1)
+        cols.append(np.ascontiguousarray(planes.T).view(kind).ravel())
+        at += size * kind.itemsize
+    offsets = np.concatenate([[0], np.cumsum(cols[2], dtype=np.int64)]).astype(np.int32)
+    own = pa.StringArray.from_buffers(words, pa.py_buffer(offsets), pa.py_buffer(body).slice(at))
+    return own, cols[0].reshape(depth, leaves), cols[1]
 
 
 def _sorted(top: np.ndarray, cols: list[np.ndarray], n: np.ndarray):
     """Order of the leaves, the first of each run of equal leaves, and the runs' totals."""
-    order = np.lexsort([*reversed(cols), top])
+    keys, room = [], 0
+    for c in (top, *cols):                           # as many columns to a key as fit
+        size = int(c.max(initial=0)) + 1
+        if keys and room * size < 1 << 63:
+            keys[-1] = keys[-1] * size + c
+            room *= size
+        else:
+            keys.append(c.astype(np.int64))
+            room = size
+    order = np.lexsort(keys[::-1])
     new = np.zeros(len(order), bool)
     new[:1] = True
-    for c in (top, *cols):
-        c = c[order]
-        new[1:] |= c[1:] != c[:-1]
+    for k in keys:
+        k = k[order]
+        new[1:] |= k[1:] != k[:-1]
     first = np.flatnonzero(new)
     return order, first, np.add.reduceat(n[order], first)
 
 
 def _subtrees(blocks: list[tuple], depth: int, least: int):
     """Nodes of one group's subtrees, from its sorted leaves."""
-    names = sorted({x[0] for x in blocks})
+    names = sorted({x for lang, *_ in blocks for x in lang})
     code = {x: i for i, x in enumerate(names)}
-    place: dict[str, int] = {}
-    tops, cols, ns = [], [[] for _ in range(depth)], []
-    for lang, deep, leaves, kinds, size, body in blocks:
-        own, leaf, n = _unpacked(pa.decompress(body, size, "zstd", asbytes=True), leaves, kinds, depth)
-        local = np.array([0, *(place.setdefault(w, len(place) + 1) for w in own)], np.int32)
+    tops, owns, leaves, ns = [], [], [], []
+    for lang, deep, size, kinds, raw, body in blocks:
+        own, leaf, n = _unpacked(pa.decompress(body, raw, "zstd", asbytes=True), sum(size), kinds, depth)
+        tops.append(np.repeat([code[x] * (depth + 1) + d for x, d in zip(lang, deep)], size).astype(np.int32))
+        owns.append(own)
+        leaves.append(leaf)
+        ns.append(n)
+    known = pa.chunked_array(owns).dictionary_encode()          # one dictionary for all blocks
+    words = known.chunk(0).dictionary
+    cols = [[] for _ in range(depth)]
+    for own, leaf in zip(known.chunks, leaves):
+        local = np.concatenate([[0], own.indices.to_numpy(zero_copy_only=False) + 1]).astype(np.int32)
         for d in range(depth):
             cols[d].append(local[leaf[d]])
-        tops.append(np.full(leaves, code[lang] * (depth + 1) + deep, np.int32))
-        ns.append(n)
-    words = pa.array(list(place), pa.string())
+    leaves = owns = None
     top, cols, n = np.concatenate(tops), [np.concatenate(c) for c in cols], np.concatenate(ns).astype(np.int64)
     tops, ns = [], []
     order, first, n = _sorted(top, cols, n)

@@ -72,6 +72,44 @@ def test_collocations_of_nothing(spark):
     assert C.collocations(docs(spark, [None, "", "one"])).count() == 0
 
 
+def test_a_unit_is_one_block_a_group():
+    """The leaves of all languages and prefix lengths of a unit travel together, whatever their number."""
+    r = random.Random(3)
+    langs = [r.choice(["en", "fr", None]) for _ in range(300)]
+    texts = [" ".join(r.choice("a é the of ß. xx,y zz".split()) for _ in range(r.randint(0, 40))) for _ in langs]
+    batch = pa.RecordBatch.from_arrays([pa.array(langs), pa.array(texts)], names=["lang", "text"])
+    frequent, groups, slots, blocks = np.full(1 << 13, 255, np.uint8), 5, 1 << 10, {}
+    group_of = np.sort(np.arange(slots) % groups)
+    for part in (batch.slice(0, 200), batch.slice(200)):
+        u = C._unit([part])
+        b = C._blocks(u, frequent, [np.unique(u.key)[::3]], group_of, slots, 3)
+        assert len(set(b.column(0).to_pylist())) == b.num_rows <= groups
+        for g, *block in zip(*[c.to_pylist() for c in b.columns]):
+            blocks.setdefault(g, []).append(block)
+    got = Counter()
+    for held in blocks.values():
+        for b in C._subtrees(held, 3, 1):
+            for lang, phrase, m, f, _ in zip(*[c.to_pylist() for c in b.columns]):
+                got[lang, tuple(phrase.split(" "))] += f
+                assert m == len(phrase.split(" "))
+    want = Counter()
+    for lang, text in zip(langs, texts):
+        for piece in re.split(r"[.,]", text):
+            w = piece.split()
+            want.update((lang or "und", tuple(w[i:i + m])) for m in (1, 2, 3) for i in range(len(w) - m + 1))
+    assert got == want
+
+
+def test_leaves_sort_alike_however_many_columns_a_key_holds():
+    r = np.random.default_rng(2)
+    for most in (3, 1 << 20, 1 << 31):
+        cols = [r.integers(0, most, 500) * r.integers(0, 2, 500) for _ in range(5)]
+        order, first, n = C._sorted(cols[0], cols[1:], np.ones(500, np.int64))
+        rows = sorted(zip(*[c.tolist() for c in cols]))
+        assert list(zip(*[c[order].tolist() for c in cols])) == rows
+        assert {rows[i]: k for i, k in zip(first.tolist(), n.tolist())} == Counter(rows)
+
+
 # ------------------------------------------------------------------ op12
 
 def test_transducer_is_exact_and_shares_suffixes(tmp_path):
