@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from .registry import arrow_map, map_batches, query, stored, table
+from .registry import apart, arrow_map, map_batches, query, stored, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -302,6 +302,7 @@ def _linked(pairs: DataFrame, found: DataFrame, percent: int) -> DataFrame:
 def _meet(pairs: DataFrame, found: DataFrame, column: str, need, bounded: bool = False) -> DataFrame:
     """Pairs whose arrays share enough elements; with ``bounded`` a bitmap keeps arrays without a pair out of the shuffle."""
     some = found.select("k", F.col(column).alias("x"))
+    sides = [some.selectExpr("k a", "x"), some.selectExpr("k b", "x y")]
     if bounded:
         used = W.bitmap(pairs.selectExpr("a k").unionAll(pairs.select("b")), "k", BITS - 3)
 
@@ -311,8 +312,8 @@ def _meet(pairs: DataFrame, found: DataFrame, column: str, need, bounded: bool =
                 yield {"k": b.column(0).filter(pa.array(hit)), "x": b.column(1).filter(pa.array(hit))}
 
         some = map_batches(some, wanted, "k long, x array<long>")
-    both = (pairs.join(some.selectExpr("k a", "x"), "a").join(some.selectExpr("k b", "x y"), "b")
-            .select("a", "b", "an", "bn", "x", "y"))
+        sides = [apart(some.selectExpr("k a", "x")), apart(some.selectExpr("k b", "x y"))]
+    both = pairs.join(sides[0], "a").join(sides[1], "b").select("a", "b", "an", "bn", "x", "y")
     return map_batches(both, _pairs(need), "a long, b long, an long, bn long")
 
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words as W
-from .registry import arrow_map, give_back, map_batches, query, stored, table
+from .registry import apart, arrow_map, give_back, map_batches, query, stored, table
 
 ORDER = 5
 DISCOUNT = 0.75
@@ -85,7 +85,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_c
     some = map_batches(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"),
                                    F.xxhash64(F.col(id_col).cast("long"))).where("doc_id is not null"),
                        wanted, "doc_id long, text string")
-    return some.join(known.drop("at"), "doc_id")
+    return some.join(apart(known.drop("at")), "doc_id")
 
 
 def sampled(df: DataFrame, most: int) -> DataFrame:

@@ -293,6 +293,25 @@ def test_units_find_the_ratios_of_their_texts(spark, monkeypatch, unit):
     assert np.allclose([x[1:] for x in sorted(got)], want)
 
 
+def test_python_steps_are_parted_by_a_shuffle(spark):
+    """A task with two Python steps takes two workers, which share an executor's memory for as long as it lives."""
+    from pyspark.sql import functions as F
+
+    from ledgerlens.llm import ngram_join
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(0, 40, 3)], "doc_id long, toxic int")
+    known = toxicity.labelled(docs, labels, "toxic", "doc_id", "text")
+    counted = toxicity.count(known.withColumn("held", F.lit(False)))
+    found = spark.createDataFrame([(i, [1, 2, 3 + i]) for i in range(40)], "k long, elements array<long>")
+    pairs = spark.createDataFrame([(i, i + 1, 3, 3) for i in range(0, 38, 2)], "a long, b long, an long, bn long")
+    met = ngram_join._meet(pairs, found, "elements", lambda m, n: 2, bounded=True)
+    assert sorted(map(tuple, met.collect())) == [(i, i + 1, 3, 3) for i in range(0, 38, 2)]
+    assert counted.count() and counted.collect()
+    for df, joins in ((counted, 1), (met, 2)):
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert plan.count("SortMergeJoin") == joins and "BroadcastHashJoin" not in plan
+
+
 def test_cnn_gradients_match_differences():
     import pyarrow as pa
     from ledgerlens.llm import _words as W
