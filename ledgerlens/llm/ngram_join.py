@@ -15,16 +15,20 @@ The order only decides the cost: shingles found in several documents of a
 1/16 hash sample of all documents count as frequent.  Any order gives the same
 links.
 
-Scale: equal sets are one class from the start.  A shingle matters only if two
-short lists or more have it (bounded bitmap), and a document only if enough of
-its short lists matter; the others drop out before any set moves.  No list
+Scale: equal sets are one class from the start.  A shingle matters only if the
+short lists of two classes or more have it, and a document only if enough of
+its short lists matter; the others drop out before any set moves.  That is
+decided exactly: the short lists are dealt out by the first bits of their
+shingles, packed (16 bytes a shingle), and what two classes share comes back by
+class, so the share of sets that move stays the same however large the input
+is.  The shuffle files of a step go once its table is written.  No list
 emits all its pairs: each list's members are compared with one centre (the
 member with the least rare shingles) first, and afterwards only pairs from *different* components of the same list
 are left, which are enumerated component against component under a condition
 that nearly all unlinked pairs fail: parity sketches of two sets differ in no
 more bits than the sets in shingles, so linked sets always pass it.  Pairs are
 counted on their short lists before whole sets move.  Hot lists are met by
-partial aggregation (batch by batch where shingles are counted) and by plain equi-joins that AQE can split.
+partial aggregation (batch by batch where short lists are dealt out) and by plain equi-joins that AQE can split.
 """
 
 from __future__ import annotations
@@ -38,7 +42,7 @@ from pyspark.sql import functions as F
 
 from . import _words as W
 from ._graph import components
-from .registry import apart, arrow_map, map_batches, query, stored, table
+from .registry import apart, arrow_map, map_batches, query, stored, swept, table
 
 SHINGLE = 5
 PERCENT = 80
@@ -46,6 +50,8 @@ LEAST = 20           # l: this part of a set (per cent, plus one) must meet in s
 SAMPLE = 16          # one document in SAMPLE informs the order of the shingles
 FREQUENT = 3         # ... in which a frequent shingle occurs this often
 BITS = 26            # 8 MB bitmaps
+GROUPS = 12          # short lists are dealt out by this many first bits of their shingles
+PACKED = 1 << 18     # ... once a task has this many shingles, or at the end of a batch
 SKETCH = 4           # parity sketch of a set: this many longs
 _S = [f"s{i}" for i in range(SKETCH)]
 
@@ -107,6 +113,58 @@ def _counts(lists: Iterable[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.zeros(0, W.U), *lists]), return_counts=True)
 
 
+def _binary(x: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The bytes of ``x`` as one binary value for each stretch from an index in ``at`` (ascending, from 0) to the next."""
+    off = (np.append(at, len(x)) * x.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(x))])
+
+
+def _unpacked(col: pa.ChunkedArray, kind) -> np.ndarray:
+    """What ``_binary`` packed, in one array."""
+    out = [np.zeros(0, kind)]
+    for x in col.chunks:
+        x = x.cast(pa.large_binary())
+        off = np.frombuffer(x.buffers()[1], np.int64)[x.offset:x.offset + len(x) + 1]
+        if off[-1] > off[0]:
+            out.append(np.frombuffer(x.buffers()[2], np.uint8)[off[0]:off[-1]].view(kind))
+    return np.concatenate(out)
+
+
+_LEAD, _REST = W.U(1 << 64 - GROUPS), W.U((1 << 64 - GROUPS) - 1)
+
+
+def _dealt(lists: list[tuple[int, np.ndarray, int]]) -> dict:
+    """The short lists of some sets (key, shingles, how many of them lead), as a row for each group of shingles: the sets' keys,
+    and words with the shingles' bits behind those of the group and the mark of a lead in front of them."""
+    h = np.concatenate([p for _, p, _ in lists])
+    k = np.repeat(np.array([key for key, _, _ in lists], np.int64), [len(p) for _, p, _ in lists])
+    lead = np.concatenate([np.arange(len(p)) < leads for _, p, leads in lists])
+    order = np.argsort(h)
+    h, k, lead = h[order], k[order], lead[order]
+    g = (h >> W.U(64 - GROUPS)).astype(np.int32)
+    at = np.flatnonzero(np.diff(g, prepend=np.int32(-1)))
+    return {"g": g[at], "w": _binary((h & _REST) | lead * _LEAD, at), "k": _binary(k, at)}
+
+
+def _shared(t: pa.Table) -> pa.Table:
+    """The rows ``k, h, lead`` of a group of shingles that are in the short lists of two classes or more, each once."""
+    w, k = _unpacked(t.column("w"), W.U), _unpacked(t.column("k"), np.int64)
+    some, c = _counts([w & _REST])
+    some = np.append(some[c > 1], W.U(2**64 - 1))    # no word without its mark is that large
+    at = np.searchsorted(some, w & _REST)
+    hit = some[at] == w & _REST
+    at, w, k = at[hit], w[hit], k[hit]
+    order = np.lexsort((k, at))
+    at, w, k = at[order], w[order], k[order]
+    fresh = np.ones(len(at), bool)
+    fresh[1:] = (at[1:] != at[:-1]) | (k[1:] != k[:-1])
+    at, w, k = at[fresh], w[fresh], k[fresh]
+    two = (np.bincount(at, minlength=1) > 1)[at]
+    w, k = w[two], k[two]
+    h = (w & _REST) | W.U(t.column("g")[0].as_py()) << W.U(64 - GROUPS)
+    return pa.table({"k": k, "h": W.as_long(h), "lead": w & _LEAD != 0})
+
+
 def _common(p: np.ndarray, q: np.ndarray, need: int) -> bool:
     """Whether two sorted sets share ``need`` elements: the smaller is probed in the larger by binary search,
     and the search ends as soon as the answer is known."""
@@ -137,6 +195,11 @@ def _pairs(need):
 
 def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     """Rows ``doc_id, n, k`` and classes ``k, size, component_id, winner`` (the class of the component's first row)."""
+    with swept(docs.sparkSession):
+        return _classes(docs, percent, size, id_col, text_col)
+
+
+def _classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     texts = src.select("text")
 
@@ -154,39 +217,52 @@ def classes(docs: DataFrame, percent: int, size: int, id_col: str, text_col: str
     members = stored(map_batches(src, sets, "doc_id long, n long, k long, sample array<long>"), "join-members")
     frequent = W.bitmap(members.where("sample is not null").dropDuplicates(["k"])
                         .select(F.explode("sample").alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("c"))
-                        .where(F.col("c") >= FREQUENT), "h", BITS - 3)
+                        .where(F.col("c") >= FREQUENT), "h", BITS - 1)
+
+    def distinct(b: pa.RecordBatch):
+        """The sets of each chunk of a batch with their keys, equal ones once a batch."""
+        seen = set()
+        for c in W.chunks(b.column(0), fold=W.LOWER):
+            sets = []
+            for s in _sets(c, size):
+                if len(s) and (key := _key(s)) not in seen:
+                    seen.add(key)
+                    sets.append((key, s))
+            if sets:
+                yield sets
 
     def short_lists(b: pa.RecordBatch):
-        h, c = _counts(_short(s, percent, frequent) for x in W.chunks(b.column(0), fold=W.LOWER) for s in _sets(x, size))
-        yield {"h": W.as_long(h), "c": c}
+        lists, held = [], 0
+        for sets in distinct(b):
+            for key, s in sets:
+                lists.append((key, _short(s, percent, frequent), _size(len(s), percent, 0)))
+                held += len(lists[-1][1])
+            if held >= PACKED:
+                yield _dealt(lists)
+                lists, held = [], 0
+        if lists:
+            yield _dealt(lists)
 
     # shingles are nearly all different: a table of those of a task would hold as much as its rows, and save little
-    lists = (map_batches(texts, short_lists, "h long, c long").repartition("h")
-             .groupBy("h").agg(F.sum("c").alias("c")).where("c > 1"))
-    shared = W.bitmap(lists, "h", BITS)
+    lists = map_batches(texts, short_lists, "g int, w binary, k binary").groupBy("g").applyInArrow(_shared, "k long, h long, lead boolean")
+    hits = stored(lists.repartition("k").groupBy("k").agg(
+        F.sort_array(F.collect_list("h")).alias("hits"), F.collect_list(F.when(F.col("lead"), F.col("h"))).alias("leads"))
+        .where("size(leads) > 0").withColumn("c", F.size("hits")), "join-hits")
+    enough = f"c >= 1 + (({percent} * n + 99) div 100) * {LEAST} div 100"    # _met() of the fewest shingles that a partner shares
+    passing = W.bitmap(hits.select("k", "c").join(members.select("k", "n"), "k").where(enough).select("k"), "k", BITS)
 
     def candidates(b: pa.RecordBatch):
-        for c in W.chunks(b.column(0), fold=W.LOWER):
-            k, n, whole, hits, leads, rare, marks = [], [], [], [], [], [], []
-            for s in _sets(c, size):
-                if len(s):
-                    p = _short(s, percent, frequent)
-                    lead = p[:_size(len(s), percent, 0)]
-                    p, lead = p[W.in_bitmap(shared, p)], lead[W.in_bitmap(shared, lead)]
-                    if len(lead) and len(p) >= _met(-(-percent * len(s) // 100)):
-                        k.append(_key(s))
-                        n.append(len(s))
-                        whole.append(np.sort(W.as_long(s)))
-                        hits.append(np.sort(W.as_long(p)))
-                        leads.append(W.as_long(lead))
-                        marks.append(_sketch(s))
-                        rare.append(1000 * int((~W.in_bitmap(frequent, s)).sum()) // len(s))
-            if k:
-                yield {"k": k, "n": n, "elements": whole, "hits": hits, "leads": leads, "rare": rare} | dict(zip(_S, map(list, zip(*marks))))
-
-    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, hits array<long>, leads array<long>, rare int, "
-                               + ", ".join(f"{x} long" for x in _S))
-                   .dropDuplicates(["k"]), "join-sets")
+        for sets in distinct(b):
+            hit = W.in_bitmap(passing, np.array([key for key, _ in sets], np.int64))
+            sets = [x for x, y in zip(sets, hit) if y]
+            if sets:
+                marks = [_sketch(s) for _, s in sets]
+                yield {"k": [key for key, _ in sets], "n": [len(s) for _, s in sets],
+                       "elements": [np.sort(W.as_long(s)) for _, s in sets],
+                       "rare": [1000 * int((~W.in_bitmap(frequent, s)).sum()) // len(s) for _, s in sets]} | dict(zip(_S, map(list, zip(*marks))))
+
+    found = stored(map_batches(texts, candidates, "k long, n long, elements array<long>, rare int, " + ", ".join(f"{x} long" for x in _S))
+                   .dropDuplicates(["k"]).join(hits, "k").where(enough).drop("c"), "join-sets")
     posting = found.select("k", "n", "rare", *_S, F.explode("leads").alias("h"))
     # a list's centre has the least of its own: among near copies, the text they all come from
     centre = stored(posting.groupBy("h").agg(F.min(F.struct("rare", "k", "n", *_S)).alias("c"), F.min("k").alias("lo"), F.max("k").alias("hi"))

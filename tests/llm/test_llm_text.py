@@ -421,3 +421,62 @@ def test_shingles_are_counted_without_a_table_per_task(spark, monkeypatch):
     plan = next(p for bits, p in seen if bits == ngram_join.BITS).splitlines()
     below = [x for x in plan[next(i for i, x in enumerate(plan) if "Exchange" in x):] if "Aggregate" in x]
     assert not below
+
+
+def test_sets_without_a_partner_stay_behind_however_many_shingles_are_shared(spark, monkeypatch):
+    """A filter of fixed size is full on a large input, and then every set moves.  Here 4096 places stand for it."""
+    monkeypatch.setattr(ngram_join, "BITS", 12)
+    r = random.Random(5)
+    rows = []
+    for i in range(120):
+        base = [f"c{i}x{j}" for j in range(160)]
+        rows += [(3 * i, " ".join(base)), (3 * i + 1, " ".join([*base[:-2], "other", "end"])), (3 * i + 2, " ".join(r.sample([f"l{i}x{j}" for j in range(160)], 160)))]
+    rows += [(900 + i, rows[2][1]) for i in range(5)]     # copies of a set aren't its partners
+    seen, whole = {}, ngram_join.stored
+    monkeypatch.setattr(ngram_join, "stored", lambda df, name: seen.setdefault(name, whole(df, name)))
+    got = {x.doc_id: x.component_id for x in ngram_join.join(frame(spark, rows)).collect()}
+    assert got == brute_components(rows)
+    assert seen["join-sets"].count() == 240
+
+
+def test_shared_shingles_come_back_by_class():
+    """Against plain sets: shingles of equal first or last bits, a class met twice, leads, and groups of one class."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlens.llm import _words as W
+    r = random.Random(3)
+    some = [0, 1, 2**52 - 1, 2**52, 2**63, 2**64 - 1, *(r.getrandbits(64) for _ in range(40))]
+    lists = [(r.choice([-5, 0, 7, 2**62]) + i, r.sample(some, 12), r.randint(1, 12)) for i in range(6)]
+    lists += [lists[0], (99, [12345, 2**64 - 2], 1), (99, [12345, 2**64 - 2], 1)]
+    parts = [ngram_join._dealt([(k, np.array(p, W.U), lead) for k, p, lead in x]) for x in (lists[:4], lists[4:])]
+    rows = pa.concat_tables([pa.table({"g": pa.array(x["g"], pa.int32()), "w": x["w"], "k": x["k"]}) for x in parts])
+    got = []
+    for g in sorted(set(rows["g"].to_pylist())):
+        t = ngram_join._shared(rows.filter(pa.compute.equal(rows["g"], g)))
+        got += zip(t["k"].to_pylist(), t["h"].to_pylist(), t["lead"].to_pylist())
+    own = {(k, h): at < lead for k, p, lead in lists for at, h in enumerate(p)}
+    want = [(k, h - 2**64 * (h >= 2**63), lead) for (k, h), lead in own.items() if sum(x[1] == h for x in own) > 1]
+    assert sorted(got) == sorted(want) and len(want) > 20
+
+
+def test_shuffle_files_go_with_the_query(spark):
+    """What a stored step shuffled leaves the disk once its table is written; afterwards the session is as it was."""
+    import os
+    import time
+
+    from ledgerlens.llm.registry import stored, swept
+    jvm = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+
+    def files():
+        return {os.path.basename(x) for x in jvm.getAllFiles().mkString("\n").split("\n") if "shuffle_" in x}
+    before = files()
+    with swept(spark):
+        t = stored(spark.range(1000).repartition(3, "id").groupBy("id").count(), "sweep-test")
+        for _ in range(100):
+            if not files() - before:
+                break
+            time.sleep(0.1)
+        assert not files() - before
+    assert t.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
